@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .secrets import op4_secrets
+from .token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": op3_token_counts,
+        "op4_secrets": op4_secrets,
         "op10_bpe": op10_bpe,
     }
 
