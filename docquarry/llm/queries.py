@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
+from .decontamination import op6_decontamination
 from .secrets import op4_secrets
 from .token_counts import op3_token_counts
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
+        "op6_decontamination": op6_decontamination,
         "op10_bpe": op10_bpe,
     }
 
