@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
 from .decontamination import op6_decontamination
+from .maxscore import OP5_SQL, op5_maxscore
 from .secrets import op4_secrets
 from .token_counts import op3_token_counts
+from .training_order import op7_training_order
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
+        "op5_maxscore": op5_maxscore,
         "op6_decontamination": op6_decontamination,
+        "op7_training_order": op7_training_order,
         "op10_bpe": op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_maxscore": OP5_SQL}
