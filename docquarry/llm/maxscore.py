@@ -134,9 +134,9 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with valid as (
-    select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v
+    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
     from embeddings
-    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
 ), pairs as (
     select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
     from valid q join valid c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
