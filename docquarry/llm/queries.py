@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe
 from .decontamination import op6_decontamination
+from .jaccard_join import op8_jaccard_join
 from .line_dedup import op9_line_dedup
 from .maxscore import OP5_SQL, op5_maxscore
 from .secrets import op4_secrets
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_maxscore": op5_maxscore,
         "op6_decontamination": op6_decontamination,
         "op7_training_order": op7_training_order,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_bpe": op10_bpe,
     }
