@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe
 from .decontamination import op6_decontamination
 from .jaccard_join import op8_jaccard_join
+from .language_id import op2_language_id
 from .line_dedup import op9_line_dedup
 from .maxscore import OP5_SQL, op5_maxscore
 from .secrets import op4_secrets
@@ -18,6 +19,7 @@ from .training_order import op7_training_order
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
         "op5_maxscore": op5_maxscore,
