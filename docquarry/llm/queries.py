@@ -15,10 +15,12 @@ from .maxscore import OP5_SQL, op5_maxscore
 from .secrets import op4_secrets
 from .token_counts import op3_token_counts
 from .training_order import op7_training_order
+from .warc import op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
         "op4_secrets": op4_secrets,
