@@ -1,8 +1,60 @@
-"""A corpus pipeline of the operators in docquarry.llm."""
+"""A corpus pipeline of the operators in docquarry.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of ``documents``; the last returns token counts and digests.
+``run`` writes each stage's rows as a table in the shared folder and hands the next stage that table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
+from docquarry.llm.common import table, written
+
+#: Least mean probability of a document's language; below it the model says little more than that the text is none of its languages.
+MIN_LANGUAGE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told: not those that are null, have no letter, or fit no language. ``lang`` stays as it is given, or is the one told where null."""
+    return language_id.told(docs, language_id.fit(docs), MIN_LANGUAGE)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one holds; those left without any word go."""
+    kept = line_dedup.dedup_lines(docs).where("n_dropped = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
+    return kept.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item; one with a null doc_id can't be told by it and stays."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return bpe.encode_digests(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", one_of_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("BPE encoding and decoding", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return docs
