@@ -109,3 +109,8 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     a = marked_left.where("_hot").drop("_hot").join(F.broadcast(marked_right.where("_hot").drop("_hot")), key, how)
     b = marked_left.where("_hot is null").drop("_hot").join(marked_right.where("_hot is null").drop("_hot"), key, how)
     return a.unionByName(b)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A written table of few narrow columns, to be broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

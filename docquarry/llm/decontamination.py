@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, slices, table
+from .common import own, slices, small, table, written
 
 MIN_SCORE, MIN_OVERLAP, SHINGLE = 0.5, 0.75, 5
 K1, B = 1.2, 0.75
@@ -225,5 +225,11 @@ def _finder(shared, min_score: float, min_overlap: float):
     return run
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that hold no test item."""
+    found = contaminated(docs, benchmark, **limits).where("doc_id is not null").select("doc_id").distinct()
+    return docs.join(small(written(found, "contaminated")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

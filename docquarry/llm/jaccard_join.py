@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, own, slices, table, written
+from .common import join_unique, own, slices, small, table, written
 from .shingles import common, fingerprint, shingle_sets
 
 #: Similarity in hundredths; slots of the sketch; filed shingles of one part; words of 64 bits of a bitmap; children of a node.
@@ -342,8 +342,8 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's; of rows with the same doc_id, all stay."""
-    groups = similar_groups(docs, similarity).where("doc_id is null or doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_kept")
-    return docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    others = similar_groups(docs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(small(written(others, "others")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

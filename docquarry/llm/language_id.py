@@ -14,10 +14,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, own, table
+from .common import map_texts, own, slices, table
 
 #: Training documents of a language (in expectation; ``MOST`` bounds all of them), and of their words, at most so many for a language.
 PER_LANGUAGE, MOST, WORDS = 250, 20_000, 150_000
@@ -273,6 +274,22 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(docs, lambda: Labeller(shared.value).languages, "lang_pred string, score double", rows=512)
 
 
+def told(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least ``min_score``, with it as ``lang`` where that is null. Rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches):
+        f = Labeller(shared.value).languages
+        for b in slices(batches, 512):
+            found = f(b.column(at).to_pylist())
+            filled = pa.array([x if x is not None else y for x, (y, _) in zip(b.column(lang).to_pylist(), found)], b.schema.field(lang).type)
+            b = b.set_column(lang, b.schema.field(lang), filled)
+            yield b.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, runs) for each row: start, end and language of each run of words of one language."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
