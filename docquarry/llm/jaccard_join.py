@@ -9,7 +9,7 @@ there is more to do:
 2. What remains are meetings of classes that aren't in one group yet. In each part of the shingles these form a signature tree: a leaf has the
    class's size, its set as a bitmap and its group; a node the OR of its children's bitmaps, their range of sizes, and their group if they share
    one. Two trees' nodes are traversed together; a pair of nodes goes if both are of one group, or if no pair of sizes and the bits they lack of each
-   other leave room for the overlap that is asked for. Pairs of leaves that are left and meet in a shingle are compared.
+   other leave room for the overlap that is asked for. Pairs of leaves that are left and meet in a shingle are counted, and compared if they meet as often as similar sets of their sizes must.
 
 Comparisons are of whole sets. Links then join groups into components. A meeting of many classes never gives all of its pairs: those of one group
 are passed over, and the rest of a large meeting is dealt over several tasks.
@@ -20,7 +20,7 @@ have a null component. Rows with the same doc_id are one document for components
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,8 @@ from .shingles import common, fingerprint, shingle_sets
 
 #: Similarity in hundredths; slots of the sketch; filed shingles of one part; words of 64 bits of a bitmap; children of a node.
 SIMILARITY, SLOTS, PART, WORDS64, FAN = 75, 1 << 20, 1_000_000, 16, 8
-#: Slots of the sketch in a row; classes of one meeting that one task takes; candidates up to which their ids are broadcast.
-STRIP, MEETING, BROADCAST_ROWS = 1 << 14, 4_096, 500_000
+#: Slots of the sketch in a row; classes of one meeting that one task takes.
+STRIP, MEETING = 1 << 14, 4_096
 
 
 def prefix(n: int, similarity: int = SIMILARITY) -> int:
@@ -82,14 +82,20 @@ def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.where(extra > 4, np.log2(np.maximum(extra, 1)).astype(np.int64), 0).astype(np.uint8), sum(r.filed for r in strips)
 
 
-_CLASSES = "doc_id bigint, n bigint, a bigint, b bigint"
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros(WORDS64 * 64, np.uint8)
+    out[((shingles >> np.uint64(20)) % np.uint64(WORDS64 * 64)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.uint64)
+
+
+_CLASSES = "doc_id bigint, n bigint, a bigint, b bigint, bits binary"
 
 
 def _classes(batches):
     for b in slices(batches, 512):
         sets = shingle_sets(b.column(1).to_pylist())
         prints = [fingerprint(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], ["doc_id", "n", "a", "b"])
+        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "a", "b", "bits"])
 
 
 def _file(level, parts: int):
@@ -146,33 +152,23 @@ def _meet(t: pa.Table) -> pa.Table:
     return pa.table({"token": tokens[many], "a": owners[many], "leader": np.repeat(owners[first], size)[many]})
 
 
-_SETS = "a bigint, b bigint, n bigint, bits binary, members binary"
-
-
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    out = np.zeros(WORDS64 * 64, np.uint8)
-    out[((shingles >> np.uint64(20)) % np.uint64(WORDS64 * 64)).astype(np.int64)] = 1
-    return np.packbits(out).view(np.uint64)
+_SETS = "a bigint, b bigint, members binary"
 
 
 def _sets(batches):
     for b in slices(batches, 128):
         sets = shingle_sets(b.column(0).to_pylist())
         prints = [fingerprint(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            ["a", "b", "n", "bits", "members"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["a", "b", "members"])
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(x, n, bits, members) of the classes in ``wanted``, each from its smallest document; x is (a, b)."""
-    ids = written(classes.join(wanted, F.col("x.a") == F.col("wanted_a"), "left_semi").select("x", "doc_id"), "candidates")
-    few = ids.count() <= BROADCAST_ROWS
-    key = ids.select("doc_id").distinct()
-    texts = own(docs, "doc_id", "text").join(F.broadcast(key) if few else key, "doc_id", "left_semi").select("text").where("text is not null")
-    sets = texts.mapInArrow(_sets, _SETS).select(F.struct("a", "b").alias("x"), "n", "bits", "members")
-    return sets.join(ids.select("x"), "x", "left_semi").dropDuplicates(["x"])
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, members) of the classes in pairs (x, y), each from its smallest document."""
+    wanted = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
+    ids = written(classes.join(wanted, "x", "left_semi").select("x", "doc_id"), "candidates")
+    texts = own(docs, "doc_id", "text").join(small(ids.select("doc_id")), "doc_id", "left_semi").select("text").where("text is not null")
+    sets = texts.mapInArrow(_sets, _SETS).select(F.struct("a", "b").alias("x"), "members")
+    return written(sets.join(small(ids.select("x")), "x", "left_semi").dropDuplicates(["x"]), "members")
 
 
 def _compare(similarity: int):
@@ -188,13 +184,12 @@ def _compare(similarity: int):
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs (x, y) that are similar."""
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """Those of the pairs (x, y) that are similar, by their whole sets."""
     kind = "struct<a: bigint, b: bigint>"
-    one = pairs.join(sets.select("x", "n", "members"), "x")
-    two = one.join(sets.select(F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("members").alias("members_y")), "y")
-    fit = two.where((F.col("n") * 100 >= F.col("n_y") * similarity) & (F.col("n_y") * 100 >= F.col("n") * similarity))
-    return fit.select("x", "y", "members", "members_y").mapInArrow(_compare(similarity), f"x {kind}, y {kind}")
+    sets = sets_of(docs, classes, pairs)
+    two = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("members").alias("members_y")), "y")
+    return two.select("x", "y", "members", "members_y").mapInArrow(_compare(similarity), f"x {kind}, y {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -253,14 +248,13 @@ class Tree:
         return ok
 
 
-_OPEN = "token bigint, slice int, a bigint, b bigint, ca bigint, cb bigint"
-_PAIRS = "xa bigint, xb bigint, ya bigint, yb bigint"
+_PAIRS = "xa bigint, xb bigint, ya bigint, yb bigint, n bigint, m bigint, shared bigint"
 
 
 def _trees(similarity: int):
     def run(t: pa.Table) -> pa.Table:
-        """The pairs to compare of one part of the open meetings; rows marked as guests are in several parts and don't pair among themselves but in the first."""
-        col = {c: t.column(c).to_numpy() for c in ("token", "a", "b", "ca", "cb", "n", "slice", "home")}
+        """The pairs of one part of the open meetings that no bound rules out, and how many meetings of the part they share."""
+        col = {c: t.column(c).to_numpy() for c in ("token", "a", "b", "ca", "cb", "n", "slice")}
         ids, inverse = np.unique(np.stack([col["a"], col["b"]]), axis=1, return_inverse=True)
         inverse = inverse.reshape(-1)
         one = np.zeros(ids.shape[1], np.int64)
@@ -269,39 +263,43 @@ def _trees(similarity: int):
         bits = np.stack([np.frombuffer(x, np.uint64) for x in t.column("bits").take(pa.array(one)).to_pylist()])
         _, group = np.unique(np.stack([col["ca"][one], col["cb"][one]]), axis=1, return_inverse=True)
         group = group.reshape(-1)
-        out = set()
-        meetings = defaultdict(list)
-        for i, key in enumerate(zip(col["token"].tolist(), col["slice"].tolist())):
-            meetings[key].append(i)
-        for rows in {tuple(x) for x in meetings.values()}:
-            who = np.unique(inverse[list(rows)])
-            who = who[np.lexsort((n[who], group[who]))]
+        order = np.lexsort((n[inverse], group[inverse], col["slice"], col["token"]))
+        cut = np.flatnonzero((np.diff(col["token"][order]) != 0) | (np.diff(col["slice"][order]) != 0)) + 1
+        meetings = Counter(tuple(x.tolist()) for x in np.split(inverse[order], cut))  # many meetings are of the same classes
+        out: Counter = Counter()
+        for who, times in meetings.items():
+            who = np.array(who)
             x, y = Tree(n[who], bits[who], group[who]).pairs(similarity)
-            out.update(zip(np.minimum(who[x], who[y]).tolist(), np.maximum(who[x], who[y]).tolist()))
-        x, y = (np.array([p[k] for p in sorted(out)], np.int64) for k in (0, 1))
-        return pa.table({"xa": ids[0][x], "xb": ids[1][x], "ya": ids[0][y], "yb": ids[1][y]})
+            for pair in zip(np.minimum(who[x], who[y]).tolist(), np.maximum(who[x], who[y]).tolist()):
+                out[pair] += times
+        x, y = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+        return pa.table({"xa": ids[0][x], "xb": ids[1][x], "ya": ids[0][y], "yb": ids[1][y], "n": n[x], "m": n[y], "shared": np.array([*out.values()], np.int64)})
 
     return run
 
 
-def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, sets: DataFrame, parts: int, similarity: int) -> DataFrame:
-    """The pairs (x, y) of classes of different groups that meet and whose bounds leave room."""
+def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, parts: int, similarity: int) -> DataFrame:
+    """The pairs (x, y) of classes of different groups that meet, whose bounds leave room, and that meet as often as similar sets must."""
     known = classes.join(groups, "x", "left").select("x", F.coalesce("c", "x").alias("c"), F.col("x.a").alias("a"))
     rows = written(met.select("token", "a").join(known, "a").select("token", "x", "c"), "met_groups")
     size = rows.groupBy("token", "c").agg(F.count("*").alias("n"))
     size = size.groupBy("token").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("groups"), F.sum("n").alias("all")).where("groups > 1")
-    size = written(size.select("token", F.col("most.c").alias("most"), "all"), "open")
-    total = rows.count()
-    seen = join_unique(rows, size.select("token", "most", F.col("all").alias("size")), "token", size.select("token", F.col("all").alias("n")), total, "inner")
-    # a large meeting is dealt over slices: classes of its largest group to one each, the others, its guests, to all
+    size = written(size.select("token", F.col("most.c").alias("most"), F.col("all").alias("size")), "open")
+    seen = join_unique(rows, size, "token", size.select("token", F.col("size").alias("n")), rows.count(), "inner")
+    # a large meeting is dealt over slices: classes of its largest group to one each, the others to all
     slices_ = F.ceil(F.col("size") / MEETING).cast("int")
     home = F.pmod(F.xxhash64("x"), slices_).cast("int")
-    seen = seen.withColumn("home", home).withColumn("slice", F.explode(F.when(F.col("c") == F.col("most"), F.array("home")).otherwise(F.sequence(F.lit(0), slices_ - 1))))
-    full = seen.join(sets.select("x", "n", "bits"), "x")
-    flat = full.select("token", "slice", "home", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), "n", "bits")
+    seen = seen.withColumn("slice", F.explode(F.when(F.col("c") == F.col("most"), F.array(home)).otherwise(F.sequence(F.lit(0), slices_ - 1))))
+    full = seen.join(classes.select("x", "n", "bits"), "x")
+    flat = full.select("token", "slice", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), "n", "bits")
     dealt = flat.withColumn("part", F.pmod(F.xxhash64("token", "slice"), F.lit(parts)))
-    found = dealt.groupBy("part").applyInArrow(_trees(similarity), _PAIRS).distinct()
-    return found.select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y"))
+    found = dealt.groupBy("part").applyInArrow(_trees(similarity), _PAIRS)
+    total = found.groupBy("xa", "xb", "ya", "yb").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
+    # of a and b with n and m members at least c are common, so of the filed ones of that which files the shorter way c - (n - filed)
+    filed = lambda k: F.col(k) - F.ceil(F.col(k) * similarity / 100) + 1
+    both = F.ceil((F.col("n") + F.col("m")) * similarity / (100 + similarity))
+    enough = F.least(both - F.col("n") + filed("n"), both - F.col("m") + filed("m"))
+    return total.where(F.col("shared") >= enough).select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y"))
 
 
 def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -310,21 +308,21 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     texts = own(docs, "doc_id", "text")
     level, filed = sketch(docs)
     parts = max(8, -(-filed // PART))
-    rows = written(texts.mapInArrow(_classes, _CLASSES), "classes").select("doc_id", "n", F.struct("a", "b").alias("x"))
-    classes = written(rows.where("n > 0 and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")), "sets")
+    every = written(texts.mapInArrow(_classes, _CLASSES), "classes").select("doc_id", "n", F.struct("a", "b").alias("x"), "bits")
+    rows = every.select("doc_id", "n", "x")
+    classes = written(every.where("n > 0 and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("bits").alias("bits")), "sets")
     files = own(docs, "text").where("text is not null").mapInArrow(_file(spark.sparkContext.broadcast(level), parts), "part bigint, tokens binary, owners binary")
     met = written(files.groupBy("part").applyInArrow(_meet, _MET), "met")
     twins = classes.groupBy(F.col("x.a").alias("a")).agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1")  # different sets, equal in the half of the hash that is filed
-    wanted = met.select("a").unionByName(twins.select("a")).distinct().withColumnRenamed("a", "wanted_a")
-    sets = written(sets_of(docs, classes, wanted), "members")
-    by_a = sets.select("x", F.col("x.a").alias("a"))
-    best = met.where("a <> leader").groupBy("a", "leader").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "leader")).alias("best")).select("a", F.col("best.leader").alias("leader"))
-    stars = best.join(by_a, "a").join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader")), "leader").select("x", "y")
-    stars = stars.unionByName(by_a.join(twins, "a").where("x <> y").select("x", "y"))
-    links = written(compared(stars, sets, similarity), "links")
+    by_a = classes.select("x", "n", F.col("x.a").alias("a"))
+    best = met.where("a <> leader").groupBy("a", "leader").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "leader")).alias("best")).select("a", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
+    stars = best.join(by_a, "a").where("k * 20 > n").join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader"), F.col("n").alias("m")), "leader")  # those that meet little are left to the trees
+    stars = stars.where(f"n * 100 >= m * {similarity} and m * 100 >= n * {similarity}").select("x", "y")
+    stars = written(stars.unionByName(by_a.join(twins, "a").where("x <> y").select("x", "y")), "stars")
+    links = written(compared(docs, classes, stars, similarity), "links")
     groups = written(components(links), "groups")
-    pairs = written(open_pairs(met, sets.select("x"), groups, sets, parts, similarity), "pairs")
-    more = written(compared(pairs, sets, similarity), "more")
+    pairs = written(open_pairs(met, classes, groups, parts, similarity), "pairs")
+    more = written(compared(docs, classes, pairs, similarity), "more")
     merged = more.join(groups.select("x", "c"), "x", "left").select("y", F.coalesce("c", "x").alias("x"))
     merged = merged.join(groups.select(F.col("x").alias("y"), "c"), "y", "left").select("x", F.coalesce("c", "y").alias("y"))
     same = classes.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1").select("doc_id", "y")  # one document with several texts
