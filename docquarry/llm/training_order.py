@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .bpe import RANKS, SPECIAL_ID, encoder
 from .common import own, remove, shared_dir, slices, table, tokenizer_path, written
 
+#: Sequences of a document that are compressed together in staging files.
+TOGETHER = 16
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 32_768, "training-order", 4
 
 
@@ -64,7 +66,7 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-_STAGED = "doc_id bigint, mark bigint, n_tokens bigint, n_seqs bigint, file string, at bigint"
+_STAGED = "doc_id bigint, mark bigint, n_tokens bigint, n_seqs bigint, file string, at bigint, starts array<bigint>"
 
 
 def _stage(folder: str, ranks: str, length: int):
@@ -83,11 +85,15 @@ def _stage(folder: str, ranks: str, length: int):
                     size = len(ids)
                     if out is None:
                         out = store.open_output_stream(f"{path}/{name}")
-                    out.write(np.array(ids, "<u2").tobytes())
-                    rows.append((doc, mark, size, -(-size // length), name, at))
-                    at += size
+                    raw, starts = np.array(ids, "<u2").tobytes(), [at]
+                    for i in range(0, len(raw), 2 * length * TOGETHER):
+                        body = zlib.compress(raw[i : i + 2 * length * TOGETHER], 1)
+                        out.write(body)
+                        starts.append(starts[-1] + len(body))
+                    rows.append((doc, mark, size, -(-size // length), name, at, starts))
+                    at = starts[-1]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "mark", "n_tokens", "n_seqs", "file", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())))], ["doc_id", "mark", "n_tokens", "n_seqs", "file", "at", "starts"])
         finally:
             if out is not None:
                 out.close()
@@ -113,7 +119,7 @@ def _slots(n: int, key: str, per_shard: int):
         f = Feistel(n, key)
         for b in batches:
             slot = f.slot(b.column("number").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *[b.column(c) for c in ("doc_id", "seq_no", "n_tokens", "file", "at")]], ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *[b.column(c) for c in ("doc_id", "seq_no", "n_tokens", "file", "at", "size")]], ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "at", "size"])
 
     return run
 
@@ -130,7 +136,7 @@ def _write(staged: str, folder: str, length: int, per_shard: int):
 
         def flush(shard, rows):
             body = bytearray(np.full(len(rows) * length, SPECIAL_ID, "<u2").tobytes())
-            begin = shard * per_shard
+            begin, last, ids = shard * per_shard, None, b""
             for i in sorted(range(len(rows)), key=lambda i: (rows[i]["file"], rows[i]["at"])):  # a file's reads go forward
                 r = rows[i]
                 if r["file"] not in open_files:
@@ -138,10 +144,10 @@ def _write(staged: str, folder: str, length: int, per_shard: int):
                         open_files.pop(next(iter(open_files))).close()
                     open_files[r["file"]] = source.open_input_file(f"{staging}/{r['file']}")
                 at = r["slot"] - begin
-                ids = open_files[r["file"]].read_at(2 * r["n_tokens"], 2 * r["at"])
-                if len(ids) != 2 * r["n_tokens"]:
-                    raise OSError(f"{r['file']} ends within a sequence")
-                body[at * stride : at * stride + len(ids)] = ids
+                if last != (r["file"], r["at"]):
+                    last, ids = (r["file"], r["at"]), zlib.decompress(open_files[r["file"]].read_at(r["size"], r["at"]))
+                own_ids = ids[r["seq_no"] % TOGETHER * stride :][: 2 * r["n_tokens"]]
+                body[at * stride : at * stride + len(own_ids)] = own_ids
             name = f"shard-{shard:06d}.bin"
             part = f"{target}/.{name}-{uuid.uuid4().hex}"
             with store.open_output_stream(part) as f:
@@ -175,9 +181,9 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
     staged = written(texts.mapInArrow(_stage(staging, ranks_file or tokenizer_path(RANKS), length), _STAGED), "staged")
     docs_at = numbered(staged)
     n = staged.agg(F.coalesce(F.sum("n_seqs"), F.lit(0))).first()[0]
-    one = docs_at.select("doc_id", F.col("n_tokens").alias("all"), "file", "at", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_seqs") - 1)).alias("seq_no"))
-    one = one.select("doc_id", "seq_no", (F.col("first") + F.col("seq_no")).alias("number"), F.least(F.lit(length).cast("bigint"), F.col("all") - F.col("seq_no") * length).alias("n_tokens"), "file", (F.col("at") + F.col("seq_no") * length).alias("at"))
-    slots = one.mapInArrow(_slots(max(1, n), key, per_shard), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, at bigint")
+    one = docs_at.select("doc_id", F.col("n_tokens").alias("all"), "file", "starts", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_seqs") - 1)).alias("seq_no"))
+    one = one.select("doc_id", "seq_no", (F.col("first") + F.col("seq_no")).alias("number"), F.least(F.lit(length).cast("bigint"), F.col("all") - F.col("seq_no") * length).alias("n_tokens"), "file", F.expr(f"starts[int(seq_no div {TOGETHER})]").alias("at"), F.expr(f"int(starts[int(seq_no div {TOGETHER}) + 1] - starts[int(seq_no div {TOGETHER})])").alias("size"))
+    slots = one.mapInArrow(_slots(max(1, n), key, per_shard), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, at bigint, size int")
     shards = max(1, -(-n // per_shard))
     dealt = slots.repartitionByRange(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
     out = written(dealt.mapInArrow(_write(staging, folder, length, per_shard), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, offset bigint, crc32 bigint"), "manifest")
