@@ -47,7 +47,7 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.least(F.lit(100.0), F.round(part * 100.0 / F.nullif(whole, F.lit(0)))), F.lit(0.0))
+    return F.when(part.isNull() | whole.isNull() | (whole == 0), 0.0).otherwise(F.least(F.lit(100.0), F.round(part * 100.0 / F.nullif(whole, F.lit(0)))))
 
 
 def bucket_label(bucket: Column, zoom: str) -> Column:

@@ -28,7 +28,7 @@ _CORE = {"title": "{http://purl.org/dc/elements/1.1/}title", "author": "{http://
 
 
 def scan(spark: SparkSession, root: str, nested: list[str] = (), pattern: str | None = None) -> DataFrame:
-    """Files below ``root`` (path, relative, size, modified, content), without ignored ones and those of nested roots."""
+    """Files below ``root`` with their contents, without ignored ones and those of nested roots. Spark's reader passes over empty files."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
