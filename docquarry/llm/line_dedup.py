@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import join_unique, own, table, written
 
 MIN_WORDS = 8
-#: Candidate lines up to which their places are broadcast to fetch their words; beyond it they are fetched by a shuffle.
+#: Rows of a table of candidates or of repeated lines up to which it is broadcast; a larger one is joined by a shuffle.
 BROADCAST_LINES = 500_000
 
 _EARLY = ["doc_id", "mark", "line_no"]
@@ -44,19 +44,24 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """The places of classes that share a half with another class."""
-    halves = written(classes.where("halves is not null").select("first", F.explode("halves").alias("half")), "halves")
-    sizes = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
-    shared = join_unique(halves, sizes.select("half"), "half", sizes, halves.count(), "inner")
-    return shared.select("first").distinct()
+    """The places of classes that share a half with another class (or half of their hash with one that does, which only adds to them)."""
+    halves = classes.where("halves is not null").select("h1", F.explode("halves").alias("half"))
+    sizes = written(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "halves")
+    total = classes.agg(F.coalesce(F.sum(F.size("halves")), F.lit(0))).first()[0]
+    shared = written(join_unique(halves, sizes.select("half"), "half", sizes, total, "inner").select("h1").distinct(), "shared")
+    return classes.join(_small(shared), "h1", "left_semi").select("first")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
 
 
 def with_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(first, w): the places in ``lines`` with the words of the lines there."""
     wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark")).agg(F.collect_list("first.line_no").alias("numbers"))
     wanted = written(wanted, "wanted")
-    if lines.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
+    wanted = _small(wanted)
     texts = own(docs, "doc_id", "text").withColumn("mark", F.xxhash64("text")).alias("t")
     on = (F.col("t.mark") == F.col("l.mark")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))
     found = texts.join(wanted.alias("l"), on).select("t.doc_id", "t.mark", F.split("t.text", "\n", -1).alias("all"), F.explode("numbers").alias("line_no"))
@@ -81,10 +86,11 @@ def variants(lines: DataFrame) -> DataFrame:
 
 def partners(lines: DataFrame) -> DataFrame:
     """(first, partner): each line with the earliest line before it of those that its keys meet."""
-    v = written(variants(lines), "variants")
+    every = written(variants(lines), "variants")
+    repeated = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    v = written(join_unique(every, repeated.select("key"), "key", repeated, every.count(), "inner"), "meetings")
     total = v.count()
-    groups = v.groupBy("key", "place").agg(F.min("first").alias("early"), F.count("*").alias("n"))
-    groups = written(groups, "groups")
+    groups = written(v.groupBy("key", "place").agg(F.min("first").alias("early"), F.count("*").alias("n")), "groups")
     by_key = groups.groupBy("key").agg(
         F.min(F.when(F.col("place").isNull(), F.col("early"))).alias("whole"), F.min(F.when(F.col("place").isNotNull(), F.col("early"))).alias("cut"), F.sum("n").alias("n")
     )
@@ -127,7 +133,10 @@ def dropped(docs: DataFrame) -> DataFrame:
     some = classes.select("h1", "h2", "first", "n").join(near, "first", "left").where("n > 1 or near").select(F.struct("h1", "h2").alias("line"), "first", "n", "near")
     some = written(some, "repeated")
     all_lines = seen.select(F.struct("h1", "h2").alias("line"), "at")
-    hit = join_unique(all_lines, some.drop("n"), "line", some.select("line", "n"), seen.count(), "inner")
+    if some.count() <= BROADCAST_LINES:
+        hit = all_lines.join(F.broadcast(some.drop("n")), "line")
+    else:
+        hit = join_unique(all_lines, some.drop("n"), "line", some.select("line", "n"), seen.count(), "inner")
     gone = hit.where("near or at <> first")
     return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark")).agg(F.collect_set("at.line_no").alias("gone"))
 

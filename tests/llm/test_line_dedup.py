@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from docquarry.llm import line_dedup as ld
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ def brute(rows):
     return {i: None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (i, k) not in drop) for i, t in rows}
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(ld, "BROADCAST_LINES", few)
     r = random.Random(9)
     base = [[r.choice("abcdefghij") for _ in range(r.randint(5, 14))] for _ in range(12)]
 
