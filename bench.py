@@ -1,4 +1,4 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one line of JSON. Each runs once to warm up, then the median of $BENCH_RUNS (3)."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one line of JSON. Each runs once to warm up, then the median of $BENCH_RUNS (2)."""
 
 import json
 import os
@@ -13,7 +13,7 @@ NAMES = ["simhash_documents", "near_dup_groups", "fts_bm25", "exact_dups", "time
 
 
 def main() -> None:
-    sf_dir, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "3"))
+    sf_dir, cpus, runs = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "2"))
     spark = session("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
