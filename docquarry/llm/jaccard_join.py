@@ -5,7 +5,8 @@ n - ceil(0.75 n) + 1 shingles in any order that is the same for all sets; the or
 sketch of fixed size over all documents), then goes by hash. So each class files itself under these shingles only, and only where two meet
 there is more to do:
 
-1. Each class is compared with the one it meets most of the smallest of each meeting (its leader). Most copies of a text find their group so.
+1. Each meeting has a leader, the class that meets most others; each class is compared with the leader it meets most. Most copies of a text
+   find their group so.
 2. What remains are meetings of classes that aren't in one group yet. In each part of the shingles these form a signature tree: a leaf has the
    class's size, its set as a bitmap and its group; a node the OR of its children's bitmaps, their range of sizes, and their group if they share
    one. Two trees' nodes are traversed together; a pair of nodes goes if both are of one group, or if no pair of sizes and the bits they lack of each
@@ -31,7 +32,7 @@ from .common import join_unique, own, slices, small, table, written
 from .shingles import common, fingerprint, shingle_sets
 
 #: Similarity in hundredths; slots of the sketch; filed shingles of one part; words of 64 bits of a bitmap; children of a node.
-SIMILARITY, SLOTS, PART, WORDS64, FAN = 75, 1 << 20, 1_000_000, 16, 8
+SIMILARITY, SLOTS, PART, WORDS64, FAN = 75, 1 << 20, 500_000, 16, 8
 #: Slots of the sketch in a row; classes of one meeting that one task takes.
 STRIP, MEETING = 1 << 14, 4_096
 
@@ -134,11 +135,11 @@ def _file(level, parts: int):
     return run
 
 
-_MET = "token bigint, a bigint, leader bigint"
+_MET = "token bigint, a bigint, others bigint"
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """Of a part: each class in each meeting of two or more, with the smallest class there."""
+    """Of a part: each class in each meeting of two or more, and how many others are there."""
     tokens = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()])
     owners = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
     order = np.lexsort((owners, tokens))
@@ -149,7 +150,7 @@ def _meet(t: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     size = np.diff(np.append(first, len(tokens)))
     many = np.repeat(size > 1, size)
-    return pa.table({"token": tokens[many], "a": owners[many], "leader": np.repeat(owners[first], size)[many]})
+    return pa.table({"token": tokens[many], "a": owners[many], "others": np.repeat(size - 1, size)[many]})
 
 
 _SETS = "a bigint, b bigint, members binary"
@@ -315,8 +316,12 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     met = written(files.groupBy("part").applyInArrow(_meet, _MET), "met")
     twins = classes.groupBy(F.col("x.a").alias("a")).agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1")  # different sets, equal in the half of the hash that is filed
     by_a = classes.select("x", "n", F.col("x.a").alias("a"))
-    best = met.where("a <> leader").groupBy("a", "leader").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "leader")).alias("best")).select("a", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
-    stars = best.join(by_a, "a").where("k * 20 > n").join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader"), F.col("n").alias("m")), "leader")  # those that meet little are left to the trees
+    degree = met.groupBy("a").agg(F.sum("others").alias("degree"))
+    led = met.select("token", "a").join(degree, "a").groupBy("token").agg(F.max(F.struct("degree", "a")).alias("lead"), F.count("*").alias("n"))
+    led = written(led.select("token", F.col("lead.a").alias("leader"), "n"), "leaders")
+    follow = join_unique(met.select("token", "a"), led.drop("n"), "token", led.select("token", "n"), met.count(), "inner").where("a <> leader")
+    best = follow.groupBy("a", "leader").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "leader")).alias("best")).select("a", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
+    stars = best.join(by_a, "a").where("k * 25 > n").join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader"), F.col("n").alias("m")), "leader")  # those that meet little are left to the trees
     stars = stars.where(f"n * 100 >= m * {similarity} and m * 100 >= n * {similarity}").select("x", "y")
     stars = written(stars.unionByName(by_a.join(twins, "a").where("x <> y").select("x", "y")), "stars")
     links = written(compared(docs, classes, stars, similarity), "links")
