@@ -6,9 +6,11 @@ if an earlier line of the corpus matches it, and so kept if it is the earliest o
 
 Equal lines are first brought down to one class, with its earliest place. Two lines at distance 1 share their first or their last half of words,
 so classes that share neither with another can't match and emit nothing. Of the others each emits hashed keys of the line and of all its variants with one word
-deleted. Hashes add up word triples, so that each variant's key comes from the line's in a constant number of steps. Equal keys meet: lines that delete to
-the same words at the same place differ by a replacement, and a line whose variant equals a whole line by an insertion. From each group only its
-earliest lines are taken as partners, never all pairs; the edit distance of a line and its earliest partner is then verified on their words.
+deleted. Keys add up hashes of each word with its place, so that lines of the same words in another order, or with words repeated, have keys of their own;
+the variants' keys are running sums. Equal keys meet: lines that delete to
+the same words at the same place differ by a replacement, and a line whose variant equals a whole line by an insertion. As keys depend on
+all words in order, lines that meet match. So from each group only its earliest lines are taken as partners, never all pairs; the edit distance of a line and
+its earliest partner is verified on their words, which only guards against equal hashes of different words.
 
 Null texts stay null and empty ones empty. Rows with the same doc_id and text count as one document and all stay; other rows with that id are
 further documents. Extra columns of the input stay in the result of ``dedup_lines``.
@@ -71,15 +73,14 @@ def with_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def variants(lines: DataFrame) -> DataFrame:
     """(first, key, n, place) of each line and of it without each of its words; place is null for the line itself."""
-    h = F.transform("w", lambda x: F.xxhash64(x))
-    edge = F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))
-    x = lines.select("first", F.size("w").alias("n"), F.concat(edge, h, edge).alias("h"))
-    x = x.withColumn("whole", F.expr("aggregate(sequence(0, n + 1), 0L, (a, i) -> a ^ xxhash64(h[i], h[i + 1], h[i + 2]))"))
-    # without word i, at h[i + 2]: its three triples go, and two that bridge the gap come
-    cut = F.expr(
-        """transform(sequence(0, n - 1), i -> struct(whole ^ xxhash64(h[i], h[i + 1], h[i + 2]) ^ xxhash64(h[i + 1], h[i + 2], h[i + 3]) ^ xxhash64(h[i + 2], h[i + 3], h[i + 4])
-        ^ xxhash64(h[i], h[i + 1], h[i + 3]) ^ xxhash64(h[i + 1], h[i + 3], h[i + 4]) as key, n - 1 as n, i as place))"""
-    )
+    x = lines.select("first", "w", F.size("w").alias("n"))
+    # steps[0]: the line without word 0; steps[i]: word i - 1 comes to place i - 1, and word i, which stood there, goes
+    x = x.withColumn("start", F.expr("aggregate(sequence(0, n - 1), 0L, (a, i) -> if(i = 0, a, a ^ xxhash64(w[i], i - 1)))"))
+    x = x.withColumn("steps", F.expr("transform(w, (v, i) -> if(i = 0, start, xxhash64(w[greatest(i - 1, 0)], i - 1) ^ xxhash64(v, i - 1)))"))
+    # sums of all steps up to each, by doubling
+    x = x.withColumn("cuts", F.expr("aggregate(sequence(0, cast(ceil(log2(n)) as int)), steps, (c, k) -> transform(c, (v, i) -> v ^ coalesce(get(c, i - shiftleft(1, k)), 0L)))"))
+    x = x.select("first", "n", "cuts", F.expr("cuts[n - 1] ^ xxhash64(w[n - 1], n - 1)").alias("whole"))
+    cut = F.expr("transform(cuts, (v, i) -> struct(v as key, n - 1 as n, i as place))")
     every = F.concat(F.array(F.struct(F.col("whole").alias("key"), F.col("n"), F.lit(None).cast("int").alias("place"))), cut)
     return x.select("first", F.explode(every).alias("v")).select("first", F.xxhash64("v.key", "v.n").alias("key"), F.col("v.place").alias("place"))
 

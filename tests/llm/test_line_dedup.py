@@ -52,6 +52,28 @@ def test_equals_brute_force(spark, monkeypatch, few):
     assert got[64] == "" and got[66] == ""
 
 
+def test_words_repeated_and_in_another_order(spark):
+    few = ["1 2 3 4 5 0 0 0 0", "0 0 0 y 0 0 0 0 0", "0 0 0 0 0 x 0 0 0", "0 0 0 0 0 y 0 0 0"]
+    rows = [(i, s) for i, s in enumerate(few)]
+    assert {x.doc_id: x.text for x in ld.dedup_lines(documents(spark, rows)).collect()} == brute(rows)
+    assert brute(rows)[3] == ""
+    r = random.Random(11)
+    for letters in ("0x", "0xy"):
+        rows = [(i, "\n".join(" ".join(r.choice(letters) if r.random() < 0.4 else "0" for _ in range(r.randint(8, 13))) for _ in range(3))) for i in range(60)]
+        assert {x.doc_id: x.text for x in ld.dedup_lines(documents(spark, rows)).collect()} == brute(rows)
+
+
+def test_keys_are_those_of_the_words_that_are_left(spark):
+    r = random.Random(12)
+    lines = [[r.choice("ab") for _ in range(n)] for n in range(8, 20)]
+    lines += [v[:i] + v[i + 1 :] for v in lines[1:] for i in range(len(v))]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(lines)], "first int, w array<string>")
+    keys, words = {}, {}
+    for x in ld.variants(df).collect():
+        w = tuple(v for i, v in enumerate(lines[x.first]) if i != x.place)
+        assert keys.setdefault(w, x.key) == x.key and words.setdefault(x.key, w) == w
+
+
 def test_verifies_the_edit_distance(spark):
     r = random.Random(10)
     pairs = [([r.choice("ab") for _ in range(r.randint(0, 5))], [r.choice("ab") for _ in range(r.randint(0, 5))]) for _ in range(400)]
