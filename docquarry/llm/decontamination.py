@@ -5,6 +5,7 @@ passage scores about 1 whatever its length. Every passage (overlapping windows o
 query that retrieves all items scoring at least ``min_score``. A passage in which the terms that few items have can't
 make up what the others may lack for any item is passed over, the rest goes through block-max WAND, which skips blocks of postings by their largest impact.
 An item retrieved counts if its 5-word shingles, those of its question and answer together, lie in the passage to ``min_overlap`` at least.
+Where the item, its question or its answer has fewer than 5 words, all its words are one shingle.
 The question and answer are the item's columns of those names if it has them, else its text up to its last sentence and that sentence.
 
 Words are lower-cased and without punctuation at their ends. Null and empty texts hold nothing, items without words are never found. Repeated
@@ -60,7 +61,8 @@ class Index:
         self.min_score, self.min_overlap = min_score, min_overlap
         kept = [(i, q, a) for i, q, a in ((i, words_of(q), words_of(a)) for i, q, a in items) if q or a]
         self.ids = [i for i, _, _ in kept]
-        self.parts = [(shingles(q + a), shingles(q), shingles(a)) for _, q, a in kept]
+        #: Of each item, its question and its answer: the words of a shingle, fewer where the part has fewer, and the shingles.
+        self.parts = [tuple((min(SHINGLE, len(x)), shingles(x)) for x in (q + a, q, a)) for _, q, a in kept]
         bags = [Counter(q + a) for _, q, a in kept]
         n, mean = len(bags), sum(map(Counter.total, bags)) / max(1, len(bags))
         df = Counter(t for bag in bags for t in bag)
@@ -154,8 +156,8 @@ class Index:
 
     def verify(self, item: int, words: list[str]) -> tuple[float, float, float]:
         """Parts of the item's, its question's and its answer's shingles that are in a passage of these words."""
-        there = shingles(words)
-        return tuple(len(x & there) / len(x) if x else 0.0 for x in self.parts[item])
+        there = {n: shingles(words, n) for n in {n for n, _ in self.parts[item]} if n}
+        return tuple(len(x & there[n]) / len(x) if x else 0.0 for n, x in self.parts[item])
 
     def find(self, words: list[str], ids: np.ndarray) -> list[tuple]:
         """(item_id, score, overlap, question_overlap, answer_overlap) of the items within a text, each from the passage that holds most of it."""

@@ -54,3 +54,15 @@ def test_items_are_found_in_documents(spark):
     assert {(x.doc_id, x.item_id) for x in dc.contaminated(documents(spark, docs), bench, block_items=10).collect()} >= want
     assert dc.contaminated(documents(spark, []), bench).collect() == []
     assert dc.contaminated(documents(spark, docs), bench.where("item_id < 0")).collect() == []
+
+
+def test_short_items_and_short_answers(spark):
+    items = [(1, "zebra"), (2, "blue zebra runs"), (3, "which animal of the plains has stripes? the zebra."), (4, "one two three four")]
+    filler = "some words that stand around it and say nothing at all "
+    docs = [(10, filler + "Zebra, " + filler), (11, filler + "a blue zebra runs! " + filler), (12, filler + items[2][1] + " " + filler), (13, "one two three four"), (14, filler), (15, "four three two one"), (16, "blue runs " + filler)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): x for x in dc.contaminated(documents(spark, docs), bench).collect()}
+    assert set(got) == {(10, 1), (11, 1), (11, 2), (12, 1), (12, 3), (13, 4)}
+    assert all(x.overlap == 1 for x in got.values())
+    assert (got[12, 3].question_overlap, got[12, 3].answer_overlap) == (1, 1)
+    assert {x.doc_id for x in dc.clean(documents(spark, docs), bench).collect()} == {14, 15, 16}
