@@ -19,9 +19,24 @@ def search_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def once(df: DataFrame, keep: list[Column], **columns: Column) -> DataFrame:
+    """``keep`` and ``columns``, each computed once a row however often what follows refers to it.
+
+    Rows pass through a generator, into which Catalyst neither merges later expressions nor pushes filters: else an array of tokens that
+    a lambda reads would be made anew for each element.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer input partitions than cores (one file of one row group, say) dealt over all cores; others stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def shingles(tokens: Column, n: int = 3) -> Column:
-    """Runs of ``n`` tokens joined by spaces, with repeats; fewer tokens stand alone."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Runs of ``n`` tokens joined by spaces, with repeats; fewer tokens stand alone. ``tokens`` should be a column computed ``once``."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]))
     return F.when(F.size(tokens) < n, tokens).otherwise(runs)
 
 
@@ -30,8 +45,8 @@ def simhash(df: DataFrame, key: str, text: str, least: int = 20) -> DataFrame:
 
     Votes are sums in one partial aggregation, so what is shuffled is a row a document.
     """
-    x = df.select(F.col(key), F.when(F.length(text) >= least, F.col(text)).alias("t"))
-    x = x.select(key, F.col("t").isNotNull().alias("ok"), F.explode_outer(shingles(word_runs(F.col("t")))).alias("s")).withColumn("m", F.md5("s"))
+    x = once(spread(df.select(key, F.when(F.length(text) >= least, F.col(text)).alias("t"))), [F.col(key)], w=word_runs(F.col("t")))
+    x = x.select(key, F.col("w").isNotNull().alias("ok"), F.explode_outer(shingles(F.col("w"))).alias("s")).select(key, "ok", F.md5("s").alias("m"))
     x = x.select(key, "ok", F.conv(F.substring("m", 17, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring("m", 25, 8), 16, 10).cast("bigint").alias("lo"))
     votes = [F.sum(F.when(F.shiftright(half, b).bitwiseAND(1) == 1, 1).when(F.col(half).isNotNull(), -1)).alias(f"{half}{b}") for half in ("hi", "lo") for b in range(32)]
     total = x.groupBy(key).agg(F.max("ok").alias("ok"), *votes)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,28 +22,33 @@ def exact_groups(items: DataFrame, fingerprint: str = "sha256", key: str = "item
     return g.where("item_count > 1")
 
 
-def _pieces(h: str) -> list:
-    """The 7 bands of 64 bits: numbers that differ in at most 6 bits have one in common."""
-    out, at = [], 0
-    for width in (10, 9, 9, 9, 9, 9, 9):
-        out.append(F.shiftrightunsigned(F.col(h), at).bitwiseAND((1 << width) - 1))
-        at += width
+def _bands(h: str, blocks: int) -> list:
+    """Of 64 bits cut into ``blocks`` blocks all choices of ``blocks - DISTANCE`` as (choice, bits): numbers that differ in at most ``DISTANCE`` bits agree in one."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for i, choice in enumerate(combinations(range(blocks), blocks - DISTANCE)):
+        mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in choice)
+        out.append(F.struct(F.lit(i).alias("i"), F.col(h).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("v")))
     return out
 
 
 def near_pairs(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b, similarity) with a < b for hashes (h, id), one id each, that differ in at most ``distance`` (6 or fewer) bits; by an equi-join on bands."""
+    """(a, b, similarity) with a < b for hashes (h, id), one id each, that differ in at most ``distance`` (6 or fewer) bits; by an equi-join on bands.
+
+    Bands get wider with the number of hashes, 9 to 25 bits, so that few hashes meet that aren't close; pairs come once each.
+    """
     if distance > DISTANCE:
-        raise ValueError("7 bands are complete up to 6 bits")
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(_pieces("h"))])
-    x = hashes.select("id", "h", F.explode(bands).alias("band"))
+        raise ValueError(f"bands are complete up to {DISTANCE} bits")
+    n = hashes.count()
+    blocks = next((b for b, most in ((7, 1 << 10), (8, 1 << 18), (9, 1 << 24)) if n <= most), 10)
+    x = hashes.select("id", "h", F.explode(F.array(*_bands("h", blocks))).alias("band"))
     a, b = x.select(F.col("id").alias("a"), F.col("h").alias("ha"), "band"), x.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band")
     close = a.join(b, "band").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))) <= distance))
     return close.select("a", "b", hamming_similarity(F.col("ha"), F.col("hb")).alias("similarity")).distinct()
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table in the shared folder that ``spark.checkpoint.dir`` names; without one, checkpointed in a folder of its own."""
+    """The rows from a table in the shared folder that ``spark.checkpoint.dir`` names; without one, and in local mode only, checkpointed in a folder of its own."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -49,9 +56,9 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # tests only: on a cluster the setting names a shared folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return df.checkpoint()
 
 

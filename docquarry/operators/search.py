@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import search_tokens
+from ..functions.text import once, search_tokens, spread
 from .filters import Filters, glob, has_wildcard, like
 
 K1, B = 1.2, 0.75
@@ -30,13 +30,16 @@ class SearchRequest:
 
 
 def occurrences(tokens: Column, phrase: list[str]) -> Column:
-    """How often the tokens of a phrase follow each other; overlapping ones count each."""
-    n = len(phrase)
-    want = F.array(*[F.lit(x) for x in phrase])
-    if n == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(1)))
-    return F.when(F.size(tokens) < n, 0).otherwise(F.size(F.filter(at, lambda i: F.slice(tokens, i, n) == want)))
+    """How often the tokens of a phrase follow each other; overlapping ones count each. ``tokens`` should be a column computed ``once``."""
+    follow = lambda t, i: t == phrase[0] if len(phrase) == 1 else _all([t == phrase[0], *[F.get(tokens, i + k) == w for k, w in enumerate(phrase[1:], 1)]])
+    return F.size(F.filter(tokens, lambda t, i: follow(t, i)))
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for x in tests[1:]:
+        out = out & F.coalesce(x, F.lit(False))
+    return out
 
 
 def phrase_tokens(df: DataFrame, q: str) -> list[str]:
@@ -52,25 +55,44 @@ def bm25(df: DataFrame, q: str, columns: list[str], key: str = "item_id") -> Dat
     words = phrase_tokens(df, q)
     if not words:
         return df.select(F.col(key), F.lit(0).alias("tf"), F.lit(0.0).alias("score")).where("false")
-    tokens = df.select(key, *[search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns)])
+    tokens = once(spread(df.select(key, *columns)), [F.col(key)], **{f"t{i}": search_tokens(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(columns)})
     tf, size = F.lit(0), F.lit(0)
     for i in range(len(columns)):
         tf, size = tf + occurrences(F.col(f"t{i}"), words), size + F.size(f"t{i}")
-    counted = tokens.select(key, tf.alias("tf"), size.alias("dl"))
+    counted = once(tokens, [F.col(key)], tf=tf, dl=size)
     stats = counted.agg(F.count("*").alias("n"), F.count_if(F.col("tf") > 0).alias("df"), F.avg("dl").alias("avgdl"))
+    return scored(counted.where("tf > 0"), stats, key)
+
+
+def scored(counted: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """(key, tf, score) from rows (key, tf, dl) that hold a phrase and the one row (n, df, avgdl) of a corpus."""
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = -F.when(idf <= 0, F.lit(1e-6)).otherwise(idf) * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return counted.where("tf > 0").crossJoin(F.broadcast(stats)).select(key, "tf", score.alias("score"))  # stats is one row
+    return counted.crossJoin(F.broadcast(stats)).select(key, "tf", score.alias("score"))  # stats is one row
+
 
+def snippets(df: DataFrame, text: str, phrase: list[str], width: int = 20, name: str = "snippet") -> DataFrame:
+    """``df`` with a window of ``width`` words of ``text`` as column ``name``.
 
-def snippet(text: Column, q_tokens: list[str], width: int = 20) -> Column:
-    """A window of ``width`` words that begins some words before the first match, with matches marked; the whole text's start if there is none."""
-    words = F.split(F.btrim(F.regexp_replace(text, r"\s+", " ")), " ")
-    hit = lambda w: F.arrays_overlap(search_tokens(w), F.array(*[F.lit(x) for x in q_tokens]))
-    first = F.array_position(F.transform(words, hit), True).cast("int")
-    begin = F.greatest(F.lit(1), first - 4)
-    window = F.transform(F.slice(words, begin, width), lambda w: F.when(hit(w), F.concat(F.lit("<em>"), w, F.lit("</em>"))).otherwise(w))
-    return F.concat(F.when(begin > 1, "...").otherwise(""), F.array_join(window, " "), F.when(F.size(words) > begin + width - 1, "...").otherwise(""))
+    It begins four words before the first place where the phrase's tokens follow each other, and there every such place is marked as a
+    whole, those that overlap as one; without any it is the text's start. Words lie between white space; one holds no, one or several tokens.
+    """
+    keep, n = [F.col(c) for c in df.columns if c != name], max(1, len(phrase))
+    x = once(df, keep, _words=F.split(F.btrim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")), " "))
+    tokens = F.flatten(F.transform("_words", lambda w, i: F.transform(search_tokens(w), lambda t: F.struct(t.alias("t"), i.alias("i")))))
+    x = once(x, [*keep, F.col("_words")], _tokens=tokens)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_tokens") - n, F.lit(0)))
+    there = lambda p: _all([F.lit(bool(phrase)), *[F.get("_tokens", p + k)["t"] == w for k, w in enumerate(phrase)]])
+    x = once(x, [*keep, F.col("_words"), F.col("_tokens")], _places=F.filter(starts, there))
+    opens = F.filter("_places", lambda p: ~F.exists("_places", lambda q: (q < p) & (p < q + n)))
+    closes = F.filter("_places", lambda p: ~F.exists("_places", lambda q: (p < q) & (q < p + n)))
+    word = lambda p: F.get("_tokens", p)["i"]
+    x = once(x, [*keep, F.col("_words")], _opens=F.transform(opens, lambda p: word(p)), _closes=F.transform(closes, lambda p: word(p + (n - 1))))
+    begin = F.greatest(F.lit(0), F.coalesce(F.get("_opens", F.lit(0)), F.lit(0)) - 4)
+    mark = lambda at, i, s: F.when(F.array_contains(at, i + begin), s).otherwise("")
+    shown = F.transform(F.slice("_words", begin + 1, F.lit(width)), lambda w, i: F.concat(mark("_opens", i, "<em>"), w, mark("_closes", i, "</em>")))
+    found = F.concat(F.when(begin > 0, "...").otherwise(""), F.array_join(shown, " "), F.when(F.size("_words") > begin + width, "...").otherwise(""))
+    return x.select(*keep, found.alias(name))
 
 
 def _any(df: DataFrame, content: bool, test) -> Column:
@@ -104,8 +126,9 @@ def search(items: DataFrame, r: SearchRequest, columns: list[str] | None = None)
     if has_wildcard(r.q):
         return _page(glob_search(items.where(live), r.q, r.search_content), r, recent)
     indexed = columns or [c for c in ("file_name", "full_path", "text", "title") if c in items.columns]
-    scored = bm25(items, r.q, indexed)  # statistics are over all items, deleted ones too
-    found = _page(items.where(live).join(scored, "item_id").withColumn("snippet", snippet(F.coalesce("text", F.lit("")), phrase_tokens(items, r.q) or [""])), r, [F.asc("score"), F.asc("item_id")])
+    ranks = bm25(items, r.q, indexed)  # statistics are over all items, deleted ones too
+    found = _page(items.where(live).join(ranks, "item_id"), r, [F.asc("score"), F.asc("item_id")])
     if not found.isEmpty():
-        return found
+        order = [ORDERS[r.order_by](r.order_by), F.asc("item_id")] if r.order_by in ORDERS else [F.asc("score"), F.asc("item_id")]
+        return snippets(found, "text", phrase_tokens(items, r.q)).orderBy(*order) if "text" in items.columns else found
     return _page(like_search(items.where(live), r.q, r.search_content), r, recent)

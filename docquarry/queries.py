@@ -218,7 +218,7 @@ def nested_root_exclusion(spark, d):
     return items(spark, d).where(~F.col("full_path").startswith("/src1/en/")).select("item_id")
 
 
-@query("select doc_id, case when n_chars is null or n_chars = 0 then '0 B' when n_chars < 1024 then printf('%d B', n_chars) when n_chars < 1048576 then printf('%.1f KB', n_chars / 1024.0) else printf('%.1f MB', n_chars / 1048576.0) end as size from documents")
+@query("select doc_id, case when n_chars is null or n_chars = 0 then '0 B' when n_chars < 1024 then printf('%d B', n_chars) when n_chars < 1048576 then printf('%.1f KB', floor(n_chars / 1024.0::double * 10 + 0.5) / 10) else printf('%.1f MB', floor(n_chars / 1048576.0::double * 10 + 0.5) / 10) end as size from documents")
 def format_size(spark, d):
     return table(spark, d, "documents").select("doc_id", formatting.size(F.col("n_chars")).alias("size"))
 
@@ -283,10 +283,15 @@ def search_blank(spark, d):
     return search.search(items(spark, d), search.SearchRequest(q="  ")).select("item_id")
 
 
-@query()
+@query(_bm25_sql(["in", "the"]) + f""", w as (select doc_id, string_split(regexp_replace(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[\\s\\x0B]+', ' ', 'g'), ' ') as words from documents join r using (doc_id)),
+    k as (select doc_id, words, flatten(list_transform(words, lambda w, i: list_transform(regexp_extract_all(translate(lower(w), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+'), lambda t: {{'t': t, 'i': i}}))) as toks from w),
+    p as (select doc_id, words, list_transform(list_filter(range(1, len(toks)), lambda i: toks[i].t = 'in' and toks[i + 1].t = 'the'), lambda i: {{'a': toks[i].i, 'b': toks[i + 1].i}}) as places from k),
+    q as (select *, greatest(1, places[1].a - 4) as start from p),
+    v as (select *, list_transform(words[start : start + 19], lambda w, i: concat(case when len(list_filter(places, lambda x: x.a = i + start - 1)) > 0 then '<em>' else '' end, w, case when len(list_filter(places, lambda x: x.b = i + start - 1)) > 0 then '</em>' else '' end)) as shown from q)
+    select doc_id, concat(case when start > 1 then '...' else '' end, array_to_string(shown, ' '), case when len(words) > start + 19 then '...' else '' end) as snippet from v""")
 def snippet(spark, d):
     x = search.bm25(table(spark, d, "documents"), TWO, ["text"], "doc_id").join(table(spark, d, "documents"), "doc_id")
-    return x.select("doc_id", search.snippet(F.col("text"), TWO.split()).alias("snippet"))
+    return search.snippets(x, "text", TWO.split()).select("doc_id", "snippet")
 
 
 # Duplicates

@@ -14,6 +14,7 @@ from docquarry.functions import files as fn
 from docquarry.functions import formatting as fmt
 from docquarry.functions import phash, text
 from docquarry.operators import dedup, folders, listing, search, timeline
+from docquarry.operators import index as search_index
 from docquarry.operators.filters import Filters, glob, glob_regex, like
 from docquarry.plans import rag, settings
 from docquarry.sources import files as src
@@ -100,9 +101,50 @@ def test_filters_patterns_and_dispatch(spark):
         search.SearchRequest(limit=500)
 
 
-def test_snippet_marks_the_match(spark):
-    s = one(spark, search.snippet(F.lit("w " * 30 + "The Needle, here " + "v " * 30), ["needle"]))
-    assert "<em>Needle,</em>" in s and s.startswith("...") and s.endswith("...")
+def test_snippet_marks_the_phrase(spark):
+    df = spark.createDataFrame([(1, "w " * 30 + "needle The Needle, Here. " + "v " * 30), (2, "nothing"), (3, None), (4, "a a-a a b")], "id int, t string")
+    got = {r.id: r.snippet for r in search.snippets(df, "t", ["needle", "here"]).collect()}
+    assert got[1] == "...w w needle The <em>Needle, Here.</em> " + "v " * 13 + "v..." and got[2] == "nothing" and got[3] == ""
+    assert {r.id: r.snippet for r in search.snippets(df, "t", ["a", "a"]).collect()}[4] == "<em>a a-a a</em> b"
+
+
+def test_index_searches_as_texts_do_and_takes_updates(spark, tmp_path):
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "déjà", "the"]
+    make = lambda ids: spark.createDataFrame([(i, *[" ".join(r.choice(words) for _ in range(r.randrange(0, 9))) for _ in range(2)]) for i in ids], "item_id int, a string, b string")
+    old, new = make(range(40)), make(range(30, 50))
+    index = search_index.TextIndex(spark, f"file://{tmp_path}/index", ["a", "b"]).build(old)
+    both = old.where("item_id < 30 and item_id not in (3, 4)").unionByName(new)
+    for now, change in ((old, lambda: None), (both, lambda: index.update(new, old.where("item_id in (3, 4)")))):
+        change()
+        for q in ("alpha", "alpha alpha", "Beta gamma", "deja the alpha", "none of it", "?"):
+            assert sorted((x.item_id, x.tf, round(x.score, 9)) for x in index.bm25(q).collect()) == sorted((x.item_id, x.tf, round(x.score, 9)) for x in search.bm25(now, q, ["a", "b"]).collect()), q
+    assert "PushedFilters" in index.bm25("alpha")._jdf.queryExecution().toString()
+
+
+def test_no_tokeniser_in_a_lambda(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l")], "item_id int, text string")
+    for x in (text.simhash(df, "item_id", "text"), search.bm25(df, "a b", ["text"]), search.snippets(df, "text", ["a", "b"])):
+        plan = x._jdf.queryExecution().optimizedPlan().toString()
+        for m in re.finditer(r"lambdafunction\(", plan):
+            depth, end = 1, m.end()
+            while depth and end < len(plan):
+                depth += {"(": 1, ")": -1}.get(plan[end], 0)
+                end += 1
+            inner = plan[m.start() : end]
+            assert "regexp_extract_all" not in inner or "text#" not in inner, inner
+
+
+def test_near_pairs_of_any_width_of_bands(spark, monkeypatch):
+    r = random.Random(6)
+    base = [r.getrandbits(64) for _ in range(40)]
+    hashes = sorted({base[r.randrange(40)] ^ sum(1 << b for b in r.sample(range(64), r.randrange(9))) for _ in range(250)})
+    df = spark.createDataFrame([(i, h - 2**64 if h >> 63 else h) for i, h in enumerate(hashes)], "id int, h bigint")
+    want = {(i, j) for j in range(len(hashes)) for i in range(j) if (hashes[i] ^ hashes[j]).bit_count() <= 6}
+    for blocks in (7, 8, 9, 10):
+        monkeypatch.setattr(dedup, "_bands", lambda h, _, f=dedup._bands, b=blocks: f(h, b))
+        assert {(x.a, x.b) for x in dedup.near_pairs(df).collect()} == want
+        monkeypatch.undo()
 
 
 def test_timeline_edges(spark):
