@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
-from docquarry.llm.common import table, written
+from docquarry.llm.common import free, table, written
 
 #: Least mean probability of a document's language; below it the model says little more than that the text is none of its languages.
 MIN_LANGUAGE = 0.4
@@ -23,7 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds; those left without any word go."""
-    kept = line_dedup.dedup_lines(docs).where("n_dropped = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
+    lost = free("n_dropped", docs.columns)
+    kept = line_dedup.dedup_lines(docs, n_dropped=lost).where(f"`{lost}` = 0 or trim(BOTH ' \t\r\n' FROM text) <> ''")
     return kept.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -8,10 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER_DIR_ENV = "TOKENIZER_DIR"
+#: Bytes in memory up to which a written table is broadcast.
+BROADCAST = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +54,11 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def has_column(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+def free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column is called so."""
+    while name.lower() in {x.lower() for x in taken}:
+        name += "_"
+    return name
 
 
 def own(df: DataFrame, *names: str) -> DataFrame:
@@ -73,14 +78,12 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]],
 
     ``make()`` runs once a task and returns the function from a list of texts to a list of tuples for the columns after ``key``.
     """
-    spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     full = f"`{key}` {kind}, {schema}"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(full))
-    del spark
 
     def run(batches):
         f = make()
@@ -92,25 +95,31 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]],
     return own(df, key, text).mapInArrow(run, full)
 
 
-def stable_hash(*cols: Column) -> Column:
-    return F.xxhash64(*cols)
+def small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:
+    """A written table, to be broadcast if its rows take at most ``limit`` bytes in memory; a larger one is joined by a shuffle."""
+    size = F.lit(16 + 16 * len(df.columns))
+    for f in df.schema:
+        if f.dataType.typeName() == "array":
+            size = size + 16 * F.greatest(F.size(f.name), F.lit(0))
+        elif f.dataType.typeName() == "struct":
+            size = size + 16 * len(f.dataType)
+        elif f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, how: str = "left", parts: int = 1024) -> DataFrame:
-    """``left`` joined with the one row that ``right`` has for each ``key``, however unevenly ``left`` is spread over keys.
+def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int, how: str = "left", parts: int = 1024, limit: int = BROADCAST) -> DataFrame:
+    """``left`` joined with the one row that ``right``, a written table, has for each ``key``, however unevenly ``left`` is spread over keys.
 
-    ``sizes`` has ``key`` and ``n``, the rows of ``left`` with it. At most ``parts`` keys can hold over 1/``parts`` of all rows each; only
-    these are broadcast, so the broadcast has a proven bound and what is left for the shuffle has no key of more than 1/``parts`` of the rows.
+    ``right`` is broadcast if it takes at most ``limit`` bytes. Else: ``sizes`` has ``key`` and ``n``, the rows of ``left`` with it. Fewer than
+    ``parts`` keys can hold over 1/``parts`` of all rows each; only the hashes of these come to the driver and only their rows of ``right`` are
+    broadcast, so both have a proven bound, and what is left for the shuffle has no key of more than 1/``parts`` of the rows.
     """
+    if (whole := small(right, limit)) is not right:
+        return left.join(whole, key, how)
     edge = max(1, total // parts)
-    hot = F.broadcast(sizes.where(F.col("n") > edge).select(key).withColumn("_hot", F.lit(True)))
-    marked_left = left.join(hot, key, "left")
-    marked_right = right.join(hot, key, "left")
-    a = marked_left.where("_hot").drop("_hot").join(F.broadcast(marked_right.where("_hot").drop("_hot")), key, how)
-    b = marked_left.where("_hot is null").drop("_hot").join(marked_right.where("_hot is null").drop("_hot"), key, how)
-    return a.unionByName(b)
-
-
-def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A written table of few narrow columns, to be broadcast if it has at most ``rows`` rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    hot = [r[0] for r in sizes.where(F.col("n") > edge).select(F.xxhash64(key)).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.xxhash64(key).isin(hot)
+    return left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how).unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))

@@ -9,11 +9,12 @@ so classes that share neither with another can't match and emit nothing. Of the
 deleted. Keys add up hashes of each word with its place, so that lines of the same words in another order, or with words repeated, have keys of their own;
 the variants' keys are running sums. Equal keys meet: lines that delete to
 the same words at the same place differ by a replacement, and a line whose variant equals a whole line by an insertion. As keys depend on
-all words in order, lines that meet match. So from each group only its earliest lines are taken as partners, never all pairs; the edit distance of a line and
-its earliest partner is verified on their words, which only guards against equal hashes of different words.
+all words in order, lines that meet match. So from each group only its earliest lines are taken as partners, never all pairs. The edit distance of a line and
+its earliest partner is verified on their words; should a line fail that, its hashes met others by chance, and all its partners are verified.
 
-Null texts stay null and empty ones empty. Rows with the same doc_id and text count as one document and all stay; other rows with that id are
-further documents. Extra columns of the input stay in the result of ``dedup_lines``.
+Null texts stay null and empty ones empty; an empty table gives an empty one. Texts and lines of any length are compared whole. Rows with the same
+doc_id and text count as one document and all stay; other rows with that id are further documents; a null doc_id comes first. Extra columns of
+the input stay in the result of ``dedup_lines``, those named like its own too.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, own, table, written
+from .common import BROADCAST, free, join_unique, own, small, table, written
 
+#: Words from which the edit bound is 1; below, one word is too large a part of a line, and the bound is 0.
 MIN_WORDS = 8
-#: Rows of a table of candidates or of repeated lines up to which it is broadcast; a larger one is joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Bytes of a table of candidates or of repeated lines up to which it is broadcast; a larger one is joined by a shuffle.
+LIMIT = BROADCAST
 
 _EARLY = ["doc_id", "mark", "line_no"]
 
@@ -50,20 +52,14 @@ def candidates(classes: DataFrame) -> DataFrame:
     halves = classes.where("halves is not null").select("h1", F.explode("halves").alias("half"))
     sizes = written(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1"), "halves")
     total = classes.agg(F.coalesce(F.sum(F.size("halves")), F.lit(0))).first()[0]
-    shared = written(join_unique(halves, sizes.select("half"), "half", sizes, total, "inner").select("h1").distinct(), "shared")
-    return classes.join(_small(shared), "h1", "left_semi").select("first")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
+    shared = written(join_unique(halves, sizes.select("half"), "half", sizes, total, "inner", limit=LIMIT).select("h1").distinct(), "shared")
+    return classes.join(small(shared, LIMIT), "h1", "left_semi").select("first")
 
 
 def with_words(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """(first, w): the places in ``lines`` with the words of the lines there."""
     wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark")).agg(F.collect_list("first.line_no").alias("numbers"))
-    wanted = written(wanted, "wanted")
-    wanted = _small(wanted)
+    wanted = small(written(wanted, "wanted"), LIMIT)
     texts = own(docs, "doc_id", "text").withColumn("mark", F.xxhash64("text")).alias("t")
     on = (F.col("t.mark") == F.col("l.mark")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))
     found = texts.join(wanted.alias("l"), on).select("t.doc_id", "t.mark", F.split("t.text", "\n", -1).alias("all"), F.explode("numbers").alias("line_no"))
@@ -85,21 +81,25 @@ def variants(lines: DataFrame) -> DataFrame:
     return x.select("first", F.explode(every).alias("v")).select("first", F.xxhash64("v.key", "v.n").alias("key"), F.col("v.place").alias("place"))
 
 
-def partners(lines: DataFrame) -> DataFrame:
-    """(first, partner): each line with the earliest line before it of those that its keys meet."""
+def meetings(lines: DataFrame) -> DataFrame:
+    """The variants whose key another one has too."""
     every = written(variants(lines), "variants")
     repeated = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    v = written(join_unique(every, repeated.select("key"), "key", repeated, every.count(), "inner"), "meetings")
-    total = v.count()
-    groups = written(v.groupBy("key", "place").agg(F.min("first").alias("early"), F.count("*").alias("n")), "groups")
+    return written(join_unique(every, repeated.select("key"), "key", repeated, every.count(), "inner", limit=LIMIT), "meetings")
+
+
+def partners(met: DataFrame) -> DataFrame:
+    """(first, partner): each line with the earliest line before it of those that its keys meet."""
+    total = met.count()
+    groups = written(met.groupBy("key", "place").agg(F.min("first").alias("early"), F.count("*").alias("n")), "groups")
     by_key = groups.groupBy("key").agg(
         F.min(F.when(F.col("place").isNull(), F.col("early"))).alias("whole"), F.min(F.when(F.col("place").isNotNull(), F.col("early"))).alias("cut"), F.sum("n").alias("n")
     )
-    by_key = by_key.where("n > 1")
-    a = join_unique(v, by_key.drop("n"), "key", by_key.select("key", "n"), total, "inner")
+    by_key = written(by_key.where("whole is not null and cut is not null"), "by_key")
+    a = join_unique(met, by_key.drop("n"), "key", by_key.select("key", "n"), total, "inner", limit=LIMIT)
     a = a.select("first", F.when(F.col("place").isNull(), F.col("cut")).otherwise(F.col("whole")).alias("partner"))
-    placed = groups.where("n > 1 and place is not null").select(F.xxhash64("key", "place").alias("spot"), "early", "n")
-    b = join_unique(v.where("place is not null").select("first", F.xxhash64("key", "place").alias("spot")), placed.drop("n"), "spot", placed.select("spot", "n"), total, "inner")
+    placed = written(groups.where("n > 1 and place is not null").select(F.xxhash64("key", "place").alias("spot"), "early", "n"), "placed")
+    b = join_unique(met.where("place is not null").select("first", F.xxhash64("key", "place").alias("spot")), placed.drop("n"), "spot", placed.select("spot", "n"), total, "inner", limit=LIMIT)
     b = b.select("first", F.col("early").alias("partner"))
     return a.unionByName(b).where("partner < first").groupBy("first").agg(F.min("partner").alias("partner"))
 
@@ -117,12 +117,26 @@ def within_one_edit(a: str, b: str) -> Column:
     )
 
 
+def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(first, ok) for each of the pairs (first, partner): whether they are one edit apart. Many lines may have one partner."""
+    pairs = written(pairs, "pairs")
+    sizes = written(pairs.groupBy("partner").agg(F.count("*").alias("n")), "partners")
+    named = join_unique(pairs, lines.select(F.col("first").alias("partner"), F.col("w").alias("b")), "partner", sizes, pairs.count(), "inner", limit=LIMIT)
+    return named.join(lines.select("first", F.col("w").alias("a")), "first").select("first", within_one_edit("a", "b").alias("ok"))
+
+
 def near_dropped(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The places of classes for which an earlier class is one edit away."""
     lines = written(with_words(docs, written(candidates(classes), "candidates")), "lines")
-    pairs = partners(lines)
-    both = pairs.join(lines.select("first", F.col("w").alias("a")), "first").join(lines.select(F.col("first").alias("partner"), F.col("w").alias("b")), "partner")
-    return both.where(within_one_edit("a", "b")).select("first")
+    met = meetings(lines)
+    found = written(verified(lines, partners(met)), "verified")
+    chance = found.where("not ok").select("first")
+    near = found.where("ok").select("first")
+    if chance.isEmpty():
+        return near
+    other = met.select(F.col("first").alias("partner"), F.col("place").alias("at"), "key")
+    every = met.join(chance, "first", "left_semi").join(other, "key").where("partner < first and (place = at or place is null or at is null)")
+    return near.unionByName(verified(lines, every.select("first", "partner").distinct()).where("ok").select("first").distinct())
 
 
 def dropped(docs: DataFrame) -> DataFrame:
@@ -130,30 +144,27 @@ def dropped(docs: DataFrame) -> DataFrame:
     seen = written(occurrences(docs), "occurrences")
     classes = seen.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.any_value("halves").alias("halves"))
     classes = written(classes, "classes")
-    near = near_dropped(docs, classes).withColumn("near", F.lit(True))
+    near = small(written(near_dropped(docs, classes), "near"), LIMIT).withColumn("near", F.lit(True))
     some = classes.select("h1", "h2", "first", "n").join(near, "first", "left").where("n > 1 or near").select(F.struct("h1", "h2").alias("line"), "first", "n", "near")
     some = written(some, "repeated")
-    all_lines = seen.select(F.struct("h1", "h2").alias("line"), "at")
-    if some.count() <= BROADCAST_LINES:
-        hit = all_lines.join(F.broadcast(some.drop("n")), "line")
-    else:
-        hit = join_unique(all_lines, some.drop("n"), "line", some.select("line", "n"), seen.count(), "inner")
+    hit = join_unique(seen.select(F.struct("h1", "h2").alias("line"), "at"), some.drop("n"), "line", some.select("line", "n"), seen.count(), "inner", limit=LIMIT)
     gone = hit.where("near or at <> first")
     return gone.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark")).agg(F.collect_set("at.line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that stay as ``text``, and two more columns: ``n_lines`` before and ``n_dropped``."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    left = own(docs, *names).withColumn("_mark", F.xxhash64("text")).alias("d")
-    right = dropped(docs).alias("g")
-    on = (F.col("d._mark") == F.col("g.mark")) & F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
-    both = left.join(right, on, "left")
-    split = "split(d.text, '\\n', -1)"
-    kept = F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(F.expr(f"array_join(filter({split}, (x, i) -> not array_contains(g.gone, i)), '\\n')"))
-    out = [kept.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in names]
-    return both.select(*out, F.coalesce(F.size(F.expr(split)), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("bigint").alias("n_dropped"))
+def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` with the lines that stay as ``text``, and two more columns by these names: lines before, and those dropped.
+
+    A name that ``docs`` has already gets an underscore added, here and for the columns of the join.
+    """
+    mark, key, other, gone, n_lines, n_dropped = (free(x, docs.columns) for x in ("_mark", "_key", "_other", "_gone", n_lines, n_dropped))
+    lost = small(written(dropped(docs), "dropped"), LIMIT).toDF(key, other, gone)
+    both = docs.withColumn(mark, F.xxhash64("text")).join(lost, F.expr(f"`{mark}` = `{other}` and doc_id <=> `{key}`"), "left")
+    split = "split(text, '\\n', -1)"
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter({split}, (x, i) -> not array_contains(`{gone}`, i)), '\\n')"))
+    out = [kept.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*out, F.coalesce(F.size(F.expr(split)), F.lit(0)).cast("bigint").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(n_dropped))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+    return dedup_lines(own(table(spark, sf_dir, "documents"), "doc_id", "text"))

@@ -31,9 +31,9 @@ def brute(rows):
     return {i: None if t is None else "\n".join(s for k, s in enumerate(t.split("\n")) if (i, k) not in drop) for i, t in rows}
 
 
-@pytest.mark.parametrize("few", [500_000, 0])
+@pytest.mark.parametrize("few", [64 << 20, 0])
 def test_equals_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(ld, "BROADCAST_LINES", few)
+    monkeypatch.setattr(ld, "LIMIT", few)
     r = random.Random(9)
     base = [[r.choice("abcdefghij") for _ in range(r.randint(5, 14))] for _ in range(12)]
 
@@ -92,6 +92,26 @@ def test_edges(spark):
     assert ld.dedup_lines(hot).agg(F.sum("n_dropped")).first()[0] == 2999
 
 
+def test_lines_whose_keys_meet_by_chance_are_verified_with_all_partners(spark, monkeypatch):
+    whole = ld.variants
+    monkeypatch.setattr(ld, "variants", lambda lines: whole(lines).withColumn("key", F.pmod("key", F.lit(3))))
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choice("abc") if r.random() < 0.3 else "x" for _ in range(r.randint(8, 10)))) for i in range(40)]
+    assert {x.doc_id: x.text for x in ld.dedup_lines(documents(spark, rows)).collect()} == brute(rows)
+
+
+def test_columns_of_the_operators_own_names_stay(spark):
+    rows = [(1, "a\nb"), (2, "b\nc")]
+    df = documents(spark, rows)
+    for c in ("n_lines", "n_dropped", "_mark", "_gone", "key", "first"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = ld.dedup_lines(df).collect()
+    assert all(x[c] == "mine" for x in got for c in ("n_lines", "n_dropped", "_mark", "_gone", "key", "first"))
+    assert sorted((x.doc_id, x.text, x.n_lines_, x.n_dropped_) for x in got) == [(1, "a\nb", 2, 0), (2, "c", 2, 1)]
+
+
 def test_stays_native(spark):
-    plan = ld.occurrences(documents(spark, [(1, "a")]))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plans = [ld.occurrences(documents(spark, [(1, "a")])), ld.dedup_lines(documents(spark, [(1, "one two three four five six seven eight"), (2, "one two three four five six seven nine")]))]
+    for plan in plans:
+        said = plan._jdf.queryExecution().toString()
+        assert "Python" not in said and "Arrow" not in said
