@@ -45,7 +45,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def again(table: DataFrame) -> DataFrame:
+    """A written table read anew, with columns of its own, to be joined with itself."""
+    return table.sparkSession.read.schema(table.schema).parquet(table._folder)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for x in tables:
+        remove(x.sparkSession, x._folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

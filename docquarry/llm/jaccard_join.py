@@ -7,34 +7,36 @@ there is more to do:
 
 1. Each meeting has a leader, the class that meets most others; each class is compared with the leader it meets most. Most copies of a text
    find their group so.
-2. What remains are meetings of classes that aren't in one group yet. In each part of the shingles these form a signature tree: a leaf has the
-   class's size, its set as a bitmap and its group; a node the OR of its children's bitmaps, their range of sizes, and their group if they share
-   one. Two trees' nodes are traversed together; a pair of nodes goes if both are of one group, or if no pair of sizes and the bits they lack of each
-   other leave room for the overlap that is asked for. Pairs of leaves that are left and meet in a shingle are counted, and compared if they meet as often as similar sets of their sizes must.
+2. What remains are meetings of classes that aren't in one group yet. In each meeting these form a signature tree: a leaf has the
+   class's size, its set as a bitmap of about as many bits and its group; a node the OR and the AND of its children's bitmaps, their range of sizes,
+   and their group if they share one. Trees' nodes are traversed in pairs; a pair of nodes goes if both are of one group, if sizes are too far apart,
+   or if bits that all classes of one node have and none of the other's (members that must be lacking) leave no room for the overlap that is asked for.
+   Pairs of leaves that are left and meet in a shingle are counted, and compared if they meet as often as similar sets of their sizes must.
 
 Comparisons are of whole sets. Links then join groups into components. A meeting of many classes never gives all of its pairs: those of one group
-are passed over, and the rest of a large meeting is dealt over several tasks.
+are passed over, and the rest of a large meeting is dealt in blocks over several tasks, each pair of classes to one of them.
 
-Null and empty texts have empty sets and link with nothing, their component is their own doc_id. Rows with a null doc_id link with nothing and
-have a null component. Rows with the same doc_id are one document for components, and one row each in the result.
+Null and empty texts have empty sets and link with nothing, their component is their own doc_id; an empty table gives an empty one. Texts of any
+length are taken whole; memory grows with the longest. Rows with a null doc_id link with nothing and have a null component. Rows with the same
+doc_id are one document for components, and one row each in the result. Other columns of the input aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, own, slices, small, table, written
+from .common import again, discard, join_unique, own, slices, small, table, written
 from .shingles import common, fingerprint, shingle_sets
 
-#: Similarity in hundredths; slots of the sketch; filed shingles of one part; words of 64 bits of a bitmap; children of a node.
-SIMILARITY, SLOTS, PART, WORDS64, FAN = 75, 1 << 20, 500_000, 16, 8
-#: Slots of the sketch in a row; classes of one meeting that one task takes.
-STRIP, MEETING = 1 << 14, 4_096
+#: Similarity in hundredths; slots of the sketch; filed shingles of one part, and those of open meetings; words of 64 bits of the shortest bitmap; children of a node.
+SIMILARITY, SLOTS, PART, OPEN, WORDS64, FAN = 75, 1 << 20, 500_000, 400_000, 16, 8
+#: Slots of the sketch in a row; classes of one meeting that one task takes; classes of a meeting whose pairs are listed at once; pairs of nodes looked at together.
+STRIP, MEETING, FEW, CHUNK = 1 << 14, 2_048, 24, 50_000
+#: Bytes of a list of shingles up to which it is broadcast. Texts whose fingerprints a task remembers, to file copies once.
+LIMIT, REMEMBER = 16 << 20, 100_000
 
 
 def prefix(n: int, similarity: int = SIMILARITY) -> int:
@@ -46,20 +48,6 @@ def linked(inter: int, n: int, m: int, similarity: int = SIMILARITY) -> bool:
     return inter > 0 and 100 * inter >= similarity * (n + m - inter)
 
 
-def _count(batches):
-    """Per task: the sketch in strips, and how many shingles will be filed."""
-    counts, filed = np.zeros(SLOTS, np.int64), 0
-    for b in slices(batches, 512):
-        for s in shingle_sets(b.column(0).to_pylist()):
-            filed += prefix(len(s))
-            if len(s):
-                counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
-                if len(s) <= SLOTS // 8:
-                    np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
-    strips = [counts[i : i + STRIP].astype("<i8").tobytes() for i in range(0, SLOTS, STRIP)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(strips)), pa.int32()), pa.array(strips, pa.binary()), pa.array([filed] + [0] * (len(strips) - 1), pa.int64())], ["strip", "counts", "filed"])
-
-
 def _add(batches):
     total: dict[int, np.ndarray] = {}
     filed = 0
@@ -71,32 +59,53 @@ def _add(batches):
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary()), pa.array([filed] + [0] * (len(total) - 1), pa.int64())], ["strip", "counts", "filed"])
 
 
-def sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
+def levels(strips: DataFrame) -> tuple[np.ndarray, int]:
     """For each slot a level, 0 unless many documents hold shingles of it, and the number of shingles to file. Its size is the same for any corpus."""
-    kind = "strip int, counts binary, filed bigint"
-    strips = own(docs, "text").mapInArrow(_count, kind).repartition(16, "strip").mapInArrow(_add, kind).collect()  # SLOTS numbers
+    rows = strips.repartition(16, "strip").mapInArrow(_add, "strip int, counts binary, filed bigint").collect()  # SLOTS numbers
     counts = np.zeros(SLOTS, np.int64)
-    for r in strips:
+    for r in rows:
         counts[r.strip * STRIP : (r.strip + 1) * STRIP] = np.frombuffer(r.counts, "<i8")
     usual = np.median(counts)
     extra = counts - usual - 6 * np.sqrt(usual + 1)
-    return np.where(extra > 4, np.log2(np.maximum(extra, 1)).astype(np.int64), 0).astype(np.uint8), sum(r.filed for r in strips)
+    return np.where(extra > 4, np.log2(np.maximum(extra, 1)).astype(np.int64), 0).astype(np.uint8), sum(r.filed for r in rows)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    out = np.zeros(WORDS64 * 64, np.uint8)
-    out[((shingles >> np.uint64(20)) % np.uint64(WORDS64 * 64)).astype(np.int64)] = 1
+    """As words of 64 bits; a power of two of bits, as many as members at least."""
+    n = 64 * WORDS64
+    while n < len(shingles):
+        n *= 2
+    out = np.zeros(n, np.uint8)
+    out[((shingles >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64)] = 1
     return np.packbits(out).view(np.uint64)
 
 
-_CLASSES = "doc_id bigint, n bigint, a bigint, b bigint, bits binary"
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same set has in fewer words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
+_CLASSES = "doc_id bigint, n bigint, a bigint, b bigint, bits binary, strip int, counts binary, filed bigint"
+_CLASSES_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bits", pa.binary()), ("strip", pa.int32()), ("counts", pa.binary()), ("filed", pa.int64())])
 
 
 def _classes(batches):
-    for b in slices(batches, 512):
+    """A row for each document; and a task's sketch of all shingles in strips, with how many shingles will be filed."""
+    counts, filed = np.zeros(SLOTS, np.int64), 0
+    for b in slices(batches, 256):
         sets = shingle_sets(b.column(1).to_pylist())
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        counts += np.bincount((every >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+        filed += sum(prefix(len(s)) for s in sets)
         prints = [fingerprint(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "a", "b", "bits"])
+        none = pa.nulls(len(sets))
+        columns = [b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, *[none.cast(_CLASSES_ARROW.field(i).type) for i in (5, 6, 7)]], schema=_CLASSES_ARROW)
+    strips = [counts[i : i + STRIP].astype("<i8").tobytes() for i in range(0, SLOTS, STRIP)]
+    none = pa.nulls(len(strips))
+    yield pa.RecordBatch.from_arrays([*[none.cast(_CLASSES_ARROW.field(i).type) for i in range(5)], pa.array(range(len(strips)), pa.int32()), pa.array(strips, pa.binary()), pa.array([filed] + [0] * (len(strips) - 1), pa.int64())], schema=_CLASSES_ARROW)
 
 
 def _file(level, parts: int):
@@ -115,18 +124,23 @@ def _file(level, parts: int):
         )
 
     def run(batches):
-        levels, tokens, owners, held = level.value, [], [], 0
-        for b in slices(batches, 512):
+        levels, tokens, owners, held, seen = level.value, [], [], 0, set()
+        for b in slices(batches, 256):
             for s in shingle_sets(b.column(0).to_pylist()):
                 if not len(s):
                     continue
+                if (who := fingerprint(s)) in seen:  # a copy files the same
+                    continue
+                if len(seen) >= REMEMBER:
+                    seen.clear()
+                seen.add(who)
                 k = prefix(len(s))
                 lv = levels[(s >> np.uint64(44)).astype(np.int64)]
                 first = s[np.argsort(lv, kind="stable")[:k]] if lv.any() else s[:k]
                 tokens.append(first)
-                owners.append(np.full(k, fingerprint(s)[0], np.int64))
+                owners.append(np.full(k, who[0], np.int64))
                 held += k
-            if held > 500_000:
+            if held > 250_000:
                 yield rows(tokens, owners)
                 tokens, owners, held = [], [], 0
         if held:
@@ -185,149 +199,291 @@ def _compare(similarity: int):
     return run
 
 
-def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs (x, y) that are similar, by their whole sets."""
-    kind = "struct<a: bigint, b: bigint>"
+_KIND = "struct<a: bigint, b: bigint>"
+
+
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, name: str) -> DataFrame:
+    """Those of the pairs (x, y) that are similar, by their whole sets; a written table."""
     sets = sets_of(docs, classes, pairs)
     two = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("members").alias("members_y")), "y")
-    return two.select("x", "y", "members", "members_y").mapInArrow(_compare(similarity), f"x {kind}, y {kind}")
+    out = written(two.select("x", "y", "members", "members_y").mapInArrow(_compare(similarity), f"x {_KIND}, y {_KIND}"), name)
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(x, c): for each end of the edges (x, y) the smallest one that it reaches. Each round takes labels over edges and then labels' labels."""
+    """(x, c): for each end of the edges (x, y) the smallest one that it reaches; a written table. Each round takes labels over edges and then labels' labels."""
     both = written(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")
-    labels = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("c")), "labels")
+    old = written(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("d")).select("x", F.lit(None).cast(_KIND).alias("c"), "d"), "labels")
     while True:
+        labels = old.select("x", F.col("d").alias("c"))
         near = both.join(labels.select(F.col("x").alias("y"), "c"), "y").groupBy("x").agg(F.min("c").alias("d"))
         step = labels.join(near, "x").select("x", "c", F.least("c", "d").alias("d"))
         jump = step.join(labels.select(F.col("x").alias("d"), F.col("c").alias("e")), "d", "left").select("x", "c", F.least(F.col("d"), F.coalesce("e", "d")).alias("d"))
         new = written(jump, "labels")
+        discard(old)
         if new.where("c <> d").isEmpty():
+            discard(both)
             return new.select("x", "c")
-        labels = new.select("x", F.col("d").alias("c"))
+        old = new
+
+
+def overlap(n: np.ndarray, m: np.ndarray, lack: np.ndarray, lack_m: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether sets of at most ``n`` and ``m`` members can be similar, of which so many at least aren't in the other."""
+    most = np.minimum(n - lack, m - lack_m)
+    return (most > 0) & (100 * most >= similarity * (n + m - most))
 
 
 class Tree:
-    """A signature tree over classes, in order of group and size."""
+    """A signature tree over classes given in order of group and size; group -1 is no group. Bitmaps are folded to the shortest width."""
 
     def __init__(self, n: np.ndarray, bits: np.ndarray, group: np.ndarray):
-        self.levels = [(n, n, bits, group)]
+        self.levels = [(n, n, bits, bits, group)]
         while len(self.levels[-1][0]) > 1:
-            low, high, b, g = self.levels[-1]
+            low, high, any_, all_, g = self.levels[-1]
             cut = range(0, len(low), FAN)
             same = np.array([g[i] if (g[i : i + FAN] == g[i]).all() else -1 for i in cut])
-            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(b, cut, 0), same))
-
-    def pairs(self, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of leaves, the first before the second, that no bound rules out."""
-        x = y = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            if level < len(self.levels) - 1:  # children of the pairs of nodes left
-                size = len(self.levels[level][0])
-                x, y = (np.repeat(x, FAN * FAN) * FAN + np.tile(np.repeat(np.arange(FAN), FAN), len(x)), np.repeat(y, FAN * FAN) * FAN + np.tile(np.arange(FAN), len(y) * FAN))
-                there = (x < size) & (y < size) & (x <= y)
-                x, y = x[there], y[there]
-            keep = []
-            for i in range(0, len(x), 100_000):
-                keep.append(self._room(level, x[i : i + 100_000], y[i : i + 100_000], similarity))
-            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-            x, y = x[keep], y[keep]
-        return x[x != y], y[x != y]
+            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.bitwise_or.reduceat(any_, cut, 0), np.bitwise_and.reduceat(all_, cut, 0), same))
 
-    def _room(self, level: int, x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
-        low, high, bits, group = self.levels[level]
-        ok = (group[x] < 0) | (group[x] != group[y])
-        ok &= (high[x] * 100 >= low[y] * similarity) & (high[y] * 100 >= low[x] * similarity)
+    def room(self, other: Tree, up: int, x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+        """Whether classes of nodes ``x`` here and ``y`` there, at level ``up``, can be similar and of different groups."""
+        (low, high, any_, all_, group), (low_y, high_y, any_y, all_y, group_y) = self.levels[up], other.levels[up]
+        ok = ((group[x] < 0) | (group[x] != group_y[y])) & (high[x] * 100 >= low_y[y] * similarity) & (high_y[y] * 100 >= low[x] * similarity)
         at = np.flatnonzero(ok)
-        a, b = bits[x[at]], bits[y[at]]
-        if level == 0:  # members that the other surely lacks, at least one for each bit
-            n, m = low[x[at]], low[y[at]]
-            most = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            ok[at] = (most > 0) & (100 * most >= similarity * (n + m - most))
-        else:  # members that any of the other node's classes can share, where each bit stands for one at least: none without a shared bit
-            ok[at] = np.bitwise_count(a & b).any(1)
+        x, y = x[at], y[at]
+        lack = np.bitwise_count(all_[x] & ~any_y[y]).sum(1, dtype=np.int64)
+        lack_y = np.bitwise_count(all_y[y] & ~any_[x]).sum(1, dtype=np.int64)
+        # the overlap is at most the size less what must be lacking, and the union at least the smallest size that can stand against it
+        big, big_y, small_, small_y = high[x], high_y[y], low[x], low_y[y]
+        ok[at] = (big > lack) & (big_y > lack_y) & (100 * (big - lack) >= similarity * (small_y + lack)) & (100 * (big_y - lack_y) >= similarity * (small_ + lack_y))
         return ok
 
+    def pairs(self, other: Tree | None = None, similarity: int = SIMILARITY):
+        """Pairs of leaves that no bound rules out, in arrays of bounded size: of this tree, the first before the second, or with one of another. Depth first."""
+        there = self if other is None else other
+        top = max(len(self.levels), len(there.levels)) - 1
+        for tree in (self, there):
+            while len(tree.levels) <= top:
+                tree.levels.append(tree.levels[-1])
+        work = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while work:
+            up, x, y = work.pop()
+            if len(x) > CHUNK:
+                work += [(up, x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
+                continue
+            keep = self.room(there, up, x, y, similarity)
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            if up == 0:
+                if other is None:
+                    x, y = x[x < y], y[x < y]
+                yield x, y
+                continue
+            down, down_y = self._children(up), there._children(up)
+            for i in range(0, len(x), max(1, CHUNK // (FAN * FAN))):
+                a, b = x[i : i + max(1, CHUNK // (FAN * FAN))], y[i : i + max(1, CHUNK // (FAN * FAN))]
+                a, b = np.repeat(a, down * down_y) * down + np.tile(np.repeat(np.arange(down), down_y), len(a)), np.repeat(b, down * down_y) * down_y + np.tile(np.arange(down_y), len(b) * down)
+                ok = (a < len(self.levels[up - 1][0])) & (b < len(there.levels[up - 1][0]))
+                if other is None:
+                    ok &= a <= b
+                work.append((up - 1, a[ok], b[ok]))
+
+    def _children(self, up: int) -> int:
+        return 1 if self.levels[up] is self.levels[up - 1] else FAN
+
+
+class Signatures:
+    """Sizes and bitmaps of a part's classes, for bounds on pairs at the width of the larger one."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n = n
+        rows = [np.frombuffer(x, np.uint64) for x in bits]
+        self.words = np.array([len(r) for r in rows], np.int64)
+        self.short = np.stack([folded(r, WORDS64) for r in rows]) if rows else np.zeros((0, WORDS64), np.uint64)
+        self.wide: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in set(self.words.tolist()) - {WORDS64}:  # those of this width or twice that
+            at = np.flatnonzero((self.words == w) | (self.words == 2 * w))
+            place = np.zeros(len(rows), np.int64)
+            place[at] = np.arange(len(at))
+            self.wide[w] = (place, np.stack([folded(rows[i], w) for i in at]))
+
+    def room(self, x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
+        """Whether classes ``x`` and ``y`` can be similar."""
+        ok = (self.n[x] * 100 >= self.n[y] * similarity) & (self.n[y] * 100 >= self.n[x] * similarity)
+        width = np.minimum(self.words[x], self.words[y])
+        for w in np.unique(width[ok]).tolist():
+            every = np.flatnonzero(ok & (width == w))
+            place, rows = self.wide.get(w, (None, self.short))
+            step = max(1, CHUNK * WORDS64 // w)
+            for i in range(0, len(every), step):
+                at = every[i : i + step]
+                a, b = (rows[z[at]] if place is None else rows[place[z[at]]] for z in (x, y))
+                ok[at] = overlap(self.n[x[at]], self.n[y[at]], np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64), similarity)
+        return ok
+
+
+def _roomy(similarity: int):
+    """Pairs (x, y) of rows with sizes n and m and bitmaps, but for those that can't be similar."""
+
+    def run(batches):
+        for b in slices(batches, 4096):
+            k = b.num_rows
+            n = np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m")])
+            both = Signatures(n, b.column("bits").to_pylist() + b.column("bits_y").to_pylist())
+            ok = both.room(np.arange(k), np.arange(k, 2 * k), similarity)
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
 
 _PAIRS = "xa bigint, xb bigint, ya bigint, yb bigint, n bigint, m bigint, shared bigint"
 
 
 def _trees(similarity: int):
-    def run(t: pa.Table) -> pa.Table:
-        """The pairs of one part of the open meetings that no bound rules out, and how many meetings of the part they share."""
-        col = {c: t.column(c).to_numpy() for c in ("token", "a", "b", "ca", "cb", "n", "slice")}
-        ids, inverse = np.unique(np.stack([col["a"], col["b"]]), axis=1, return_inverse=True)
-        inverse = inverse.reshape(-1)
-        one = np.zeros(ids.shape[1], np.int64)
-        one[inverse] = np.arange(len(inverse))
-        n = col["n"][one].astype(np.int64)
-        bits = np.stack([np.frombuffer(x, np.uint64) for x in t.column("bits").take(pa.array(one)).to_pylist()])
-        _, group = np.unique(np.stack([col["ca"][one], col["cb"][one]]), axis=1, return_inverse=True)
-        group = group.reshape(-1)
-        order = np.lexsort((n[inverse], group[inverse], col["slice"], col["token"]))
-        cut = np.flatnonzero((np.diff(col["token"][order]) != 0) | (np.diff(col["slice"][order]) != 0)) + 1
-        meetings = Counter(tuple(x.tolist()) for x in np.split(inverse[order], cut))  # many meetings are of the same classes
-        out: Counter = Counter()
-        for who, times in meetings.items():
-            who = np.array(who)
-            x, y = Tree(n[who], bits[who], group[who]).pairs(similarity)
-            for pair in zip(np.minimum(who[x], who[y]).tolist(), np.maximum(who[x], who[y]).tolist()):
-                out[pair] += times
-        x, y = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
-        return pa.table({"xa": ids[0][x], "xb": ids[1][x], "ya": ids[0][y], "yb": ids[1][y], "n": n[x], "m": n[y], "shared": np.array([*out.values()], np.int64)})
+    def run(seats: pa.Table, t: pa.Table) -> pa.Table:
+        """The pairs of one part of the open meetings that no bound rules out, and how many meetings of the part they share. ``t`` has the classes."""
+        t = t.sort_by([("a", "ascending")])
+        a, b, n, group = (t.column(c).to_numpy() for c in ("a", "b", "n", "g"))
+        known = Signatures(n, t.column("bits").to_pylist())
+        token, slice_, side, who = (seats.column(c).to_numpy() for c in ("token", "slice", "side", "a"))
+        first, last = np.searchsorted(a, who, "left"), np.searchsorted(a, who, "right")  # more than one where sets share the filed half of their hash
+        row = np.repeat(np.arange(len(who)), last - first)
+        who = np.arange(len(row)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[row]
+        token, slice_, side = token[row], slice_[row], side[row]
+        order = np.lexsort((n[who], group[who], side, slice_, token))
+        token, slice_, side, who = token[order], slice_[order], side[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (slice_[1:] != slice_[:-1])]))
+        size = np.diff(np.append(first, len(token)))
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []  # as x * classes + y, and how often
+        held = 0
+
+        def add(x: np.ndarray, y: np.ndarray, times: int = 1) -> None:
+            nonlocal held
+            other = (group[x] < 0) | (group[x] != group[y])
+            code, count = np.unique((np.minimum(x, y) * len(n) + np.maximum(x, y))[other], return_counts=True)
+            pairs.append((code, count * times))
+            held += len(code)
+            if held > 2_000_000:
+                merge()
+
+        def merge() -> None:
+            nonlocal pairs, held
+            code, at = np.unique(np.concatenate([c for c, _ in pairs]), return_inverse=True)
+            pairs = [(code, np.bincount(at, np.concatenate([k for _, k in pairs]), len(code)).astype(np.int64))]
+            held = 0
+
+        plain = side[first] == 0
+        for k in np.unique(size[plain & (size <= FEW)]).tolist():  # all pairs of small meetings at once
+            at = first[plain & (size == k)]
+            left, right = np.triu_indices(k, 1)
+            step = max(1, 500_000 // max(1, len(left)))
+            for i in range(0, len(at), step):
+                rows = who[at[i : i + step][:, None] + np.arange(k)]
+                add(rows[:, left].ravel(), rows[:, right].ravel())
+        same: dict[tuple[bytes, int], int] = {}  # many large meetings are of the same classes
+        for f, k in zip(first[~plain | (size > FEW)].tolist(), size[~plain | (size > FEW)].tolist()):
+            key = (who[f : f + k].tobytes(), 0 if side[f] == 0 else int((side[f : f + k] == 1).sum()) or -1)
+            same[key] = same.get(key, 0) + 1
+        tree = lambda i: Tree(n[i], known.short[i], group[i])
+        for (raw, cut), times in same.items():
+            m = np.frombuffer(raw, np.int64)
+            if cut == 0:
+                for x, y in tree(m).pairs(None, similarity):
+                    add(m[x], m[y], times)
+            elif 0 < cut < len(m):  # two blocks; pairs within one sit in another slice
+                for x, y in tree(m[:cut]).pairs(tree(m[cut:]), similarity):
+                    add(m[:cut][x], m[cut:][y], times)
+        if pairs:
+            merge()
+        code, times = pairs[0] if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        x, y = code // max(1, len(n)), code % max(1, len(n))
+        ok = known.room(x, y, similarity)
+        x, y, times = x[ok], y[ok], times[ok]
+        return pa.table({"xa": a[x], "xb": b[x], "ya": a[y], "yb": b[y], "n": n[x], "m": n[y], "shared": times.astype(np.int64)})
 
     return run
 
 
-def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, parts: int, similarity: int) -> DataFrame:
+def dealt(seen: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``seen`` (token, a, g) with the ``slice`` of its meeting that a class sits in, and its ``side`` there.
+
+    A small meeting is one slice in which all sit on side 0. The classes of a larger one's largest group, and the others, are each cut into
+    blocks by hash; a slice has a block of the one on side 1 and a block of the other on side 2, or two blocks of the others, or one on side 0.
+    So any two classes that aren't both of that group share one slice.
+    """
+    large = sizes.where(F.col("size") > MEETING)
+    out = seen.where(F.col("size") <= MEETING).select("token", "a", "g", F.lit(0).cast("bigint").alias("slice"), F.lit(0).alias("side"))
+    if large.isEmpty():
+        return out
+    rows = seen.where(F.col("size") > MEETING).drop("size")
+    each = rows.groupBy("token", "g").agg(F.count("*").alias("n"))
+    most = each.groupBy("token").agg(F.max(F.when(F.col("g") >= 0, F.struct("n", "g"))).alias("m"), F.sum("n").alias("k")).select("token", F.col("m.g").alias("lead"), F.coalesce("m.n", F.lit(0)).alias("n"), "k")
+    most = most.select("token", "lead", F.ceil(F.col("n") / MEETING).alias("p"), F.ceil((F.col("k") - F.col("n")) / MEETING).alias("q")).where("q > 0")
+    x = rows.join(small(written(most, "large")), "token").withColumn("own", F.coalesce(F.col("g") == F.col("lead"), F.lit(False)))
+    x = x.withColumn("home", F.pmod(F.xxhash64("a"), F.when(F.col("own"), F.col("p")).otherwise(F.col("q"))))
+    lead_seats = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1), lambda j: F.struct((F.col("home") * F.col("q") + j).alias("slice"), F.lit(1).alias("side")))
+    with_lead = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("p") - 1), lambda i: F.struct((i * F.col("q") + F.col("home")).alias("slice"), F.lit(2).alias("side")))
+    pair = lambda j: F.col("p") * F.col("q") + F.least(j, F.col("home")) * F.col("q") + F.greatest(j, F.col("home"))
+    others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("q") - 1), lambda j: F.struct(pair(j).alias("slice"), F.when(j == F.col("home"), 0).when(F.col("home") < j, 1).otherwise(2).alias("side")))
+    x = x.withColumn("seat", F.explode(F.when(F.col("own"), lead_seats).when(F.col("p") > 0, F.concat(with_lead, others)).otherwise(others)))
+    return out.unionByName(x.select("token", "a", "g", "seat.slice", "seat.side"))
+
+
+def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
     """The pairs (x, y) of classes of different groups that meet, whose bounds leave room, and that meet as often as similar sets must."""
-    known = classes.join(groups, "x", "left").select("x", F.coalesce("c", "x").alias("c"), F.col("x.a").alias("a"))
-    rows = written(met.select("token", "a").join(known, "a").select("token", "x", "c"), "met_groups")
-    size = rows.groupBy("token", "c").agg(F.count("*").alias("n"))
-    size = size.groupBy("token").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("groups"), F.sum("n").alias("all")).where("groups > 1")
-    size = written(size.select("token", F.col("most.c").alias("most"), F.col("all").alias("size")), "open")
-    seen = join_unique(rows, size, "token", size.select("token", F.col("size").alias("n")), rows.count(), "inner")
-    # a large meeting is dealt over slices: classes of its largest group to one each, the others to all
-    slices_ = F.ceil(F.col("size") / MEETING).cast("int")
-    home = F.pmod(F.xxhash64("x"), slices_).cast("int")
-    seen = seen.withColumn("slice", F.explode(F.when(F.col("c") == F.col("most"), F.array(home)).otherwise(F.sequence(F.lit(0), slices_ - 1))))
-    full = seen.join(classes.select("x", "n", "bits"), "x")
-    flat = full.select("token", "slice", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("c.a").alias("ca"), F.col("c.b").alias("cb"), "n", "bits")
-    dealt = flat.withColumn("part", F.pmod(F.xxhash64("token", "slice"), F.lit(parts)))
-    found = dealt.groupBy("part").applyInArrow(_trees(similarity), _PAIRS)
-    total = found.groupBy("xa", "xb", "ya", "yb").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
+    known = classes.join(groups, "x", "left").select(F.col("x.a").alias("a"), F.xxhash64(F.coalesce("c", "x")).bitwiseAND((1 << 63) - 1).alias("g"))
+    known = known.groupBy("a").agg(F.when(F.count("*") == 1, F.min("g")).otherwise(-1).alias("g"))  # sets that share the filed half of their hash are taken as of no group
+    rows = written(met.select("token", "a").join(known, "a").select("token", "a", "g"), "met_groups")
+    sizes = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high or low = -1")
+    sizes = written(sizes.select("token", "size"), "open")
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    seen = join_unique(rows, sizes, "token", sizes.select("token", F.col("size").alias("n")), rows.count(), "inner", limit=LIMIT)
+    parts = max(8, -(-total // OPEN))
+    seats = written(dealt(seen, sizes).withColumn("part", F.pmod(F.xxhash64("token", "slice"), F.lit(parts))), "seats")
+    sitting = again(seats).select("part", "a", "g").distinct().join(classes.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), "n", "bits"), "a")
+    found = seats.select("part", "token", "slice", "side", "a").groupBy("part").cogroup(sitting.groupBy("part")).applyInArrow(_trees(similarity), _PAIRS)
+    pairs = found.groupBy("xa", "xb", "ya", "yb").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
     # of a and b with n and m members at least c are common, so of the filed ones of that which files the shorter way c - (n - filed)
     filed = lambda k: F.col(k) - F.ceil(F.col(k) * similarity / 100) + 1
     both = F.ceil((F.col("n") + F.col("m")) * similarity / (100 + similarity))
     enough = F.least(both - F.col("n") + filed("n"), both - F.col("m") + filed("m"))
-    return total.where(F.col("shared") >= enough).select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y"))
+    pairs = pairs.where(F.col("shared") >= enough).select(F.struct(F.col("xa").alias("a"), F.col("xb").alias("b")).alias("x"), F.struct(F.col("ya").alias("a"), F.col("yb").alias("b")).alias("y"))
+    out = written(pairs, "pairs")
+    discard(rows, sizes, seats)
+    return out
 
 
 def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     spark = docs.sparkSession
-    texts = own(docs, "doc_id", "text")
-    level, filed = sketch(docs)
-    parts = max(8, -(-filed // PART))
-    every = written(texts.mapInArrow(_classes, _CLASSES), "classes").select("doc_id", "n", F.struct("a", "b").alias("x"), "bits")
+    every = written(own(docs, "doc_id", "text").mapInArrow(_classes, _CLASSES), "classes")
+    level, filed = levels(every.where("strip is not null").select("strip", "counts", "filed"))
+    every = every.where("strip is null").select("doc_id", "n", F.struct("a", "b").alias("x"), "bits")
     rows = every.select("doc_id", "n", "x")
     classes = written(every.where("n > 0 and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("bits").alias("bits")), "sets")
+    parts = max(8, -(-filed // PART))
     files = own(docs, "text").where("text is not null").mapInArrow(_file(spark.sparkContext.broadcast(level), parts), "part bigint, tokens binary, owners binary")
     met = written(files.groupBy("part").applyInArrow(_meet, _MET), "met")
+    # leaders, and the classes that follow them
     twins = classes.groupBy(F.col("x.a").alias("a")).agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1")  # different sets, equal in the half of the hash that is filed
-    by_a = classes.select("x", "n", F.col("x.a").alias("a"))
+    by_a = classes.select("x", "n", F.col("x.a").alias("a"), "bits")
     degree = met.groupBy("a").agg(F.sum("others").alias("degree"))
     led = met.select("token", "a").join(degree, "a").groupBy("token").agg(F.max(F.struct("degree", "a")).alias("lead"), F.count("*").alias("n"))
     led = written(led.select("token", F.col("lead.a").alias("leader"), "n"), "leaders")
-    follow = join_unique(met.select("token", "a"), led.drop("n"), "token", led.select("token", "n"), met.count(), "inner").where("a <> leader")
+    follow = join_unique(met.select("token", "a"), led.drop("n"), "token", led.select("token", "n"), met.count(), "inner", limit=LIMIT).where("a <> leader")
     best = follow.groupBy("a", "leader").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "leader")).alias("best")).select("a", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
-    stars = best.join(by_a, "a").where("k * 25 > n").join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader"), F.col("n").alias("m")), "leader")  # those that meet little are left to the trees
-    stars = stars.where(f"n * 100 >= m * {similarity} and m * 100 >= n * {similarity}").select("x", "y")
+    stars = best.join(by_a, "a").where("k * 25 > n").drop("a")  # those that meet little are left to the trees
+    stars = stars.join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("bits_y")), "leader").select("x", "y", "n", "m", "bits", "bits_y")
+    stars = stars.mapInArrow(_roomy(similarity), f"x {_KIND}, y {_KIND}")
     stars = written(stars.unionByName(by_a.join(twins, "a").where("x <> y").select("x", "y")), "stars")
-    links = written(compared(docs, classes, stars, similarity), "links")
-    groups = written(components(links), "groups")
-    pairs = written(open_pairs(met, classes, groups, parts, similarity), "pairs")
-    more = written(compared(docs, classes, pairs, similarity), "more")
+    links = compared(docs, classes, stars, similarity, "links")
+    groups = components(links)
+    discard(led, stars, links)
+    # the rest
+    pairs = open_pairs(met, classes, groups, similarity)
+    discard(met)
+    more = compared(docs, classes, pairs, similarity, "more")
     merged = more.join(groups.select("x", "c"), "x", "left").select("y", F.coalesce("c", "x").alias("x"))
     merged = merged.join(groups.select(F.col("x").alias("y"), "c"), "y", "left").select("x", F.coalesce("c", "y").alias("y"))
     same = classes.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1").select("doc_id", "y")  # one document with several texts
@@ -335,9 +491,11 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     top = components(merged.unionByName(same)).select(F.col("x").alias("c"), F.col("c").alias("top"))
     final = classes.join(groups, "x", "left").withColumn("c", F.coalesce("c", "x")).join(top, "c", "left").select("x", "doc_id", "copies", F.coalesce("top", "c").alias("c"))
     final = written(final, "final")
-    least = final.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    discard(classes, pairs, more)
+    least = written(final.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "components")
     named = join_unique(final, least.select("c", "component_id"), "c", least.select("c", "n"), final.count(), "inner")
     named = written(named.select("x", "component_id", "copies"), "named")
+    discard(final, least)
     out = join_unique(rows, named.select("x", "component_id"), "x", named.select("x", F.col("copies").alias("n")), rows.count(), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -1,7 +1,7 @@
 """Word shingles of texts as sorted 64-bit hashes, computed over many texts at once.
 
 Words are what lies between ASCII white space, with A-Z in lower case. A word's hash is a polynomial in its bytes, a shingle's a mixed sum of
-its words' hashes, each with a factor of its place.
+its words' hashes, each with a factor of its place. Working memory is some tens of bytes for each byte of the texts taken at once, about 1 MB or one text.
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ import numpy as np
 
 WORDS = 5
 _BASE = 0x100000001B3 * 0x9E3779B97F4A7C15 % 2**64 | 1
-_BACK = pow(_BASE, -1, 2**64)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
+_powers = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,15 +22,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """1, base, base**2 ... modulo 2**64, ``n`` of them at least."""
-    if base not in _powers or len(_powers[base]) < n:
-        out, step = np.ones(1, np.uint64), np.uint64(base)
-        while len(out) < n:
-            out = np.concatenate([out, out * step])
-            step = step * step
-        _powers[base] = out
-    return _powers[base]
+def _power(n: int) -> np.ndarray:
+    """Powers of the base, for the ``n`` bytes of the longest word; those of common lengths are kept."""
+    global _powers
+    if len(_powers) >= n:
+        return _powers
+    with np.errstate(over="ignore"):
+        out = np.cumprod(np.full(max(256, n), _BASE, np.uint64))
+    if n <= 4096:
+        _powers = out
+    return out
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,11 +42,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.concatenate([[0], edge])
-    starts, ends = edge[::2], edge[1::2]
-    sums = np.zeros(len(data) + 1, np.uint64)
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     with np.errstate(over="ignore"):
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data))[: len(data)], out=sums[1:])
-        words = mix((sums[ends] - sums[starts]) * _power(_BACK, len(data))[starts] + (ends - starts).astype(np.uint64))
+        terms = (data[~space].astype(np.uint64) + np.uint64(1)) * _power(int(sizes.max()))[place]
+        words = mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
     return words, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]))
 
 
@@ -54,9 +56,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """For each text its distinct shingles, in order of their hashes; a text with fewer words is one shingle, one without words has none."""
     out: list[np.ndarray] = []
     at = 0
-    while at < len(texts):  # at most some 4 MB of text at once, whole texts
+    while at < len(texts):  # about 1 MB of text at once, whole texts
         stop, size = at, 0
-        while stop < len(texts) and (stop == at or size < 4 << 20):
+        while stop < len(texts) and (stop == at or size < 1 << 20):
             size += len(texts[stop] or "")
             stop += 1
         words, ends = word_hashes(texts[at:stop])

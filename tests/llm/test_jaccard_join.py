@@ -65,25 +65,69 @@ def test_equals_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def test_large_meetings_are_dealt_over_slices(spark, monkeypatch):
-    monkeypatch.setattr(jj, "MEETING", 8)
+@pytest.mark.parametrize("meeting", [1, 3, 8])
+def test_large_meetings_are_dealt_over_slices(spark, monkeypatch, meeting):
+    monkeypatch.setattr(jj, "MEETING", meeting)
     monkeypatch.setattr(jj, "PART", 500)
+    monkeypatch.setattr(jj, "OPEN", 300)
+    monkeypatch.setattr(jj, "FEW", 2)
+    monkeypatch.setattr(jj, "CHUNK", 70)
+    monkeypatch.setattr(jj, "WORDS64", 1)
     rows = corpus(3, 200)
     assert sorted(map(tuple, jj.similar_groups(documents(spark, rows)).collect()), key=str) == brute(rows)
 
 
-def test_tree_keeps_every_pair_that_is_similar():
+def test_each_pair_of_a_large_meeting_shares_one_slice(spark, monkeypatch):
+    monkeypatch.setattr(jj, "MEETING", 3)
+    r = random.Random(8)
+    for groups in ([1] * 9 + [2, 3, 4, 5, 6, 7, -1, -1], list(range(10)), [4] * 11, [-1] * 7, [1, 2]):
+        seen = [(7, a, g, len(groups)) for a, g in enumerate(groups)]
+        r.shuffle(seen)
+        got = jj.dealt(spark.createDataFrame(seen, "token bigint, a bigint, g bigint, size bigint"), spark.createDataFrame([(7, len(groups))], "token bigint, size bigint")).collect()
+        slices, pairs = {}, []
+        for x in got:
+            slices.setdefault(x.slice, []).append((x.side, x.a))
+        for seats in slices.values():
+            sides = {s for s, _ in seats}
+            pairs += [tuple(sorted((a, b))) for s, a in seats for t, b in seats if (a < b if sides == {0} else (s, t) == (1, 2))]
+            assert sides <= {0} or sides <= {1, 2}
+        want = {(a, b) for b in range(len(groups)) for a in range(b) if groups[a] < 0 or groups[a] != groups[b]}
+        assert len(pairs) == len(set(pairs)) and want <= set(pairs)
+
+
+@pytest.mark.parametrize("words", [1, 16])
+def test_bounds_keep_every_pair_that_is_similar(monkeypatch, words):
+    monkeypatch.setattr(jj, "WORDS64", words)
+    monkeypatch.setattr(jj, "CHUNK", 100)
     rows = corpus(4, 150)
-    sets = shingle_sets([t for _, t in rows])
-    sets = [s for s in sets if len(s)]
+    r = random.Random(14)
+    long = [f"w{i}" for i in range(900)]
+    rows += [(500 + k, " ".join(w if r.random() > k / 400 else f"v{r.random()}" for w in long)) for k in range(12)]
+    sets = [s for s in shingle_sets([t for _, t in rows]) if len(s)]
     n = np.array([len(s) for s in sets])
-    bits = np.stack([jj.bitmap(s) for s in sets])
+    known = jj.Signatures(n, [jj.bitmap(s).tobytes() for s in sets])
     group = np.arange(len(sets)) // 2
+    group[::7] = -1
+    differ = lambda i, j: group[i] != group[j] or group[i] < 0
+    similar = {(i, j) for j in range(len(sets)) for i in range(j) if jj.linked(common(sets[i], sets[j]), n[i], n[j])}
     order = np.lexsort((n, group))
-    x, y = jj.Tree(n[order], bits[order], group[order]).pairs()
-    got = {tuple(sorted(p)) for p in zip(order[x].tolist(), order[y].tolist())}
-    want = {(i, j) for j in range(len(sets)) for i in range(j) if group[i] != group[j] and jj.linked(common(sets[i], sets[j]), n[i], n[j])}
-    assert want <= got and len(got) < len(sets) ** 2 / 4
+    tree = lambda at: jj.Tree(n[at], known.short[at], group[at])
+    got = {tuple(sorted((order[a], order[b]))) for x, y in tree(order).pairs() for a, b in zip(x.tolist(), y.tolist())}
+    assert {p for p in similar if differ(*p)} <= got and len(got) < len(sets) ** 2 / 4
+    left, right = order[: len(order) // 3], order[len(order) // 3 :]
+    two = [tuple(sorted((left[a], right[b]))) for x, y in tree(left).pairs(tree(right)) for a, b in zip(x.tolist(), y.tolist())]
+    assert {p for p in similar if differ(*p) and len({*p} & {*left.tolist()}) == 1} <= set(two) and len(two) == len(set(two))
+    x, y = np.triu_indices(len(sets), 1)
+    ok = known.room(x, y, 75)
+    assert similar <= set(zip(x[ok].tolist(), y[ok].tolist())) and ok.sum() < len(x) / 4
+
+
+def test_inner_nodes_prune_by_what_must_be_lacking():
+    r = np.random.default_rng(1)
+    base = [np.unique(r.integers(0, 2**63, 400, dtype=np.uint64)) for _ in range(2)]
+    sets = [np.unique(np.concatenate([b[np.sort(r.choice(400, 385, False))], base[0][:5]])) for b in base for _ in range(8)]
+    tree = jj.Tree(np.array([len(s) for s in sets]), np.stack([jj.bitmap(s) for s in sets]), np.full(16, -1))
+    assert not tree.room(tree, 1, np.array([0]), np.array([1]), 75)[0] and tree.room(tree, 1, np.array([0]), np.array([0]), 75)[0]
 
 
 def test_edges(spark):
