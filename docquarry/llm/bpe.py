@@ -1,17 +1,23 @@
 """Operator 10: byte-level BPE encoding and decoding of whole texts by tree concatenation.
 
-Text is encoded piece by piece, as the pre-tokenizer splits it. A long piece that it leaves unsplit is cut into leaves, which are encoded in
-parallel; neighbours are put together level by level by encoding a window of tokens around the join, which grows until its first token equals
-the left half's token there and its last token the right half's. Every pair of neighbours in the result then is one that the merges leave
-apart, in which case they leave the whole row of tokens as it is.
+A long text is cut into leaves, at any character that isn't within a long unsplit stretch, and these are encoded in parallel; neighbours are put together level by level. Around each join a window
+of tokens of both sides is encoded anew and grows until both sides agree with it exactly: until in the window, on either side of the join, the
+tokens up to (or from) a place where no piece of the pre-tokenizer can go on, white space after a visible character, are the half's own tokens there.
+What lies beyond such a place doesn't depend on what lies before it, so the halves' other tokens stay.
 
-Null texts count as empty (no ids). The special string of the vocabulary inside a text is its special id, as the library has it by default.
+A long piece that the pre-tokenizer leaves unsplit has no such place. It is cut into leaves of bytes and joined in the same way, but for the
+agreement: the window's first token must equal the left half's there and its last the right half's. Every pair of neighbours in the result then is one
+that the merges leave apart, in which case they leave the whole row of tokens as it is.
+
+Null texts count as empty (no ids); an empty table gives an empty one. Texts of any length are encoded whole. The special string of the vocabulary inside
+a text is its special id, as the library has it by default. Repeated rows give repeated rows; other columns of the input aren't read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +28,10 @@ MODEL = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: The vocabulary's special string and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Bytes of an unsplit piece up to which it is a leaf of the tree.
-LEAF = 1024
+#: Characters of a text, or bytes of an unsplit piece, up to which it is a leaf of the tree.
+LEAF = 2048
+#: Where no piece goes on after the first of two characters, whatever stands around them.
+_places = re.compile(r"[!-~][ \t\n\r]")
 
 
 class Encoder:
@@ -40,7 +48,7 @@ class Encoder:
         self._plain, self._piece, self.bytes = core.encode_ordinary, core.encode_single_piece, core.decode_bytes
         self._pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.leaf = leaf
-        self._pool = ThreadPoolExecutor(threads)
+        self._pool, self._texts = ThreadPoolExecutor(threads), ThreadPoolExecutor(threads)  # a leaf of a text may wait for those of a piece
 
     def _unsplit(self, text: str) -> bool:
         """True if a run of ``leaf`` characters may be all white space or all without: of any such run this looks at a half that has one word at most."""
@@ -48,7 +56,63 @@ class Encoder:
         return any(len(text[i : i + half].split(None, 1)) < 2 for i in range(0, len(text) - half + 1, half))
 
     def plain(self, text: str) -> list[int]:
-        """The ids of a text in which no string is special."""
+        """The ids of a text in which no string is special: leaves in parallel, then joins by levels."""
+        if len(text) <= self.leaf:
+            return self.leaf_ids(text)
+        cuts = [0, *self._cuts(text), len(text)]
+        rows = list(self._texts.map(self.leaf_ids, [text[a:b] for a, b in zip(cuts, cuts[1:])]))
+        while len(rows) > 1:
+            rows = [self.join_texts(rows[i], rows[i + 1]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
+        return rows[0]
+
+    def _cuts(self, text: str) -> list[int]:
+        """Where leaves end: every ``leaf`` characters if there is a place on both sides nearby where no piece goes on, else at the next such place."""
+        out, at, near = [], self.leaf, max(2, self.leaf // 2)
+        while at < len(text):
+            if not (_places.search(text, max(0, at - near), at) and _places.search(text, at, at + near)):
+                m = _places.search(text, at)
+                if not m:
+                    break
+                at = m.start() + 1
+            out.append(at)
+            at += self.leaf
+        return [x for x in out if x < len(text)]
+
+    def join_texts(self, a: list[int], b: list[int]) -> list[int]:
+        """The ids of the texts that ``a`` and ``b`` are the ids of, put together."""
+        if not a or not b or _apart(self.bytes(a[-1:]), self.bytes(b[:1])):
+            return a + b
+        i = j = 4
+        while True:
+            i, j = min(i, len(a)), min(j, len(b))
+            raw = self.bytes(a[len(a) - i :]), self.bytes(b[:j])
+            try:
+                text = (raw[0] + raw[1]).decode()
+            except UnicodeDecodeError:  # an end of the window lies within a character
+                i, j = 2 * i, 2 * j
+                continue
+            mid = self.leaf_ids(text)
+            left = 0 if i == len(a) else self._agreed(a[len(a) - i :], mid, len(raw[0]), 1)
+            right = 0 if j == len(b) else self._agreed(b[:j], mid, len(raw[1]), -1)
+            if left is not None and right is not None:
+                return a[: len(a) - i + left] + mid[left : len(mid) - right] + b[j - right :]
+            i, j = i * (2 if left is None else 1), j * (2 if right is None else 1)
+
+    def _agreed(self, half: list[int], mid: list[int], size: int, way: int) -> int | None:
+        """How many tokens ``half`` and ``mid`` share from their start (or, ``way`` -1, their end) up to the farthest place within ``size`` bytes where no piece can go on; None if there is none."""
+        found, at, before = None, 0, b""
+        for k, (x, y) in enumerate(zip(half[::way], mid[::way])):
+            raw = self.bytes([x])
+            if k and at <= size and _apart(*((before, raw) if way > 0 else (raw, before))):
+                found = k
+            if x != y:
+                break
+            at += len(raw)
+            before = raw
+        return found
+
+    def leaf_ids(self, text: str) -> list[int]:
+        """The ids of a text by the library, but for long unsplit pieces."""
         if not self._unsplit(text):
             return self._plain(text)
         out: list[int] = []
@@ -91,6 +155,11 @@ class Encoder:
         return self.bytes(ids).decode("utf-8", "replace")
 
 
+def _apart(a: bytes, b: bytes) -> bool:
+    """Whether between tokens ``a`` and ``b`` no piece can go on: white space after a visible character begins one, whatever stands around."""
+    return 0x20 < a[-1] < 0x7F and b[0] in b" \t\n\r"
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 

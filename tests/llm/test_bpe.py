@@ -28,6 +28,23 @@ def test_encodes_and_decodes_as_the_library(library, leaf):
         assert e.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_go_through_the_tree(library):
+    r = random.Random(21)
+    joins = []
+
+    class Counted(bpe.Encoder):
+        def join_texts(self, a, b):
+            joins.append(1)
+            return super().join_texts(a, b)
+
+    for leaf in (1, 2, 7, 40, 200):
+        e = Counted(tokenizer_path(bpe.RANKS), leaf)
+        for _ in range(150):
+            s = "".join(r.choice(WORDS[:19] + [" the", " quick", "brown.", "\u00a0", "\u3000", "don't", "  12", "\n\n "]) for _ in range(r.randint(0, 60)))
+            assert e.encode(s) == library.encode(s, add_special_tokens=False).ids, (leaf, s)
+    assert len(joins) > 2000
+
+
 def test_tree_takes_leaves_apart(library):
     e = bpe.Encoder(tokenizer_path(bpe.RANKS), 64)
     s = "supercalifragilistic" * 5000
