@@ -5,8 +5,12 @@ hashed to ``BUCKETS`` weights for each language; transitions between the languag
 whole texts of a bounded sample of labelled documents and joins runs of words from texts of several languages, so that switches occur.
 Labels come by forward-backward: each word gets its probabilities given all of its text, and a text the language with the highest mean over its words.
 
+The gradient is that of the log-likelihood: counts of words' languages and of neighbours' pairs of languages, less what forward-backward expects of them.
+
 A text that is null or has no letter is ``und`` with score 0. Rows with a null language are labelled like others but not learned from. With no
-labelled rows at all every text is ``und``. Texts are labelled whole; a worker remembers a bounded number of words' features.
+labelled rows at all every text is ``und``; an empty table gives an empty one. Texts are labelled whole, however long; a worker remembers a bounded number of
+words' features. Repeated rows give repeated rows; of languages that score the same the first by name is told. Other columns of the input aren't read
+by ``label``, whatever their names, and stay as they are in ``told``.
 """
 
 from __future__ import annotations
@@ -41,7 +45,12 @@ def features(word: str) -> list[int]:
 
 
 def _chain(step: np.ndarray, start: np.ndarray, first: np.ndarray, trans: np.ndarray, lane: int = LANE) -> np.ndarray:
-    """Probabilities of each word's languages by forward-backward over a row of texts.
+    """Probabilities of each word's languages, as ``_marginals`` gives them."""
+    return _marginals(step, start, first, trans, lane)[0]
+
+
+def _marginals(step: np.ndarray, start: np.ndarray, first: np.ndarray, trans: np.ndarray, lane: int = LANE, edges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each word's languages by forward-backward over a row of texts, and, if ``edges``, those of neighbours' pairs of languages added up.
 
     ``step`` are the words' factors, ``first`` is True where a text begins (the chain starts anew there). The row is cut into lanes that
     are done side by side: first each lane's product of step matrices, then what comes into each from both ends, then the words.
@@ -72,24 +81,30 @@ def _chain(step: np.ndarray, start: np.ndarray, first: np.ndarray, trans: np.nda
         b = b / b.sum()
     out = np.empty((lanes, lane, size))
     a = into
+    before = np.empty((lanes, lane, size)) if edges else None
     for t in range(lane):
+        if edges:
+            before[:, t] = a
         nxt = a @ trans
         r = new[:, t]
         if r.any():
             nxt[r] = a[r].sum(1, keepdims=True) * start
         nxt *= e[:, t]
         a = out[:, t] = nxt / nxt.sum(1, keepdims=True)
-    b = back
+    b, pairs = back, np.zeros((size, size))
     for t in range(lane - 1, -1, -1):
         out[:, t] *= b
         eb = e[:, t] * b
         nxt = eb @ trans.T
         r = new[:, t]
+        if edges and not r.all():  # forward up to the word before, the transition, and all from this word on
+            pair = before[~r, t, :, None] * trans * eb[~r, None, :]
+            pairs += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
         if r.any():
             nxt[r] = (eb[r] @ start)[:, None]
         b = nxt / nxt.sum(1, keepdims=True)
     out = out.reshape(-1, size)[:n]
-    return out / out.sum(1, keepdims=True)
+    return out / out.sum(1, keepdims=True), pairs
 
 
 class Model:
@@ -155,7 +170,7 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) ->
             step = np.exp(score - score.max(1, keepdims=True))
             t_p = np.exp(trans - trans.max())
             s_p = np.exp(start - start.max())
-            p = _chain(step, s_p, new, t_p)
+            p, pairs = _marginals(step, s_p, new, t_p, edges=True)
             g = p.copy()
             g[np.arange(len(y)), y] -= 1
             per_word = np.stack([np.bincount(inv, g[:, k], len(uniq)) for k in range(size)], 1)
@@ -164,10 +179,9 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) ->
             sq_w[cell] += grad**2
             weights[cell] -= RATE * grad / np.sqrt(sq_w[cell])
             prev = np.flatnonzero(~new)
-            pair = p[prev - 1][:, :, None] * p[prev][:, None, :]  # neighbours as if independent given the text: enough for the few transitions
             want = np.zeros((size, size))
             np.add.at(want, (y[prev - 1], y[prev]), 1)
-            gt = (pair.sum(0) - want) / max(1, len(prev)) * 10
+            gt = (pairs - want) / max(1, len(prev)) * 10
             sq_t += gt**2
             trans -= RATE * gt / np.sqrt(sq_t)
             gs = (p[new].sum(0) - np.bincount(y[new], minlength=size)) / max(1, new.sum())

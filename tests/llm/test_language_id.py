@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -44,6 +45,51 @@ def test_lanes_give_what_plain_forward_backward_gives():
         assert np.allclose(li._chain(step, start, first, trans, lane=16), plain(step, start, first, trans))
 
 
+def weight(step, start, first, trans, y):
+    """What a sequence of languages weighs."""
+    out = 1.0
+    for t, k in enumerate(y):
+        out *= (start[k] if first[t] else trans[y[t - 1], k]) * step[t, k]
+    return out
+
+
+def test_marginals_are_those_of_all_sequences_and_the_gradient():
+    r = np.random.default_rng(5)
+    for n, lane in ((1, 4), (6, 2), (7, 3), (7, 16)):
+        step, trans, start = r.random((n, 3)) + 0.05, r.random((3, 3)) + 0.05, r.random(3) + 0.05
+        first = np.arange(n) % 4 == 0
+        every = list(itertools.product(range(3), repeat=n))
+        z = lambda tr: sum(weight(step, start, first, tr, y) for y in every)
+        words, pairs = li._marginals(step, start, first, trans, lane, edges=True)
+        w = np.array([weight(step, start, first, trans, y) for y in every]) / z(trans)
+        want_words = np.array([[sum(p for p, y in zip(w, every) if y[t] == k) for k in range(3)] for t in range(n)])
+        want = np.zeros((3, 3))
+        for p, y in zip(w, every):
+            for t in range(1, n):
+                if not first[t]:
+                    want[y[t - 1], y[t]] += p
+        assert np.allclose(words, want_words) and np.allclose(pairs, want)
+        for i, k in ((0, 1), (2, 2)):  # the expected count is the slope of log Z in the logarithm of the transition's factor
+            up, down = trans.copy(), trans.copy()
+            up[i, k] *= np.exp(1e-5)
+            down[i, k] *= np.exp(-1e-5)
+            assert np.isclose((np.log(z(up)) - np.log(z(down))) / 2e-5, pairs[i, k], atol=1e-6)
+
+
+def test_texts_are_labelled_as_by_the_plain_model(model):
+    """Whole texts with a plain forward-backward over plain features."""
+    for text_ in (text(EN, 900), text(DE, 901, 300), " ".join(EN[:8] + DE[:9]), "12 the, 34 der"):
+        tokens = text_.split()
+        words = [li.letters(t) for t in tokens]
+        rows = []
+        for w in words:
+            s = np.mean([model.weights[f] for f in li.features(w)], 0) * 8 if w else np.zeros(len(model.langs))
+            rows.append(np.exp(s - s.max()))
+        p = plain(np.array(rows), model.start, np.arange(len(rows)) == 0, model.trans)[[bool(w) for w in words]].mean(0)
+        lang, score = li.Labeller(model).languages([text_])[0]
+        assert lang == model.langs[int(p.argmax())] and np.isclose(score, p.max())
+
+
 def test_labels_words_of_code_switched_text(model):
     s = " ".join(EN[:10] + DE[:10] + EN[10:20])
     runs = li.Labeller(model).spans([s])[0]
