@@ -4,12 +4,16 @@ The test items are the indexed side: an inverted index with BM25 impacts, each d
 passage scores about 1 whatever its length. Every passage (overlapping windows of words, wide enough that any item lies whole in one) is a
 query that retrieves all items scoring at least ``min_score``. A passage in which the terms that few items have can't
 make up what the others may lack for any item is passed over, the rest goes through block-max WAND, which skips blocks of postings by their largest impact.
-An item retrieved counts if its 5-word shingles, those of its question and answer together, lie in the passage to ``min_overlap`` at least.
-Where the item, its question or its answer has fewer than 5 words, all its words are one shingle.
+An item retrieved counts if its question and its answer are each in the passage: of the 5-word shingles of either, ``min_overlap`` at least. A part of fewer
+than 5 words is one shingle of all its words; an item without an answer counts by its question alone, and the other way round.
 The question and answer are the item's columns of those names if it has them, else its text up to its last sentence and that sentence.
 
-Words are lower-cased and without punctuation at their ends. Null and empty texts hold nothing, items without words are never found. Repeated
-rows of documents count once for each (doc_id, item_id).
+Words are what lies between white space, lower-cased and without punctuation at their ends; what is punctuation only is no word. A large test set is searched in
+blocks of items; the number of items, their mean length and how many have a term are those of all items, so scores don't depend on the blocks.
+
+Null and empty texts hold nothing, items without words are never found; empty tables give no rows. Texts of any length are searched whole. Items with a null
+id are found like others. ``contaminated`` gives repeated rows of documents once for each (doc_id, item_id), null ids too; ``clean`` keeps or drops each row by its own text.
+Other columns aren't read, whatever their names, and stay as they are in ``clean``.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, slices, small, table, written
+from .common import own, slices, table, written
 
 MIN_SCORE, MIN_OVERLAP, SHINGLE = 0.5, 0.75, 5
 K1, B = 1.2, 0.75
@@ -55,19 +59,18 @@ def question_and_answer(text: str | None) -> tuple[str, str]:
 
 
 class Index:
-    """Postings of one block of items: (item_id, question, answer)."""
+    """Postings of one block of items: (item_id, question, answer). ``corpus`` has the number, mean length and document frequencies of all items, if there are others."""
 
-    def __init__(self, items: list[tuple[int, str, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP):
+    def __init__(self, items: list[tuple[int | None, str, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, corpus: tuple[int, float, dict[str, int]] | None = None):
         self.min_score, self.min_overlap = min_score, min_overlap
         kept = [(i, q, a) for i, q, a in ((i, words_of(q), words_of(a)) for i, q, a in items) if q or a]
         self.ids = [i for i, _, _ in kept]
-        #: Of each item, its question and its answer: the words of a shingle, fewer where the part has fewer, and the shingles.
-        self.parts = [tuple((min(SHINGLE, len(x)), shingles(x)) for x in (q + a, q, a)) for _, q, a in kept]
+        #: Of each item the words of it all, of its question and of its answer.
+        self.parts = [(q + a, q, a) for _, q, a in kept]
         bags = [Counter(q + a) for _, q, a in kept]
-        n, mean = len(bags), sum(map(Counter.total, bags)) / max(1, len(bags))
-        df = Counter(t for bag in bags for t in bag)
-        self.vocabulary = {t: k for k, t in enumerate(sorted(df), 1)}
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(len(df) + 1)]
+        n, mean, df = corpus or (len(bags), sum(map(Counter.total, bags)) / max(1, len(bags)), Counter(t for bag in bags for t in bag))
+        self.vocabulary = {t: k for k, t in enumerate(sorted({t for bag in bags for t in bag}), 1)}
+        postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.vocabulary) + 1)]
         #: Items' shares of their own score by terms that over ``often`` items have.
         often, shared = max(2, n // 50), [0.0] * n
         for i, bag in enumerate(bags):
@@ -82,7 +85,7 @@ class Index:
         self.most = [max(p, default=0.0) for p in self.impacts]
         self.blocks = [[max(p[k : k + POSTINGS]) for k in range(0, len(p), POSTINGS)] for p in self.impacts]
         #: Postings of the terms that few items have, term after term, and what these must add to each item's score, whatever the others add.
-        few = [p if 0 < len(p) <= often else [] for p in postings]
+        few = [[], *[postings[k] if df[t] <= often else [] for t, k in self.vocabulary.items()]]
         self.count = np.array([len(p) for p in few])
         self.first = np.cumsum(self.count) - self.count
         self.item = np.array([i for p in few for i, _ in p], np.int64)
@@ -154,72 +157,114 @@ class Index:
         enough = np.bincount(which, np.concatenate([impact, impact]), len(found)) >= self.needed[found % len(self.ids)]
         return [k for k in np.unique(found[enough] // len(self.ids)).tolist() if 0 <= k < passages]
 
-    def verify(self, item: int, words: list[str]) -> tuple[float, float, float]:
-        """Parts of the item's, its question's and its answer's shingles that are in a passage of these words."""
-        there = {n: shingles(words, n) for n in {n for n, _ in self.parts[item]} if n}
-        return tuple(len(x & there[n]) / len(x) if x else 0.0 for n, x in self.parts[item])
+    def verify(self, item: int, words: list[str]) -> tuple[float, float, float] | None:
+        """Parts of the item's, its question's and its answer's shingles that are in a passage of these words; None if the question's or the answer's are too few."""
+        there: dict[int, set] = {}
+        out = []
+        for part in self.parts[item]:
+            n = min(SHINGLE, len(part))
+            if n and n not in there:
+                there[n] = shingles(words, n)
+            own_ = shingles(part, max(1, n))
+            out.append(len(own_ & there[n]) / len(own_) if n else 0.0)
+        return tuple(out) if all(x >= self.min_overlap for x, part in zip(out[1:], self.parts[item][1:]) if part) else None
 
     def find(self, words: list[str], ids: np.ndarray) -> list[tuple]:
-        """(item_id, score, overlap, question_overlap, answer_overlap) of the items within a text, each from the passage that holds most of it."""
+        """(item_id, score, overlap, question_overlap, answer_overlap) of the items within a text of these words, each from the passage that holds most of it."""
         best: dict[int, tuple] = {}
         spans = self.passages(len(words))
         for k in self.promising(ids, len(spans)):
             a, b = spans[k]
             terms = {int(x) for x in ids[a:b]} - {0}
             for item, score in self.search(sorted(terms)):
-                found = self.verify(item, [x for w in words[a:b] if (x := normal(w))])
-                if found[0] >= self.min_overlap and (item not in best or found[0] > best[item][2]):
+                found = self.verify(item, [normal(w) for w in words[a:b]])
+                if found and (item not in best or found[0] > best[item][2]):
                     best[item] = (self.ids[item], round(score, 9), *(round(x, 9) for x in found))
         return [best[i] for i in sorted(best)]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+class Reader:
+    """Finds an index's items in texts; a worker remembers a bounded number of words."""
 
+    def __init__(self, index: Index):
+        self.index = index
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) for each document and the items found in it."""
-    spark = docs.sparkSession
-    if {"question", "answer"} <= set(benchmark.columns):
-        items = own(benchmark, "item_id", "question", "answer")
-    else:
-        items = own(benchmark, "item_id", "text").select("item_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
-    split = "answer" not in benchmark.columns
-    n = items.count()
-    blocks = max(1, -(-n // block_items))
-    parts = []
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()  # about block_items rows
-        triples = sorted((r.item_id, *(question_and_answer(r.question) if split else (r.question, r.answer))) for r in rows if r.item_id is not None)
-        shared = spark.sparkContext.broadcast(triples)
-        parts.append(own(docs, "doc_id", "text").mapInArrow(_finder(shared, min_score, min_overlap), "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double"))
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
-    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
+        class Words(dict):
+            def __missing__(self, word):
+                if len(self) >= REMEMBER:
+                    self.clear()
+                plain = normal(word)
+                n = self[word] = index.vocabulary.get(plain, 0) if plain else -1
+                return n
+
+        self.known = Words()
 
+    def find(self, text: str | None) -> list[tuple]:
+        words = (text or "").split()
+        if not words or not self.index.ids:
+            return []
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if (ids < 0).any():
+            words = [w for w, i in zip(words, ids.tolist()) if i >= 0]
+            ids = ids[ids >= 0]
+        return self.index.find(words, ids) if words else []
 
 
+_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("overlap", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+
 
-def _finder(shared, min_score: float, min_overlap: float):
+_WORDS = "size bigint, block int, words array<string>"
+
+
+def _item_words(split: bool):
     def run(batches):
-        index = Index(shared.value, min_score, min_overlap)
+        for b in slices(batches):
+            rows = zip(*[c.to_pylist() for c in b.columns])
+            out = [(words_of(q) if split else words_of(q) + words_of(a), block) for q, a, block in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int32()), pa.array([sorted(set(w)) for w, _ in out], pa.list_(pa.string()))], ["size", "block", "words"])
+
+    return run
+
+
+def indexes(benchmark: DataFrame, min_score: float, min_overlap: float, block_items: int):
+    """An index for each block of about ``block_items`` items, which is what the driver holds at a time."""
+    split = not {"question", "answer"} <= set(benchmark.columns)
+    items = own(benchmark, "item_id", *(["text"] if split else ["question", "answer"])).toDF("item_id", "question", *([] if split else ["answer"]))
+    if split:
+        items = items.withColumn("answer", F.lit(None).cast("string"))
+    blocks = max(1, -(-items.count() // block_items))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(blocks)).cast("int"))
+    if blocks > 1:
+        words = written(items.select("question", "answer", "block").mapInArrow(_item_words(split), _WORDS), "item-words").where("size > 0")
+        n, mean = words.agg(F.count("*"), F.avg("size")).first()
+        each = words.select("block", F.explode("words").alias("word"))
+        df = written(each.groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+    for block in range(blocks):
+        rows = items.where(F.col("block") == block).collect()  # about block_items rows
+        corpus = None
+        if blocks > 1:
+            corpus = (n, float(mean or 0), dict(df.join(each.where(F.col("block") == block).select("word").distinct(), "word").collect()))  # the terms of these rows
+        triples = [(r.item_id, *(question_and_answer(r.question) if split else (r.question, r.answer))) for r in rows]
+        yield Index(sorted(triples, key=lambda x: (x[0] is None, *map(str, x))), min_score, min_overlap, corpus)
 
-        class Words(dict):
-            def __missing__(self, word):
-                if len(self) >= REMEMBER:
-                    self.clear()
-                n = self[word] = index.vocabulary.get(normal(word), 0)
-                return n
 
-        known = Words()
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap) for each document and the items found in it."""
+    found = None
+    for index in indexes(benchmark, min_score, min_overlap, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        part = own(docs, "doc_id", "text").mapInArrow(_finder(shared), "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
+
+
+def _finder(shared):
+    def run(batches):
+        reader = Reader(shared.value)
         for b in slices(batches):
             out = defaultdict(list)
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = (text or "").split()
-                if not words or not index.ids:
-                    continue
-                ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                for row in index.find(words, ids):
+                for row in reader.find(text):
                     for f, x in zip(_OUT, (doc, *row)):
                         out[f.name].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _OUT], schema=_OUT)
@@ -227,10 +272,22 @@ def _finder(shared, min_score: float, min_overlap: float):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
-    found = contaminated(docs, benchmark, **limits).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(small(written(found, "contaminated")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that hold no test item. Rows stay where they are."""
+    text = docs.columns.index("text")
+
+    def without(shared):
+        def run(batches):
+            reader = Reader(shared.value)
+            for b in slices(batches):
+                yield b.filter(pa.array([not reader.find(x) for x in b.column(text).to_pylist()], pa.bool_()))
+
+        return run
+
+    schema = docs.schema
+    for index in indexes(benchmark, min_score, min_overlap, block_items):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(index)), schema)
+    return docs
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

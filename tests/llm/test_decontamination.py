@@ -47,11 +47,13 @@ def test_items_are_found_in_documents(spark):
     half = " ".join(items[7][1].split()[: len(items[7][1].split()) // 2])
     docs += [(100, half), (101, None), (102, ""), (103, "x " * 50_000 + items[3][1]), (103, "x " * 50_000 + items[3][1])]
     want.add((103, 3))
-    bench = spark.createDataFrame([*items, (900, None), (901, " "), (None, "a b")], "item_id bigint, text string")
+    docs += [(104, "x | y"), (None, text(10) + " a b " + text(10))]
+    bench = spark.createDataFrame([*items, (900, None), (901, " "), (None, "zyx wvu")], "item_id bigint, text string")
     got = dc.contaminated(documents(spark, docs, extra=True), bench).collect()
     assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
     assert all(x.overlap >= 0.75 and x.score >= 0.5 for x in got)
-    assert {(x.doc_id, x.item_id) for x in dc.contaminated(documents(spark, docs), bench, block_items=10).collect()} >= want
+    assert sorted(map(str, dc.contaminated(documents(spark, docs), bench, block_items=10).collect())) == sorted(map(str, got))
+    assert {x.doc_id for x in dc.clean(documents(spark, docs), bench, block_items=10).collect()} == {d for d, _ in docs} - {d for d, _ in want}
     assert dc.contaminated(documents(spark, []), bench).collect() == []
     assert dc.contaminated(documents(spark, docs), bench.where("item_id < 0")).collect() == []
 
@@ -66,3 +68,23 @@ def test_short_items_and_short_answers(spark):
     assert all(x.overlap == 1 for x in got.values())
     assert (got[12, 3].question_overlap, got[12, 3].answer_overlap) == (1, 1)
     assert {x.doc_id for x in dc.clean(documents(spark, docs), bench).collect()} == {14, 15, 16}
+
+
+def test_question_and_answer_are_verified_each(spark):
+    r = random.Random(16)
+    question, answer, filler = [[f"{k}{r.randrange(1000)}" for _ in range(n)] for k, n in (("q", 60), ("a", 6), ("f", 30))]
+    item = " ".join(question) + "? " + " ".join(answer) + "."
+    docs = [(1, " ".join(question + filler)), (2, " ".join(question) + "? " + " ".join(answer)), (3, " ".join([*question, *filler[:9], *answer])), (4, " ".join(answer)), (5, " ".join(question[:20] + answer))]
+    bench = spark.createDataFrame([(1, item), (None, " ".join(filler[:12]))], "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in dc.contaminated(documents(spark, docs), bench).collect()} == {(2, 1), (3, 1), (1, None)}
+    assert {x.doc_id for x in dc.clean(documents(spark, [*docs, (None, docs[1][1]), (None, "clean"), (4, item)], extra=True), bench).collect()} == {4, 5, None}
+
+
+def test_punctuation_between_words_takes_no_room():
+    r = random.Random(17)
+    item = [f"w{r.randrange(10**6)}" for _ in range(70)]
+    index = dc.Index([(1, " ".join(item), "")])
+    for marks in (" ", " | ", " | - ", " .. | -- "):
+        for at in range(0, 300, 7):
+            reader = dc.Reader(index)
+            assert [x[0] for x in reader.find(" ".join(["out"] * at) + " " + marks.join(item) + " end")] == [1], (marks, at)
