@@ -4,7 +4,8 @@ Each page is a WARC record, a gzip member of its own; of pages with equal payloa
 sorts captures by reversed-host URL key into compressed blocks. A sparse directory holds each block's first key, and a short list each
 directory's; a look-up searches both and then the block by bisection and reads one range of the archive.
 
-A null html is an empty payload, a null url the key ``-``. Pages with equal payloads of ``MIN_REVISIT`` bytes or more revisit that with the smallest
+A null html is an empty payload, a null url the key ``-``; an empty table gives no archives and no rows. Payloads of any length are one record each, held
+in memory one at a time. Other columns aren't read, whatever their names. Pages with equal payloads of ``MIN_REVISIT`` bytes or more revisit that with the smallest
 page_id; a null page_id comes after all others. Rows repeated with their page_id and payload are alike, all response or all revisit.
 """
 
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import join_unique, own, shared_dir, slices, table, written
 
-#: Bytes from which equal payloads are revisited; lines of an index block; repeated payloads up to which the list of them is broadcast; gzip level.
-MIN_REVISIT, LINES, BROADCAST_ROWS, LEVEL = 0, 1024, 500_000, 4
+#: Bytes from which equal payloads are revisited; lines of an index block; gzip level.
+MIN_REVISIT, LINES, LEVEL = 0, 1024, 4
+#: Bytes of archives that one task reads back.
+READ = 4 << 20
+#: Bytes of a list of repeated payloads up to which it is broadcast.
+LIMIT = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -132,10 +137,7 @@ def _with_roles(pages: DataFrame, min_revisit: int) -> DataFrame:
     p = own(pages, "page_id", "url", "html").select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sum"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
     groups = p.where(F.col("size") >= min_revisit).groupBy("sum").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     groups = written(groups, "repeated")
-    if groups.count() <= BROADCAST_ROWS:
-        both = p.join(F.broadcast(groups.drop("n")), "sum", "left")
-    else:
-        both = join_unique(p, groups.drop("n"), "sum", groups.select("sum", "n"), p.count(), "left")
+    both = join_unique(p, groups.drop("n"), "sum", groups.select("sum", "n"), p.count(), "left", limit=LIMIT)
     return both.select("page_id", "url", "html", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)).alias("revisit"), "first")
 
 
@@ -243,8 +245,8 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, p) for u, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.string())], ["key"])
 
 
-def look_up(keys: DataFrame, parts: DataFrame, index_folder: str, archive_folder: str) -> DataFrame:
-    """The records of captures with these keys. Keys are looked up in their order, so that those of one block follow each other."""
+def look_up(keys: DataFrame, parts: DataFrame, index_folder: str, archive_folder: str, tasks: int = 1) -> DataFrame:
+    """The records of captures with these keys. Keys are looked up in their order, so that those of one block follow each other, in so many tasks."""
     spark = keys.sparkSession
     names = spark.sparkContext.broadcast([(r.first, r.name) for r in parts.collect()])  # one row for each task that wrote the index
     columns = [x.split()[0] for x in _ROWS.split(", ")]
@@ -255,7 +257,7 @@ def look_up(keys: DataFrame, parts: DataFrame, index_folder: str, archive_folder
             rows = [index.read(line) for key in b.column(0).to_pylist() for line in index.captures(key, key + "\0")]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], columns)
 
-    ordered = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    ordered = keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, _ROWS)
 
 
@@ -263,9 +265,11 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> Data
     """Archives the pages, indexes the captures and reads every page back through the index."""
     spark = pages.sparkSession
     archives, index = shared_dir(spark, "warc"), shared_dir(spark, "warc-index")
-    parts = write_index(write_archives(pages, archives, min_revisit), index)
+    captures = write_archives(pages, archives, min_revisit)
+    size = captures.agg(F.sum("length")).first()[0] or 0  # keys are short, what they point to isn't
+    parts = write_index(captures, index)
     keys = own(pages, "url", "page_id").mapInArrow(_keys, "key string")
-    return look_up(keys, parts, index, archives)
+    return look_up(keys, parts, index, archives, max(1, -(-size // READ)))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

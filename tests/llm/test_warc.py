@@ -53,7 +53,7 @@ def test_round_trip(spark):
 
 
 def test_shuffled_roles_and_repeated_rows(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(warc, "LIMIT", 0)
     rows = ROWS + ROWS[:2] + [(100 + i, f"http://hot.com/{i % 7}", "copy") for i in range(300)]
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages(spark, rows)).collect()), key=str)
     assert got == want(rows)
