@@ -65,8 +65,9 @@ def override_time(time: Column, source: Column, taken: Column) -> tuple[Column,
 def ignored(path: Column, folders: list[str] = IGNORED_FOLDERS, suffixes: list[str] = IGNORED_SUFFIXES) -> Column:
     """True for paths, relative to their root, that a scan passes over: hidden names but ``*.md`` and ``*.env``, and the suffixes and folders given."""
     name = file_name(path)
-    ext = F.regexp_extract(name, r"[^/\\](\.[^./\\]+)$", 1)
-    hidden = name.startswith(".") & ~ext.isin(".md", ".env")
+    written = F.regexp_extract(name, r"[^/\\](\.[^./\\]+)$", 1)
+    ext = F.lower(written)
+    hidden = name.startswith(".") & ~written.isin(".md", ".env")
     parts = F.split(path, r"[/\\]")
     return hidden | ext.isin(suffixes) | name.isin([s for s in suffixes if s.count(".") > 1 or s[1:2].isupper()]) | F.arrays_overlap(parts, F.array(*[F.lit(x) for x in folders]))
 

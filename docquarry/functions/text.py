@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Accented letters and what they are folded to for search.
-ACCENTED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüýÿñç", "aaaaaaeeeeiiiiooooouuuuyync"
+def _folding() -> tuple[str, str]:
+    """Lower-case Latin letters with diacritics and the letters below them; then combining marks, which have none and go."""
+    pairs = {}
+    for n in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        c = chr(n).lower()
+        below = unicodedata.normalize("NFD", c)[0]
+        if len(c) == 1 and below != c and "a" <= below <= "z":
+            pairs[c] = below
+    return "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values())
+
+
+#: Accented letters and what they are folded to for search; what is beyond the second string's end is left out.
+ACCENTED, PLAIN = _folding()
 
 
 def word_runs(text: Column) -> Column:

@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hamming_similarity
+from ..functions.text import hamming_similarity, hash_bits
 
 #: Bits by which near duplicates may differ: similarity of at least 0.9 of 64 bits.
 DISTANCE = 6
@@ -102,8 +102,32 @@ def dup_stats(sizes: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("groups"), F.coalesce(F.sum("total_size"), zero).alias("wasted_bytes"), F.coalesce(F.sum("reclaimable"), zero).alias("reclaimable"))
 
 
-def listing(members: DataFrame, items: DataFrame, review: DataFrame | None = None) -> DataFrame:
-    """One row a group with its members nested, best first; the smallest id is the primary candidate. ``review`` is (group_key, item_id, review_status)."""
+def typed_groups(groups: dict[str, DataFrame]) -> DataFrame:
+    """Members (group_key, item_id, similarity) of several types of groups as one table with ``group_type``."""
+    out = None
+    for kind, members in groups.items():
+        x = members.select(F.lit(kind).alias("group_type"), "group_key", "item_id", F.col("similarity").cast("double").alias("similarity"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored members (group_type, group_key, item_id, similarity) after new groups: a group found again takes its new members, one not found stays."""
+    key = ["group_type", "group_key"]
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def image_groups(items: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Near duplicates among live images by ``phash``, as ``near_groups`` gives them."""
+    x = items.where("is_deleted = 0 and file_type_group = 'image' and phash is not null").select("item_id", hash_bits(F.col("phash")).alias("h"))
+    return near_groups(x, distance, "phash")
+
+
+def listing(members: DataFrame, items: DataFrame, review: DataFrame | None = None, similar: bool = False, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """One row a group with its members nested, best first; the smallest id is the primary candidate. ``review`` is (group_key, item_id, review_status).
+
+    Groups of equal files come by total size, ``similar`` ones by their number of members.
+    """
     x = members.join(items.select("item_id", "file_name", "full_path", "size_bytes"), "item_id")
     if review is not None:
         x = x.join(review, ["group_key", "item_id"], "left")
@@ -111,7 +135,8 @@ def listing(members: DataFrame, items: DataFrame, review: DataFrame | None = Non
         x = x.withColumn("review_status", F.lit(None).cast("string"))
     m = F.struct((-F.col("similarity")).alias("order"), "item_id", "file_name", "full_path", "size_bytes", F.coalesce("review_status", F.lit("pending")).alias("review_status"))
     g = x.groupBy("group_key").agg(F.count("*").alias("item_count"), F.sum("size_bytes").alias("total_size"), F.min("item_id").alias("primary_id"), F.sort_array(F.collect_list(m)).alias("members"))
-    return g.orderBy(F.desc("total_size"), "group_key")
+    g = g.orderBy(F.desc("item_count" if similar else "total_size"), "group_key")
+    return g if limit is None else g.offset(offset).limit(limit)
 
 
 def set_review(review: DataFrame, group_key: str, item_id: int, status: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,16 @@ from ..functions.text import once, search_tokens, spread
 from .search import phrase_tokens, scored
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local one only in local mode where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp()
+    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
 def postings(items: DataFrame, columns: list[str], key: str = "item_id") -> DataFrame:
     """(token, key, col, positions) of all tokens of the columns, one row for each token of an item's column."""
     x = once(spread(items.select(key, *columns)), [F.col(key)], cols=F.array(*[F.struct(F.lit(i).alias("col"), search_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for i, c in enumerate(columns)]))

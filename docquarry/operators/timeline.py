@@ -17,15 +17,19 @@ def bucket(ts: Column, zoom: str) -> Column:
     return F.date_format(F.timestamp_seconds(ts), FORMATS[zoom])
 
 
+def _live(items: DataFrame) -> DataFrame:
+    return items.where("is_deleted = 0") if "is_deleted" in items.columns else items
+
+
 def buckets(items: DataFrame, zoom: str, time: str = "best_time_ts", size: str = "size_bytes") -> DataFrame:
-    """Count, bytes and range of times for each bucket; items without a time are in none."""
-    x = items.where(F.col(time).isNotNull()).select(bucket(F.col(time), zoom).alias("bucket"), time, size)
+    """Count, bytes and range of times for each bucket; deleted items and those without a time are in none."""
+    x = _live(items).where(F.col(time).isNotNull()).select(bucket(F.col(time), zoom).alias("bucket"), time, size)
     return x.groupBy("bucket").agg(F.count("*").alias("item_count"), F.coalesce(F.sum(size), F.lit(0)).alias("total_size"), F.min(time).alias("min_ts"), F.max(time).alias("max_ts"))
 
 
 def rollup(items: DataFrame, time: str = "best_time_ts", size: str = "size_bytes") -> DataFrame:
     """All zooms at once, in one pass: (zoom, bucket, item_count, total_size)."""
-    x = items.where(F.col(time).isNotNull()).select(size, *[bucket(F.col(time), z).alias(z) for z in FORMATS])
+    x = _live(items).where(F.col(time).isNotNull()).select(size, *[bucket(F.col(time), z).alias(z) for z in FORMATS])
     g = x.groupingSets([[F.col("year")], [F.col("month")], [F.col("day")]], "year", "month", "day").agg(F.count("*").alias("item_count"), F.coalesce(F.sum(size), F.lit(0)).alias("total_size"))
     zoom = F.when(F.col("day").isNotNull(), "day").when(F.col("month").isNotNull(), "month").otherwise("year")
     return g.select(zoom.alias("zoom"), F.coalesce("day", "month", "year").alias("bucket"), "item_count", "total_size")
@@ -42,7 +46,7 @@ def bucket_range(label: str) -> tuple[int, int]:
 
 def bucket_items(items: DataFrame, label: str, limit: int = 200, time: str = "best_time_ts", key: str = "item_id") -> DataFrame:
     a, b = bucket_range(label)
-    return items.where((F.col(time) >= a) & (F.col(time) < b)).orderBy(F.desc(time), key).limit(limit)
+    return _live(items).where((F.col(time) >= a) & (F.col(time) < b)).orderBy(F.desc(time), key).limit(limit)
 
 
 def with_bar(df: DataFrame, count: str = "item_count") -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import files, formatting
 from .functions.phash import phash_matrix
-from .functions.text import ACCENTED, PLAIN, hamming_similarity, hash_bits, simhash
-from .operators import dedup, folders, listing, search, stats, timeline
+from .functions.text import ACCENTED, PLAIN, hamming_similarity, hash_bits, once, simhash
+from .functions.text import search_tokens as text_tokens
+from .operators import dedup, folders, index, listing, search, stats, timeline
 from .operators.filters import Filters, glob, like, like_pattern
-from .plans import rag, settings
+from .plans import dashboard, rag, settings
+from .sources import files as file_source
 from .sources.catalog import ITEMS_SQL, items, table
 from .streaming import ingest
 
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 PHRASE, TWO = "the of", "in the"
 _ITEMS = f"with items as ({ITEMS_SQL}) "
+ITEMS_SQL_AS = f"i as ({ITEMS_SQL})"
 
 
 def query(sql: str | None = None):
@@ -169,9 +172,42 @@ def images_with_gps(spark, d):
     return listing.list_images(items(spark, d), _meta(spark, d), filters=Filters(since_ts=640000000), has_gps=1).select("item_id", "sort_time_ts")
 
 
-@query("select d.doc_id, l.quality, l.toxic, substr(d.text, 1, 40) as head from documents d left join labels l on l.doc_id = d.doc_id")
+_DETAIL = """, c as (select item_id, substr(text, 1, 40) as content_preview from items where item_id % 3 <> 1),
+ m as (select event_id as item_id, event_type as title, case when event_id % 5 = 0 then '' when event_id % 5 = 1 then 'Direct' end as camera_model,
+  case event_id % 4 when 0 then '{"gps_lat": "1.25", "gps_lon": "-2.5", "model": "Inner"}' when 1 then 'not json' when 2 then '{"date_original": "2001:02:03 04:05:06", "camera_model": "Outer"}' end as meta_json from events where event_id % 2 = 0) """
+
+
+def _detail(spark, d):
+    e = F.col("event_id")
+    json = F.when(e % 4 == 0, '{"gps_lat": "1.25", "gps_lon": "-2.5", "model": "Inner"}').when(e % 4 == 1, "not json").when(e % 4 == 2, '{"date_original": "2001:02:03 04:05:06", "camera_model": "Outer"}')
+    meta = table(spark, d, "events").where(e % 2 == 0).select(e.alias("item_id"), F.col("event_type").alias("title"), F.when(e % 5 == 0, "").when(e % 5 == 1, "Direct").alias("camera_model"), json.alias("meta_json"))
+    return items(spark, d), items(spark, d).where("item_id % 3 <> 1").select("item_id", F.substring("text", 1, 40).alias("content_preview")), meta
+
+
+@query(_ITEMS + _DETAIL + """select i.item_id, c.content_preview, m.title, try_cast(case when json_valid(meta_json) then meta_json ->> '$.gps_lat' end as double) as gps_lat, try_cast(case when json_valid(meta_json) then meta_json ->> '$.gps_lon' end as double) as gps_lon,
+ case when json_valid(meta_json) then meta_json ->> '$.date_original' end as date_original, coalesce(nullif(camera_model, ''), case when json_valid(meta_json) then nullif(meta_json ->> '$.camera_model', '') end, case when json_valid(meta_json) then nullif(meta_json ->> '$.model', '') end) as camera from items i left join c using (item_id) left join m using (item_id)""")
 def item_detail(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic", F.substring("text", 1, 40).alias("head"))
+    return listing.item_detail(*_detail(spark, d)).select("item_id", "content_preview", "title", "gps_lat", "gps_lon", "date_original", "camera")
+
+
+@query(_ITEMS + _IMAGES + "select item_id, title, coalesce(taken_ts, best_time_ts, modified_ts) as sort_time_ts from items left join meta using (item_id) where file_type_group = 'image' and is_deleted = 0 and (coalesce(file_name, '') ilike '%ick%' or coalesce(full_path, '') ilike '%ick%' or coalesce(title, '') ilike '%ick%' or coalesce(camera_model, '') ilike '%ick%' or coalesce(meta_json, '') ilike '%ick%') order by 3 desc, 1 desc limit 100")
+def image_keyword(spark, d):
+    return listing.list_images(items(spark, d), _meta(spark, d), q="ICK").select("item_id", "title", "sort_time_ts")
+
+
+@query(_ITEMS + ", t as (select * from items where is_deleted = 0 and best_time_ts is not null) select " + _BUCKET.format("%Y") + " as bucket, count(*) as item_count, cast(sum(size_bytes) as bigint) as total_size, min(best_time_ts) as min_ts, max(best_time_ts) as max_ts from t group by 1")
+def timeline_live(spark, d):
+    return timeline.buckets(items(spark, d), "year")
+
+
+@query(_ITEMS + ", t as (select * from items where is_deleted = 0) select item_id, best_time_ts from t where " + _BUCKET.format("%Y") + " = '1995' order by best_time_ts desc, item_id limit 200")
+def timeline_live_items(spark, d):
+    return timeline.bucket_items(items(spark, d), "1995").select("item_id", "best_time_ts")
+
+
+@query(_ITEMS + "select file_type_group, string_agg(item_id, ',' order by item_id) as ids from items group by 1")
+def grouped_by_type(spark, d):
+    return stats.grouped_by_type(items(spark, d)).select("file_type_group", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("select event_id, props ->> '$.k' as k, json_extract_string(props, '$.nothing') as nothing from events")
@@ -213,9 +249,40 @@ def scan_ignore(spark, d):
     return table(spark, d, "pages").select("page_id", files.ignored(path).alias("skip"))
 
 
-@query(_ITEMS + "select item_id from items where full_path not like '/src1/en/%'")
+@query(_ITEMS + "select concat('/data', full_path) as full_path, substr(full_path, 2) as relative, concat('/data', parent_path) as parent_path, file_name, extension, file_type_group, size_bytes from items where full_path not like '/src1/en/%'")
 def nested_root_exclusion(spark, d):
-    return items(spark, d).where(~F.col("full_path").startswith("/src1/en/")).select("item_id")
+    """The paths as the file source gives them, below /data and without the root /data/src1/en in it; a sibling whose name begins alike stays."""
+    x = items(spark, d).select(F.concat(F.lit("file:/data"), "full_path").alias("path"), F.col("size_bytes").alias("length"), F.timestamp_seconds("modified_ts").alias("modificationTime"), F.lit(b"").alias("content"))
+    return file_source.described(x, "file:///data", ["file:///data/src1/en", "/data/src", "/other"]).select("full_path", "relative", "parent_path", "file_name", "extension", "file_type_group", "size_bytes")
+
+
+_EXIF = "with t as (select event_id, case event_id % 4 when 0 then strftime(ts, '%Y:%m:%d %H:%M:%S') when 1 then '2001:13:45 00:00:00' when 2 then 'x' end as v, ts from events) "
+
+
+@query(_EXIF + "select event_id, case event_id % 4 when 0 then cast(floor(epoch(ts)) as bigint) end as taken, round((event_id % 90 + 1 + (event_id % 60) / 60.0::double + (event_id % 37) / 3600.0::double) * case when event_id % 3 = 0 then -1 else 1 end, 7) as degrees from t")
+def exif_values(spark, d):
+    e = F.col("event_id")
+    v = F.when(e % 4 == 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).when(e % 4 == 1, "2001:13:45 00:00:00").when(e % 4 == 2, "x")
+    return table(spark, d, "events").select("event_id", files.epoch_of_exif(v).alias("taken"), files.degrees(e % 90 + 1, e % 60, e % 37, F.when(e % 3 == 0, "S").otherwise("N")).alias("degrees"))
+
+
+@query(_ITEMS + "select item_id, sha1(concat(item_id, ':', size_bytes, ':', modified_ts, ':', 256)) as thumbnail, case extension when '.txt' then 'text/plain' when '.md' then 'text/markdown' when '.html' then 'text/html' when '.pdf' then 'application/pdf' when '.jpg' then 'image/jpeg' when '.png' then 'image/png' when '.mp3' then 'audio/mpeg' when '.mp4' then 'video/mp4' else 'application/octet-stream' end as media, case when file_type_group in ('pdf', 'image', 'audio', 'video', 'office') then file_type_group when file_type_group in ('text', 'code') then 'text' when text <> '' then 'fallback-text' else 'unsupported' end as kind, substr(text, 1, 500) as page, trim(substr(text, 1, 400), concat(' ', chr(9), chr(10), chr(13))) as preview from items")
+def previews(spark, d):
+    x = items(spark, d)
+    token = files.change_token(F.col("size_bytes"), F.col("modified_ts"))
+    return x.select("item_id", file_source.thumbnail_key(F.col("item_id"), token, 256).alias("thumbnail"), files.media_type(F.col("extension")).alias("media"), formatting.preview_kind(F.col("extension"), F.col("text") != "").alias("kind"), file_source.text_page(F.col("text"), 500).alias("page"), formatting.preview(F.col("text")).alias("preview"))
+
+
+@query(_ITEMS + "select item_id, case when best_time_ts = 0 then '—' else strftime(to_timestamp(best_time_ts) at time zone 'UTC', '%Y-%m-%d') end as day, case when best_time_ts = 0 then '—' else strftime(to_timestamp(best_time_ts) at time zone 'UTC', '%Y-%m-%d %H:%M') end as minute from items")
+def format_dates(spark, d):
+    return items(spark, d).select("item_id", formatting.date(F.col("best_time_ts")).alias("day"), formatting.date_time(F.col("best_time_ts")).alias("minute"))
+
+
+@query(f"""with g as (select doc_id, concat('[Sheet: ', source, ']', chr(10), lang, ' | ', doc_id, '| ', n_chars, chr(10), chr(10), ' ', chr(10), 'x') as t from documents) select doc_id, cast(len(string_split(t, chr(10))) - 2 as integer) as lines, trim(string_split(string_split(t, chr(10))[2], '|')[3]) as third from g""")
+def preview_grid(spark, d):
+    t = F.concat(F.lit("[Sheet: "), "source", F.lit("]\n"), "lang", F.lit(" | "), F.col("doc_id").cast("string"), F.lit("| "), F.col("n_chars").cast("string"), F.lit("\n\n \nx"))
+    x = table(spark, d, "documents").select("doc_id", formatting.grid(t).alias("g"))
+    return x.select("doc_id", F.size("g").alias("lines"), F.col("g")[1][2].alias("third"))
 
 
 @query("select doc_id, case when n_chars is null or n_chars = 0 then '0 B' when n_chars < 1024 then printf('%d B', n_chars) when n_chars < 1048576 then printf('%.1f KB', floor(n_chars / 1024.0::double * 10 + 0.5) / 10) else printf('%.1f MB', floor(n_chars / 1048576.0::double * 10 + 0.5) / 10) end as size from documents")
@@ -278,6 +345,43 @@ def search_wildcard(spark, d):
     return search.search(items(spark, d), search.SearchRequest(q="doc_1*", filters=Filters(file_type="text"), search_content=False)).select("item_id")
 
 
+@query(_bm25_sql(["in", "the"]).replace("from documents)", "from documents)", 1) + ", " + ITEMS_SQL_AS + " select r.doc_id as item_id, round(r.score, 9) as score from r join i on i.item_id = r.doc_id where i.is_deleted = 0 and i.file_type_group = 'text' order by r.score, r.doc_id limit 50")
+def search_ranked(spark, d):
+    x = search.search(items(spark, d), search.SearchRequest(q="In THE", filters=Filters(file_type="text")), columns=["text"])
+    return x.select("item_id", F.round("score", 9).alias("score"))
+
+
+@query(_bm25_sql(["in", "the"]) + ", " + ITEMS_SQL_AS + " select r.doc_id as item_id, i.size_bytes from r join i on i.item_id = r.doc_id where i.is_deleted = 0 order by i.size_bytes desc, r.doc_id limit 30 offset 10")
+def search_ranked_by_size(spark, d):
+    return search.search(items(spark, d), search.SearchRequest(q="in the", order_by="size_bytes", limit=30, offset=10), columns=["text"]).select("item_id", "size_bytes")
+
+
+def _index(spark, d, docs):
+    folder = index.scratch(spark)
+    return index.TextIndex(spark, folder, ["text"], "doc_id").build(docs)
+
+
+@query(_bm25_sql(["the", "and"]) + "select doc_id, tf, round(score, 9) as score from r")
+def index_bm25(spark, d):
+    """As ``fts_bm25``, from a persisted index."""
+    return _rounded(_index(spark, d, table(spark, d, "documents")).bm25("The and"))
+
+
+@query(_bm25_sql(["the", "of"]).replace("from documents)", "from (select doc_id, case when doc_id % 7 = 0 then concat(text, ' the of') else text end as text from documents where doc_id % 5 <> 0))", 1) + "select doc_id, tf, round(score, 9) as score from r")
+def index_update(spark, d):
+    """The index after some texts have changed and others are gone."""
+    docs = table(spark, d, "documents")
+    x = _index(spark, d, docs)
+    x.update(docs.where("doc_id % 7 = 0 and doc_id % 5 <> 0").withColumn("text", F.concat("text", F.lit(" the of"))), docs.where("doc_id % 5 = 0"))
+    return _rounded(x.bm25("the of"))
+
+
+@query(f"with t as (select doc_id, regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+') as toks from documents) select doc_id, cast(len(toks) as integer) as n, list_aggregate(toks, 'string_agg', ' ') as folded from t where len(toks) > 0")
+def search_tokens(spark, d):
+    x = once(table(spark, d, "documents"), [F.col("doc_id")], toks=text_tokens(F.col("text")))
+    return x.where("size(toks) > 0").select("doc_id", F.size("toks").alias("n"), F.array_join("toks", " ").alias("folded"))
+
+
 @query(_ITEMS + "select item_id from items where is_deleted = 0 order by modified_ts desc, item_id limit 50")
 def search_blank(spark, d):
     return search.search(items(spark, d), search.SearchRequest(q="  ")).select("item_id")
@@ -373,11 +477,93 @@ def hamming(spark, d):
     return v.alias("a").join(v.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", hamming_similarity(F.col("a.h"), F.col("b.h")).alias("similarity"))
 
 
-@query()
+_PHASH = """with px as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as p from embeddings),
+ f as (select vec_id, u * 8 + w as k, sum(v * cos(pi() / 8 * (p // 8 + 0.5) * u) * cos(pi() / 8 * (p % 8 + 0.5) * w)) as f from px, range(8) a(u), range(8) b(w) where u * 8 + w > 0 group by all),
+ means as (select *, avg(f) over (partition by vec_id) as mean from f),
+ hashed as (select vec_id, printf('%016x', cast(sum(case when f > mean then 1::ubigint << (63 - k)::ubigint else 0::ubigint end) as ubigint)) as phash from means group by 1) """
+
+
+@query(_PHASH + "select vec_id, phash from hashed")
 def phash_from_matrix(spark, d):
     return table(spark, d, "embeddings").select("vec_id", phash_matrix(F.col("embedding").cast("array<double>")).alias("phash"))
 
 
+def _images(spark, d):
+    """Each matrix twice as images, the second with one bit of its hash changed, some deleted."""
+    x = phash_from_matrix(spark, d)
+    last = F.substring("phash", 16, 1)
+    other = F.concat(F.substring("phash", 1, 15), F.lower(F.hex(F.conv(last, 16, 10).cast("int").bitwiseXOR(1))))
+    both = x.select(F.col("vec_id").alias("item_id"), "phash").unionByName(x.select((F.col("vec_id") + 1_000_000).alias("item_id"), other.alias("phash")))
+    return both.withColumns({"file_type_group": F.lit("image"), "is_deleted": (F.col("item_id") % 9 == 0).cast("int")})
+
+
+@query(_PHASH + """, n as (select vec_id as item_id, ('0x' || phash)::ubigint as v from hashed union all select vec_id + 1000000, xor(('0x' || phash)::ubigint, 1::ubigint) from hashed),
+ live as (select * from n where item_id % 9 <> 0), near as (select a.item_id as a, b.item_id as b, 1 - bit_count(xor(a.v, b.v)) / 64.0::double as similarity from live a join live b on a.item_id < b.item_id and bit_count(xor(a.v, b.v)) <= 6)
+ select a, b, similarity from near""")
+def near_images(spark, d):
+    x = _images(spark, d).where("is_deleted = 0").select(F.col("item_id").alias("id"), hash_bits(F.col("phash")).alias("h"))
+    one = x.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    near = dedup.near_pairs(one.select(F.col("ids")[0].alias("id"), "h"))
+    ids = one.select(F.col("ids")[0].alias("id"), "ids")
+    across = near.join(ids.toDF("a", "xs"), "a").join(ids.toDF("b", "ys"), "b").select("similarity", "ys", F.explode("xs").alias("x")).select("similarity", "x", F.explode("ys").alias("y"))
+    within = one.where("size(ids) > 1").select("ids", F.explode("ids").alias("x")).select(F.lit(1.0).alias("similarity"), "x", F.explode("ids").alias("y")).where("x < y")
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+
+
+@query("""with recursive """ + _PHASH.removeprefix("with ") + """, n0 as (select vec_id as item_id, ('0x' || phash)::ubigint as v from hashed union all select vec_id + 1000000, xor(('0x' || phash)::ubigint, 1::ubigint) from hashed),
+ n as (select item_id, v, row_number() over (order by item_id) as k from n0 where item_id % 9 <> 0),
+ step as (select 0::bigint as k, null::bigint as id, null::bigint as seed, []::struct(s bigint, v ubigint)[] as seeds
+   union all
+   select k + 1, id, seed, case when seed = id then list_append(seeds, {'s': id, 'v': v}) else seeds end from (
+     select p.k, n.item_id as id, n.v, coalesce(list_filter(p.seeds, lambda x: bit_count(xor(x.v, n.v)) <= 6)[1].s, n.item_id) as seed, p.seeds from step p join n on n.k = p.k + 1)),
+ m as (select id, seed from step where id is not null), big as (select seed from m group by 1 having count(*) > 1)
+ select concat('phash_', seed) as group_key, id as item_id from m join big using (seed)""")
+def near_image_groups(spark, d):
+    return dedup.image_groups(_images(spark, d)).select("group_key", "item_id")
+
+
+_GROUPS = _ITEMS + ", g as (select sha256(text) as group_key, count(*) as item_count, cast(sum(size_bytes) as bigint) as total_size, min(item_id) as primary_id, list_sort(list(item_id)) as members from items group by 1 having count(*) > 1) "
+
+
+def _exact(spark, d):
+    x = items(spark, d).withColumn("sha256", F.sha2("text", 256))
+    return dedup.exact_groups(x).select("group_key", F.explode("members").alias("item_id"), F.lit(1.0).alias("similarity")), x
+
+
+@query(_GROUPS + "select group_key, item_count, total_size, primary_id, array_to_string(members, ',') as members from g order by total_size desc, group_key limit 50 offset 5")
+def duplicate_listing(spark, d):
+    x = dedup.listing(*_exact(spark, d), limit=50, offset=5)
+    return x.select("group_key", "item_count", "total_size", "primary_id", F.array_join(F.transform("members", lambda m: m["item_id"].cast("string")), ",").alias("members"))
+
+
+@query(_GROUPS + "select group_key, item_count, total_size from g order by item_count desc, group_key limit 20")
+def similar_listing(spark, d):
+    return dedup.listing(*_exact(spark, d), similar=True, limit=20).select("group_key", "item_count", "total_size")
+
+
+@query(_GROUPS + ", m as (select group_key, unnest(members) as item_id from g), o as (select 'exact' as group_type, group_key, item_id from m where item_id % 3 <> 0 union all select 'exact', concat('gone_', item_id), item_id from m where item_id % 10 = 0) select * from o where group_key not in (select group_key from m) union all select 'exact', group_key, item_id from m")
+def groups_replaced(spark, d):
+    members, _ = _exact(spark, d)
+    new = dedup.typed_groups({"exact": members})
+    old = new.where("item_id % 3 <> 0").unionByName(new.where("item_id % 10 = 0").withColumn("group_key", F.concat(F.lit("gone_"), F.col("item_id").cast("string"))))
+    return dedup.replaced(old, new).select("group_type", "group_key", "item_id")
+
+
+@query(_GROUPS + ", m as (select group_key, unnest(members) as item_id from g) select group_key, item_id, case when item_id = (select min(item_id) from m) then 'keep' else 'pending' end as review_status from m where group_key = (select group_key from m order by item_id limit 1)")
+def review_status(spark, d):
+    members, x = _exact(spark, d)
+    first = members.orderBy("item_id").limit(1).collect()[0]
+    review = dedup.set_review(spark.createDataFrame([(first.group_key, first.item_id, "old")], "group_key string, item_id bigint, review_status string"), first.group_key, first.item_id, "keep")
+    one = dedup.listing(members, x, review).where(F.col("group_key") == first.group_key).select("group_key", F.explode("members").alias("m"))
+    return one.select("group_key", "m.item_id", "m.review_status")
+
+
+@query(_GROUPS + "select group_key, 1.0::double as similarity from g where list_contains(members, (select min(primary_id) from g))")
+def item_groups(spark, d):
+    members, _ = _exact(spark, d)
+    return dedup.memberships(members, members.agg(F.min("item_id")).first()[0])
+
+
 # Folders
 
 _TREE = """with recursive f as (select r_regionkey + 1 as vf_id, cast(null as integer) as parent_vf_id, r_name as name from region union all select n_nationkey + 100, n_regionkey + 1, n_name from nation),
@@ -414,6 +600,46 @@ def folder_delete(spark, d):
     return folders.delete(_folders(spark, d), _members(spark, d), 3)[0].select("vf_id", "name")
 
 
+_FOLDERS = "with f as (select r_regionkey + 1 as vf_id, cast(null as integer) as parent_vf_id, r_name as name from region union all select n_nationkey + 100, n_regionkey + 1, n_name from nation), m as (select c_nationkey + 100 as vf_id, c_custkey as item_id, 0 as added_ts from customer) "
+
+
+@query(_FOLDERS + "select vf_id, case when vf_id = 103 then null when vf_id = 2 then 3 else parent_vf_id end as parent_vf_id, case when vf_id = 104 then 'new name' else name end as name from f")
+def folder_update(spark, d):
+    f = folders.update(folders.update(_folders(spark, d), 104, name="new name"), 103, parent=None)
+    try:
+        folders.update(f, 3, parent=103 - 1)
+        folders.update(f, 2, parent=2)
+        raise AssertionError("a folder was moved below itself")
+    except ValueError:
+        return folders.update(f, 2, parent=3)
+
+
+@query(_FOLDERS + "select vf_id, parent_vf_id, name from f union all select 500, 3, 'made'")
+def folder_create(spark, d):
+    return folders.create(_folders(spark, d), 500, "made", 3)
+
+
+@query(_FOLDERS + "select vf_id, item_id, added_ts from m where not (vf_id = 105 and item_id = (select min(item_id) from m where vf_id = 105)) union all select distinct 1, item_id, 7 from m where item_id % 10 = 0")
+def folder_members(spark, d):
+    m = _members(spark, d)
+    new = m.where("item_id % 10 = 0").select(F.lit(1).alias("vf_id"), "item_id", F.lit(7).alias("added_ts"))
+    out = folders.add(folders.add(m, new.unionByName(new)), m.withColumn("added_ts", F.lit(9)))  # those there already keep their time
+    return folders.take_out(out, 105, m.where("vf_id = 105").agg(F.min("item_id")).first()[0])
+
+
+@query(_ITEMS + "select item_id, file_name, item_id % 4 as added_ts from items where is_deleted = 0 and item_id % 6 = 1 order by added_ts desc, item_id")
+def folder_items(spark, d):
+    x = items(spark, d)
+    m = x.select((F.col("item_id") % 6).cast("int").alias("vf_id"), "item_id", (F.col("item_id") % 4).alias("added_ts"))
+    return folders.items_in(m, x, 1).select("item_id", "file_name", "added_ts")
+
+
+@query(_FOLDERS + "select f.vf_id, f.name from f join m using (vf_id) where m.item_id = 17 union all select vf_id, name from f where vf_id = 2")
+def folders_of_item(spark, d):
+    m = _members(spark, d).unionByName(spark.createDataFrame([(2, 17, 0)], "vf_id int, item_id bigint, added_ts int"))
+    return folders.folders_of(m, _folders(spark, d), 17).select("vf_id", "name")
+
+
 # Ingestion
 
 _SPLIT = _ITEMS + """, o as (select full_path, size_bytes, created_ts, modified_ts from items where item_id % 3 <> 0), n as (select full_path, size_bytes + item_id % 2 as size_bytes, created_ts + 1 as created_ts, modified_ts from items where item_id % 5 <> 0) """
@@ -438,6 +664,43 @@ def upsert_merge(spark, d):
     return ingest.upsert(_old(spark, d), _new(spark, d))
 
 
+@query(_SPLIT + "select o.full_path, n.size_bytes as size_bytes, o.created_ts, coalesce(n.m2, o.modified_ts) as modified_ts from o left join (select full_path, size_bytes, case when size_bytes % 2 = 0 then modified_ts + 5 end as m2 from n) n using (full_path) where n.size_bytes is not null union all select o.full_path, o.size_bytes, o.created_ts, o.modified_ts from o where full_path not in (select full_path from n)")
+def fill_nulls(spark, d):
+    new = _new(spark, d).select("full_path", "size_bytes", F.when(F.col("size_bytes") % 2 == 0, F.col("modified_ts") + 5).alias("modified_ts"))
+    return ingest.fill(_old(spark, d), new, "full_path", ["size_bytes", "modified_ts"])
+
+
+@query(_ITEMS + "select item_id, case when is_deleted = 1 or item_id % 4 = 0 or full_path like '/src1/%' then 1 else 0 end as is_deleted from items")
+def soft_deleted(spark, d):
+    x = items(spark, d)
+    return ingest.soft_delete_root(ingest.soft_delete(x, x.where("item_id % 4 = 0")), "/src1").select("item_id", "is_deleted")
+
+
+@query(_ITEMS + ", o as (select * from items where item_id % 3 <> 0) select full_path from o where is_deleted = 0 and full_path not in (select full_path from items where item_id % 5 <> 0)")
+def vanished_items(spark, d):
+    return ingest.vanished(items(spark, d).where("item_id % 3 <> 0"), items(spark, d).where("item_id % 5 <> 0")).select("full_path")
+
+
+_JOBS = "with j as (select event_id as job_id, user_id as root_id, case event_type when 'click' then 'running' when 'view' then 'pending' when 'signup' then 'finalizing' else 'done' end as status, cast(floor(epoch(ts)) as bigint) as started_ts from events), r as (select distinct user_id as root_id, concat('/r', user_id) as root_path from events where user_id % 2 = 0) "
+
+
+def _jobs(spark, d):
+    t = F.col("event_type")
+    status = F.when(t == "click", "running").when(t == "view", "pending").when(t == "signup", "finalizing").otherwise("done")
+    return table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("root_id"), status.alias("status"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("started_ts"))
+
+
+@query(_JOBS + "select job_id, root_path, status, started_ts from j left join r using (root_id) where status <> 'done' order by started_ts desc, job_id desc")
+def active_jobs(spark, d):
+    roots = table(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").alias("root_id"), F.concat(F.lit("/r"), F.col("user_id").cast("string")).alias("root_path")).distinct()
+    return dashboard.active_jobs(_jobs(spark, d), roots).select("job_id", "root_path", "status", "started_ts")
+
+
+@query(_JOBS + "select job_id, status from j where status <> 'done' order by job_id")
+def resumable_jobs(spark, d):
+    return dashboard.resumable_jobs(_jobs(spark, d)).select("job_id", "status")
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def event_windows(spark, d):
     return ingest.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))

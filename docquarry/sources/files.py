@@ -7,6 +7,7 @@ built-in functions. Readers of other formats use the standard library where that
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from ..functions import files as names
-from ..functions.formatting import preview
+from ..functions.formatting import clock, preview
 
 MAX_BYTES, PDF_PAGES, SHEETS, SHEET_ROWS = 50 * 1024 * 1024, 50, 10, 501
 RESULT = StructType([StructField("text", StringType()), StructField("metadata", MapType(StringType(), StringType())), StructField("warnings", ArrayType(StringType()))])
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _CORE = {"title": "{http://purl.org/dc/elements/1.1/}title", "author": "{http://purl.org/dc/elements/1.1/}creator", "created": "{http://purl.org/dc/terms/}created", "modified": "{http://purl.org/dc/terms/}modified"}
 
 
@@ -64,13 +66,17 @@ def xlsx_text(raw: bytes) -> tuple[str, dict]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         there = set(z.namelist())
         shared = ["".join(t.text or "" for t in s.iter(_CELL + "t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in there else []
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_CELL + "sheet")]
+        sheets = [*ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_CELL + "sheet")]
+        titles = [s.get("name") for s in sheets]
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in there else {}
         out = []
-        for i, title in enumerate(titles[:SHEETS], 1):
-            out.append(f"[Sheet: {title}]")
-            if f"xl/worksheets/sheet{i}.xml" not in there:
+        for i, sheet in enumerate(sheets[:SHEETS], 1):
+            out.append(f"[Sheet: {sheet.get('name')}]")
+            target = links.get(sheet.get(_LINK)) or f"worksheets/sheet{i}.xml"
+            part = target.lstrip("/") if target.startswith("/") else posixpath.normpath("xl/" + target)
+            if part not in there:
                 continue
-            for k, row in enumerate(ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(_CELL + "row")):
+            for k, row in enumerate(ElementTree.fromstring(z.read(part)).iter(_CELL + "row")):
                 if k >= SHEET_ROWS:
                     break
                 cells = []
@@ -103,23 +109,36 @@ def image_text(raw: bytes) -> tuple[str, dict]:
         gps = exif.get_ifd(0x8825)
     meta |= {k: str(v) for k, v in tags.items() if isinstance(v, str | int | float)}
     for name, ref, value in (("gps_lat", gps.get(1), gps.get(2)), ("gps_lon", gps.get(3), gps.get(4))):
-        if ref and value:
-            d, m, s = map(float, value)
-            meta[name] = str(round((d + m / 60 + s / 3600) * (-1 if ref in "SW" else 1), 7))
+        try:
+            if ref and value:
+                d, m, s = map(float, value)
+                meta[name] = str(round((d + m / 60 + s / 3600) * (-1 if ref in "SW" else 1), 7))
+        except (TypeError, ValueError, ZeroDivisionError):  # a place that can't be read takes nothing else with it
+            continue
     return f"Image {meta['format']} {meta['width']}x{meta['height']}" + (f" {tags['Model']}" if tags.get("Model") else ""), meta
 
 
+# Tags of audio files that are kept.
+AUDIO_TAGS = ("title", "artist", "album", "albumartist", "date", "genre", "tracknumber", "discnumber", "comment")
+
+
 def audio_text(raw: bytes) -> tuple[str, dict]:
     from mutagen import File
 
     audio = File(io.BytesIO(raw), easy=True)
-    meta = {k: str(v[0] if isinstance(v, list) else v) for k in ("title", "artist", "album", "albumartist", "date", "genre", "tracknumber", "discnumber", "comment") if audio is not None and (v := audio.get(k))}
-    parts = [meta[k] for k in ("title", "artist", "album") if k in meta]
-    if audio is not None and getattr(audio, "info", None):
-        n = round(audio.info.length, 2)
-        meta |= {"duration_seconds": str(n), "bitrate": str(getattr(audio.info, "bitrate", "")), "sample_rate": str(getattr(audio.info, "sample_rate", ""))}
-        parts.append(f"{int(n) // 60}:{int(n) % 60:02d}")
-    return " — ".join(parts), meta
+    if audio is None:
+        return "", {}
+    tags = {k: v for k, v in audio.items() if k in AUDIO_TAGS and v}
+    meta = {k: str(v[0] if isinstance(v, list) else v) for k, v in tags.items()}
+    if audio.info is not None:
+        meta |= {"duration_seconds": str(round(audio.info.length, 2)), **{k: str(getattr(audio.info, k, "")) for k in ("bitrate", "sample_rate")}}
+    return "", meta
+
+
+def audio_line(metadata: Column) -> Column:
+    """Title, artist, album and length, those that there are."""
+    get = lambda k: F.try_element_at(metadata, F.lit(k))
+    return F.nullif(F.concat_ws(" — ", *[F.nullif(get(k), F.lit("")) for k in ("title", "artist", "album")], F.when(get("duration_seconds").try_cast("double").isNotNull(), clock(get("duration_seconds").try_cast("double")))), F.lit(""))
 
 
 #: Readers by suffix; more can be added.
@@ -163,7 +182,10 @@ def extracted(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     simple = files.where(plain | large | ~ext.isin(list(READERS)))
     simple = simple.withColumn("x", F.when(large, basic(F.lit(None), F.array(F.lit("File too large")))).when(plain, basic(text, F.array())).otherwise(basic(F.lit(None), F.array())))
     both = simple.unionByName(other)
-    t: Column = F.when((F.col("file_type_group") == "audio") & (F.coalesce("x.text", F.lit("")) == ""), F.regexp_replace("file_name", r"\.[^.]*$", "")).otherwise(F.col("x.text"))
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    meta = F.when((F.col("file_type_group") == "audio") & F.try_element_at("x.metadata", F.lit("title")).isNull(), F.map_concat(F.coalesce("x.metadata", none), F.create_map(F.lit("title"), stem))).otherwise(F.col("x.metadata"))
+    both = both.withColumn("x", F.struct(F.col("x.text").alias("text"), meta.alias("metadata"), F.col("x.warnings").alias("warnings")))
+    t: Column = F.when(F.col("file_type_group") == "audio", F.coalesce(audio_line(F.col("x.metadata")), stem)).otherwise(F.col("x.text"))
     return both.select(*[c for c in files.columns if c != "content"], t.alias("text"), preview(t).alias("content_preview"), F.char_length(t).alias("content_length"), F.col("x.metadata").alias("metadata"), F.col("x.warnings").alias("warnings"), F.sha2("content", 256).alias("sha256"))
 
 

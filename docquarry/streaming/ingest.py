@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import files as names
-from ..functions.text import simhash
+from ..functions.text import hash_bits, simhash
+from ..operators import dedup
 from ..sources.files import described, extracted
 
 
@@ -91,8 +92,17 @@ class Store:
         v = self._versions()
         df.write.mode("overwrite").parquet(f"{self.folder}/v{(v[-1] if v else 0) + 1}")
 
-    def merge(self, files: DataFrame, full_scan: bool = False, rescan: bool = False, now: int | None = None) -> dict:
-        """Ingests files with content into the next snapshot; counts of what was found. With ``full_scan`` items not among the files are deleted."""
+    def table(self, name: str) -> DataFrame | None:
+        """A table of its own that is only added to (``errors``, ``jobs``), or None before its first row."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(f"{self.folder}/{name}") if there else None
+
+    def merge(self, files: DataFrame, full_scan: bool = False, rescan: bool = False, now: int | None = None, job_id: str = "") -> dict:
+        """Ingests files with content into the next snapshot; counts of what was found. With ``full_scan`` items not among the files are deleted.
+
+        Files that can't be read go to the table ``errors`` and the counts to ``jobs``, both with ``job_id``.
+        """
         old = self.current()
         new = files if old is None or rescan else changed(files, old)
         rows = indexed(new, now).persist()
@@ -101,8 +111,32 @@ class Store:
         if full_scan and old is not None:
             result = soft_delete(result, vanished(old, files))
         self.commit(result)
+        at = F.unix_timestamp() if now is None else F.lit(now).cast("bigint")
+        if failed:
+            errors(rows).select(F.lit(job_id).alias("job_id"), "*", at.alias("created_ts")).write.mode("append").parquet(f"{self.folder}/errors")
         rows.unpersist()
-        return {"indexed_count": n - failed, "error_count": failed, "skipped_count": seen - n}
+        counts = {"indexed_count": n - failed, "error_count": failed, "skipped_count": seen - n}
+        job = self.spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit("full_scan" if full_scan else "incremental").alias("mode"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()], at.alias("finished_ts"))
+        job.coalesce(1).write.mode("append").parquet(f"{self.folder}/jobs")
+        return counts
+
+    def error_log(self, limit: int = 200) -> DataFrame | None:
+        """The latest errors first."""
+        x = self.table("errors")
+        return None if x is None else x.orderBy(F.desc("created_ts"), "full_path").limit(limit)
+
+    def finish(self) -> DataFrame:
+        """Duplicate groups of all live items, equal files, similar texts and similar images, put over those found before; once a job is complete."""
+        live = self.current().where("is_deleted = 0")
+        exact = dedup.exact_groups(live).select("group_key", F.explode("members").alias("item_id"), F.lit(1.0).alias("similarity"))
+        near = dedup.near_groups(live.where("simhash64 is not null").select("item_id", hash_bits(F.col("simhash64")).alias("h")))
+        groups = {"exact": exact, "similar_text": near}
+        if "phash" in live.columns:
+            groups["similar_image"] = dedup.image_groups(live)
+        found, kept = dedup.typed_groups(groups), Store(self.spark, f"{self.folder}/groups")
+        old = kept.current()
+        kept.commit(found if old is None else dedup.replaced(old, found))
+        return kept.current()
 
 
 def stream(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, after: Callable[[DataFrame], None] | None = None):
@@ -117,6 +151,18 @@ def stream(spark: SparkSession, root: str, store: Store, checkpoint: str, per_tr
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", os.fspath(checkpoint)).trigger(availableNow=True).start()
 
 
+def ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000) -> DataFrame:
+    """Streams in what is new below ``root``, and finds duplicates once nothing is pending; the groups."""
+    stream(spark, root, store, checkpoint, per_trigger).awaitTermination()
+    return store.finish()
+
+
+def soft_delete_root(items: DataFrame, root: str) -> DataFrame:
+    """Marks all items at or below a folder as deleted."""
+    below = root.rstrip("/") + "/"
+    return items.withColumn("is_deleted", F.when(F.col("full_path").startswith(below), F.lit(1)).otherwise(F.col("is_deleted")))
+
+
 def windowed_counts(events: DataFrame, time: str, kind: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events by kind in tumbling windows with a watermark, for batches and streams."""
     return events.withWatermark(time, late).groupBy(F.window(time, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")

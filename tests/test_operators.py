@@ -307,3 +307,58 @@ def test_plans_stay_native(spark):
     for x in (hashes, dedup.near_pairs(hashes), search.bm25(df, "some words", ["text"])):
         plan = x._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_names_with_other_case_are_passed_over(spark):
+    for path, want in (("a/B.TMP", True), ("a/b.tmp", True), (".NOTES.MD", True), (".notes.md", False), ("x.LOCK", True), ("ok/A.TXT", False)):
+        assert one(spark, fn.ignored(F.col("p")), p=path) is want, path
+
+
+def test_folding_knows_all_latin_letters_and_loose_marks(spark):
+    tokens = lambda t: one(spark, text.search_tokens(F.col("t")), t=t)
+    assert tokens("Ãǎ ŻÓŁW Ệ e\u0301te\u0301 čšž ő straße ﬁ") == ["aa", "zołw", "e", "ete", "csz", "o", "straße", "ﬁ"]
+
+
+def test_sheets_are_found_by_their_links():
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda v: f'<worksheet xmlns="{main}"><sheetData><row><c><v>{v}</v></c></row></sheetData></worksheet>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="A" r:id="r2"/><sheet name="B" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/other/last.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("one"))
+        z.writestr("xl/other/last.xml", sheet("two"))
+    assert src.xlsx_text(raw.getvalue())[0] == "[Sheet: A]\ntwo\n[Sheet: B]\none"
+
+
+def test_audio_lines(spark):
+    df = spark.createDataFrame([(1, {"title": "T", "artist": "A", "duration_seconds": "61.5"}), (2, {}), (3, {"album": "", "artist": "B"})], "id int, m map<string,string>")
+    assert {r.id: r.x for r in df.select("id", src.audio_line(F.col("m")).alias("x")).collect()} == {1: "T — A — 1:01", 2: None, 3: "B"}
+
+
+def test_jobs_errors_and_groups_are_kept(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    long = "a text of many words that is long enough to have a hash of its own "
+    for name, body in (("a.txt", long), ("b.txt", long), ("c.md", long * 2 + "end"), ("d.docx", "broken")):
+        (root / name).write_text(body)
+    store = ingest.Store(spark, f"file://{tmp_path}/store")
+    groups = {(r.group_type, r.item_id) for r in ingest.ingest(spark, f"file://{root}", store, f"{tmp_path}/check").collect()}
+    ids = {r.file_name: r.item_id for r in store.current().collect()}
+    assert {("exact", ids["a.txt"]), ("exact", ids["b.txt"]), ("similar_text", ids["a.txt"]), ("similar_text", ids["b.txt"])} <= groups and ids["d.docx"] not in {i for _, i in groups}
+    log = store.error_log().collect()
+    assert [r.full_path.rsplit("/", 1)[1] for r in log] == ["d.docx"] and log[0].stage == "extract"
+    assert [tuple(r) for r in store.table("jobs").select("mode", "indexed_count", "error_count").collect()] == [("incremental", 3, 1)]
+    store.merge(src.scan(spark, f"file://{root}").where("file_name <> 'b.txt'"), full_scan=True, job_id="again")
+    after = {(r.group_type, r.item_id) for r in store.finish().collect()}
+    assert ("exact", ids["b.txt"]) in after, "groups that vanish stay as they were"
+    assert store.table("jobs").count() == 2
+
+
+def test_settings_are_stored_and_normalised(spark, tmp_path):
+    t = settings.SettingsTable(spark, f"file://{tmp_path}/settings")
+    assert t.all() == {} and t.get("llm_model") == settings.DEFAULTS["llm_model"]
+    out = t.put({"llm_provider": " LMStudio ", "llm_base_url": "", "llm_model": " m ", "llm_enabled": True, "llm_top_k": "x"})
+    assert (out["llm_provider"], out["llm_base_url"], out["llm_model"], out["llm_top_k"]) == ("lmstudio", settings.OTHER_ADDRESS, "m", 8)
+    t.put({"llm_base_url": "http://h/ "})
+    assert t.get("llm_base_url") == "http://h" and t.get("llm_provider") == "lmstudio" and t.all()["llm_enabled"] == "1"
