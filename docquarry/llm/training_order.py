@@ -3,11 +3,12 @@
 Documents are tokenised once; each ends with the special id and is cut into sequences of ``length`` ids, the last filled up with that id in its
 shard. Task by task the ids go to staging files in the shared folder. Sequences are numbered by (doc_id, position), a keyed Feistel network over the
 smallest even number of bits that holds all numbers, walked along its cycle until it falls among them, maps each number to its slot, one to
-one, and shard s holds slots s * per_shard and on, ``2 * length`` bytes each (little-endian 16-bit ids). A reader finds slot n at a known byte of
+one, and shard s holds slots s * per_shard and on, ``2 * length`` bytes each (little-endian 16-bit ids). Each staging file is then read once, from its begin to its
+end, and its sequences are shuffled to their shards' writers. A reader finds slot n at a known byte of
 a known file and resumes from there; a shard depends on nothing but the key and the corpus, so any can be written again by itself.
 
 Null and empty texts are one sequence with the special id alone. Rows with a null doc_id take part, first of all. Rows with the same id follow each
-other by their text's hash. An empty table gives no shards.
+other by their text's hash, equal rows by their place in staging. An empty table gives no shards. Texts of any length are tokenised whole. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import RANKS, SPECIAL_ID, encoder
-from .common import own, remove, shared_dir, slices, table, tokenizer_path, written
+from .common import own, remove, shared_dir, slices, table, task, tokenizer_path, written
 
 #: Sequences of a document that are compressed together in staging files.
 TOGETHER = 16
@@ -114,61 +115,70 @@ def numbered(docs: DataFrame) -> DataFrame:
     return part.join(base, "part").withColumn("first", F.col("base") + F.coalesce(F.sum("n_seqs").over(w), F.lit(0))).drop("part", "base")
 
 
-def _slots(n: int, key: str, per_shard: int):
+_SEQUENCES = "shard bigint, slot bigint, doc_id bigint, seq_no bigint, body binary"
+_SEQUENCES_ARROW = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int64()), ("body", pa.binary())])
+
+
+def _sequences(staged: str, n: int, key: str, length: int, per_shard: int):
+    """The sequences of documents, which come by file and place: each file is read on from where the document before ended."""
+    stride = 2 * length
+
     def run(batches):
         f = Feistel(n, key)
-        for b in batches:
-            slot = f.slot(b.column("number").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *[b.column(c) for c in ("doc_id", "seq_no", "n_tokens", "file", "at", "size")]], ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "at", "size"])
+        store, path = _open(staged)
+        name, source = None, None
+        for b in slices(batches, 64):
+            docs, seqs, bodies, numbers = [], [], [], []
+            for doc, file, starts, first, n_tokens in zip(*[b.column(c).to_pylist() for c in ("doc_id", "file", "starts", "first", "n_tokens")]):
+                if file != name:
+                    if source is not None:
+                        source.close()
+                    name, source = file, store.open_input_file(f"{path}/{file}")
+                raw = source.read_at(starts[-1] - starts[0], starts[0])
+                ids = b"".join(zlib.decompress(raw[x - starts[0] : y - starts[0]]) for x, y in zip(starts, starts[1:]))
+                count = -(-n_tokens // length)
+                docs += [doc] * count
+                seqs += range(count)
+                numbers += range(first, first + count)
+                bodies += [ids[i * stride : (i + 1) * stride] for i in range(count)]
+            slot = f.slot(np.array(numbers, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(docs, pa.int64()), pa.array(seqs, pa.int64()), pa.array(bodies, pa.binary())], schema=_SEQUENCES_ARROW)
+        if source is not None:
+            source.close()
 
     return run
 
 
-def _write(staged: str, folder: str, length: int, per_shard: int):
-    """Writes whole shards from rows sorted by shard and slot, and gives a row for each sequence written."""
-    stride = 2 * length
+_MANIFEST = "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, offset bigint, crc32 bigint"
+_MANIFEST_ARROW = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("crc32", pa.int64())])
+
+
+def _write(folder: str, length: int, per_shard: int):
+    """Writes whole shards from sequences in order of shard and slot, and gives a row for each sequence written."""
+    stride, fill = 2 * length, np.array([SPECIAL_ID], "<u2").tobytes()
 
     def run(batches):
         store, target = _open(folder)
-        source, staging = _open(staged)
         store.create_dir(target, recursive=True)
-        open_files: dict = {}
-
-        def flush(shard, rows):
-            body = bytearray(np.full(len(rows) * length, SPECIAL_ID, "<u2").tobytes())
-            begin, last, ids = shard * per_shard, None, b""
-            for i in sorted(range(len(rows)), key=lambda i: (rows[i]["file"], rows[i]["at"])):  # a file's reads go forward
-                r = rows[i]
-                if r["file"] not in open_files:
-                    if len(open_files) >= 64:
-                        open_files.pop(next(iter(open_files))).close()
-                    open_files[r["file"]] = source.open_input_file(f"{staging}/{r['file']}")
-                at = r["slot"] - begin
-                if last != (r["file"], r["at"]):
-                    last, ids = (r["file"], r["at"]), zlib.decompress(open_files[r["file"]].read_at(r["size"], r["at"]))
-                own_ids = ids[r["seq_no"] % TOGETHER * stride :][: 2 * r["n_tokens"]]
-                body[at * stride : at * stride + len(own_ids)] = own_ids
-            name = f"shard-{shard:06d}.bin"
-            part = f"{target}/.{name}-{uuid.uuid4().hex}"
-            with store.open_output_stream(part) as f:
-                f.write(body)
-            store.move(part, f"{target}/{name}")  # whole or not at all; a task that runs again writes the same bytes
-            sums = [zlib.crc32(memoryview(body)[i * stride : (i + 1) * stride]) for i in range(len(rows))]
-            return pa.RecordBatch.from_arrays(
-                [*[pa.array([r[c] for r in rows]) for c in ("slot", "shard")], *[pa.array([r[c] for r in rows], pa.int64()) for c in ("doc_id", "seq_no", "n_tokens")], pa.array([name] * len(rows)), pa.array([(r["slot"] - begin) * stride for r in rows]), pa.array(sums)],
-                ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "offset", "crc32"],
-            )
-
-        shard, rows = None, []
-        for b in batches:
-            for r in b.to_pylist():
-                if r["shard"] != shard:
-                    if rows:
-                        yield flush(shard, rows)
-                    shard, rows = r["shard"], []
-                rows.append(r)
-        if rows:
-            yield flush(shard, rows)
+        shard, out, part = None, None, ""
+
+        def close():
+            if out is not None:
+                out.close()
+                store.move(part, f"{target}/shard-{shard:06d}.bin")  # whole or not at all; a task that runs again writes the same bytes
+
+        for b in slices(batches, 1024):
+            rows = []
+            for s, slot, doc, seq, body in zip(*[c.to_pylist() for c in b.columns]):
+                if s != shard:
+                    close()
+                    shard, part = s, f"{target}/.shard-{s:06d}.bin-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                whole = body + fill * (length - len(body) // 2)
+                out.write(whole)
+                rows.append((slot, s, doc, seq, len(body) // 2, f"shard-{s:06d}.bin", (slot - s * per_shard) * stride, zlib.crc32(whole)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MANIFEST_ARROW)], schema=_MANIFEST_ARROW)
+        close()
 
     return run
 
@@ -178,16 +188,14 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: i
     spark = docs.sparkSession
     staging = shared_dir(spark, "staging")
     texts = own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), "text")
-    staged = written(texts.mapInArrow(_stage(staging, ranks_file or tokenizer_path(RANKS), length), _STAGED), "staged")
-    docs_at = numbered(staged)
+    staged = written(texts.mapInArrow(task(_stage(staging, ranks_file or tokenizer_path(RANKS), length)), _STAGED), "staged")
     n = staged.agg(F.coalesce(F.sum("n_seqs"), F.lit(0))).first()[0]
-    one = docs_at.select("doc_id", F.col("n_tokens").alias("all"), "file", "starts", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_seqs") - 1)).alias("seq_no"))
-    one = one.select("doc_id", "seq_no", (F.col("first") + F.col("seq_no")).alias("number"), F.least(F.lit(length).cast("bigint"), F.col("all") - F.col("seq_no") * length).alias("n_tokens"), "file", F.expr(f"starts[int(seq_no div {TOGETHER})]").alias("at"), F.expr(f"int(starts[int(seq_no div {TOGETHER}) + 1] - starts[int(seq_no div {TOGETHER})])").alias("size"))
-    slots = one.mapInArrow(_slots(max(1, n), key, per_shard), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, at bigint, size int")
+    files = staged.select("file").distinct().count()
+    by_file = numbered(staged).repartition(max(1, files), "file").sortWithinPartitions("file", "at")
+    sequences = by_file.select("doc_id", "file", "starts", "first", "n_tokens").mapInArrow(task(_sequences(staging, max(1, n), key, length, per_shard)), _SEQUENCES)
     shards = max(1, -(-n // per_shard))
-    dealt = slots.repartitionByRange(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
-    out = written(dealt.mapInArrow(_write(staging, folder, length, per_shard), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, offset bigint, crc32 bigint"), "manifest")
-    out.count()
+    dealt = sequences.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
+    out = written(dealt.mapInArrow(task(_write(folder, length, per_shard)), _MANIFEST), "manifest")
     remove(spark, staging)
     return out
 
