@@ -63,6 +63,11 @@ def preview(text: Column, n: int = 400) -> Column:
     return F.btrim(F.substring(text, 1, n), F.lit(" \t\n\r"))
 
 
+def preview_text(text: Column, n: int = 20_000) -> Column:
+    """What a preview of text shows."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, n)
+
+
 def preview_kind(ext: Column, has_text: Column) -> Column:
     """How a file is previewed, by suffix, else by whether it has text."""
     from .files import type_group

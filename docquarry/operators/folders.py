@@ -36,17 +36,19 @@ def counts(folders: DataFrame, membership: DataFrame) -> DataFrame:
     return folders.join(n, "vf_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0))).orderBy(F.asc_nulls_first("parent_vf_id"), "name", "vf_id")
 
 
-def create(folders: DataFrame, vf_id: int, name: str, parent: int | None = None) -> DataFrame:
-    row = {"vf_id": vf_id, "parent_vf_id": parent, "name": name}
+def create(folders: DataFrame, vf_id: int, name: str, parent: int | None = None, **others: object) -> DataFrame:
+    row = {"vf_id": vf_id, "parent_vf_id": parent, "name": name, **others}
     return folders.unionByName(folders.sparkSession.createDataFrame([tuple(row.get(f.name) for f in folders.schema)], folders.schema))
 
 
-def update(folders: DataFrame, vf_id: int, name: str | None = None, parent: int | None = KEEP) -> DataFrame:
-    """Renames or moves a folder; ``KEEP`` leaves its parent, None makes it a root. It can't go below itself."""
+def update(folders: DataFrame, vf_id: int, name: str | None = None, parent: int | None = KEEP, **others: object) -> DataFrame:
+    """Renames or moves a folder, or changes other columns (``color``, ``icon``); ``KEEP`` leaves its parent, None makes it a root. It can't go below itself."""
     if parent not in (KEEP, None) and not subtree(folders, vf_id).where(F.col("vf_id") == parent).isEmpty():
         raise ValueError("a folder can't be moved below itself")
     here = F.col("vf_id") == vf_id
     out = folders.withColumn("name", F.when(here & F.lit(name is not None), F.lit(name)).otherwise(F.col("name")))
+    for c, value in others.items():
+        out = out.withColumn(c, F.when(here & F.lit(value is not None), F.lit(value)).otherwise(F.col(c)).cast(folders.schema[c].dataType))
     return out if parent == KEEP else out.withColumn("parent_vf_id", F.when(here, F.lit(parent)).otherwise(F.col("parent_vf_id")))
 
 
@@ -66,10 +68,14 @@ def take_out(membership: DataFrame, vf_id: int, item_id: int) -> DataFrame:
     return membership.where(~((F.col("vf_id") == vf_id) & (F.col("item_id") == item_id)))
 
 
-def items_in(membership: DataFrame, items: DataFrame, vf_id: int) -> DataFrame:
-    """Live direct members, the last added first."""
+def items_in(membership: DataFrame, items: DataFrame, vf_id: int, content: DataFrame | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Live direct members, the last added first; with ``content`` (item_id, content_preview) and their preview."""
     m = membership.where(F.col("vf_id") == vf_id).select("item_id", "added_ts")
-    return items.where("is_deleted = 0").join(m, "item_id").orderBy(F.desc("added_ts"), "item_id")
+    x = items.where("is_deleted = 0").join(m, "item_id")
+    if content is not None:
+        x = x.join(content.select("item_id", "content_preview"), "item_id", "left")
+    x = x.orderBy(F.desc("added_ts"), "item_id")
+    return x if limit is None else x.offset(offset).limit(limit)
 
 
 def folders_of(membership: DataFrame, folders: DataFrame, item_id: int) -> DataFrame:

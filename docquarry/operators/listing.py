@@ -23,8 +23,20 @@ item_order = _orders(_both("modified_ts", "size_bytes") | {"file_name ASC": "",
 image_order = _orders(_both("best_time_ts", "modified_ts", "size_bytes", "file_name"), "best_time_ts DESC")
 
 
-def list_items(items: DataFrame, filters: Filters | None = None, order_by: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    return items.where((filters or Filters()).column()).orderBy(*item_order(order_by)).offset(offset).limit(limit)
+# The columns of listings, and those that searches add.
+SHOWN = ("item_id", "file_name", "full_path", "extension", "file_type_group", "size_bytes", "modified_ts", "best_time_ts", "sha256", "content_preview")
+FOUND = ("title", "artist", "album", "camera_model", "snippet", "score")
+
+
+def list_items(items: DataFrame, filters: Filters | None = None, order_by: str | None = None, limit: int = 100, offset: int = 0, content: DataFrame | None = None) -> DataFrame:
+    """Live items by filters. With ``content`` (item_id, content_preview) the page's rows get their preview; only they are joined."""
+    page = items.where((filters or Filters()).column()).orderBy(*item_order(order_by)).offset(offset).limit(limit)
+    return page if content is None else shown(page.join(content.select("item_id", "content_preview"), "item_id", "left")).orderBy(*item_order(order_by))
+
+
+def shown(rows: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of listings, those that there are."""
+    return rows.select(*[c for c in (*SHOWN, *also) if c in rows.columns])
 
 
 def recent_items(items: DataFrame, limit: int = 15, latest: str = "modified_ts") -> DataFrame:

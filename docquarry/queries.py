@@ -132,6 +132,12 @@ def list_filtered(spark, d):
     return listing.list_items(items(spark, d), f, "size_bytes DESC").select("item_id", "file_name", "size_bytes", "modified_ts")
 
 
+@query(_ITEMS + "select item_id, file_name, full_path, extension, file_type_group, size_bytes, modified_ts, best_time_ts, case when item_id % 3 <> 1 then substr(text, 1, 40) end as content_preview from items where is_deleted = 0 and file_type_group = 'text' order by modified_ts desc, item_id desc limit 20 offset 5")
+def list_with_previews(spark, d):
+    content = items(spark, d).where("item_id % 3 <> 1").select("item_id", F.substring("text", 1, 40).alias("content_preview"))
+    return listing.list_items(items(spark, d), Filters(file_type="text"), limit=20, offset=5, content=content)
+
+
 @query(_ITEMS + "select item_id, modified_ts from items where is_deleted = 0 order by modified_ts desc, item_id limit 15")
 def recent_items(spark, d):
     return listing.recent_items(items(spark, d)).select("item_id", "modified_ts")
@@ -266,11 +272,11 @@ def exif_values(spark, d):
     return table(spark, d, "events").select("event_id", files.epoch_of_exif(v).alias("taken"), files.degrees(e % 90 + 1, e % 60, e % 37, F.when(e % 3 == 0, "S").otherwise("N")).alias("degrees"))
 
 
-@query(_ITEMS + "select item_id, sha1(concat(item_id, ':', size_bytes, ':', modified_ts, ':', 256)) as thumbnail, case extension when '.txt' then 'text/plain' when '.md' then 'text/markdown' when '.html' then 'text/html' when '.pdf' then 'application/pdf' when '.jpg' then 'image/jpeg' when '.png' then 'image/png' when '.mp3' then 'audio/mpeg' when '.mp4' then 'video/mp4' else 'application/octet-stream' end as media, case when file_type_group in ('pdf', 'image', 'audio', 'video', 'office') then file_type_group when file_type_group in ('text', 'code') then 'text' when text <> '' then 'fallback-text' else 'unsupported' end as kind, substr(text, 1, 500) as page, trim(substr(text, 1, 400), concat(' ', chr(9), chr(10), chr(13))) as preview from items")
+@query(_ITEMS + "select item_id, sha1(concat(item_id, ':', size_bytes, ':', modified_ts, ':', 256)) as thumbnail, case extension when '.txt' then 'text/plain' when '.md' then 'text/markdown' when '.html' then 'text/html' when '.pdf' then 'application/pdf' when '.jpg' then 'image/jpeg' when '.png' then 'image/png' when '.mp3' then 'audio/mpeg' when '.mp4' then 'video/mp4' else 'application/octet-stream' end as media, case when file_type_group in ('pdf', 'image', 'audio', 'video', 'office') then file_type_group when file_type_group in ('text', 'code') then 'text' when text <> '' then 'fallback-text' else 'unsupported' end as kind, case when text <> '' then substr(text, 1, 500) end as page, substr(text, 1, 20000) as shown, trim(substr(text, 1, 400), concat(' ', chr(9), chr(10), chr(13))) as preview from items")
 def previews(spark, d):
     x = items(spark, d)
     token = files.change_token(F.col("size_bytes"), F.col("modified_ts"))
-    return x.select("item_id", file_source.thumbnail_key(F.col("item_id"), token, 256).alias("thumbnail"), files.media_type(F.col("extension")).alias("media"), formatting.preview_kind(F.col("extension"), F.col("text") != "").alias("kind"), file_source.text_page(F.col("text"), 500).alias("page"), formatting.preview(F.col("text")).alias("preview"))
+    return x.select("item_id", file_source.thumbnail_key(F.col("item_id"), token, 256).alias("thumbnail"), files.media_type(F.col("extension")).alias("media"), formatting.preview_kind(F.col("extension"), F.col("text") != "").alias("kind"), file_source.text_page(F.col("text"), 500).alias("page"), formatting.preview_text(F.col("text")).alias("shown"), formatting.preview(F.col("text")).alias("preview"))
 
 
 @query(_ITEMS + "select item_id, case when best_time_ts = 0 then '—' else strftime(to_timestamp(best_time_ts) at time zone 'UTC', '%Y-%m-%d') end as day, case when best_time_ts = 0 then '—' else strftime(to_timestamp(best_time_ts) at time zone 'UTC', '%Y-%m-%d %H:%M') end as minute from items")

@@ -193,7 +193,20 @@ def thumbnail_key(item_id: Column, token: Column, size: int) -> Column:
     return F.sha1(F.concat_ws(":", item_id.cast("string"), token, F.lit(str(size))).cast("binary"))
 
 
-def text_page(text: Column, max_chars: int = 50_000) -> Column:
+# Suffixes of files that are shown as text where nothing was extracted.
+TEXT_SUFFIXES = [
+    ".txt", ".md", ".markdown", ".py", ".js", ".ts", ".tsx", ".jsx", ".json",
+    ".yaml", ".yml", ".xml", ".html", ".css", ".scss", ".sql", ".csv", ".log",
+    ".ini", ".cfg", ".toml", ".java", ".c", ".cpp", ".h", ".hpp", ".go", ".rs",
+    ".php", ".rb", ".sh", ".bat", ".ps1",
+]
+
+
+def text_page(text: Column, max_chars: int = 50_000, content: Column | None = None, ext: Column | None = None) -> Column:
+    """The start of an item's text, or, where there is none, of its content if its suffix is that of text; else null."""
     if not 500 <= max_chars <= 200_000:
         raise ValueError("max_chars must be 500 to 200000")
-    return F.substring(text, 1, max_chars)
+    some = F.nullif(text, F.lit(""))
+    if content is not None and ext is not None:
+        some = F.coalesce(some, F.when(F.lower(ext).isin(TEXT_SUFFIXES), _decoded(content)))
+    return F.substring(some, 1, max_chars)

@@ -139,21 +139,21 @@ class Store:
         return kept.current()
 
 
-def stream(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, after: Callable[[DataFrame], None] | None = None):
+def stream(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, after: Callable[[DataFrame], None] | None = None, nested: list[str] = ()):
     """A query that ingests what is new below ``root`` and then ends; started again with the same checkpoint it resumes. ``after`` gets the items once a batch is in."""
     source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(root)
 
     def batch(df: DataFrame, _: int) -> None:
-        store.merge(described(df, root))
+        store.merge(described(df, root, nested))
         if after:
             after(store.current())
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", os.fspath(checkpoint)).trigger(availableNow=True).start()
 
 
-def ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000) -> DataFrame:
+def ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, nested: list[str] = ()) -> DataFrame:
     """Streams in what is new below ``root``, and finds duplicates once nothing is pending; the groups."""
-    stream(spark, root, store, checkpoint, per_trigger).awaitTermination()
+    stream(spark, root, store, checkpoint, per_trigger, nested=nested).awaitTermination()
     return store.finish()
 
 

@@ -362,3 +362,16 @@ def test_settings_are_stored_and_normalised(spark, tmp_path):
     assert (out["llm_provider"], out["llm_base_url"], out["llm_model"], out["llm_top_k"]) == ("lmstudio", settings.OTHER_ADDRESS, "m", 8)
     t.put({"llm_base_url": "http://h/ "})
     assert t.get("llm_base_url") == "http://h" and t.get("llm_provider") == "lmstudio" and t.all()["llm_enabled"] == "1"
+
+
+def test_folders_keep_their_other_columns(spark):
+    f = spark.createDataFrame([(1, None, "a", "red", "x"), (2, 1, "b", None, "y")], "vf_id int, parent_vf_id int, name string, color string, icon string")
+    f = folders.create(f, 3, "c", 2, color="blue")
+    f = folders.update(folders.update(f, 2, color="green"), 1, icon="z", name="A")
+    assert sorted(map(tuple, f.collect())) == [(1, None, "A", "red", "z"), (2, 1, "b", "green", "y"), (3, 2, "c", "blue", None)]
+
+
+def test_pages_of_text_fall_back_to_the_file(spark):
+    df = spark.createDataFrame([(1, "text", b"file", ".txt"), (2, None, b"fi\xffle", ".PY"), (3, "", b"zip", ".zip")], "id int, t string, c binary, e string")
+    got = {r.id: r.x for r in df.select("id", src.text_page(F.col("t"), 500, F.col("c"), F.col("e")).alias("x")).collect()}
+    assert got == {1: "text", 2: "fi\ufffdle", 3: None}
