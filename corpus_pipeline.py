@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
-from docquarry.llm.common import free, table, written
+from docquarry.llm.common import bounded_batches, free, table, written
 
 #: Least mean probability of a document's language; below it the model says little more than that the text is none of its languages.
 MIN_LANGUAGE = 0.4
@@ -18,6 +18,7 @@ MIN_LANGUAGE = 0.4
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: not those that are null, have no letter, or fit no language. ``lang`` stays as it is given, or is the one told where null."""
+    bounded_batches(spark)
     return language_id.told(docs, language_id.fit(docs), MIN_LANGUAGE)
 
 

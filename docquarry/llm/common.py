@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -14,12 +16,22 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR_ENV = "TOKENIZER_DIR"
 #: Bytes in memory up to which a written table is broadcast.
 BROADCAST = 64 << 20
+#: Rows of texts that go to Python at once.
+ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of ``ROWS`` rows go to Python where the session has Spark's default of 10,000: whole texts are in them, and JVM and worker each hold one a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS))
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies: in $TOKENIZER_DIR if that is set, else in the installed package of such files."""
     if os.environ.get(TOKENIZER_DIR_ENV):
@@ -79,6 +91,28 @@ def own(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{x}`") for x in names])
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and what a large one has freed would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def task(run: Callable) -> Callable:
+    """A function of a task's batches that gives its memory back at the end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller batches: Python objects of one slice are alive at a time."""
     for b in batches:
@@ -91,6 +125,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]],
 
     ``make()`` runs once a task and returns the function from a list of texts to a list of tuples for the columns after ``key``.
     """
+    bounded_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     full = f"`{key}` {kind}, {schema}"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -105,7 +140,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]],
             cols = list(zip(*out)) if out else [[] for _ in range(len(arrow) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *[pa.array(c, type=arrow.field(i + 1).type) for i, c in enumerate(cols)]], schema=arrow)
 
-    return own(df, key, text).mapInArrow(run, full)
+    return own(df, key, text).mapInArrow(task(run), full)
 
 
 def small(df: DataFrame, limit: int = BROADCAST) -> DataFrame:

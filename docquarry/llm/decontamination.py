@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, slices, table, written
+from .common import own, slices, table, task, written
 
 MIN_SCORE, MIN_OVERLAP, SHINGLE = 0.5, 0.75, 5
 K1, B = 1.2, 0.75
@@ -253,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     found = None
     for index in indexes(benchmark, min_score, min_overlap, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        part = own(docs, "doc_id", "text").mapInArrow(_finder(shared), "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double")
+        part = own(docs, "doc_id", "text").mapInArrow(task(_finder(shared)), "doc_id bigint, item_id bigint, score double, overlap double, question_overlap double, answer_overlap double")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "overlap", "question_overlap", "answer_overlap")])
 
@@ -286,7 +286,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, m
 
     schema = docs.schema
     for index in indexes(benchmark, min_score, min_overlap, block_items):
-        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        docs = docs.mapInArrow(task(without(docs.sparkSession.sparkContext.broadcast(index))), schema)
     return docs
 
 

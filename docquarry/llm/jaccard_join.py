@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import again, discard, join_unique, own, slices, small, table, written
+from .common import again, discard, join_unique, own, slices, small, table, task, written
 from .shingles import common, fingerprint, shingle_sets
 
 #: Similarity in hundredths; slots of the sketch; filed shingles of one part, and those of open meetings; words of 64 bits of the shortest bitmap; children of a node.
-SIMILARITY, SLOTS, PART, OPEN, WORDS64, FAN = 75, 1 << 20, 500_000, 400_000, 16, 8
+SIMILARITY, SLOTS, PART, OPEN, WORDS64, FAN = 75, 1 << 20, 500_000, 150_000, 16, 8
 #: Slots of the sketch in a row; classes of one meeting that one task takes; classes of a meeting whose pairs are listed at once; pairs of nodes looked at together.
 STRIP, MEETING, FEW, CHUNK = 1 << 14, 2_048, 24, 50_000
 #: Bytes of a list of shingles up to which it is broadcast. Texts whose fingerprints a task remembers, to file copies once.
@@ -61,7 +61,7 @@ def _add(batches):
 
 def levels(strips: DataFrame) -> tuple[np.ndarray, int]:
     """For each slot a level, 0 unless many documents hold shingles of it, and the number of shingles to file. Its size is the same for any corpus."""
-    rows = strips.repartition(16, "strip").mapInArrow(_add, "strip int, counts binary, filed bigint").collect()  # SLOTS numbers
+    rows = strips.repartition(16, "strip").mapInArrow(task(_add), "strip int, counts binary, filed bigint").collect()  # SLOTS numbers
     counts = np.zeros(SLOTS, np.int64)
     for r in rows:
         counts[r.strip * STRIP : (r.strip + 1) * STRIP] = np.frombuffer(r.counts, "<i8")
@@ -182,7 +182,7 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
     ids = written(classes.join(wanted, "x", "left_semi").select("x", "doc_id"), "candidates")
     texts = own(docs, "doc_id", "text").join(small(ids.select("doc_id")), "doc_id", "left_semi").select("text").where("text is not null")
-    sets = texts.mapInArrow(_sets, _SETS).select(F.struct("a", "b").alias("x"), "members")
+    sets = texts.mapInArrow(task(_sets), _SETS).select(F.struct("a", "b").alias("x"), "members")
     return written(sets.join(small(ids.select("x")), "x", "left_semi").dropDuplicates(["x"]), "members")
 
 
@@ -206,7 +206,7 @@ def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     """Those of the pairs (x, y) that are similar, by their whole sets; a written table."""
     sets = sets_of(docs, classes, pairs)
     two = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("members").alias("members_y")), "y")
-    out = written(two.select("x", "y", "members", "members_y").mapInArrow(_compare(similarity), f"x {_KIND}, y {_KIND}"), name)
+    out = written(two.select("x", "y", "members", "members_y").mapInArrow(task(_compare(similarity)), f"x {_KIND}, y {_KIND}"), name)
     discard(sets)
     return out
 
@@ -457,13 +457,13 @@ def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, similarity
 def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
     spark = docs.sparkSession
-    every = written(own(docs, "doc_id", "text").mapInArrow(_classes, _CLASSES), "classes")
+    every = written(own(docs, "doc_id", "text").mapInArrow(task(_classes), _CLASSES), "classes")
     level, filed = levels(every.where("strip is not null").select("strip", "counts", "filed"))
     every = every.where("strip is null").select("doc_id", "n", F.struct("a", "b").alias("x"), "bits")
     rows = every.select("doc_id", "n", "x")
     classes = written(every.where("n > 0 and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("bits").alias("bits")), "sets")
     parts = max(8, -(-filed // PART))
-    files = own(docs, "text").where("text is not null").mapInArrow(_file(spark.sparkContext.broadcast(level), parts), "part bigint, tokens binary, owners binary")
+    files = own(docs, "text").where("text is not null").mapInArrow(task(_file(spark.sparkContext.broadcast(level), parts)), "part bigint, tokens binary, owners binary")
     met = written(files.groupBy("part").applyInArrow(_meet, _MET), "met")
     # leaders, and the classes that follow them
     twins = classes.groupBy(F.col("x.a").alias("a")).agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1")  # different sets, equal in the half of the hash that is filed
@@ -475,7 +475,7 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     best = follow.groupBy("a", "leader").agg(F.count("*").alias("k")).groupBy("a").agg(F.max(F.struct("k", "leader")).alias("best")).select("a", F.col("best.leader").alias("leader"), F.col("best.k").alias("k"))
     stars = best.join(by_a, "a").where("k * 25 > n").drop("a")  # those that meet little are left to the trees
     stars = stars.join(by_a.select(F.col("x").alias("y"), F.col("a").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("bits_y")), "leader").select("x", "y", "n", "m", "bits", "bits_y")
-    stars = stars.mapInArrow(_roomy(similarity), f"x {_KIND}, y {_KIND}")
+    stars = stars.mapInArrow(task(_roomy(similarity)), f"x {_KIND}, y {_KIND}")
     stars = written(stars.unionByName(by_a.join(twins, "a").where("x <> y").select("x", "y")), "stars")
     links = compared(docs, classes, stars, similarity, "links")
     groups = components(links)

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, own, slices, table
+from .common import map_texts, own, slices, table, task
 
 #: Training documents of a language (in expectation; ``MOST`` bounds all of them), and of their words, at most so many for a language.
 PER_LANGUAGE, MOST, WORDS = 250, 20_000, 150_000
 BUCKETS, EPOCHS, RATE, RUN, BATCH = 1 << 17, 3, 0.3, 64, 128
-#: Words whose emissions a worker remembers; words of one lane when a batch of texts is labelled.
-REMEMBER, LANE = 200_000, 128
+#: Words whose emissions a worker remembers; words of one lane when a batch of texts is labelled; texts of a batch.
+REMEMBER, LANE, TEXTS = 100_000, 128, 128
 UNKNOWN = "und"
 
 
@@ -285,7 +285,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) ->
 def label(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, lambda: Labeller(shared.value).languages, "lang_pred string, score double", rows=512)
+    return map_texts(docs, lambda: Labeller(shared.value).languages, "lang_pred string, score double", rows=TEXTS)
 
 
 def told(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
@@ -295,13 +295,13 @@ def told(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
 
     def run(batches):
         f = Labeller(shared.value).languages
-        for b in slices(batches, 512):
+        for b in slices(batches, TEXTS):
             found = f(b.column(at).to_pylist())
             filled = pa.array([x if x is not None else y for x, (y, _) in zip(b.column(lang).to_pylist(), found)], b.schema.field(lang).type)
             b = b.set_column(lang, b.schema.field(lang), filled)
             yield b.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:

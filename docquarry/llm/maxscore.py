@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import own, table, written
+from .common import own, table, task, written
 
 K, EVERY, SCALE = 5, 50, 256.0
 #: Queries that are broadcast together, and that a block is searched with at a time; vectors of a block, columns that are traversed together, and vectors that give the first thresholds.
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERI
         rows = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).collect()  # about ``block`` rows
         by_size = _matrices([r.vec_id for r in rows], [list(r.v) for r in rows]) if rows else {}
         shared = spark.sparkContext.broadcast({n: (at, ids, q, thresholds(ids, q, sample[n][1:] if n in sample else None, k)) for n, (at, ids, q) in by_size.items()})
-        found = vectors.mapInArrow(_searcher(shared, k), "query bigint, query_id bigint, vec_id bigint, score bigint")
+        found = vectors.mapInArrow(task(_searcher(shared, k)), "query bigint, query_id bigint, vec_id bigint, score bigint")
         w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         parts.append(found if blocks == 1 else written(found, "found"))
