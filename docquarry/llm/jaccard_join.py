@@ -109,11 +109,16 @@ def _classes(batches):
 
 
 def _file(level, parts: int):
-    """Rows of (part, shingles, classes): what one part of the shingles gets from some hundreds of documents."""
+    """Rows of (part, shingles, classes): what one part of the shingles gets from some hundreds of documents.
+
+    A shingle that more classes hold than a part should take is dealt by class over parts of its own, as many as the sketch calls for, from ``parts`` on.
+    """
 
     def rows(tokens, owners):
         tokens, owners = np.concatenate(tokens), np.concatenate(owners)
         part = (tokens % np.uint64(parts)).astype(np.int64)
+        split = (1 << level.value[(tokens >> np.uint64(44)).astype(np.int64)].astype(np.int64)) * 8 // PART
+        part += np.where(split > 0, parts * (1 + owners % np.maximum(split, 1)), 0)
         order = np.lexsort((tokens, part))
         tokens, owners, part = tokens[order], owners[order], part[order]
         cut = np.flatnonzero(np.diff(part)) + 1
@@ -152,19 +157,22 @@ def _file(level, parts: int):
 _MET = "token bigint, a bigint, others bigint"
 
 
-def _meet(t: pa.Table) -> pa.Table:
-    """Of a part: each class in each meeting of two or more, and how many others are there."""
-    tokens = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()])
-    owners = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
-    order = np.lexsort((owners, tokens))
-    tokens, owners = tokens[order], owners[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])  # copies of a text file the same
-    tokens, owners = tokens[new], owners[new]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    size = np.diff(np.append(first, len(tokens)))
-    many = np.repeat(size > 1, size)
-    return pa.table({"token": tokens[many], "a": owners[many], "others": np.repeat(size - 1, size)[many]})
+def _meet(parts: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of a part: each class in each meeting of two or more, and how many others are there; of a shingle dealt over several parts, each class."""
+        tokens = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("tokens").to_pylist()])
+        owners = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
+        order = np.lexsort((owners, tokens))
+        tokens, owners = tokens[order], owners[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])  # copies of a text file the same
+        tokens, owners = tokens[new], owners[new]
+        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        size = np.diff(np.append(first, len(tokens)))
+        many = np.repeat(size > 1, size) | (t.column("part")[0].as_py() >= parts)
+        return pa.table({"token": tokens[many], "a": owners[many], "others": np.repeat(size - 1, size)[many]})
+
+    return run
 
 
 _SETS = "a bigint, b bigint, members binary"
@@ -464,7 +472,7 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     classes = written(every.where("n > 0 and doc_id is not null").groupBy("x").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies"), F.any_value("bits").alias("bits")), "sets")
     parts = max(8, -(-filed // PART))
     files = own(docs, "text").where("text is not null").mapInArrow(task(_file(spark.sparkContext.broadcast(level), parts)), "part bigint, tokens binary, owners binary")
-    met = written(files.groupBy("part").applyInArrow(_meet, _MET), "met")
+    met = written(files.groupBy("part").applyInArrow(_meet(parts), _MET), "met")
     # leaders, and the classes that follow them
     twins = classes.groupBy(F.col("x.a").alias("a")).agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1")  # different sets, equal in the half of the hash that is filed
     by_a = classes.select("x", "n", F.col("x.a").alias("a"), "bits")
@@ -502,7 +510,7 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's; of rows with the same doc_id, all stay."""
+    """The rows of ``docs`` whose doc_id is its component's; rows with the same doc_id are one document and all stay, as do those with a null one."""
     others = similar_groups(docs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(small(written(others, "others")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 

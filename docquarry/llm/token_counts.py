@@ -5,7 +5,8 @@ cut there into words, each with the run of spaces before it, whose counts add up
 piece that ends at ``i`` and that the merges leave apart from ``last[i - its length]``. Then ``count[i] = count[i - its length] + 1``. As every
 prefix has its count, a text's token count, the longest prefix within a budget and the counts at any cuts are look-ups, without encoding again.
 
-Null and empty texts have no tokens.
+Null and empty texts have no tokens; an empty table gives an empty one. Texts of any length are counted whole, word by word. Repeated rows give repeated rows,
+null ids stay, and other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -77,6 +77,23 @@ def test_large_meetings_are_dealt_over_slices(spark, monkeypatch, meeting):
     assert sorted(map(tuple, jj.similar_groups(documents(spark, rows)).collect()), key=str) == brute(rows)
 
 
+def test_frequent_shingles_are_dealt_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(jj, "PART", 60)
+    r = random.Random(19)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if r.random() > 0.03 else f"e{r.random()}" for w in base)) for i in range(120)] + [(200 + i, " ".join(f"v{r.random()}" for _ in range(40))) for i in range(30)]
+    seen = []
+    plain = jj._meet
+    monkeypatch.setattr(jj, "_meet", lambda parts: seen.append(parts) or plain(parts))
+    docs = documents(spark, rows)
+    assert sorted(map(tuple, jj.similar_groups(docs).collect()), key=str) == brute(rows)
+    sketch = np.zeros(jj.SLOTS, np.uint8)
+    sketch[:] = 6
+    level = spark.sparkContext.broadcast(sketch)
+    files = docs.select("text").mapInArrow(jj._file(level, seen[0]), "part bigint, tokens binary, owners binary").collect()
+    assert {x.part // seen[0] for x in files} == set(range(1, 1 + 64 * 8 // 60))
+
+
 def test_each_pair_of_a_large_meeting_shares_one_slice(spark, monkeypatch):
     monkeypatch.setattr(jj, "MEETING", 3)
     r = random.Random(8)

@@ -2,6 +2,7 @@ import corpus_pipeline as cp
 import pytest
 from docquarry.llm import bpe, decontamination, jaccard_join, language_id
 from docquarry.llm.common import tokenizer_path
+from pyspark.sql import functions as F
 
 from . import test_jaccard_join as tj
 from . import test_line_dedup as tl
@@ -59,3 +60,20 @@ def test_an_empty_corpus(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
     assert decontamination and jaccard_join and language_id
+
+
+def test_columns_with_the_operators_own_names_and_nulls_in_any(spark, folder, tmp_path):
+    mine = ("n_lines", "n_dropped", "_mark", "_gone", "n", "x", "a", "b", "bits", "part", "token", "component_id", "score", "lang_pred", "item_id", "ids")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id in (1, 3, 204)").withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(docs.where("doc_id = 9").selectExpr("doc_id", "text", "null lang", "null source", "null n_chars"))
+    for c in mine:
+        docs = docs.withColumn(c, F.lit("mine"))
+    for name, stage in cp.STAGES[:-1]:
+        new = stage(spark, docs, folder)
+        assert new.columns == docs.columns, name
+        new.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        rows = docs.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in mine), name
+    assert not any(ITEM[:40] in (r.text or "") for r in rows)
+    assert cp.encode(spark, docs, folder).count() == len(rows)
