@@ -15,8 +15,6 @@ by ``label``, whatever their names, and stay as they are in ``told``.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +34,45 @@ def letters(token: str) -> str:
     return token.lower() if token.isalpha() else "".join([c for c in token.lower() if c.isalpha()])
 
 
+def _bucket(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """The bucket of letters of one kind of feature, given as one array for each place."""
+    x = np.full(len(codes[0]), (kind + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+    for c in codes:
+        x = (x ^ c) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+    return (x >> np.uint64(20) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of the words' features: the word and its affixes, a row of seven a word; and its n-grams, word after word, with how many each has."""
+    size = np.array([len(w) + 2 for w in words])
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = np.cumsum(size)
+    first, last = end - size + 1, end - 2  # of the word's own letters
+    place = (np.arange(len(codes)) - np.repeat(end - size, size)).astype(np.uint64)
+    whole = np.add.reduceat((codes + np.uint64(1)) * (place * np.uint64(2) + np.uint64(1)) * (place ^ np.uint64(0x9E3779B97F4A7C15)), end - size)
+    fixed = [_bucket(0, whole)]
+    for way, at in ((1, first), (-1, last)):  # prefixes and suffixes of up to three letters
+        reach = [codes[np.clip(at + way * k, first, last)] for k in range(3)]
+        for k in (1, 2, 3):
+            n = np.minimum(k, size - 2)
+            fixed.append(np.select([n == 1, n == 2], [_bucket(1 + (way < 0), *reach[:1]), _bucket(3 + (way < 0), *reach[:2])], _bucket(5 + (way < 0), *reach)))
+    two = _bucket(7, codes[:-1], codes[1:])
+    three = _bucket(8, codes[:-2], codes[1:-1], codes[2:])
+    inside = np.ones(len(codes), bool)
+    inside[end - 1] = False
+    pairs = np.flatnonzero(inside)  # where a pair of letters begins, and a triple but for the last pair
+    inside[end - 2] = False
+    triples = np.flatnonzero(inside)
+    owner = np.concatenate([np.repeat(np.arange(len(words)), size - 1), np.repeat(np.arange(len(words)), size - 2)])
+    grams = np.concatenate([two[pairs], three[triples]])[np.argsort(owner, kind="stable")]
+    return np.stack(fixed, 1), grams, 2 * size - 3
+
+
 def features(word: str) -> list[int]:
     """The buckets of a word's features."""
-    w = f"<{word}>"
-    names = ["=" + word, *["^" + word[:k] for k in (1, 2, 3)], *["$" + word[-k:] for k in (1, 2, 3)]]
-    names += [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in names]
+    fixed, grams, _ = word_features([word])
+    return [*fixed[0].tolist(), *grams.tolist()]
 
 
 def _chain(step: np.ndarray, start: np.ndarray, first: np.ndarray, trans: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -133,9 +164,9 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) ->
             at += n
     if not size or not stream:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
-    feats = [features(w) for w in known]
-    begin = np.cumsum([0, *map(len, feats)])
-    flat = np.array([x for f in feats for x in f])
+    fixed, grams, many = word_features([*known])
+    begin = np.concatenate([[0], np.cumsum(many + fixed.shape[1])])
+    flat = np.concatenate([fixed.ravel(), grams])[np.argsort(np.concatenate([np.repeat(np.arange(len(many)), fixed.shape[1]), np.repeat(np.arange(len(many)), many)]), kind="stable")]
     ids = np.array(stream)
     order: list[tuple[int, int, int]] = []
     for k, own_runs in enumerate(runs):
@@ -212,9 +243,9 @@ class Labeller:
         self.words, self.new = Words(), []
 
     def factors(self, words: list[str]) -> np.ndarray:
-        found = [features(w) for w in words]
-        n = np.array([len(f) for f in found])
-        s = np.add.reduceat(self.model.weights[[x for f in found for x in f]], np.cumsum(n) - n) / n[:, None] * 8
+        fixed, grams, many = word_features(words)
+        s = self.model.weights[fixed].sum(1) + np.add.reduceat(self.model.weights[grams], np.cumsum(many) - many)
+        s = s / (many + fixed.shape[1])[:, None] * 8
         return np.exp(s - s.max(1, keepdims=True))
 
     def probabilities(self, texts: list[str | None]) -> tuple[list[list[str]], list[np.ndarray], list[np.ndarray]]:
