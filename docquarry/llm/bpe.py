@@ -29,7 +29,9 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: The vocabulary's special string and its id.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Characters of a text, or bytes of an unsplit piece, up to which it is a leaf of the tree.
-LEAF = 2048
+LEAF = 4096
+#: Leaves of a text from which they are encoded in parallel.
+MANY = 16
 #: Where no piece goes on after the first of two characters, whatever stands around them.
 _places = re.compile(r"[!-~][ \t\n\r]")
 
@@ -60,7 +62,8 @@ class Encoder:
         if len(text) <= self.leaf:
             return self.leaf_ids(text)
         cuts = [0, *self._cuts(text), len(text)]
-        rows = list(self._texts.map(self.leaf_ids, [text[a:b] for a, b in zip(cuts, cuts[1:])]))
+        run = self._texts.map if len(cuts) > MANY else map  # threads pay for many leaves only
+        rows = list(run(self.leaf_ids, [text[a:b] for a, b in zip(cuts, cuts[1:])]))
         while len(rows) > 1:
             rows = [self.join_texts(rows[i], rows[i + 1]) if i + 1 < len(rows) else rows[i] for i in range(0, len(rows), 2)]
         return rows[0]
