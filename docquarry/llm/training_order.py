@@ -1,13 +1,15 @@
 """Operator 7: token sequences in training order, as fixed-stride binary shards.
 
-Documents are tokenised once; each ends with the special id. One after another, in order of (doc_id, hash of the text), they are one row of ids, cut into
-sequences of ``length``; the last is filled up with the special id. Task by task the ids go to staging files in the shared folder. A keyed Feistel network over the
-smallest even number of bits that holds all sequences' numbers, walked along its cycle until it falls among them, maps each number to its slot, one to
-one, and shard s holds slots s * per_shard and on, ``2 * length`` bytes each (little-endian 16-bit ids). Each staging file is then read once, from its begin to its
-end, and its documents' pieces of sequences are shuffled to their shards' writers. A reader finds slot n at a known byte of
+Documents are tokenised once; each ends with the special id and is cut into sequences of ``length`` ids, the last filled up with that id in its
+shard. Task by task the ids go to staging files in the shared folder. Sequences are numbered by (doc_id, position), a keyed Feistel network over the
+smallest even number of bits that holds all numbers, walked along its cycle until it falls among them, maps each number to its slot, one to
+one, and shard s holds slots s * per_shard and on, ``2 * length`` bytes each (little-endian 16-bit ids). A reader finds slot n at a known byte of
 a known file and resumes from there; a shard depends on nothing but the key and the corpus, so any can be written again by itself.
 
-Null and empty texts are the special id alone. Rows with a null doc_id take part, first of all. Rows with the same id follow each
+A shard's writer reads its sequences from staging by ranges, a few sequences at a time, forward in each file. Reading each file once and
+shuffling all ids to their writers would need no ranges, but about once the input more of disk.
+
+Null and empty texts are one sequence with the special id alone. Rows with a null doc_id take part, first of all. Rows with the same id follow each
 other by their text's hash, equal rows by their place in staging. An empty table gives no shards. Texts of any length are tokenised whole. Other columns aren't read, whatever their names.
 """
 
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .bpe import RANKS, SPECIAL_ID, encoder
 from .common import own, remove, shared_dir, slices, table, task, tokenizer_path, written
 
-#: Level of compression in staging files.
-LEVEL = 3
+#: Sequences of a document that are compressed together in staging files.
+TOGETHER = 4
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 32_768, "training-order", 4
 
 
@@ -67,10 +69,10 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-_STAGED = "doc_id bigint, mark bigint, n_tokens bigint, file string, at bigint, size bigint"
+_STAGED = "doc_id bigint, mark bigint, n_tokens bigint, n_seqs bigint, file string, at bigint, starts array<bigint>"
 
 
-def _stage(folder: str, ranks: str):
+def _stage(folder: str, ranks: str, length: int):
     """Writes a task's ids to one file; a row for each document says where. A task that runs again writes another file, and only the one whose rows are kept counts."""
 
     def run(batches):
@@ -83,14 +85,18 @@ def _stage(folder: str, ranks: str):
                 rows = []
                 for doc, mark, text in zip(*[c.to_pylist() for c in b.columns]):
                     ids = [*e.encode(text), SPECIAL_ID]
+                    size = len(ids)
                     if out is None:
                         out = store.open_output_stream(f"{path}/{name}")
-                    body = zlib.compress(np.array(ids, "<u2").tobytes(), LEVEL)
-                    out.write(body)
-                    rows.append((doc, mark, len(ids), name, at, len(body)))
-                    at += len(body)
+                    raw, starts = np.array(ids, "<u2").tobytes(), [at]
+                    for i in range(0, len(raw), 2 * length * TOGETHER):
+                        body = zlib.compress(raw[i : i + 2 * length * TOGETHER], 1)
+                        out.write(body)
+                        starts.append(starts[-1] + len(body))
+                    rows.append((doc, mark, size, -(-size // length), name, at, starts))
+                    at = starts[-1]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "mark", "n_tokens", "file", "at", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())))], ["doc_id", "mark", "n_tokens", "n_seqs", "file", "at", "starts"])
         finally:
             if out is not None:
                 out.close()
@@ -99,102 +105,92 @@ def _stage(folder: str, ranks: str):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Documents with ``first``, how many ids come before theirs, in order of (doc_id, mark, n_tokens)."""
+    """Documents with ``first``, the number of their first sequence, in order of (doc_id, mark, n_seqs)."""
     spark = docs.sparkSession
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("n_tokens"), F.col("file"), F.col("at")]
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("n_seqs"), F.col("file"), F.col("at")]
     part = written(docs.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()), "numbered")
     sums, total = {}, 0
-    for r in sorted(part.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()):  # one row for each partition
+    for r in sorted(part.groupBy("part").agg(F.sum("n_seqs").alias("n")).collect()):  # one row for each partition
         sums[r.part], total = total, total + r.n
     base = F.broadcast(spark.createDataFrame([*sums.items()], "part int, base bigint"))
     w = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return part.join(base, "part").withColumn("first", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0))).drop("part", "base")
-
-
-_PIECES = "shard bigint, slot bigint, begin int, doc_id bigint, seq_no bigint, body binary"
-_PIECES_ARROW = pa.schema([("shard", pa.int64()), ("slot", pa.int64()), ("begin", pa.int32()), ("doc_id", pa.int64()), ("seq_no", pa.int64()), ("body", pa.binary())])
+    return part.join(base, "part").withColumn("first", F.col("base") + F.coalesce(F.sum("n_seqs").over(w), F.lit(0))).drop("part", "base")
 
 
-def _pieces(staged: str, n: int, key: str, length: int, per_shard: int):
-    """Documents, which come by file and place, as pieces of sequences: each file is read on from where the document before ended."""
-
+def _slots(n: int, key: str, per_shard: int):
     def run(batches):
         f = Feistel(n, key)
-        store, path = _open(staged)
-        name, source = None, None
-        for b in slices(batches, 64):
-            docs, seqs, bodies, begins, numbers = [], [], [], [], []
-            for doc, file, at, size, first, n_tokens in zip(*[b.column(c).to_pylist() for c in ("doc_id", "file", "at", "size", "first", "n_tokens")]):
-                if file != name:
-                    if source is not None:
-                        source.close()
-                    name, source = file, store.open_input_file(f"{path}/{file}")
-                ids = zlib.decompress(source.read_at(size, at))
-                low, high = first // length, (first + n_tokens - 1) // length
-                edges = [0, *[2 * (k * length - first) for k in range(low + 1, high + 1)], 2 * n_tokens]
-                numbers += range(low, high + 1)
-                docs += [doc] * (high - low + 1)
-                seqs += range(high - low + 1)
-                begins += [first % length] + [0] * (high - low)
-                bodies += [zlib.compress(ids[i:j], 1) for i, j in zip(edges, edges[1:])]
-            slot = f.slot(np.array(numbers, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(begins, pa.int32()), pa.array(docs, pa.int64()), pa.array(seqs, pa.int64()), pa.array(bodies, pa.binary())], schema=_PIECES_ARROW)
-        if source is not None:
-            source.close()
+        for b in batches:
+            slot = f.slot(b.column("number").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *[b.column(c) for c in ("doc_id", "seq_no", "n_tokens", "file", "at", "size")]], ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "at", "size"])
 
     return run
 
 
-_MANIFEST = "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, offset bigint, crc32 bigint"
-_MANIFEST_ARROW = pa.schema([("slot", pa.int64()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("seq_no", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("crc32", pa.int64())])
-
-
-def _write(folder: str, length: int, per_shard: int):
-    """Writes whole shards from pieces in order of shard, slot and place, and gives a row for each piece written."""
-    stride, fill = 2 * length, np.array([SPECIAL_ID], "<u2").tobytes()
+def _write(staged: str, folder: str, length: int, per_shard: int):
+    """Writes whole shards from rows sorted by shard and slot, and gives a row for each sequence written."""
+    stride = 2 * length
 
     def run(batches):
         store, target = _open(folder)
+        source, staging = _open(staged)
         store.create_dir(target, recursive=True)
-        shard, out, part, at = None, None, "", 0
-
-        def close():
-            if out is not None:
-                out.write(fill * (-at % stride // 2))
-                out.close()
-                store.move(part, f"{target}/shard-{shard:06d}.bin")  # whole or not at all; a task that runs again writes the same bytes
-
-        for b in slices(batches, 1024):
-            rows = []
-            for s, slot, begin, doc, seq, body in zip(*[c.to_pylist() for c in b.columns]):
-                if s != shard:
-                    close()
-                    shard, part, at = s, f"{target}/.shard-{s:06d}.bin-{uuid.uuid4().hex}", 0
-                    out = store.open_output_stream(part)
-                offset, body = (slot - s * per_shard) * stride + 2 * begin, zlib.decompress(body)
-                out.write(fill * ((offset - at) // 2) + body)  # after the corpus's last sequence, which may be short
-                at = offset + len(body)
-                rows.append((slot, s, doc, seq, len(body) // 2, f"shard-{s:06d}.bin", offset, zlib.crc32(body)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MANIFEST_ARROW)], schema=_MANIFEST_ARROW)
-        close()
+        open_files: dict = {}
+
+        def flush(shard, rows):
+            body = bytearray(np.full(len(rows) * length, SPECIAL_ID, "<u2").tobytes())
+            begin, last, ids = shard * per_shard, None, b""
+            for i in sorted(range(len(rows)), key=lambda i: (rows[i]["file"], rows[i]["at"])):  # a file's reads go forward
+                r = rows[i]
+                if r["file"] not in open_files:
+                    if len(open_files) >= 64:
+                        open_files.pop(next(iter(open_files))).close()
+                    open_files[r["file"]] = source.open_input_file(f"{staging}/{r['file']}")
+                at = r["slot"] - begin
+                if last != (r["file"], r["at"]):
+                    last, ids = (r["file"], r["at"]), zlib.decompress(open_files[r["file"]].read_at(r["size"], r["at"]))
+                own_ids = ids[r["seq_no"] % TOGETHER * stride :][: 2 * r["n_tokens"]]
+                body[at * stride : at * stride + len(own_ids)] = own_ids
+            name = f"shard-{shard:06d}.bin"
+            part = f"{target}/.{name}-{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(body)
+            store.move(part, f"{target}/{name}")  # whole or not at all; a task that runs again writes the same bytes
+            sums = [zlib.crc32(memoryview(body)[i * stride : (i + 1) * stride]) for i in range(len(rows))]
+            return pa.RecordBatch.from_arrays(
+                [*[pa.array([r[c] for r in rows]) for c in ("slot", "shard")], *[pa.array([r[c] for r in rows], pa.int64()) for c in ("doc_id", "seq_no", "n_tokens")], pa.array([name] * len(rows)), pa.array([(r["slot"] - begin) * stride for r in rows]), pa.array(sums)],
+                ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "offset", "crc32"],
+            )
+
+        shard, rows = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["shard"] != shard:
+                    if rows:
+                        yield flush(shard, rows)
+                    shard, rows = r["shard"], []
+                rows.append(r)
+        if rows:
+            yield flush(shard, rows)
 
     return run
 
 
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: str = KEY, ranks_file: str | None = None) -> DataFrame:
-    """Writes the shards into ``folder`` and returns a row for each piece of a document in a sequence: slot, shard, doc_id, seq_no (of the document's pieces), n_tokens, file, offset, crc32."""
+    """Writes the shards into ``folder`` and returns a row for each sequence: slot, shard, doc_id, seq_no, n_tokens (ids before filling), file, offset, crc32."""
     spark = docs.sparkSession
     staging = shared_dir(spark, "staging")
     texts = own(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("mark"), "text")
-    staged = written(texts.mapInArrow(task(_stage(staging, ranks_file or tokenizer_path(RANKS))), _STAGED), "staged")
-    total = staged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    n = -(-total // length)
-    files = staged.select("file").distinct().count()
-    by_file = numbered(staged).repartition(max(1, files), "file").sortWithinPartitions("file", "at")
-    pieces = by_file.select("doc_id", "file", "at", "size", "first", "n_tokens").mapInArrow(task(_pieces(staging, max(1, n), key, length, per_shard)), _PIECES)
+    staged = written(texts.mapInArrow(task(_stage(staging, ranks_file or tokenizer_path(RANKS), length)), _STAGED), "staged")
+    docs_at = numbered(staged)
+    n = staged.agg(F.coalesce(F.sum("n_seqs"), F.lit(0))).first()[0]
+    one = docs_at.select("doc_id", F.col("n_tokens").alias("all"), "file", "starts", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_seqs") - 1)).alias("seq_no"))
+    one = one.select("doc_id", "seq_no", (F.col("first") + F.col("seq_no")).alias("number"), F.least(F.lit(length).cast("bigint"), F.col("all") - F.col("seq_no") * length).alias("n_tokens"), "file", F.expr(f"starts[int(seq_no div {TOGETHER})]").alias("at"), F.expr(f"int(starts[int(seq_no div {TOGETHER}) + 1] - starts[int(seq_no div {TOGETHER})])").alias("size"))
+    slots = one.mapInArrow(_slots(max(1, n), key, per_shard), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, at bigint, size int")
     shards = max(1, -(-n // per_shard))
-    dealt = pieces.repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot", "begin")
-    out = written(dealt.mapInArrow(task(_write(folder, length, per_shard)), _MANIFEST), "manifest")
+    dealt = slots.repartitionByRange(min(shards, 100_000), "shard").sortWithinPartitions("shard", "slot")
+    out = written(dealt.mapInArrow(task(_write(staging, folder, length, per_shard)), "slot bigint, shard bigint, doc_id bigint, seq_no bigint, n_tokens bigint, file string, offset bigint, crc32 bigint"), "manifest")
+    out.count()
     remove(spark, staging)
     return out
 
