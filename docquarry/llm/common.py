@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,9 +60,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within are deleted at the end, but for those that the function it gives is called with."""
+    _scratch.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda x: kept.append(x) or x
+    finally:
+        mine = _scratch.pop()
+        discard(*[x for x in mine if not any(x is k for k in kept)])
+        if _scratch:
+            _scratch[-1] += kept
+
+
 def again(table: DataFrame) -> DataFrame:
     """A written table read anew, with columns of its own, to be joined with itself."""
     return table.sparkSession.read.schema(table.schema).parquet(table._folder)

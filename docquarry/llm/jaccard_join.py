@@ -23,12 +23,14 @@ doc_id are one document for components, and one row each in the result. Other co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import again, discard, join_unique, own, slices, small, table, task, written
+from .common import again, discard, join_unique, own, scratch, slices, small, table, task, written
 from .shingles import common, fingerprint, shingle_sets
 
 #: Similarity in hundredths; slots of the sketch; filed shingles of one part, and those of open meetings; words of 64 bits of the shortest bitmap; children of a node.
@@ -464,8 +466,14 @@ def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, similarity
 
 def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    with scratch() as keep:
+        return _similar_groups(docs, similarity, keep)
+
+
+def _similar_groups(docs: DataFrame, similarity: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     spark = docs.sparkSession
     every = written(own(docs, "doc_id", "text").mapInArrow(task(_classes), _CLASSES), "classes")
+    keep(every)
     level, filed = levels(every.where("strip is not null").select("strip", "counts", "filed"))
     every = every.where("strip is null").select("doc_id", "n", F.struct("a", "b").alias("x"), "bits")
     rows = every.select("doc_id", "n", "x")
@@ -502,7 +510,7 @@ def similar_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     discard(classes, pairs, more)
     least = written(final.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "components")
     named = join_unique(final, least.select("c", "component_id"), "c", least.select("c", "n"), final.count(), "inner")
-    named = written(named.select("x", "component_id", "copies"), "named")
+    named = keep(written(named.select("x", "component_id", "copies"), "named"))
     discard(final, least)
     out = join_unique(rows, named.select("x", "component_id"), "x", named.select("x", F.col("copies").alias("n")), rows.count(), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).otherwise(F.coalesce("component_id", "doc_id"))

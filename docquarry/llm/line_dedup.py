@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST, free, join_unique, own, small, table, written
+from .common import BROADCAST, free, join_unique, own, scratch, small, table, written
 
 #: Words from which the edit bound is 1; below, one word is too large a part of a line, and the bound is 0.
 MIN_WORDS = 8
@@ -158,7 +158,8 @@ def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_d
     A name that ``docs`` has already gets an underscore added, here and for the columns of the join.
     """
     mark, key, other, gone, n_lines, n_dropped = (free(x, docs.columns) for x in ("_mark", "_key", "_other", "_gone", n_lines, n_dropped))
-    lost = small(written(dropped(docs), "dropped"), LIMIT).toDF(key, other, gone)
+    with scratch() as keep:
+        lost = small(keep(written(dropped(docs), "dropped")), LIMIT).toDF(key, other, gone)
     both = docs.withColumn(mark, F.xxhash64("text")).join(lost, F.expr(f"`{mark}` = `{other}` and doc_id <=> `{key}`"), "left")
     split = "split(text, '\\n', -1)"
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.expr(f"array_join(filter({split}, (x, i) -> not array_contains(`{gone}`, i)), '\\n')"))
