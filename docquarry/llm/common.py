@@ -183,7 +183,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, t
     ``parts`` keys can hold over 1/``parts`` of all rows each; only the hashes of these come to the driver and only their rows of ``right`` are
     broadcast, so both have a proven bound, and what is left for the shuffle has no key of more than 1/``parts`` of the rows.
     """
-    if (whole := small(right, limit)) is not right:
+    if limit > 0 and (whole := small(right, limit)) is not right:
         return left.join(whole, key, how)
     edge = max(1, total // parts)
     hot = [r[0] for r in sizes.where(F.col("n") > edge).select(F.xxhash64(key)).collect()]

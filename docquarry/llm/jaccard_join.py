@@ -34,11 +34,11 @@ from .common import again, discard, join_unique, own, scratch, slices, small, ta
 from .shingles import common, fingerprint, shingle_sets
 
 #: Similarity in hundredths; slots of the sketch; filed shingles of one part, and those of open meetings; words of 64 bits of the shortest bitmap; children of a node.
-SIMILARITY, SLOTS, PART, OPEN, WORDS64, FAN = 75, 1 << 20, 500_000, 150_000, 16, 8
+SIMILARITY, SLOTS, PART, OPEN, WORDS64, FAN = 75, 1 << 20, 500_000, 250_000, 16, 8
 #: Slots of the sketch in a row; classes of one meeting that one task takes; classes of a meeting whose pairs are listed at once; pairs of nodes looked at together.
 STRIP, MEETING, FEW, CHUNK = 1 << 14, 2_048, 24, 50_000
-#: Bytes of a list of shingles up to which it is broadcast. Texts whose fingerprints a task remembers, to file copies once.
-LIMIT, REMEMBER = 16 << 20, 100_000
+#: Bytes of a list of shingles up to which it is broadcast: none, as they grow with the corpus. Texts whose fingerprints a task remembers, to file copies once.
+LIMIT, REMEMBER = 0, 100_000
 
 
 def prefix(n: int, similarity: int = SIMILARITY) -> int:
@@ -177,33 +177,43 @@ def _meet(parts: int):
     return run
 
 
-_SETS = "a bigint, b bigint, members binary"
+_SETS = "a bigint, b bigint, n bigint, members binary"
 
 
-def _sets(batches):
-    for b in slices(batches, 128):
-        sets = shingle_sets(b.column(0).to_pylist())
-        prints = [fingerprint(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["a", "b", "members"])
+def _sets(thin: bool):
+    """Whole sets, or their members' upper halves, of which two sets share as many at least but for those that fall together in one."""
+
+    def run(batches):
+        for b in slices(batches, 128):
+            sets = shingle_sets(b.column(0).to_pylist())
+            prints = [fingerprint(s) for s in sets]
+            members = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets] if thin else sets
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in members], pa.binary())], ["a", "b", "n", "members"])
 
+    return run
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(x, members) of the classes in pairs (x, y), each from its smallest document."""
+
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, thin: bool) -> DataFrame:
+    """(x, n, members) of the classes in pairs (x, y), each from its smallest document."""
     wanted = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
     ids = written(classes.join(wanted, "x", "left_semi").select("x", "doc_id"), "candidates")
     texts = own(docs, "doc_id", "text").join(small(ids.select("doc_id")), "doc_id", "left_semi").select("text").where("text is not null")
-    sets = texts.mapInArrow(task(_sets), _SETS).select(F.struct("a", "b").alias("x"), "members")
-    return written(sets.join(small(ids.select("x")), "x", "left_semi").dropDuplicates(["x"]), "members")
+    sets = texts.mapInArrow(task(_sets(thin)), _SETS).select(F.struct("a", "b").alias("x"), "n", "members")
+    out = written(sets.join(small(ids.select("x")), "x", "left_semi").dropDuplicates(["x"]), "members")
+    discard(ids)
+    return out
+
 
+def _compare(similarity: int, thin: bool):
+    """Pairs whose whole sets are similar; with ``thin`` ones, pairs that may be."""
+    kind = np.uint32 if thin else np.uint64
 
-def _compare(similarity: int):
     def run(batches):
         for b in slices(batches, 512):
-            x, y = b.column("members").to_pylist(), b.column("members_y").to_pylist()
             keep = []
-            for s, t in zip(x, y):
-                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                keep.append(linked(common(s, t), len(s), len(t), similarity))
+            for s, n, t, m in zip(*[b.column(c).to_pylist() for c in ("members", "n", "members_y", "m")]):
+                s, t = np.frombuffer(s, kind), np.frombuffer(t, kind)
+                keep.append(linked(common(s, t) + min(n - len(s), m - len(t)), n, m, similarity))
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -212,11 +222,11 @@ def _compare(similarity: int):
 _KIND = "struct<a: bigint, b: bigint>"
 
 
-def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, name: str) -> DataFrame:
-    """Those of the pairs (x, y) that are similar, by their whole sets; a written table."""
-    sets = sets_of(docs, classes, pairs)
-    two = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("members").alias("members_y")), "y")
-    out = written(two.select("x", "y", "members", "members_y").mapInArrow(task(_compare(similarity)), f"x {_KIND}, y {_KIND}"), name)
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: int, name: str, thin: bool = False) -> DataFrame:
+    """Those of the pairs (x, y) that are similar, by their whole sets (or may be, by ``thin`` ones); a written table."""
+    sets = sets_of(docs, classes, pairs, thin)
+    two = pairs.join(sets, "x").join(sets.select(F.col("x").alias("y"), F.col("n").alias("m"), F.col("members").alias("members_y")), "y")
+    out = written(two.select("x", "y", "n", "m", "members", "members_y").mapInArrow(task(_compare(similarity, thin)), f"x {_KIND}, y {_KIND}"), name)
     discard(sets)
     return out
 
@@ -499,7 +509,7 @@ def _similar_groups(docs: DataFrame, similarity: int, keep: Callable[[DataFrame]
     # the rest
     pairs = open_pairs(met, classes, groups, similarity)
     discard(met)
-    more = compared(docs, classes, pairs, similarity, "more")
+    more = compared(docs, classes, compared(docs, classes, pairs, similarity, "likely", thin=True), similarity, "more")
     merged = more.join(groups.select("x", "c"), "x", "left").select("y", F.coalesce("c", "x").alias("x"))
     merged = merged.join(groups.select(F.col("x").alias("y"), "c"), "y", "left").select("x", F.coalesce("c", "y").alias("y"))
     same = classes.groupBy("doc_id").agg(F.count("*").alias("k"), F.min("x").alias("y")).where("k > 1").select("doc_id", "y")  # one document with several texts
