@@ -4,7 +4,7 @@ Dimensions are the query's terms. Within a block of vectors each component is sh
 taken from the block's largest) value, so that every term adds at least 0 and its bound is |weight| x (largest - smallest). A query whose bounds in sum
 can't lift a vector of the block over its k-th score so far skips the block. Of its terms, in groups of ``GROUP`` columns, those with the smallest bounds
 that can't do so either are non-essential: the essential groups alone are traversed for the whole block, and only vectors that stay competitive are
-probed with the other terms, largest bounds first. Blocks of candidates are searched apart, each partition keeps k for each query, and these are
+probed with the other groups, largest bounds first. Blocks of candidates are searched apart, each partition keeps k for each query, and these are
 merged. All partitions start from the same thresholds: the k-th scores in a sample of ``SAMPLE`` vectors, which are scores that any result reaches.
 
 Components are floor(256 * x) in double precision; scores are integers. Vectors that are null, or hold a null or non-finite component, take no part;
@@ -25,6 +25,8 @@ from .common import own, table, task, written
 K, EVERY, SCALE = 5, 50, 256.0
 #: Queries that are broadcast together, and that a block is searched with at a time; vectors of a block, columns that are traversed together, and vectors that give the first thresholds.
 QUERIES, TOGETHER, BLOCK, GROUP, SAMPLE = 16_384, 2_048, 2_048, 8, 4_096
+#: Of a block's vectors at most one in so many is probed.
+PROBED = 4
 
 
 def scaled(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = SCALE) -> DataFrame:
@@ -71,14 +73,26 @@ class Queries:
                 partial[use] += self.q[live[use]][:, g] @ x[:, g].T
             self.traversed += len(use) * len(g) * len(x)
             rest += np.where(essential[:, k], 0.0, top[live][:, g].sum(1))
+        while True:  # where many vectors stay competitive, the next group is traversed too: cheaper than to probe them one by one
+            many = np.flatnonzero(((partial + rest[:, None] >= self.least[live, None]).sum(1) > len(x) // PROBED) & ~essential.all(1))
+            if not len(many):
+                break
+            nxt = np.where(essential[many], -1.0, by_group[many]).argmax(1)
+            for k in np.unique(nxt):
+                use, g = many[nxt == k], groups[k]
+                partial[use] += self.q[live[use]][:, g] @ x[:, g].T
+                rest[use] -= top[live[use]][:, g].sum(1)
+                essential[use, k] = True
+                self.traversed += len(use) * len(g) * len(x)
         for i in np.flatnonzero(partial.max(1) + rest >= self.least[live]):
             n = live[i]
             near = np.flatnonzero(partial[i] + rest[i] >= self.least[n])
             score, room = partial[i, near], rest[i]
-            others = np.concatenate([[], *[g for k, g in enumerate(groups) if not essential[i, k]]]).astype(int)
-            for t in others[np.argsort(-bound[n, others], kind="stable")]:  # probe the others while competitive
-                score = score + self.q[n, t] * x[near, t]
-                room -= top[n, t]
+            others = np.flatnonzero(~essential[i])
+            for k in others[np.argsort(-by_group[i, others], kind="stable")]:  # probe the others while competitive
+                g = groups[k]
+                score = score + x[near[:, None], g] @ self.q[n, g]
+                room -= top[n, g].sum()
                 keep = score + room >= self.least[n]
                 near, score = near[keep], score[keep]
                 if not len(near):
