@@ -1,7 +1,9 @@
+import os
 import random
 
 import pytest
 
+from docquarry.llm import jaccard_join
 from docquarry.llm import line_dedup as ld
 from pyspark.sql import functions as F
 
@@ -115,3 +117,15 @@ def test_stays_native(spark):
     for plan in plans:
         said = plan._jdf.queryExecution().toString()
         assert "Python" not in said and "Arrow" not in said
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(spark):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    kept = ld.dedup_lines(documents(spark, [(1, "a\nb"), (2, "b")]))
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before] == ["dropped"]
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a\nb"), (2, "")]
+    before = set(os.listdir(base))
+    groups = jaccard_join.similar_groups(documents(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")]))
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before) == ["classes", "named"]
+    assert sorted(map(tuple, groups.collect())) == [(1, 2, 1), (2, 2, 1), (3, 1, 3)]
