@@ -22,6 +22,10 @@ def _folding() -> tuple[str, str]:
 ACCENTED, PLAIN = _folding()
 
 
+#: Bits of a count of shingles; three of them fit in a number.
+LANE = 21
+
+
 def word_runs(text: Column) -> Column:
     """Runs of letters, digits and underscores, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
@@ -56,22 +60,20 @@ def shingles(tokens: Column, n: int = 3) -> Column:
 def simhash(df: DataFrame, key: str, text: str, least: int = 20) -> DataFrame:
     """(key, simhash64): 64 votes of the shingles' md5 as 16 hex digits; null for texts that are null or shorter than ``least``.
 
-    Votes are sums in one partial aggregation, so what is shuffled is a row a document.
+    Votes are sums in one partial aggregation, three bits' counts in one number, so what is shuffled is a row for each 2^20 shingles of a document.
     """
     x = once(spread(df.select(key, F.when(F.length(text) >= least, F.col(text)).alias("t"))), [F.col(key)], w=word_runs(F.col("t")))
-    x = x.select(key, F.col("w").isNotNull().alias("ok"), F.explode_outer(shingles(F.col("w"))).alias("s")).select(key, "ok", F.md5("s").alias("m"))
-    x = x.select(key, "ok", F.conv(F.substring("m", 17, 8), 16, 10).cast("bigint").alias("hi"), F.conv(F.substring("m", 25, 8), 16, 10).cast("bigint").alias("lo"))
-    votes = [F.sum(F.when(F.shiftright(half, b).bitwiseAND(1) == 1, 1).when(F.col(half).isNotNull(), -1)).alias(f"{half}{b}") for half in ("hi", "lo") for b in range(32)]
-    total = x.groupBy(key).agg(F.max("ok").alias("ok"), *votes)
-
-    def half(name: str) -> Column:
-        bits = [F.when(F.col(f"{name}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("bigint") for b in range(32)]
-        out = bits[0]
-        for x in bits[1:]:
-            out = out.bitwiseOR(x)
-        return F.lpad(F.lower(F.hex(out)), 8, "0")
-
-    return total.select(key, F.when(F.col("ok"), F.concat(half("hi"), half("lo"))).alias("simhash64"))
+    x = x.select(key, F.col("w").isNotNull().alias("ok"), F.posexplode_outer(shingles(F.col("w"))).alias("pos", "s"))
+    x = x.select(key, "ok", F.shiftright("pos", LANE - 1).alias("part"), F.conv(F.substring(F.md5("s"), 17, 16), 16, -10).cast("bigint").alias("h"))  # the low half, as a signed number
+    three = [F.shiftrightunsigned("h", b).bitwiseAND(7) for b in range(0, 64, 3)]
+    apart = [v.bitwiseAND(1) + F.shiftleft(v.bitwiseAND(2), LANE - 1) + F.shiftleft(v.bitwiseAND(4), 2 * LANE - 2) for v in three]
+    parts = x.groupBy(key, "part").agg(F.max("ok").alias("ok"), F.count("h").alias("n"), *[F.sum(v).alias(f"v{i}") for i, v in enumerate(apart)])
+    ones = [F.sum(F.shiftright(f"v{b // 3}", LANE * (b % 3)).bitwiseAND((1 << LANE) - 1)).alias(f"b{b}") for b in range(64)]
+    total = parts.groupBy(key).agg(F.max("ok").alias("ok"), F.sum("n").alias("n"), *ones)
+    out = F.lit(0).cast("bigint")
+    for b in range(64):
+        out = out.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0)).cast("bigint"))
+    return total.select(key, F.when(F.col("ok"), F.lpad(F.lower(F.hex(out)), 16, "0")).alias("simhash64"))
 
 
 def hash_bits(hex16: Column) -> Column:

@@ -69,6 +69,7 @@ def near_groups(hashes: DataFrame, distance: int = DISTANCE, prefix: str = "simh
     rounds: an undecided item whose smaller neighbours are all no seeds is one, and one with a smaller seed isn't. Equal hashes go with their smallest
     item throughout: they have the same neighbours.
     """
+    hashes = _kept(hashes, "all-hashes")
     same = hashes.where("h is not null").groupBy("h").agg(F.min("item_id").alias("id"), F.count("*").alias("n"))
     same = _kept(same, "hashes")
     pairs = _kept(near_pairs(same, distance), "pairs")

@@ -44,6 +44,14 @@ def test_simhash_equals_a_plain_model(spark):
     assert {r.id: r.simhash64 for r in text.simhash(rows, "id", "t").collect()} == {i: model(t) for i, t in enumerate(texts)}
 
 
+def test_votes_of_long_texts_are_added_up_in_parts(spark, monkeypatch):
+    r = random.Random(7)
+    rows = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(n))) for i, n in enumerate((10, 40, 300, 1000))], "id int, t string")
+    whole = sorted(map(tuple, text.simhash(rows, "id", "t").collect()))
+    monkeypatch.setattr(text, "LANE", 5)
+    assert sorted(map(tuple, text.simhash(rows, "id", "t").collect())) == whole
+
+
 def test_near_groups_equal_the_greedy_loop(spark):
     r = random.Random(1)
     for n in (0, 1, 60):
