@@ -29,7 +29,7 @@ from .bpe import RANKS, SPECIAL_ID, encoder
 from .common import own, remove, shared_dir, slices, table, task, tokenizer_path, written
 
 #: Sequences of a document that are compressed together in staging files.
-TOGETHER = 4
+TOGETHER = 8
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 32_768, "training-order", 4
 
 
@@ -140,17 +140,15 @@ def _write(staged: str, folder: str, length: int, per_shard: int):
         def flush(shard, rows):
             body = bytearray(np.full(len(rows) * length, SPECIAL_ID, "<u2").tobytes())
             begin, last, ids = shard * per_shard, None, b""
-            for i in sorted(range(len(rows)), key=lambda i: (rows[i]["file"], rows[i]["at"])):  # a file's reads go forward
-                r = rows[i]
-                if r["file"] not in open_files:
+            for file, begin_at, slot, _, seq_no, n_tokens, size in sorted(rows):  # a file's reads go forward
+                if file not in open_files:
                     if len(open_files) >= 64:
                         open_files.pop(next(iter(open_files))).close()
-                    open_files[r["file"]] = source.open_input_file(f"{staging}/{r['file']}")
-                at = r["slot"] - begin
-                if last != (r["file"], r["at"]):
-                    last, ids = (r["file"], r["at"]), zlib.decompress(open_files[r["file"]].read_at(r["size"], r["at"]))
-                own_ids = ids[r["seq_no"] % TOGETHER * stride :][: 2 * r["n_tokens"]]
-                body[at * stride : at * stride + len(own_ids)] = own_ids
+                    open_files[file] = source.open_input_file(f"{staging}/{file}")
+                if last != (file, begin_at):
+                    last, ids = (file, begin_at), zlib.decompress(open_files[file].read_at(size, begin_at))
+                from_, at = seq_no % TOGETHER * stride, (slot - begin) * stride
+                body[at : at + 2 * n_tokens] = ids[from_ : from_ + 2 * n_tokens]
             name = f"shard-{shard:06d}.bin"
             part = f"{target}/.{name}-{uuid.uuid4().hex}"
             with store.open_output_stream(part) as f:
@@ -158,17 +156,18 @@ def _write(staged: str, folder: str, length: int, per_shard: int):
             store.move(part, f"{target}/{name}")  # whole or not at all; a task that runs again writes the same bytes
             sums = [zlib.crc32(memoryview(body)[i * stride : (i + 1) * stride]) for i in range(len(rows))]
             return pa.RecordBatch.from_arrays(
-                [*[pa.array([r[c] for r in rows]) for c in ("slot", "shard")], *[pa.array([r[c] for r in rows], pa.int64()) for c in ("doc_id", "seq_no", "n_tokens")], pa.array([name] * len(rows)), pa.array([(r["slot"] - begin) * stride for r in rows]), pa.array(sums)],
+                [pa.array([r[2] for r in rows]), pa.array([shard] * len(rows)), *[pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4, 5)], pa.array([name] * len(rows)), pa.array([(r[2] - begin) * stride for r in rows]), pa.array(sums)],
                 ["slot", "shard", "doc_id", "seq_no", "n_tokens", "file", "offset", "crc32"],
             )
 
         shard, rows = None, []
         for b in batches:
-            for r in b.to_pylist():
-                if r["shard"] != shard:
+            shards = b.column("shard").to_pylist()
+            for s, r in zip(shards, zip(*[b.column(c).to_pylist() for c in ("file", "at", "slot", "doc_id", "seq_no", "n_tokens", "size")])):
+                if s != shard:
                     if rows:
                         yield flush(shard, rows)
-                    shard, rows = r["shard"], []
+                    shard, rows = s, []
                 rows.append(r)
         if rows:
             yield flush(shard, rows)
