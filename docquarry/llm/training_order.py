@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .bpe import RANKS, SPECIAL_ID, encoder
 from .common import own, remove, shared_dir, slices, table, task, tokenizer_path, written
 
+#: Characters up to which a text is encoded in one go here: many texts keep a task busy, so parts of one needn't be joined.
+WHOLE = 1 << 16
 #: Sequences of a document that are compressed together in staging files.
 TOGETHER = 8
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 32_768, "training-order", 4
@@ -76,7 +78,7 @@ def _stage(folder: str, ranks: str, length: int):
     """Writes a task's ids to one file; a row for each document says where. A task that runs again writes another file, and only the one whose rows are kept counts."""
 
     def run(batches):
-        e = encoder(ranks)
+        e = encoder(ranks, WHOLE)
         store, path = _open(folder)
         store.create_dir(path, recursive=True)
         name, at, out = f"staged-{uuid.uuid4().hex}.bin", 0, None
