@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,26 +62,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
-    if _scratch:
-        _scratch[-1].append(out)
+    for mine in _scratch.get()[-1:]:
+        mine.append(out)
     return out
 
 
-_scratch: list[list[DataFrame]] = []
+#: Tables written within the scopes that are open here, a list for each; every thread has scopes of its own.
+_scratch: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables written within are deleted at the end, but for those that the function it gives is called with."""
-    _scratch.append([])
-    kept: list[DataFrame] = []
+    outer, mine, kept = _scratch.get(), [], []
+    token = _scratch.set((*outer, mine))
     try:
         yield lambda x: kept.append(x) or x
     finally:
-        mine = _scratch.pop()
+        _scratch.reset(token)
         discard(*[x for x in mine if not any(x is k for k in kept)])
-        if _scratch:
-            _scratch[-1] += kept
+        for around in outer[-1:]:
+            around += kept
 
 
 def again(table: DataFrame) -> DataFrame:
@@ -140,6 +143,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    """Lists of n numbers as rows of doubles, from the column's buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, n)
+
+
+def by_length(lists: pa.Array) -> dict[int, np.ndarray]:
+    """Places of a column's lists by their length."""
+    size = np.asarray(lists.value_lengths())
+    return {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], schema: str, key: str = "doc_id", text: str = "text", rows: int = 256) -> DataFrame:
     """One output row for each input row, in Arrow batches.
 

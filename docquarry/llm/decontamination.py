@@ -1,15 +1,15 @@
 """Operator 6: training passages that hold test items, found by BM25 with block-max WAND and verified by overlap.
 
 The test items are the indexed side: an inverted index with BM25 impacts, each divided by its item's own full score, so that an item within a
-passage scores about 1 whatever its length. Every passage (overlapping windows of words, wide enough that any item lies whole in one) is a
-query that retrieves all items scoring at least ``min_score``. A passage in which the terms that few items have can't
+passage scores about 1 whatever its length. Every passage (overlapping windows of words, twice as wide as an item: ``step_of`` its own length alone, items of
+other steps are indexed apart) is a query that retrieves all items scoring at least ``min_score``. A passage in which the terms that few items have can't
 make up what the others may lack for any item is passed over, the rest goes through block-max WAND, which skips blocks of postings by their largest impact.
 An item retrieved counts if its question and its answer are each in the passage: of the 5-word shingles of either, ``min_overlap`` at least. A part of fewer
 than 5 words is one shingle of all its words; an item without an answer counts by its question alone, and the other way round.
 The question and answer are the item's columns of those names if it has them, else its text up to its last sentence and that sentence.
 
 Words are what lies between white space, lower-cased and without punctuation at their ends; what is punctuation only is no word. A large test set is searched in
-blocks of items; the number of items, their mean length and how many have a term are those of all items, so scores don't depend on the blocks.
+blocks of items; the number of items, their mean length and how many have a term are those of all items, so neither scores nor windows depend on the blocks.
 
 Null and empty texts hold nothing, items without words are never found; empty tables give no rows. Texts of any length are searched whole. Items with a null
 id are found like others. ``contaminated`` gives repeated rows of documents once for each (doc_id, item_id), null ids too; ``clean`` keeps or drops each row by its own text.
@@ -58,8 +58,19 @@ def question_and_answer(text: str | None) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text or "", "")
 
 
+def step_of(size: int) -> int:
+    """Words from a passage's begin to the next's for items of so many words: the next power of two, 64 at least."""
+    return max(64, 1 << (size - 1).bit_length()) if size else 64
+
+
+def statistics(items: list[tuple[int | None, str, str]]) -> tuple[int, float, dict[str, int]]:
+    """The number of items with words, their mean length, and how many have a term."""
+    bags = [w for _, q, a in items if (w := words_of(q) + words_of(a))]
+    return len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(t for w in bags for t in set(w))
+
+
 class Index:
-    """Postings of one block of items: (item_id, question, answer). ``corpus`` has the number, mean length and document frequencies of all items, if there are others."""
+    """Postings of items that share a step: (item_id, question, answer). ``corpus`` has the number, mean length and document frequencies of all items, if there are others."""
 
     def __init__(self, items: list[tuple[int | None, str, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, corpus: tuple[int, float, dict[str, int]] | None = None):
         self.min_score, self.min_overlap = min_score, min_overlap
@@ -68,11 +79,11 @@ class Index:
         #: Of each item the words of it all, of its question and of its answer.
         self.parts = [(q + a, q, a) for _, q, a in kept]
         bags = [Counter(q + a) for _, q, a in kept]
-        n, mean, df = corpus or (len(bags), sum(map(Counter.total, bags)) / max(1, len(bags)), Counter(t for bag in bags for t in bag))
+        n, mean, df = corpus or statistics(items)
         self.vocabulary = {t: k for k, t in enumerate(sorted({t for bag in bags for t in bag}), 1)}
         postings: list[list[tuple[int, float]]] = [[] for _ in range(len(self.vocabulary) + 1)]
         #: Items' shares of their own score by terms that over ``often`` items have.
-        often, shared = max(2, n // 50), [0.0] * n
+        often, shared = max(2, n // 50), [0.0] * len(bags)
         for i, bag in enumerate(bags):
             size = bag.total()
             impact = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in bag.items()}
@@ -91,7 +102,7 @@ class Index:
         self.item = np.array([i for p in few for i, _ in p], np.int64)
         self.impact = np.array([x for p in few for _, x in p])
         self.needed = min_score - np.array(shared) - 1e-9
-        self.step = max(64, max((b.total() for b in bags), default=0))
+        self.step = max((step_of(b.total()) for b in bags), default=64)
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items that score ``min_score`` at least for distinct terms, by block-max WAND."""
@@ -227,7 +238,7 @@ def _item_words(split: bool):
 
 
 def indexes(benchmark: DataFrame, min_score: float, min_overlap: float, block_items: int):
-    """An index for each block of about ``block_items`` items, which is what the driver holds at a time."""
+    """An index for each step of each block of about ``block_items`` items, which is what the driver holds at a time."""
     split = not {"question", "answer"} <= set(benchmark.columns)
     items = own(benchmark, "item_id", *(["text"] if split else ["question", "answer"])).toDF("item_id", "question", *([] if split else ["answer"]))
     if split:
@@ -244,8 +255,13 @@ def indexes(benchmark: DataFrame, min_score: float, min_overlap: float, block_it
         corpus = None
         if blocks > 1:
             corpus = (n, float(mean or 0), dict(df.join(each.where(F.col("block") == block).select("word").distinct(), "word").collect()))  # the terms of these rows
-        triples = [(r.item_id, *(question_and_answer(r.question) if split else (r.question, r.answer))) for r in rows]
-        yield Index(sorted(triples, key=lambda x: (x[0] is None, *map(str, x))), min_score, min_overlap, corpus)
+        triples = sorted(((r.item_id, *(question_and_answer(r.question) if split else (r.question, r.answer))) for r in rows), key=lambda x: (x[0] is None, *map(str, x)))
+        corpus = corpus or statistics(triples)
+        by_step = defaultdict(list)
+        for x in triples:
+            by_step[step_of(len(words_of(x[1]) + words_of(x[2])))].append(x)
+        for step in sorted(by_step) or [64]:
+            yield Index(by_step[step], min_score, min_overlap, corpus)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, block_items: int = BLOCK_ITEMS) -> DataFrame:

@@ -457,12 +457,11 @@ def open_pairs(met: DataFrame, classes: DataFrame, groups: DataFrame, similarity
     rows = written(met.select("token", "a").join(known, "a").select("token", "a", "g"), "met_groups")
     sizes = rows.groupBy("token").agg(F.count("*").alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high or low = -1")
     sizes = written(sizes.select("token", "size"), "open")
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     seen = join_unique(rows, sizes, "token", sizes.select("token", F.col("size").alias("n")), rows.count(), "inner", limit=LIMIT)
-    parts = max(8, -(-total // OPEN))
-    seats = written(dealt(seen, sizes).withColumn("part", F.pmod(F.xxhash64("token", "slice"), F.lit(parts))), "seats")
-    sitting = again(seats).select("part", "a", "g").distinct().join(classes.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), "n", "bits"), "a")
-    found = seats.select("part", "token", "slice", "side", "a").groupBy("part").cogroup(sitting.groupBy("part")).applyInArrow(_trees(similarity), _PAIRS)
+    seats = written(dealt(seen, sizes), "seats")
+    part = F.pmod(F.xxhash64("token", "slice"), F.lit(max(8, -(-seats.count() // OPEN)))).alias("part")  # a class of a large meeting has many seats
+    sitting = again(seats).select(part, "a", "g").distinct().join(classes.select(F.col("x.a").alias("a"), F.col("x.b").alias("b"), "n", "bits"), "a")
+    found = seats.select(part, "token", "slice", "side", "a").groupBy("part").cogroup(sitting.groupBy("part")).applyInArrow(_trees(similarity), _PAIRS)
     pairs = found.groupBy("xa", "xb", "ya", "yb").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.sum("shared").alias("shared"))
     # of a and b with n and m members at least c are common, so of the filed ones of that which files the shorter way c - (n - filed)
     filed = lambda k: F.col(k) - F.ceil(F.col(k) * similarity / 100) + 1

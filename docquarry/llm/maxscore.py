@@ -7,7 +7,8 @@ that can't do so either are non-essential: the essential groups alone are traver
 probed with the other groups, largest bounds first. Blocks of candidates are searched apart, each partition keeps k for each query, and these are
 merged. All partitions start from the same thresholds: the k-th scores in a sample of ``SAMPLE`` vectors, which are scores that any result reaches.
 
-Components are floor(256 * x) in double precision; scores are integers. Vectors that are null, or hold a null or non-finite component, take no part;
+Components are floor(256 * x) in double precision; scores are integers. Where products of a block could lose digits in double precision, bounds leave room
+for that and the vectors that stay are scored in whole numbers; a score beyond a long is given as the nearest long. Vectors that are null, or hold a null or non-finite component, take no part;
 vectors of another length than the query's don't match it, empty ones match none. Every row takes part: those with the same id are candidates and queries
 each, and no row with the query's id is a candidate for it. Ties go to the smaller id; with fewer than k other vectors there are fewer ranks; empty
 tables give no rows. Other columns aren't read, whatever their names.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import own, table, task, written
+from .common import by_length, matrix, own, table, task, written
 
 K, EVERY, SCALE = 5, 50, 256.0
 #: Queries that are broadcast together, and that a block is searched with at a time; vectors of a block, columns that are traversed together, and vectors that give the first thresholds.
@@ -37,6 +38,12 @@ def scaled(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale:
     return x.select(key, F.transform("v", lambda c: (F.floor(c * scale)).cast("double")).alias("v"))
 
 
+def whole(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in whole numbers of any size; those that no long can hold are the nearest long."""
+    weights = [int(w) for w in q.tolist()]
+    return np.array([min(max(sum(int(a) * w for a, w in zip(row, weights)), -(2**63) + 1), 2**63 - 1) for row in x.tolist()], np.int64)
+
+
 class Queries:
     """Query vectors of one length, and their k best so far; ``least`` are scores that their k-th results reach at least."""
 
@@ -50,18 +57,19 @@ class Queries:
     def block(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Searches one block of candidates."""
         low, high = x.min(0), x.max(0)
-        if float(np.abs(self.q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) * 4 >= 2**53:
-            raise OverflowError("inner products of these vectors don't fit exactly into double precision")
+        largest = np.abs(self.q).max(1, initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) * 4
+        exact = bool(largest.max(initial=0) < 2**53)
+        edge = self.least if exact else self.least - largest * 1e-13  # sums are rounded then, and those near the edge are worked out in whole numbers
         groups = np.array_split(np.argsort(-(np.abs(self.q).mean(0) * (high - low)), kind="stable"), -(-x.shape[1] // GROUP))
         top = np.where(self.q >= 0, self.q * high, self.q * low)  # what a term adds at most; the rest of each is its bound
         bound = np.abs(self.q) * (high - low)
-        live = np.flatnonzero(top.sum(1) >= self.least)  # the others skip the block
+        live = np.flatnonzero(top.sum(1) >= edge)  # the others skip the block
         if not len(live):
             return
         by_group = np.stack([bound[live][:, g].sum(1) for g in groups], 1)
         base = (top[live] - bound[live]).sum(1)
         order = np.argsort(by_group, 1, kind="stable")
-        idle = base[:, None] + np.cumsum(np.take_along_axis(by_group, order, 1), 1) < self.least[live, None]  # so many groups, the smallest, are non-essential
+        idle = base[:, None] + np.cumsum(np.take_along_axis(by_group, order, 1), 1) < edge[live, None]  # so many groups, the smallest, are non-essential
         essential = np.ones(by_group.shape, bool)
         np.put_along_axis(essential, order, ~idle, 1)
         partial, rest = np.zeros((len(live), len(x))), np.zeros(len(live))
@@ -74,7 +82,7 @@ class Queries:
             self.traversed += len(use) * len(g) * len(x)
             rest += np.where(essential[:, k], 0.0, top[live][:, g].sum(1))
         while True:  # where many vectors stay competitive, the next group is traversed too: cheaper than to probe them one by one
-            many = np.flatnonzero(((partial + rest[:, None] >= self.least[live, None]).sum(1) > len(x) // PROBED) & ~essential.all(1))
+            many = np.flatnonzero(((partial + rest[:, None] >= edge[live, None]).sum(1) > len(x) // PROBED) & ~essential.all(1))
             if not len(many):
                 break
             nxt = np.where(essential[many], -1.0, by_group[many]).argmax(1)
@@ -84,26 +92,29 @@ class Queries:
                 rest[use] -= top[live[use]][:, g].sum(1)
                 essential[use, k] = True
                 self.traversed += len(use) * len(g) * len(x)
-        for i in np.flatnonzero(partial.max(1) + rest >= self.least[live]):
+        for i in np.flatnonzero(partial.max(1) + rest >= edge[live]):
             n = live[i]
-            near = np.flatnonzero(partial[i] + rest[i] >= self.least[n])
+            near = np.flatnonzero(partial[i] + rest[i] >= edge[n])
             score, room = partial[i, near], rest[i]
             others = np.flatnonzero(~essential[i])
             for k in others[np.argsort(-by_group[i, others], kind="stable")]:  # probe the others while competitive
                 g = groups[k]
                 score = score + x[near[:, None], g] @ self.q[n, g]
                 room -= top[n, g].sum()
-                keep = score + room >= self.least[n]
+                keep = score + room >= edge[n]
                 near, score = near[keep], score[keep]
                 if not len(near):
                     break
             keep = ids[near] != self.ids[n]
             if keep.any():
-                self._merge(n, ids[near][keep], score[keep].astype(np.int64))
+                near, score = near[keep], score[keep].astype(np.int64) if exact else whole(x[near[keep]], self.q[n])
+                self._merge(n, ids[near], score)
+                if not exact:
+                    edge[n] = max(edge[n], self.least[n] - largest[n] * 1e-13)
 
     def _merge(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
         ids, score = np.concatenate([self.id[i], ids]), np.concatenate([self.score[i], score])
-        best = np.lexsort((ids, -score.astype(float)))[: self.k]
+        best = np.lexsort((ids, ~score))[: self.k]
         self.id[i], self.score[i] = ids[best], score[best]
         if self.score[i, -1] > np.iinfo(np.int64).min:
             self.least[i] = max(self.least[i], float(self.score[i, -1]))
@@ -117,10 +128,14 @@ class Queries:
 _OUT = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _matrices(ids: list[int], vectors: list[list[float]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places in the lists, ids and vectors by length."""
-    size = np.array([len(v) for v in vectors])
-    return {int(n): (np.flatnonzero(size == n), np.array(ids, np.int64)[size == n], np.array([v for v in vectors if len(v) == n], float).reshape(-1, n)) for n in np.unique(size) if n}
+def _matrices(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in the columns, ids and vectors by length."""
+    return {n: (at, np.asarray(ids)[at], matrix(vectors.take(pa.array(at)), n)) for n, at in by_length(vectors).items() if n}
+
+
+def _collected(some: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    rows = some.select("vec_id", "v").toArrow().combine_chunks()
+    return _matrices(*[c.combine_chunks() for c in rows.columns]) if rows.num_rows else {}
 
 
 def thresholds(ids: np.ndarray, q: np.ndarray, sample: tuple[np.ndarray, np.ndarray] | None, k: int) -> np.ndarray:
@@ -142,7 +157,7 @@ def _searcher(shared, k: int):
         for b in batches:
             for a in range(0, b.num_rows, BLOCK):
                 part = b.slice(a, BLOCK)
-                for n, (_, ids, x) in _matrices(part.column(0).to_pylist(), part.column(1).to_pylist()).items():
+                for n, (_, ids, x) in _matrices(part.column(0), part.column(1)).items():
                     for _, q in queries.get(n, []):
                         q.block(ids, x)
         for at, q in (x for some in queries.values() for x in some):
@@ -160,12 +175,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = QUERI
     """
     spark = vectors.sparkSession
     blocks = max(1, -(-queries.count() // block))
-    some = vectors.limit(SAMPLE).collect()
-    sample = _matrices([r.vec_id for r in some], [list(r.v) for r in some]) if some else {}
+    sample = _collected(vectors.limit(SAMPLE))
     parts = []
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b).collect()  # about ``block`` rows
-        by_size = _matrices([r.vec_id for r in rows], [list(r.v) for r in rows]) if rows else {}
+        by_size = _collected(queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b))  # about ``block`` rows
         shared = spark.sparkContext.broadcast({n: (at, ids, q, thresholds(ids, q, sample[n][1:] if n in sample else None, k)) for n, (at, ids, q) in by_size.items()})
         found = vectors.mapInArrow(task(_searcher(shared, k)), "query bigint, query_id bigint, vec_id bigint, score bigint")
         w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

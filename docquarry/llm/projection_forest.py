@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_unique, own, scratch, table, task, written
+from .common import by_length, join_unique, matrix, own, scratch, table, task, written
 
 K, EVERY = 20, 20
 #: Trees; vectors of the sample that a leaf has at most; vectors they are fitted to; directions tried for each split.
@@ -52,12 +52,6 @@ def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.cumsum(x * q, axis=1)[:, -1]
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    """Lists of n numbers as rows."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, n)
-
-
 class Forest:
     """Trees over vectors of one length; ``visits`` leaves are taken for each query. Without a split there is one tree of one leaf."""
 
@@ -166,17 +160,11 @@ class Forest:
 _INDEX = "g string, part int, query boolean, id bigint, v array<{kind}>, ids array<bigint>, least double"
 
 
-def _groups(b: pa.RecordBatch) -> dict[int, np.ndarray]:
-    """Rows of a batch by their vectors' length."""
-    size = np.asarray(b.column("v").value_lengths())
-    return {int(n): np.flatnonzero(size == n) for n in np.unique(size)}
-
-
 def _filer(shared, schema: pa.Schema):
     def run(batches):
         forests = shared.value
         for b in batches:
-            for n, at in _groups(b).items():
+            for n, at in by_length(b.column("v")).items():
                 rows = b.take(pa.array(at))
                 leaves = forests[n].filed(matrix(rows.column("v"), n)) if n in forests else np.zeros((1, len(at)), np.int64)
                 for tree in leaves:
@@ -192,7 +180,7 @@ def _asker(shared, schema: pa.Schema):
     def run(batches):
         forests, slices = shared.value
         for b in batches:
-            for n, at in _groups(b).items():
+            for n, at in by_length(b.column("v")).items():
                 for a in range(0, len(at), 64):
                     rows = b.take(pa.array(at[a : a + 64]))
                     v = matrix(rows.column("v"), n)

@@ -237,7 +237,7 @@ class Index:
         return [self.read(x) for x in self.captures(key + " ", key + "!")]
 
 
-_ROWS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_ROWS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
 
 def _keys(batches):
@@ -255,7 +255,7 @@ def look_up(keys: DataFrame, parts: DataFrame, index_folder: str, archive_folder
         index = Index(names.value, index_folder, archive_folder)
         for b in slices(batches, 1024):
             rows = [index.read(line) for key in b.column(0).to_pylist() for line in index.captures(key, key + "\0")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()))], columns)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))], columns)
 
     ordered = keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, _ROWS)

@@ -88,3 +88,19 @@ def test_punctuation_between_words_takes_no_room():
         for at in range(0, 300, 7):
             reader = dc.Reader(index)
             assert [x[0] for x in reader.find(" ".join(["out"] * at) + " " + marks.join(item) + " end")] == [1], (marks, at)
+
+
+def test_items_of_other_lengths_change_nothing(spark):
+    """A question and answer 250 words apart: whether they are found doesn't depend on what else is tested, or in which block."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    q, a, near, long = text(20), text(6), text(18), text(400)
+    docs = documents(spark, [(1, f"{text(100)} {q} {text(250)} {a} {text(100)}"), (2, f"{text(90)} {near} {text(30)}"), (3, f"{text(700)} {long} {text(200)}")])
+    schema = "item_id bigint, question string, answer string"
+    one = [(1, q, a), (2, near, None)]
+    alone = {(x.doc_id, x.item_id) for x in dc.contaminated(docs, spark.createDataFrame(one, schema)).collect()}
+    for block_items in (dc.BLOCK_ITEMS, 1):
+        got = {(x.doc_id, x.item_id) for x in dc.contaminated(docs, spark.createDataFrame([*one, (3, long, None)], schema), block_items=block_items).collect()}
+        assert got == alone | {(3, 3)} == {(2, 2), (3, 3)}
+    assert {dc.step_of(n) for n in (0, 1, 64)} == {64} and dc.step_of(65) == dc.step_of(128) == 128

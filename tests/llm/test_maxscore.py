@@ -51,3 +51,13 @@ def test_non_essential_terms_are_left_out():
     for a in range(0, 4000, 500):
         again.block(np.arange(a, a + 500), x[a : a + 500])
     assert (again.id == q.id).all() and again.traversed < q.traversed
+
+
+def test_products_beyond_double_precision(spark):
+    """Components of millions: scores fit a long and come out exactly, ties and order too; those that fit none are the nearest long."""
+    r = random.Random(9)
+    rows = [(i, [float(r.randint(1_000_000, 7_000_000)) * r.choice([1, -1]) + r.random() for _ in range(2)]) for i in range(200)] + [(300 + i, [7e6 + i / 256] * 2) for i in range(30)]
+    v = ms.scaled(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3))
+    assert Counter(map(tuple, ms.top_k(v, v.where("vec_id % 50 = 0")).collect())) == brute(rows)
+    huge = ms.scaled(spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id bigint, embedding array<double>"))
+    assert [tuple(x) for x in ms.top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63) + 1)]
