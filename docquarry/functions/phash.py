@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SIDE, KEEP = 32, 8
+# Channels by a PNG's colour type, and the weights of red, green and blue in grey.
+CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+GREY = np.array([0.299, 0.587, 0.114])
 
 
 def _cosines(n: int, keep: int) -> np.ndarray:
@@ -36,20 +43,79 @@ def phash_matrix(pixels: pd.Series) -> pd.Series:
     return pixels.map(one)
 
 
-@F.pandas_udf(StringType())
-def phash_image(content: pd.Series) -> pd.Series:
-    """Of image files' bytes, by an imaging library if there is one; null where that fails."""
+def png_grey(raw: bytes) -> np.ndarray | None:
+    """Grey values of a PNG of 8 bits a channel that isn't interlaced; None for others."""
+    if raw[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, data, palette = 8, [], None
+    while at + 8 <= len(raw):
+        size, kind = struct.unpack(">I4s", raw[at : at + 8])
+        chunk, at = raw[at + 8 : at + 8 + size], at + 12 + size
+        if kind == b"IHDR":
+            width, height, depth, colour, _, _, interlaced = struct.unpack(">IIBBBBB", chunk)
+            if depth != 8 or interlaced or colour not in CHANNELS or not width or not height:
+                return None
+        elif kind == b"PLTE":
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3).astype(float)
+        elif kind == b"IDAT":
+            data.append(chunk)
+    n = CHANNELS[colour]
+    lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, 1 + width * n)
+    out = np.zeros((height + 1, (width + 1) * n), np.uint8)  # a row above and a pixel to the left of zeros
+    for y, line in enumerate(lines):
+        now, above = out[y + 1], out[y]
+        rest = line[1:]
+        if line[0] in (0, 2):
+            now[n:] = rest + (above[n:] if line[0] else 0)
+            continue
+        if line[0] == 1:
+            now[n:] = np.cumsum(rest.reshape(width, n), 0, dtype=np.uint8).ravel()
+            continue
+        for k, v in enumerate(rest.tolist()):
+            a, b, c = int(now[k]), int(above[k + n]), int(above[k])
+            if line[0] == 3:
+                guess = (a + b) // 2
+            else:
+                guess = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            now[k + n] = (v + guess) & 255
+    pixels = out[1:, n:].reshape(height, width, n)
+    if colour == 3:
+        return None if palette is None else palette[pixels[:, :, 0]] @ GREY
+    return pixels[:, :, :3].astype(float) @ GREY if n >= 3 else pixels[:, :, 0].astype(float)
+
+
+def shrunk(pixels: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """Means over ``side`` x ``side`` areas of about the same size."""
+    for _ in range(2):
+        edges = np.linspace(0, len(pixels), side + 1)
+        sums = np.vstack([np.zeros(pixels.shape[1]), np.cumsum(pixels, 0)])
+        part = np.minimum(edges.astype(int), len(pixels) - 1)
+        at = sums[part] + (edges - part)[:, None] * pixels[part]
+        pixels = (np.diff(at, axis=0) / np.diff(edges)[:, None]).T
+    return pixels
+
+
+def _library_grey(raw: bytes) -> np.ndarray | None:
+    """By an imaging library, of whatever it reads; None without one."""
     try:
-        import io
-
         from PIL import Image
     except ImportError:
-        return pd.Series([None] * len(content), dtype=object)
+        return None
+    return np.asarray(Image.open(io.BytesIO(raw)).convert("L"), float)
+
+
+@F.pandas_udf(StringType())
+def phash_image(content: pd.Series) -> pd.Series:
+    """Of image files' bytes, by an imaging library; PNG is decoded here without one, other formats give null then, as do null and broken files."""
 
     def one(raw):
+        if raw is None:
+            return None
         try:
-            return hash_matrix(np.asarray(Image.open(io.BytesIO(raw)).convert("L").resize((SIDE, SIDE), Image.LANCZOS), float))
-        except (OSError, ValueError, TypeError):
+            pixels = _library_grey(raw)
+            pixels = png_grey(raw) if pixels is None else pixels
+            return None if pixels is None else hash_matrix(shrunk(pixels))
+        except (OSError, ValueError, TypeError, zlib.error, struct.error, IndexError, UnboundLocalError):  # not an image after all
             return None
 
     return content.map(one)

@@ -49,11 +49,17 @@ def like_pattern(q: str) -> str:
     return q.replace("*", "%").replace("?", "_") if has_wildcard(q) else f"%{q}%"
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def fold(value: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(value, _UPPER, _LOWER)
+
+
 def like(value: Column, pattern: str) -> Column:
     """LIKE that ignores the case of A-Z only; a backslash is an ordinary character."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    p = pattern.translate(str.maketrans(upper, lower)).replace("\\", "\\\\")
-    return F.translate(value, upper, lower).like(p)
+    return fold(value).like(pattern.translate(str.maketrans(_UPPER, _LOWER)).replace("\\", "\\\\"))
 
 
 def glob_regex(pattern: str) -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import dropped, kept
+
 KEEP = -1
 
 
@@ -30,6 +32,42 @@ def subtree(folders: DataFrame, vf_id: int) -> DataFrame:
     return folders.sparkSession.sql("with recursive t as (select vf_id from {f} where vf_id = {v} union all select c.vf_id from t join {f} c on c.parent_vf_id = t.vf_id) select vf_id from t", f=folders, v=vf_id)
 
 
+def numbered(folders: DataFrame) -> DataFrame:
+    """(vf_id, first, last, depth): folders numbered so that the numbers of a folder and of all below it are the range from ``first`` to ``last``; a written table.
+
+    Folders come in the order of their paths of ids, each before what is below it. They are dealt over tasks by ranges of paths and numbered in each, after the
+    sizes of the ranges before; a folder is counted once for each above it.
+    """
+    spark = folders.sparkSession
+    paths = spark.sql(
+        """
+        with recursive up as (
+          select f.vf_id, case when p.vf_id is null then null else f.parent_vf_id end as parent from {f} f left join {f} p on f.parent_vf_id = p.vf_id
+        ), t as (
+          select vf_id, array(cast(vf_id as bigint)) as ids from up where parent is null
+          union all
+          select u.vf_id, concat(t.ids, array(cast(u.vf_id as bigint))) from t join up u on u.parent = t.vf_id
+        ) select vf_id, ids from t
+        """,
+        f=folders,
+    )
+    x = kept(paths.repartitionByRange("ids").withColumn("part", F.spark_partition_id()), "folders")
+    sizes = x.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))  # one row a task
+    below = x.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    first = x.join(F.broadcast(before), "part").withColumn("first", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("ids")))
+    out = first.join(below, F.col("vf_id") == F.col("id")).select("vf_id", "first", (F.col("first") + F.col("n") - 1).alias("last"), (F.size("ids") - 1).alias("depth"))
+    done = kept(out, "folder-numbers")
+    dropped(x)
+    return done
+
+
+def subtree_by_range(numbers: DataFrame, vf_id: int) -> DataFrame:
+    """Ids of a folder and of all below it: one range, not a join for each level."""
+    one = numbers.where(F.col("vf_id") == vf_id).select(F.col("first").alias("low"), F.col("last").alias("high"))
+    return numbers.join(F.broadcast(one), F.col("first").between(F.col("low"), F.col("high"))).select("vf_id")  # one row
+
+
 def counts(folders: DataFrame, membership: DataFrame) -> DataFrame:
     """Folders with the number of their members, empty ones included, roots first and then by name."""
     n = membership.groupBy("vf_id").agg(F.count("item_id").alias("item_count"))

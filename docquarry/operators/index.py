@@ -1,56 +1,165 @@
-"""A persisted full-text index: postings by token, so that a search reads its own tokens' postings and no text."""
+"""Persisted indexes of texts: logs of small sorted segments, so that a search reads its own tokens' postings and an update writes in proportion to the change.
+
+A segment holds the postings of some items, sorted by (token, item), and their lengths. An update adds a segment with the changed items and a table of
+the keys that it replaces or drops, which hide those keys in all earlier segments; nothing else is written. Segments are of tiers by their number of
+items, powers of ``fanout``: as soon as a tier has ``fanout`` segments they are merged into one without what is hidden, so that an
+item is written again about once a tier, and a search reads few segments. A manifest names the live segments; it is switched once
+all files of a commit are there, and what a broken commit leaves is never read (``vacuum`` deletes it).
+"""
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import once, search_tokens, spread
-from .search import phrase_tokens, scored
+from ..sources.versions import Versions
+from ..sources.versions import scratch as _scratch
+from .filters import fold, has_wildcard
+from .search import phrase_tokens, scored_by
+
+FANOUT = 4
+#: Keys up to which a table of hidden ones is broadcast.
+BROADCAST = 1_000_000
+GRAM = 3
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local one only in local mode where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
+    return _scratch(spark, "index")
 
 
 def postings(items: DataFrame, columns: list[str], key: str = "item_id") -> DataFrame:
-    """(token, key, col, positions) of all tokens of the columns, one row for each token of an item's column."""
+    """(token, key, col, positions, dl) of all tokens of the columns, one row for each token of an item's column; ``dl`` is the item's number of tokens."""
     x = once(spread(items.select(key, *columns)), [F.col(key)], cols=F.array(*[F.struct(F.lit(i).alias("col"), search_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for i, c in enumerate(columns)]))
-    x = x.select(key, F.explode("cols").alias("c")).select(key, F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
-    return x.groupBy("token", key, "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # at most one text's positions
+    dl = F.aggregate("cols", F.lit(0), lambda a, c: a + F.size(c["tokens"]))
+    x = x.select(key, dl.alias("dl"), F.explode("cols").alias("c")).select(key, "dl", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
+    return x.groupBy("token", key, "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))  # at most one text's positions
 
 
-class TextIndex:
-    """In ``folder``: postings sorted by (token, item), of which a search reads the row groups of its tokens, and the items' lengths.
+class Segments:
+    """What indexes share: segments, hidden keys, merges. A search before the first ``build`` finds nothing."""
 
-    A token that most items hold spreads over many files, as items are part of the order. ``update`` writes the next version beside the current one.
-    """
+    schema = ""
+
+    def __init__(self, spark: SparkSession, folder: str, columns: list[str], key: str = "item_id", fanout: int = FANOUT):
+        self.spark, self.folder, self.columns, self.key, self.fanout = spark, folder.rstrip("/"), columns, key, fanout
+        self.versions = Versions(spark, self.folder)
 
-    def __init__(self, spark: SparkSession, folder: str, columns: list[str], key: str = "item_id"):
-        self.spark, self.folder, self.columns, self.key = spark, folder.rstrip("/"), columns, key
+    def _postings(self, items: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def _lengths(self, items: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def _write(self, found: DataFrame, lengths: DataFrame, seq: int, clean: int) -> dict:
+        name, seen = f"{seq}-{uuid.uuid4().hex[:8]}", Observation()
+        order = [c for c in ("token", self.key, "col") if c in found.columns]
+        found.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.folder}/segments/{name}/postings")
+        lengths.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("size")).write.parquet(f"{self.folder}/segments/{name}/lengths")
+        return {"name": name, "seq": seq, "clean": clean, "docs": seen.get["n"], "size": seen.get["size"]}
+
+    def build(self, items: DataFrame) -> Segments:
+        """An index of these items alone."""
+        version, now = self.versions.current()
+        seq = now.get("seq", 0) + 1
+        one = self._write(self._postings(items), self._lengths(items), seq, seq)
+        self.versions.commit(version, {"seq": seq, "segments": [one], "hidden": [], "n": one["docs"], "size": one["size"]})
+        return self
 
-    def _write(self, found: DataFrame, lengths: DataFrame, version: int) -> None:
-        order = ["token", self.key, "col"]
-        found.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.folder}/v{version}/postings")
-        lengths.write.mode("overwrite").parquet(f"{self.folder}/v{version}/lengths")
+    def update(self, changed: DataFrame, gone: DataFrame | None = None) -> Segments:
+        """Takes changed items instead of those with their keys, and drops those in ``gone`` (key). Keys are unique in each."""
+        version, now = self.versions.current()
+        if not version:
+            return self.build(changed)
+        seq, seen = now["seq"] + 1, Observation()
+        keys = changed.select(self.key) if gone is None else changed.select(self.key).unionByName(gone.select(self.key))
+        name = f"{seq}-{uuid.uuid4().hex[:8]}"
+        keys.distinct().observe(seen, F.count("*").alias("n")).write.parquet(f"{self.folder}/hidden/{name}")
+        hidden = {"name": name, "seq": seq, "n": seen.get["n"]}
+        left = self._live(now, "lengths").join(self._keys([hidden]), self.key, "left_semi").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        one = self._write(self._postings(changed), self._lengths(changed), seq, seq)
+        now = {"seq": seq, "segments": [*now["segments"], one], "hidden": [*now["hidden"], hidden], "n": now["n"] - left[0] + one["docs"], "size": now["size"] - left[1] + one["size"]}
+        version = self.versions.commit(version, now)
+        while (many := self._crowded(now)) is not None:
+            version, now = self._merged(version, now, many)
+        return self
 
-    def _version(self) -> int:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        store = path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in store.listStatus(path(self.folder))] if store.exists(path(self.folder)) else []
-        return max([int(n[1:]) for n in names if n[1:].isdigit() and store.exists(path(f"{self.folder}/{n}/lengths/_SUCCESS"))], default=0)
+    def _tier(self, segment: dict) -> int:
+        tier, docs = 0, segment["docs"]
+        while docs >= self.fanout:
+            tier, docs = tier + 1, docs // self.fanout
+        return tier
+
+    def _crowded(self, now: dict) -> list[dict] | None:
+        """The segments of the lowest tier that has ``fanout`` of them."""
+        tiers: dict[int, list[dict]] = {}
+        for s in now["segments"]:
+            tiers.setdefault(self._tier(s), []).append(s)
+        return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fanout), None)
+
+    def merge(self) -> Segments:
+        """Merges all segments into one."""
+        version, now = self.versions.current()
+        if len(now.get("segments", ())) > 1 or now.get("hidden"):
+            self._merged(version, now, now["segments"])
+        return self
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self._version()}/{name}")
+    def _merged(self, version: int, now: dict, some: list[dict]) -> tuple[int, dict]:
+        part = now | {"segments": some}
+        one = self._write(self._live(part, "postings").drop("seq"), self._live(part, "lengths").drop("seq"), max(s["seq"] for s in some), now["seq"])
+        names = {s["name"] for s in some}
+        left = sorted([*[s for s in now["segments"] if s["name"] not in names], one], key=lambda s: s["seq"])
+        needed = [h for h in now["hidden"] if any(s["seq"] < h["seq"] and s["clean"] < h["seq"] for s in left)]
+        now = now | {"segments": left, "hidden": needed}
+        return self.versions.commit(version, now), now
+
+    def vacuum(self) -> None:
+        """Deletes what no manifest's current version names: call it when no search runs."""
+        _, now = self.versions.current()
+        for kind in ("segments", "hidden"):
+            live = {x["name"] for x in now.get(kind, ())}
+            for name in self.versions.names(kind):
+                if name not in live:
+                    self.versions.remove(kind, name)
+
+    def _keys(self, hidden: list[dict]) -> DataFrame:
+        """(key, before): the keys of some tables of hidden ones, each with the last segment that may hold it."""
+        out = None
+        for h in hidden:
+            x = self.spark.read.parquet(f"{self.folder}/hidden/{h['name']}").withColumn("before", F.lit(h["seq"]))
+            out = x if out is None else out.unionByName(x)
+        out = out.groupBy(self.key).agg(F.max("before").alias("before")) if len(hidden) > 1 else out
+        return F.broadcast(out) if sum(h["n"] for h in hidden) <= BROADCAST else out
+
+    def _live(self, now: dict, kind: str, test: Column | None = None) -> DataFrame:
+        """Rows of the segments' postings or lengths that aren't hidden. ``test`` goes to the files, each sorted by token."""
+        out = None
+        for s in now["segments"]:
+            x = self.spark.read.parquet(f"{self.folder}/segments/{s['name']}/{kind}")
+            x = (x if test is None else x.where(test)).withColumn("seq", F.lit(s["seq"]))
+            out = x if out is None else out.unionByName(x)
+        if now["hidden"]:
+            out = out.join(self._keys(now["hidden"]), self.key, "left").where(F.col("before").isNull() | (F.col("seq") >= F.col("before"))).drop("before")
+        return out
+
+    def _found(self, tokens: list[str]) -> tuple[dict, DataFrame]:
+        """The manifest, and the live postings of some tokens."""
+        version, now = self.versions.current()
+        if not version:
+            return {"n": 0, "size": 0}, self.spark.createDataFrame([], self.schema.format(key=self.key))
+        return now, self._live(now, "postings", F.col("token").isin(tokens))
+
+
+class TextIndex(Segments):
+    """Postings with positions, for ranked phrases."""
+
+    schema = "token string, {key} bigint, col int, positions array<int>, dl int, seq int"
+
+    def _postings(self, items: DataFrame) -> DataFrame:
+        return postings(items, self.columns, self.key)
 
     def _lengths(self, items: DataFrame) -> DataFrame:
         size = F.lit(0)
@@ -58,31 +167,59 @@ class TextIndex:
             size = size + F.size(search_tokens(F.coalesce(F.col(c), F.lit(""))))
         return items.select(self.key, size.alias("dl"))
 
-    def build(self, items: DataFrame) -> TextIndex:
-        self._write(postings(items, self.columns, self.key), self._lengths(items), self._version() + 1)
-        return self
-
-    def update(self, changed: DataFrame, gone: DataFrame | None = None) -> TextIndex:
-        """Takes changed items instead of those with their keys, and drops those in ``gone`` (key)."""
-        if not self._version():
-            return self.build(changed)
-        out = changed.select(self.key) if gone is None else changed.select(self.key).unionByName(gone.select(self.key))
-        old, lengths = (self._read(n).join(out.distinct(), self.key, "left_anti") for n in ("postings", "lengths"))
-        self._write(old.unionByName(postings(changed, self.columns, self.key)), lengths.unionByName(self._lengths(changed)), self._version() + 1)
-        return self
-
     def bm25(self, q: str) -> DataFrame:
-        """(key, tf, score) as ``search.bm25`` gives them over the indexed items."""
+        """(key, tf, score) as ``search.bm25`` gives them over the indexed items; the number of items and their mean length are in the manifest."""
         words = phrase_tokens(self.spark.range(1), q)
-        lengths = self._read("lengths")
-        if not words:
-            return lengths.select(self.key, F.lit(0).alias("tf"), F.lit(0.0).alias("score")).where("false")
-        read = self._read("postings")
-        each = [read.where(F.col("token") == w).select(self.key, "col", F.explode("positions").alias("pos")).select(self.key, "col", (F.col("pos") - k).alias("start")) for k, w in enumerate(words)]
+        now, read = self._found(words)
+        each = [read.where(F.col("token") == w).select(self.key, "dl", "col", F.explode("positions").alias("pos")).select(self.key, "dl", "col", (F.col("pos") - k).alias("start")) for k, w in enumerate(words)]
+        if not words or not now["n"]:
+            return read.select(self.key, F.lit(0).alias("tf"), F.lit(0.0).alias("score")).where("false")
         found = each[0]
         for x in each[1:]:
             found = found.unionByName(x)
-        whole = found.groupBy(self.key, "col", "start").agg(F.count("*").alias("m")).where(F.col("m") == len(words))
-        tf = whole.groupBy(self.key).agg(F.count("*").cast("int").alias("tf")).join(lengths, self.key)
-        stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(tf.agg(F.count("*").alias("df")))
-        return scored(tf, stats, self.key)
+        whole = found.groupBy(self.key, "col", "start").agg(F.count("*").alias("m"), F.max("dl").alias("dl")).where(F.col("m") == len(words))
+        tf = whole.groupBy(self.key).agg(F.count("*").cast("int").alias("tf"), F.max("dl").alias("dl"))
+        with_df = tf.crossJoin(F.broadcast(tf.agg(F.count("*").alias("df"))))  # one row
+        return with_df.select(self.key, "tf", scored_by(F.lit(now["n"]), F.col("df"), F.col("tf"), F.col("dl"), F.lit(now["size"] / now["n"])).alias("score"))
+
+
+def grams(value: Column) -> Column:
+    """The runs of three characters of a value, A-Z in lower case; each once."""
+    return F.array_distinct(F.regexp_extract_all(fold(value), F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def literal_grams(pattern: str, glob: bool) -> list[str]:
+    """Runs of three characters that every value matching a LIKE or GLOB pattern holds, A-Z in lower case; none where its literal parts are shorter."""
+    pattern = re.sub(r"\[\^?.[^\]]*\]", "*", pattern, flags=re.S) if glob else pattern
+    parts = re.split(r"[*?\[]" if glob else r"[%_]", pattern)
+    low = [p.translate({c: c + 32 for c in range(65, 91)}) for p in parts]
+    return sorted({p[i : i + GRAM] for p in low for i in range(len(p) - GRAM + 1)})
+
+
+class GramIndex(Segments):
+    """Runs of three characters of columns, for LIKE and GLOB: the items that hold all runs of a pattern are candidates, and are compared with the pattern itself.
+
+    Patterns without three literal characters in a row have no candidates to narrow: all items are compared.
+    """
+
+    schema = "token string, {key} bigint, seq int"
+
+    def _postings(self, items: DataFrame) -> DataFrame:
+        x = once(spread(items.select(self.key, *self.columns)), [F.col(self.key)], cols=F.array(*[grams(F.coalesce(F.col(c), F.lit(""))) for c in self.columns]))
+        return x.select(F.explode(F.array_distinct(F.flatten("cols"))).alias("token"), self.key)
+
+    def _lengths(self, items: DataFrame) -> DataFrame:
+        return items.select(self.key, F.lit(0).alias("dl"))
+
+    def candidates(self, pattern: str, glob: bool) -> DataFrame | None:
+        """Keys of the items that may match; None if all may."""
+        runs = literal_grams(pattern, glob)
+        if not runs:
+            return None
+        _, read = self._found(runs)
+        return read.groupBy(self.key).agg(F.count("*").alias("n")).where(F.col("n") == len(runs)).select(self.key)
+
+    def narrowed(self, items: DataFrame, q: str, glob: bool) -> DataFrame:
+        """Items that may match a search's text as ``search.glob_search`` or ``search.like_search`` reads it."""
+        keys = self.candidates((q if has_wildcard(q) else f"*{q}*") if glob else f"%{q}%", glob)
+        return items if keys is None else items.join(keys, self.key, "left_semi")

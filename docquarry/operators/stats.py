@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,13 @@ def grouped_by_type(items: DataFrame) -> DataFrame:
     return items.groupBy(F.coalesce("file_type_group", F.lit("other")).alias("file_type_group")).agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
 
 
+def grouped_page(items: DataFrame, page: int = 100, start: int = 0) -> DataFrame:
+    """(file_type_group, rank, item_id): of each type the items from ``start`` on by id, ``page`` at most; null is other. For types of any size."""
+    x = items.select(F.coalesce("file_type_group", F.lit("other")).alias("file_type_group"), "item_id")
+    rank = F.row_number().over(Window.partitionBy("file_type_group").orderBy("item_id"))
+    return x.withColumn("rank", rank).where((F.col("rank") <= start + page) & (F.col("rank") > start)).select("file_type_group", "rank", "item_id")
+
+
 def selection_size(items: DataFrame, chosen: DataFrame) -> DataFrame:
     return items.join(chosen.select("item_id").distinct(), "item_id", "left_semi").agg(F.count("*").alias("item_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size"))
 

@@ -34,13 +34,13 @@ def context(results: DataFrame, order: list, max_items: int = 8, max_chars: int
 def ask(items: DataFrame, question: str, settings: dict, client: Callable[[str, str], str] | None = None, limit: int = 12) -> dict:
     """Searches and, where answers are enabled, has the client answer from what was found. ``client(system, user)`` returns the answer."""
     results = search(items, SearchRequest(q=question, limit=min(limit or 20, 50)))
-    found = [r.asDict() for r in results.drop("text").collect()]  # at most 50 rows
+    found = [r.asDict() for r in results.collect()]  # at most 50 rows
     out: dict = {"results": found, "llm": None}
     if not settings.get("llm_enabled") or settings.get("llm_search_mode") == "fts_only" or client is None:
         return out
     order = [F.asc("score"), F.asc("item_id")] if "score" in results.columns else [F.asc("item_id")]
     n, budget = max(1, int(settings.get("llm_top_n_results", 8))), max(2000, int(settings.get("llm_max_context_chars", 24_000)))
-    text = context(results.withColumn("content_preview", F.substring("text", 1, 400)), order, n, budget).first().context
+    text = context(results, order, n, budget).first().context
     if not (text or "").strip():
         return out
     answer = client(settings.get("llm_system_prompt", ""), f"Question: {question}\n\nSearch results:\n{text}")

@@ -70,9 +70,9 @@ class SettingsTable:
     """Settings as rows (name, value) in numbered folders, the last complete one current; ``put`` replaces those it gets and keeps the others."""
 
     def __init__(self, spark, folder: str):
-        from ..streaming.ingest import Store
+        from ..streaming.ingest import Snapshots
 
-        self.spark, self.store = spark, Store(spark, folder)
+        self.spark, self.store = spark, Snapshots(spark, folder)
 
     def all(self) -> dict[str, str]:
         now = self.store.current()

@@ -11,12 +11,14 @@ from .functions import files, formatting
 from .functions.phash import phash_matrix
 from .functions.text import ACCENTED, PLAIN, hamming_similarity, hash_bits, once, simhash
 from .functions.text import search_tokens as text_tokens
-from .operators import dedup, folders, index, listing, search, stats, timeline
+from .operators import dedup, folders, index, listing, near_index, search, stats, timeline
 from .operators.filters import Filters, glob, like, like_pattern
 from .plans import dashboard, rag, settings
 from .sources import files as file_source
 from .sources.catalog import ITEMS_SQL, items, table
+from .sources.versions import kept, scratch
 from .streaming import ingest
+from .streaming.store import Store, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -382,6 +384,59 @@ def index_update(spark, d):
     return _rounded(x.bm25("the of"))
 
 
+#: Documents after three updates: some texts changed, some gone, and some of those back again.
+_CHANGED = "changed as (select doc_id, case when doc_id % 11 = 3 then 'in the in the' when doc_id % 7 = 1 then concat('in the ', lang) when doc_id % 7 = 0 then concat(text, ' in the') else text end as text, lang, source, n_chars from documents where doc_id % 5 <> 0 or doc_id % 11 = 3)"
+
+
+def _changed(docs: DataFrame) -> DataFrame:
+    i = F.col("doc_id")
+    text = F.when(i % 11 == 3, "in the in the").when(i % 7 == 1, F.concat(F.lit("in the "), "lang")).when(i % 7 == 0, F.concat("text", F.lit(" in the"))).otherwise(F.col("text"))
+    return docs.where((i % 5 != 0) | (i % 11 == 3)).withColumn("text", text)
+
+
+def _updated(x, docs: DataFrame):
+    """An index of ``docs`` brought to what ``_changed`` gives by three updates."""
+    x.update(docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" in the"))))
+    x.update(docs.where("doc_id % 7 = 1").withColumn("text", F.concat(F.lit("in the "), "lang")), docs.where("doc_id % 5 = 0 and doc_id % 7 <> 1"))
+    # documents that are changed and gone in one update stay; those go with the next
+    return x.update(docs.where("doc_id % 11 = 3").withColumn("text", F.lit("in the in the")), docs.where("doc_id % 5 = 0 and doc_id % 7 = 1 and doc_id % 11 <> 3"))
+
+
+@query("with " + _CHANGED + ", " + _bm25_sql(["in", "the"]).replace("with t as", "t as", 1).replace("from documents)", "from changed)", 1) + ", i as (" + ITEMS_SQL.replace("from documents", "from changed") + ") select r.doc_id as item_id, round(r.score, 9) as score from r join i on i.item_id = r.doc_id where i.is_deleted = 0 and i.file_type_group = 'text' order by r.score, r.doc_id limit 50")
+def search_indexed(spark, d):
+    """As ``search_ranked``, through an index that has seen three updates and a merge."""
+    docs = table(spark, d, "documents")
+    x = _updated(_index(spark, d, docs), docs).merge()
+    x.key = "doc_id"
+    after = spark.sql(ITEMS_SQL.replace("from documents", "from {changed}"), changed=_changed(docs))
+
+    class ByItem:
+        bm25 = staticmethod(lambda q: x.bm25(q).withColumnRenamed("doc_id", "item_id"))
+
+    found = search.search(after, search.SearchRequest(q="In THE", filters=Filters(file_type="text")), index=ByItem)
+    return found.select("item_id", F.round("score", 9).alias("score"))
+
+
+def _grams(spark, x: DataFrame, columns: list[str]):
+    return index.GramIndex(spark, index.scratch(spark), columns).build(x)
+
+
+@query(_ITEMS + "select item_id from items where is_deleted = 0 and (file_name glob 'doc_[1-4]?*[!a-c].?[td]*' or full_path glob 'doc_[1-4]?*[!a-c].?[td]*' or parent_path glob 'doc_[1-4]?*[!a-c].?[td]*' or extension glob 'doc_[1-4]?*[!a-c].?[td]*')")
+def glob_indexed(spark, d):
+    """GLOB over names by runs of three characters."""
+    x = items(spark, d)
+    grams = _grams(spark, x, ["file_name", "full_path", "parent_path", "extension"])
+    return search.glob_search(x.where("is_deleted = 0"), "doc_[1-4]?*[^a-c].?[td]*", False, grams).select("item_id")
+
+
+@query(_ITEMS + "select item_id from items where is_deleted = 0 and (file_name ilike '%s of th%' or full_path ilike '%s of th%' or parent_path ilike '%s of th%' or extension ilike '%s of th%' or text ilike '%s of th%')")
+def like_indexed(spark, d):
+    """Substrings of names and texts by runs of three characters."""
+    x = items(spark, d)
+    grams = _grams(spark, x, ["file_name", "full_path", "parent_path", "extension", "text"])
+    return search.like_search(x.where("is_deleted = 0"), "S OF TH", True, grams).select("item_id")
+
+
 @query(f"with t as (select doc_id, regexp_extract_all(translate(lower(text), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+') as toks from documents) select doc_id, cast(len(toks) as integer) as n, list_aggregate(toks, 'string_agg', ' ') as folded from t where len(toks) > 0")
 def search_tokens(spark, d):
     x = once(table(spark, d, "documents"), [F.col("doc_id")], toks=text_tokens(F.col("text")))
@@ -404,6 +459,17 @@ def snippet(spark, d):
     return search.snippets(x, "text", TWO.split()).select("doc_id", "snippet")
 
 
+@query(f"""with w as (select doc_id, string_split(regexp_replace(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[\\s\\x0B]+', ' ', 'g'), ' ') as words from documents where text is not null),
+    k as (select doc_id, flatten(list_transform(words, lambda w, i: list_transform(regexp_extract_all(translate(lower(w), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+'), lambda t: {{'t': t, 'i': i - 1}}))) as toks from w),
+    p as (select doc_id, unnest(list_transform(list_filter(range(1, len(toks)), lambda i: toks[i].t = 'in' and toks[i + 1].t = 'the'), lambda i: {{'o': toks[i].i, 'c': toks[i + 1].i}})) as x from k),
+    s as (select distinct doc_id, greatest(0, x.c - 19) as start from p),
+    n as (select s.doc_id, start, count(*) filter (p.x.o >= start and p.x.c <= start + 19) as matches from s join p on p.doc_id = s.doc_id group by 1, 2),
+    b as (select *, row_number() over (partition by doc_id order by matches desc, start) as rank from n)
+    select d.doc_id, cast(coalesce(b.start, 0) as integer) as start, coalesce(b.matches, 0) as matches from documents d left join b on b.doc_id = d.doc_id and b.rank = 1""")
+def best_window(spark, d):
+    return search.best_windows(table(spark, d, "documents"), "text", TWO.split(), "doc_id")
+
+
 # Duplicates
 
 
@@ -418,7 +484,7 @@ def exact_dups(spark, d):
 
 @query("with g as (select sha256(text) as k from documents group by 1 having count(*) > 1) select sha256(text) as group_key, doc_id as item_id from documents where sha256(text) in (select k from g)")
 def dup_members(spark, d):
-    return dedup.exact_groups(_hashed(spark, d)).select("group_key", F.explode("members").alias("item_id"))
+    return dedup.exact_members(_hashed(spark, d))
 
 
 _DUP = "with g as (select sha256(text) as k, sum(n_chars) as total, max(n_chars) as most from documents group by 1 having count(*) > 1) "
@@ -427,7 +493,7 @@ _DUP = "with g as (select sha256(text) as k, sum(n_chars) as total, max(n_chars)
 @query(_DUP + "select count(*) as groups, cast(coalesce(sum(total), 0) as bigint) as wasted_bytes, cast(coalesce(sum(total - most), 0) as bigint) as reclaimable from g")
 def dup_stats(spark, d):
     x = _hashed(spark, d)
-    return dedup.dup_stats(dedup.group_sizes(dedup.exact_groups(x).select("group_key", F.explode("members").alias("item_id")), x))
+    return dedup.dup_stats(dedup.group_sizes(dedup.exact_members(x), x))
 
 
 @query(_DUP + "select 'warning' as type, printf('%d duplicate groups found — %.1f GB reclaimable', count(*), sum(total) / 1073741824.0) as text from g having count(*) > 0 union all select 'error', printf('%d files failed to index', count(distinct user_id)) from events where event_type = 'error' having count(*) > 0")
@@ -456,13 +522,7 @@ def simhash_documents(spark, d):
 @query(_SIMHASH + "select a.doc_id as a, b.doc_id as b, 1 - bit_count(xor(a.v, b.v)) / 64.0::double as similarity from sim a join sim b on a.doc_id < b.doc_id where bit_count(xor(a.v, b.v)) <= 6")
 def near_dup_pairs(spark, d):
     h = _simhash(spark, d).where("simhash64 is not null").select(F.col("doc_id").alias("id"), hash_bits(F.col("simhash64")).alias("h"))
-    same = h.groupBy("h").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
-    near = dedup.near_pairs(same.select("id", "h"))
-    ids = same.select(F.col("id"), "ids")
-    across = near.join(ids.withColumnsRenamed({"id": "a", "ids": "xs"}), "a").join(ids.withColumnsRenamed({"id": "b", "ids": "ys"}), "b")
-    across = across.select("similarity", "ys", F.explode("xs").alias("x")).select("similarity", "x", F.explode("ys").alias("y"))
-    within = same.where("size(ids) > 1").select("ids", F.explode("ids").alias("x")).select(F.lit(1.0).alias("similarity"), "x", F.explode("ids").alias("y")).where("x < y")
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return dedup.all_near_pairs(h)
 
 
 @query("with recursive " + _SIMHASH.removeprefix("with ") + """, n as (select doc_id, v, row_number() over (order by doc_id) as k from sim where v is not null),
@@ -508,12 +568,7 @@ def _images(spark, d):
  select a, b, similarity from near""")
 def near_images(spark, d):
     x = _images(spark, d).where("is_deleted = 0").select(F.col("item_id").alias("id"), hash_bits(F.col("phash")).alias("h"))
-    one = x.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    near = dedup.near_pairs(one.select(F.col("ids")[0].alias("id"), "h"))
-    ids = one.select(F.col("ids")[0].alias("id"), "ids")
-    across = near.join(ids.toDF("a", "xs"), "a").join(ids.toDF("b", "ys"), "b").select("similarity", "ys", F.explode("xs").alias("x")).select("similarity", "x", F.explode("ys").alias("y"))
-    within = one.where("size(ids) > 1").select("ids", F.explode("ids").alias("x")).select(F.lit(1.0).alias("similarity"), "x", F.explode("ids").alias("y")).where("x < y")
-    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return dedup.all_near_pairs(x)
 
 
 @query("""with recursive """ + _PHASH.removeprefix("with ") + """, n0 as (select vec_id as item_id, ('0x' || phash)::ubigint as v from hashed union all select vec_id + 1000000, xor(('0x' || phash)::ubigint, 1::ubigint) from hashed),
@@ -528,12 +583,32 @@ def near_image_groups(spark, d):
     return dedup.image_groups(_images(spark, d)).select("group_key", "item_id")
 
 
+_AFTER = _SIMHASH + ", n0 as (select doc_id, case when doc_id % 13 = 2 then xor(v, 1::ubigint) else v end as v from sim where v is not null and doc_id % 9 <> 0)"
+
+
+@query("with recursive " + _AFTER.removeprefix("with ") + """, n as (select doc_id, v, row_number() over (order by doc_id) as k from n0),
+ step as (select 0::bigint as k, null::bigint as id, null::bigint as seed, []::struct(s bigint, v ubigint)[] as seeds
+   union all
+   select k + 1, id, seed, case when seed = id then list_append(seeds, {'s': id, 'v': v}) else seeds end from (
+     select p.k, n.doc_id as id, n.v, coalesce(list_filter(p.seeds, lambda x: bit_count(xor(x.v, n.v)) <= 6)[1].s, n.doc_id) as seed, p.seeds from step p join n on n.k = p.k + 1)),
+ m as (select id, seed from step where id is not null), big as (select seed from m group by 1 having count(*) > 1)
+ select concat('simhash_', seed) as group_key, m.id as item_id, 1 - bit_count(xor(a.v, b.v)) / 64.0::double as similarity from m join big using (seed) join n a on a.doc_id = m.id join n b on b.doc_id = m.seed""")
+def near_dup_updated(spark, d):
+    """As ``near_dup_groups``, of an index that has seen documents come, change and go."""
+    h = _simhash(spark, d).where("simhash64 is not null").select(F.col("doc_id").alias("item_id"), hash_bits(F.col("simhash64")).alias("h"))
+    h = kept(h, "hashes")
+    x = near_index.new_index(spark, h.where("item_id % 4 <> 1"))
+    x.update(h.where("item_id % 4 = 1"), h.where("item_id % 9 = 0 and item_id % 4 <> 1"))
+    x.update(h.where("item_id % 13 = 2 and item_id % 9 <> 0").withColumn("h", F.col("h").bitwiseXOR(1)), h.where("item_id % 9 = 0"))
+    return x.groups()
+
+
 _GROUPS = _ITEMS + ", g as (select sha256(text) as group_key, count(*) as item_count, cast(sum(size_bytes) as bigint) as total_size, min(item_id) as primary_id, list_sort(list(item_id)) as members from items group by 1 having count(*) > 1) "
 
 
 def _exact(spark, d):
     x = items(spark, d).withColumn("sha256", F.sha2("text", 256))
-    return dedup.exact_groups(x).select("group_key", F.explode("members").alias("item_id"), F.lit(1.0).alias("similarity")), x
+    return dedup.exact_members(x).withColumn("similarity", F.lit(1.0)), x
 
 
 @query(_GROUPS + "select group_key, item_count, total_size, primary_id, array_to_string(members, ',') as members from g order by total_size desc, group_key limit 50 offset 5")
@@ -542,6 +617,18 @@ def duplicate_listing(spark, d):
     return x.select("group_key", "item_count", "total_size", "primary_id", F.array_join(F.transform("members", lambda m: m["item_id"].cast("string")), ",").alias("members"))
 
 
+@query(_GROUPS + ", m as (select group_key, unnest(members) as item_id from g), p as (select *, row_number() over (partition by group_key order by item_id) as rank from m) select g.group_key, g.item_count, coalesce(string_agg(p.item_id, ',' order by p.item_id), '') as members from g left join p on p.group_key = g.group_key and p.rank between 2 and 4 group by 1, 2")
+def duplicate_pages(spark, d):
+    """The second page of three members, after a first of one, of each group."""
+    x = dedup.listing(*_exact(spark, d), page=3, start=1)
+    return x.select("group_key", "item_count", F.array_join(F.transform("members", lambda m: m["item_id"].cast("string")), ",").alias("members"))
+
+
+@query(_ITEMS + "select file_type_group, rank, item_id from (select file_type_group, cast(row_number() over (partition by file_type_group order by item_id) as integer) as rank, item_id from items) where rank between 4 and 13")
+def grouped_pages(spark, d):
+    return stats.grouped_page(items(spark, d), 10, 3)
+
+
 @query(_GROUPS + "select group_key, item_count, total_size from g order by item_count desc, group_key limit 20")
 def similar_listing(spark, d):
     return dedup.listing(*_exact(spark, d), similar=True, limit=20).select("group_key", "item_count", "total_size")
@@ -558,16 +645,16 @@ def groups_replaced(spark, d):
 @query(_GROUPS + ", m as (select group_key, unnest(members) as item_id from g) select group_key, item_id, case when item_id = (select min(item_id) from m) then 'keep' else 'pending' end as review_status from m where group_key = (select group_key from m order by item_id limit 1)")
 def review_status(spark, d):
     members, x = _exact(spark, d)
-    first = members.orderBy("item_id").limit(1).collect()[0]
-    review = dedup.set_review(spark.createDataFrame([(first.group_key, first.item_id, "old")], "group_key string, item_id bigint, review_status string"), first.group_key, first.item_id, "keep")
-    one = dedup.listing(members, x, review).where(F.col("group_key") == first.group_key).select("group_key", F.explode("members").alias("m"))
+    first = members.orderBy("item_id").limit(1).select("group_key", "item_id", F.lit("keep").alias("review_status"))
+    one = dedup.listing(members.join(F.broadcast(first.select("group_key")), "group_key"), x, first).select("group_key", F.explode("members").alias("m"))
     return one.select("group_key", "m.item_id", "m.review_status")
 
 
 @query(_GROUPS + "select group_key, 1.0::double as similarity from g where list_contains(members, (select min(primary_id) from g))")
 def item_groups(spark, d):
     members, _ = _exact(spark, d)
-    return dedup.memberships(members, members.agg(F.min("item_id")).first()[0])
+    least = members.agg(F.min("item_id").alias("item_id"))
+    return members.join(F.broadcast(least), "item_id").select("group_key", "similarity")
 
 
 # Folders
@@ -601,6 +688,19 @@ def subtree_items(spark, d):
     return _members(spark, d).join(F.broadcast(below), "vf_id", "left_semi").select("item_id")
 
 
+@query(_TREE.replace("t as (select vf_id, cast(0 as bigint) as depth, name as path", "t as (select vf_id, [vf_id::bigint] as ids").replace("select f.vf_id, t.depth + 1, t.path || '/' || f.name", "select f.vf_id, list_append(t.ids, f.vf_id::bigint)") + ", n as (select vf_id, ids, row_number() over (order by ids) as first from t) select n.vf_id, n.first, n.first + count(*) - 1 as last, cast(len(n.ids) - 1 as integer) as depth from n join t on list_contains(t.ids, n.vf_id) group by n.vf_id, n.first, n.ids")
+def folder_ranges(spark, d):
+    return folders.numbered(_folders(spark, d)).select("vf_id", "first", "last", "depth")
+
+
+@query("select c_custkey as item_id from customer join nation on c_nationkey = n_nationkey where n_regionkey in (2, 4)")
+def subtree_by_range(spark, d):
+    """Members below a folder after another has been moved into it."""
+    moved = folders.update(_folders(spark, d), 5, parent=3)
+    below = folders.subtree_by_range(folders.numbered(moved), 3)
+    return _members(spark, d).join(F.broadcast(below), "vf_id", "left_semi").select("item_id")
+
+
 @query("select n_nationkey + 100 as vf_id, n_name as name from nation where n_regionkey <> 2 union all select r_regionkey + 1, r_name from region where r_regionkey <> 2")
 def folder_delete(spark, d):
     return folders.delete(_folders(spark, d), _members(spark, d), 3)[0].select("vf_id", "name")
@@ -630,7 +730,8 @@ def folder_members(spark, d):
     m = _members(spark, d)
     new = m.where("item_id % 10 = 0").select(F.lit(1).alias("vf_id"), "item_id", F.lit(7).alias("added_ts"))
     out = folders.add(folders.add(m, new.unionByName(new)), m.withColumn("added_ts", F.lit(9)))  # those there already keep their time
-    return folders.take_out(out, 105, m.where("vf_id = 105").agg(F.min("item_id")).first()[0])
+    least = m.where("vf_id = 105").groupBy("vf_id").agg(F.min("item_id").alias("item_id"))
+    return out.join(F.broadcast(least), ["vf_id", "item_id"], "left_anti")
 
 
 @query(_ITEMS + "select item_id, file_name, item_id % 4 as added_ts from items where is_deleted = 0 and item_id % 6 = 1 order by added_ts desc, item_id")
@@ -670,6 +771,47 @@ def upsert_merge(spark, d):
     return ingest.upsert(_old(spark, d), _new(spark, d))
 
 
+@query(SQL["upsert_merge"])
+def upsert_log(spark, d):
+    """As ``upsert_merge``, through the log: the new rows in two batches, each applied twice, the first compacted."""
+    store = Store(spark, scratch(spark, "store"), buckets=8, ratio=0.6)
+    store.put(_old(spark, d), "old", 0)
+    for n, part in enumerate((F.col("size_bytes") % 2 == 0, F.col("size_bytes") % 2 != 0)):
+        for _ in range(2):
+            store.put(_new(spark, d).where(part), "new", n)
+        if not n:
+            store.compact()
+    return store.current()
+
+
+_LEDGER = "with e as (select user_id, event_id, event_type, event_id % 3 as batch from events), l as (select *, row_number() over (partition by user_id, batch order by event_id desc) as r from e), "
+
+
+@query(_LEDGER + "now as (select concat('/u', user_id) as full_path, arg_max(event_id, batch) as size, arg_min(event_id, batch) as created_ts from l where r = 1 group by 1), errors as (select batch, count(*) as n, count(*) filter (event_type = 'error') as bad from l where r = 1 group by 1) select 'item' as kind, full_path as key, size as a, created_ts as b from now union all select 'job', cast(batch as varchar), n - bad, bad from errors union all select 'progress', 'stream', sum(n - bad)::bigint, sum(bad)::bigint from errors")
+def ledger_batches(spark, d):
+    """Each user's latest event as an item, by three batches that are applied twice each: items, job rows and the job's counters as if once."""
+    e, store = table(spark, d, "events"), Store(spark, scratch(spark, "store"), buckets=8)
+    bad = lambda x: x.where("event_type = 'error'").select("full_path", F.lit("extract").alias("stage"), "event_type")
+    for n in range(3):
+        rows = latest(e.where(F.col("event_id") % 3 == n), "user_id", [F.desc("event_id")])
+        rows = rows.select(F.concat(F.lit("/u"), F.col("user_id").cast("string")).alias("full_path"), F.col("event_id").alias("size"), F.col("event_id").alias("created_ts"), "event_type")
+        for _ in range(2):
+            store.put(rows, "stream", n, errors=bad)
+    done = store.progress("stream")
+    counts = spark.range(1).select(F.lit("progress").alias("kind"), F.lit("stream").alias("key"), F.lit(done["indexed"]).cast("bigint").alias("a"), F.lit(done["errors"]).cast("bigint").alias("b"))
+    out = store.current().select(F.lit("item").alias("kind"), F.col("full_path").alias("key"), F.col("size").alias("a"), F.col("created_ts").alias("b"))
+    jobs = store.table("jobs").select(F.lit("job").alias("kind"), F.col("batch_id").cast("string").alias("key"), F.col("indexed_count").alias("a"), F.col("error_count").alias("b"))
+    return out.unionByName(jobs).unionByName(counts)
+
+
+@query(_ITEMS + ", r as (select distinct concat('/data', full_path, '/') as root from items where item_id % 10 = 0 union select distinct concat('/data', parent_path, '/') from items where item_id % 97 = 0) select concat('/data', full_path, '/x.txt') as full_path from items where not exists (select 1 from r where starts_with(concat('/data', full_path, '/x.txt'), root))")
+def nested_roots_many(spark, d):
+    """As ``nested_root_exclusion``, with many roots from a table: some items taken as folders, and folders of others."""
+    x = items(spark, d)
+    roots = x.where("item_id % 10 = 0").select(F.concat(F.lit("file:///data"), "full_path").alias("root_path")).unionByName(x.where("item_id % 97 = 0").select(F.concat(F.lit("/data"), "parent_path", F.lit("/")).alias("root_path")))
+    return file_source.outside(x.select(F.concat(F.lit("/data"), "full_path", F.lit("/x.txt")).alias("full_path")), roots, "/data")
+
+
 @query(_SPLIT + "select o.full_path, n.size_bytes as size_bytes, o.created_ts, coalesce(n.m2, o.modified_ts) as modified_ts from o left join (select full_path, size_bytes, case when size_bytes % 2 = 0 then modified_ts + 5 end as m2 from n) n using (full_path) where n.size_bytes is not null union all select o.full_path, o.size_bytes, o.created_ts, o.modified_ts from o where full_path not in (select full_path from n)")
 def fill_nulls(spark, d):
     new = _new(spark, d).select("full_path", "size_bytes", F.when(F.col("size_bytes") % 2 == 0, F.col("modified_ts") + 5).alias("modified_ts"))

@@ -20,8 +20,11 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 
 from ..functions import files as names
 from ..functions.formatting import clock, preview
+from ..functions.phash import phash_image
 
 MAX_BYTES, PDF_PAGES, SHEETS, SHEET_ROWS = 50 * 1024 * 1024, 50, 10, 501
+#: Roots within a root that are told by a predicate each; more by a join.
+FEW_ROOTS = 8
 RESULT = StructType([StructField("text", StringType()), StructField("metadata", MapType(StringType(), StringType())), StructField("warnings", ArrayType(StringType()))])
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _CELL = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -29,7 +32,7 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 _CORE = {"title": "{http://purl.org/dc/elements/1.1/}title", "author": "{http://purl.org/dc/elements/1.1/}creator", "created": "{http://purl.org/dc/terms/}created", "modified": "{http://purl.org/dc/terms/}modified"}
 
 
-def scan(spark: SparkSession, root: str, nested: list[str] = (), pattern: str | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, nested: list[str] | DataFrame = (), pattern: str | None = None) -> DataFrame:
     """Files below ``root`` with their contents, without ignored ones and those of nested roots. Spark's reader passes over empty files."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
@@ -37,20 +40,39 @@ def scan(spark: SparkSession, root: str, nested: list[str] = (), pattern: str |
     return described(r.load(root), root, nested)
 
 
-def described(binary: DataFrame, root: str, nested: list[str] = ()) -> DataFrame:
-    """As ``scan``, of rows that the binaryFile source gives, in batches or streams."""
+def described(binary: DataFrame, root: str, nested: list[str] | DataFrame = ()) -> DataFrame:
+    """As ``scan``, of rows that the binaryFile source gives, in batches or streams. Nested roots may be a table (root_path) of any size."""
     base = re.sub(r"^\w+:(//)?", "", root).rstrip("/") + "/"
     path = F.regexp_replace("path", r"^\w+:(//)?", "")
     x = binary.select(path.alias("full_path"), F.substring(path, F.lit(len(base) + 1), F.length(path)).alias("relative"), F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("modified_ts"), "content")
     x = x.where(~names.ignored(F.col("relative")))
-    for other in nested:
+    few = nested if isinstance(nested, list | tuple) and len(nested) <= FEW_ROOTS else ()
+    for other in few:
         n = re.sub(r"^\w+:(//)?", "", other).rstrip("/") + "/"
         if n != base and n.startswith(base):
             x = x.where(~F.col("full_path").startswith(n))
+    if isinstance(nested, DataFrame) or len(nested) > len(few):
+        roots = nested if isinstance(nested, DataFrame) else x.sparkSession.createDataFrame([(n,) for n in nested], "root_path string")
+        x = outside(x, roots, base)
     ext = names.suffix(F.col("full_path"))
     return x.select("full_path", "relative", names.parent_path(F.col("full_path")).alias("parent_path"), names.file_name(F.col("full_path")).alias("file_name"), ext.alias("extension"), names.type_group(ext).alias("file_type_group"), "size_bytes", "modified_ts", names.change_token(F.col("size_bytes"), F.col("modified_ts")).alias("change_token"), "content")
 
 
+def outside(files: DataFrame, roots: DataFrame, base: str) -> DataFrame:
+    """The files (full_path) that lie in none of the roots (root_path) below ``base``, by one plan for any number of roots.
+
+    Each folder that holds files meets the roots by its ancestors, itself among them, in an equi-join; files then drop out by their folder.
+    """
+    base = base.rstrip("/") + "/"
+    root = F.concat(F.rtrim(F.regexp_replace("root_path", r"^\w+:(//)?", ""), F.lit("/")), F.lit("/"))
+    inner = roots.select(root.alias("above")).where(F.col("above").startswith(base) & (F.col("above") != base)).distinct()
+    folder = F.regexp_replace("full_path", "[^/]*$", "")
+    parts = F.split(F.col("folder"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")))
+    inside = files.select(folder.alias("folder")).distinct().select("folder", F.explode(above).alias("above")).join(inner, "above", "left_semi").select("folder").distinct()
+    return files.join(inside, folder == F.col("folder"), "left_anti")
+
+
 def docx_text(raw: bytes) -> tuple[str, dict]:
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml"))
@@ -150,6 +172,9 @@ READERS |= dict.fromkeys([".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".ti
 def _binary(ext: pd.Series, content: pd.Series) -> pd.DataFrame:
     rows = []
     for e, raw in zip(ext, content):
+        if raw is None:  # of a file that another reader takes
+            rows.append((None, {}, []))
+            continue
         try:
             text, meta = READERS[e](raw)
             rows.append((text, meta, []))
@@ -171,22 +196,22 @@ def _decoded(content: Column) -> Column:
 
 
 def extracted(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``files`` with text, preview, content_length, metadata, warnings and sha256 instead of content."""
+    """``files`` with text, preview, content_length, metadata, warnings, sha256 and, of images, phash instead of content."""
     ext, group = F.col("extension"), F.col("file_type_group")
     none = F.create_map().cast("map<string,string>")
     plain = group.isin("text", "code")
     large = (F.col("size_bytes") > max_bytes) & ~group.isin("image", "audio")
     text = _decoded(F.col("content"))
     basic = lambda t, w: F.struct(t.cast("string").alias("text"), none.alias("metadata"), w.cast("array<string>").alias("warnings"))
-    other = files.where(~plain & ~large & ext.isin(list(READERS))).withColumn("x", _binary(ext, F.col("content")))
-    simple = files.where(plain | large | ~ext.isin(list(READERS)))
-    simple = simple.withColumn("x", F.when(large, basic(F.lit(None), F.array(F.lit("File too large")))).when(plain, basic(text, F.array())).otherwise(basic(F.lit(None), F.array())))
-    both = simple.unionByName(other)
+    read = ~plain & ~large & ext.isin(list(READERS))
+    image = (group == "image") & ~large
+    both = files.withColumns({"x": _binary(ext, F.when(read, F.col("content"))), "phash": phash_image(F.when(image, F.col("content")))})  # one scan; contents go to Python only where they are read there
+    both = both.withColumn("x", F.when(read, F.col("x")).when(large, basic(F.lit(None), F.array(F.lit("File too large")))).when(plain, basic(text, F.array())).otherwise(basic(F.lit(None), F.array())))
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
     meta = F.when((F.col("file_type_group") == "audio") & F.try_element_at("x.metadata", F.lit("title")).isNull(), F.map_concat(F.coalesce("x.metadata", none), F.create_map(F.lit("title"), stem))).otherwise(F.col("x.metadata"))
     both = both.withColumn("x", F.struct(F.col("x.text").alias("text"), meta.alias("metadata"), F.col("x.warnings").alias("warnings")))
     t: Column = F.when(F.col("file_type_group") == "audio", F.coalesce(audio_line(F.col("x.metadata")), stem)).otherwise(F.col("x.text"))
-    return both.select(*[c for c in files.columns if c != "content"], t.alias("text"), preview(t).alias("content_preview"), F.char_length(t).alias("content_length"), F.col("x.metadata").alias("metadata"), F.col("x.warnings").alias("warnings"), F.sha2("content", 256).alias("sha256"))
+    return both.select(*[c for c in files.columns if c != "content"], t.alias("text"), preview(t).alias("content_preview"), F.char_length(t).alias("content_length"), F.col("x.metadata").alias("metadata"), F.col("x.warnings").alias("warnings"), F.sha2("content", 256).alias("sha256"), "phash")
 
 
 def thumbnail_key(item_id: Column, token: Column, size: int) -> Column:
