@@ -18,31 +18,27 @@ from ..sources.versions import Versions, dropped, kept, scratch
 from ..streaming.store import Store
 from . import dedup
 
-#: Buckets of bands.
+#: Buckets of bands; those of the other tables are ``parts``.
 BUCKETS = 256
 
 
 class NearIndex:
     """In ``folder``: items (item_id, h), vertices (h, id, seed), pairs of near hashes both ways, and bands in buckets."""
 
-    def __init__(self, spark: SparkSession, folder: str, prefix: str = "simhash", buckets: int = BUCKETS):
-        self.spark, self.folder, self.prefix, self.buckets = spark, folder.rstrip("/"), prefix, buckets
+    def __init__(self, spark: SparkSession, folder: str, prefix: str = "simhash", buckets: int = BUCKETS, parts: int = 16):
+        self.spark, self.folder, self.prefix, self.buckets, self.parts = spark, folder.rstrip("/"), prefix, buckets, parts
         self.versions = Versions(spark, self.folder)
 
     def _tables(self, name: str) -> dict[str, Store]:
-        return {k: Store(self.spark, f"{self.folder}/{name}/{k}", key, (), 64) for k, key in (("items", "item_id"), ("vertices", "h"), ("pairs", "pair"))}
+        return {k: Store(self.spark, f"{self.folder}/{name}/{k}", key, (), self.parts, 0.5) for k, key in (("items", "item_id"), ("vertices", "h"), ("pairs", "pair"))}
 
     def _write_bands(self, hashes: DataFrame, name: str, blocks: int) -> None:
+        """In order of buckets, so that a reader of some passes over the row groups of the others."""
         x = hashes.select("h", F.inline(F.array(*dedup.bands("h", blocks)))).withColumn("bucket", F.pmod(F.xxhash64("i", "v"), F.lit(self.buckets)).cast("int"))
-        x.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/bands/{name}")
+        x.repartitionByRange("bucket").sortWithinPartitions("bucket").write.parquet(f"{self.folder}/bands/{name}")
 
-    def _bands(self, now: dict, buckets: list[int]) -> DataFrame | None:
-        """The stored bands in some buckets."""
-        paths = [f"{self.folder}/bands/{name}/bucket={b}" for name, there in now["bands"] for b in buckets if b in there]
-        return self.spark.read.schema("h bigint, i int, v bigint, before int").parquet(*paths) if paths else None
-
-    def _there(self, name: str) -> list:
-        return [name, [int(x.removeprefix("bucket=")) for x in self.versions.names("bands", name) if x.startswith("bucket=")]]
+    def _bands(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema("h bigint, i int, v bigint, before int, bucket int").parquet(*[f"{self.folder}/bands/{name}" for name in names])
 
     def build(self, hashes: DataFrame) -> NearIndex:
         """An index of these items (item_id, h) alone, grouped in full."""
@@ -53,14 +49,14 @@ class NearIndex:
         first = kept(items.groupBy("h").agg(F.min("item_id").alias("id")), "near-first")
         pairs = kept(dedup.near_pairs(first), "near-pairs")
         others = dedup.not_seeds(pairs)
-        t["items"].put(items)
-        t["vertices"].put(first.join(others.withColumn("_not", F.lit(True)), "id", "left").select("h", "id", F.col("_not").isNull().alias("seed")))
+        t["items"].fill(items)
+        t["vertices"].fill(first.join(others.withColumn("_not", F.lit(True)), "id", "left").select("h", "id", F.col("_not").isNull().alias("seed")))
         both = pairs.join(first.toDF("g", "a"), "a").join(first.toDF("h", "b"), "b")
-        t["pairs"].put(self._both(both.select("g", "h", "similarity")))
+        t["pairs"].fill(self._both(both.select("g", "h", "similarity")))
         blocks = dedup.blocks_for(4 * first.count())  # room to grow; with more they stay complete, and meet more
         self._write_bands(first, name, blocks)
         dropped(items, first, pairs, others)
-        self.versions.commit(version, {"tables": name, "blocks": blocks, "bands": [self._there(name)]})
+        self.versions.commit(version, {"tables": name, "blocks": blocks, "bands": [name]})
         return self
 
     @staticmethod
@@ -84,7 +80,7 @@ class NearIndex:
         out = kept(out.distinct(), "near-out")
         items = t["items"].current()
         touched = kept(items.join(new.select("item_id").unionByName(out), "item_id", "left_semi").select("h").unionByName(new.select("h")).distinct(), "near-touched")
-        t["items"].put(new, gone=out)
+        t["items"].put(new, gone=out, mode=None)
         # hashes whose smallest item isn't what it was
         least = t["items"].current().join(touched, "h", "left_semi").groupBy("h").agg(F.min("item_id").alias("new_id"))
         before = t["vertices"].current()
@@ -94,47 +90,48 @@ class NearIndex:
         # pairs of new hashes come, those of lost ones go
         name = uuid.uuid4().hex[:8]
         self._write_bands(fresh, name, now["blocks"])
-        bands = [*now["bands"], self._there(name)]
-        mine = self._bands(now | {"bands": bands[-1:]}, bands[-1][1])
-        theirs = self._bands(now | {"bands": bands}, bands[-1][1])
+        bands = [*now["bands"], name]
+        mine = self._bands([name])
+        buckets = [r[0] for r in mine.select("bucket").distinct().collect()]  # of ``self.buckets``
+        theirs = self._bands(bands).where(F.col("bucket").isin(buckets))
         pairs = t["pairs"].current()
         ended = pairs.join(lost, "h", "left_semi").select("g", "h")
         ended = ended.unionByName(ended.select(F.col("h").alias("g"), F.col("g").alias("h"))).select(F.concat_ws(":", "g", "h").alias("pair"))
         # a hash that comes back after it was lost is beside those that it was beside
         beside_old = kept(pairs.join(lost, "h", "left_semi").select(F.col("g").alias("h")), "near-beside")
-        if mine is not None:
-            live = before.select("h").unionByName(fresh).join(lost, "h", "left_anti").select(F.col("h").alias("g"))
-            close = mine.join(theirs.select(F.col("h").alias("g"), "i", "v").distinct(), ["i", "v"]).where((F.col("g") != F.col("h")) & (F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= dedup.DISTANCE))
-            close = close.where(dedup.first_meeting(F.col("g"), F.col("h"), F.col("before"), now["blocks"])).select("g", "h", hamming_similarity(F.col("g"), F.col("h")).alias("similarity")).join(live, "g", "left_semi")
-            t["pairs"].put(self._both(close).dropDuplicates(["pair"]), gone=ended)
-        else:
-            t["pairs"].put(self.spark.createDataFrame([], "pair string, g bigint, h bigint, similarity double"), gone=ended)
-        t["vertices"].put(moved.where("new_id is not null").select("h", F.col("new_id").alias("id"), F.lit(None).cast("boolean").alias("seed")), gone=lost)
-        self._repair(t, moved, beside_old)
-        dropped(new, out, touched, moved, beside_old)
+        live = before.select("h").unionByName(fresh).join(lost, "h", "left_anti").select(F.col("h").alias("g"))
+        close = mine.join(theirs.select(F.col("h").alias("g"), "i", "v").distinct(), ["i", "v"]).where((F.col("g") != F.col("h")) & (F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= dedup.DISTANCE))
+        close = close.where(dedup.first_meeting(F.col("g"), F.col("h"), F.col("before"), now["blocks"])).select("g", "h", hamming_similarity(F.col("g"), F.col("h")).alias("similarity")).join(live, "g", "left_semi")
+        t["pairs"].put(self._both(close).dropDuplicates(["pair"]), gone=ended, mode=None)
+        told = self._repair(t, moved, beside_old)
+        t["vertices"].put(told, gone=lost, mode=None)
+        dropped(new, out, touched, moved, beside_old, told)
         self.versions.commit(version, now | {"bands": bands})
         return self
 
-    def _repair(self, t: dict[str, Store], moved: DataFrame, beside_old: DataFrame) -> None:
-        """Seeds anew for the hashes that may differ: a hash is told once no smaller one beside it is still to be told."""
-        pairs, vertices = t["pairs"].current(), t["vertices"].current()
+    def _repair(self, t: dict[str, Store], moved: DataFrame, beside_old: DataFrame) -> DataFrame:
+        """(h, id, seed) of the hashes that may differ: a hash is told once no smaller one beside it is still to be told. A written table."""
+        pairs = t["pairs"].current()
+        changed = moved.where("new_id is not null").select("h", F.col("new_id").alias("id"), F.lit(None).cast("boolean").alias("seed"))
+        stored = t["vertices"].current().join(moved.select("h"), "h", "left_anti").unionByName(changed)
         near = pairs.join(moved.select("h"), "h", "left_semi").select(F.col("g").alias("h"))
-        todo = kept(moved.where("new_id is not null").select("h").unionByName(near).unionByName(beside_old).distinct().join(vertices.select("h"), "h", "left_semi"), "near-todo")
+        todo = kept(stored.join(moved.select("h").unionByName(near).unionByName(beside_old).distinct(), "h", "left_semi").select("h", "id"), "near-todo")
+        told = kept(changed.where("false"), "near-told")
         while not todo.isEmpty():
-            vertices = t["vertices"].current()
-            mine = vertices.join(todo, "h", "left_semi").select("h", "id", "seed")
-            other = pairs.join(todo, "h", "left_semi").join(vertices.select(F.col("h").alias("g"), F.col("id").alias("g_id"), F.col("seed").alias("g_seed")), "g").join(todo.select(F.col("h").alias("g"), F.lit(True).alias("g_open")), "g", "left")
-            x = mine.join(other.select("h", "g", "g_id", "g_seed", "g_open"), "h", "left")
-            smaller = F.col("g_id") < F.col("id")
-            told = x.groupBy("h", "id", "seed").agg(F.coalesce(F.bool_or(smaller & F.coalesce("g_open", F.lit(False))), F.lit(False)).alias("waits"), F.coalesce(F.bool_or(smaller & F.coalesce("g_seed", F.lit(False))), F.lit(False)).alias("taken")).where("not waits")
-            told = kept(told.select("h", "id", (~F.col("taken")).alias("now"), F.col("seed").alias("was")), "near-told")
-            t["vertices"].put(told.select("h", "id", F.col("now").alias("seed")))
-            differ = told.where("not now <=> was").select(F.col("h").alias("g"), F.col("id").alias("g_id"))
-            up = pairs.join(differ, "g").join(t["vertices"].current().select("h", "id"), "h").where("id > g_id").select("h")
-            left = kept(todo.join(told.select("h"), "h", "left_anti").unionByName(up).distinct(), "near-todo")
-            dropped(todo, told)
-            todo = left
+            vertices = stored.join(told.select("h"), "h", "left_anti").unionByName(told)
+            open_ = todo.select(F.col("h").alias("g"), F.lit(True).alias("g_open"))
+            beside = pairs.join(todo, "h").join(vertices.toDF("g", "g_id", "g_seed"), "g").where("g_id < id").join(open_, "g", "left")
+            waits, taken = F.bool_or(F.coalesce("g_open", F.lit(False))), F.bool_or(F.coalesce("g_seed", F.lit(False)))
+            state = todo.join(beside.groupBy("h").agg(waits.alias("waits"), taken.alias("taken")), "h", "left").where("not coalesce(waits, false)")
+            now = kept(state.select("h", "id", (~F.coalesce("taken", F.lit(False))).alias("seed")), "near-now")
+            differ = now.alias("n").join(vertices.alias("v"), "h").where("not n.seed <=> v.seed").select(F.col("h").alias("g"), F.col("n.id").alias("g_id"))
+            up = pairs.join(differ, "g").join(vertices.select("h", "id"), "h").where("id > g_id").select("h", "id")
+            left = kept(todo.join(now.select("h"), "h", "left_anti").unionByName(up).distinct(), "near-todo")
+            new = kept(told.join(now.select("h"), "h", "left_anti").unionByName(now), "near-told")
+            dropped(todo, told, now)
+            todo, told = left, new
         dropped(todo)
+        return told
 
     def groups(self) -> DataFrame:
         """(group_key, item_id, similarity) as ``dedup.near_groups`` gives them over the items that are in; from stored pairs and seeds."""

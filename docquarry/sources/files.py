@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, MapType, StringType, StructField, Struc
 from ..functions import files as names
 from ..functions.formatting import clock, preview
 from ..functions.phash import phash_image
+from ..operators.filters import glob_regex
+from .tree import empty_files
 
 MAX_BYTES, PDF_PAGES, SHEETS, SHEET_ROWS = 50 * 1024 * 1024, 50, 10, 501
 #: Roots within a root that are told by a predicate each; more by a join.
@@ -32,12 +34,18 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 _CORE = {"title": "{http://purl.org/dc/elements/1.1/}title", "author": "{http://purl.org/dc/elements/1.1/}creator", "created": "{http://purl.org/dc/terms/}created", "modified": "{http://purl.org/dc/terms/}modified"}
 
 
-def scan(spark: SparkSession, root: str, nested: list[str] | DataFrame = (), pattern: str | None = None) -> DataFrame:
-    """Files below ``root`` with their contents, without ignored ones and those of nested roots. Spark's reader passes over empty files."""
+def scan(spark: SparkSession, root: str, nested: list[str] | DataFrame = (), pattern: str | None = None, empty: bool = False) -> DataFrame:
+    """Files below ``root`` with their contents, without ignored ones and those of nested roots. Spark's reader passes over empty files; with ``empty`` they are listed too."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         r = r.option("pathGlobFilter", pattern)
-    return described(r.load(root), root, nested)
+    found = r.load(root)
+    if empty:
+        none = empty_files(spark, root)
+        if pattern:
+            none = none.where(names.file_name(F.col("path")).rlike(glob_regex(pattern)))
+        found = found.unionByName(none)
+    return described(found, root, nested)
 
 
 def described(binary: DataFrame, root: str, nested: list[str] | DataFrame = ()) -> DataFrame:

@@ -15,6 +15,7 @@ from ..functions import files as names
 from ..functions.text import hash_bits, simhash
 from ..operators import dedup
 from ..sources.files import described, extracted, scan
+from ..sources.tree import empty_files
 from ..sources.versions import Versions
 from .store import BROADCAST, KEEP
 from .store import Store as LogStore
@@ -128,7 +129,7 @@ class Store(LogStore):
     def reindex(self, root: str, nested: list[str] = (), job_id: str = "") -> dict:
         """Reads all files below one root again, changed or not, and deletes its items that are gone."""
         self.begin(job_id)
-        counts = self.merge(scan(self.spark, root, nested), full_scan=True, rescan=True, job_id=job_id, root=root)
+        counts = self.merge(scan(self.spark, root, nested, empty=True), full_scan=True, rescan=True, job_id=job_id, root=root)
         self.mark(job_id, "done")
         return counts
 
@@ -144,12 +145,15 @@ class Store(LogStore):
         return kept.current()
 
 
-def stream(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, after: Callable[[DataFrame], None] | None = None, nested: list[str] = (), job_id: str | None = None):
+def stream(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, after: Callable[[DataFrame], None] | None = None, nested: list[str] = (), job_id: str | None = None, empty: bool = False):
     """A query that ingests what is new below ``root`` and then ends; started again with the same checkpoint it resumes. ``after`` gets the items once a batch is in.
 
     A batch that is applied again, as after a failure between its commit and the checkpoint's, changes nothing: the store's ledger has its id.
+    With ``empty`` files without bytes come from a source of their own, once they have rested for two seconds.
     """
     source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).schema("path string, modificationTime timestamp, length bigint, content binary").load(root)
+    if empty:
+        source = source.unionByName(empty_files(spark, root, stream=True))
     job = job_id or job_of(checkpoint)
     store.begin(job)
 
@@ -166,9 +170,9 @@ def job_of(checkpoint: str) -> str:
     return f"stream {os.fspath(checkpoint)}"
 
 
-def ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, nested: list[str] = ()) -> DataFrame:
+def ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, per_trigger: int = 10_000, nested: list[str] = (), empty: bool = False) -> DataFrame:
     """Streams in what is new below ``root``, and finds duplicates once nothing is pending; the groups."""
-    stream(spark, root, store, checkpoint, per_trigger, nested=nested).awaitTermination()
+    stream(spark, root, store, checkpoint, per_trigger, nested=nested, empty=empty).awaitTermination()
     store.mark(job_of(checkpoint), "finalizing")
     try:
         groups = store.finish()

@@ -140,11 +140,23 @@ class Store:
         job = now.get("jobs", {}).get(job_id)
         return job["counts"] if job and batch_id is not None and job["batch"] >= batch_id else None
 
-    def put(self, rows: DataFrame, job_id: str = "", batch_id: int | None = None, gone: DataFrame | None = None, side=None, errors=None, scanned: int | None = None, mode: str = "incremental", at: int | None = None) -> dict:
+    def fill(self, rows: DataFrame) -> None:
+        """The rows as the whole base of an empty store, written once."""
+        version, now = self.versions.current()
+        if now.get("schema"):
+            raise ValueError("the store isn't empty")
+        now = self._with_job(now, "", {}) | {"schema": rows.schema.json()}
+        name, wrote = uuid.uuid4().hex[:8], Observation()
+        out = rows.withColumn("bucket", self._bucket(now)).observe(wrote, F.count("*").alias("n"))
+        out.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/base/{name}")
+        there = sorted(int(x.removeprefix("bucket=")) for x in self.versions.names("base", name) if x.startswith("bucket="))
+        self.versions.commit(version, now | {"jobs": {}, "base": {str(b): name for b in there}, "base_rows": wrote.get["n"]})
+
+    def put(self, rows: DataFrame, job_id: str = "", batch_id: int | None = None, gone: DataFrame | None = None, side=None, errors=None, scanned: int | None = None, mode: str | None = "incremental", at: int | None = None) -> dict:
         """Puts rows over those with their keys, and deletes those in ``gone`` (key); the batch's counts. Keys are unique in ``rows``.
 
         ``side`` gives further columns by key from the rows once they are written, ``errors`` the rows of the error log among them; ``scanned`` is how many
-        rows were looked at for these.
+        rows were looked at for these. Without a ``mode`` the batch has no row in ``jobs``.
         """
         version, now = self.versions.current()
         if (counts := self._done(now, job_id, batch_id)) is not None:
@@ -180,9 +192,9 @@ class Store:
                 tables["errors"] = [*tables.get("errors", []), name]
         looked = n if scanned is None else scanned
         counts = {"indexed_count": n - failed, "error_count": failed, "skipped_count": looked - n}
-        row = self.spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(mode).alias("mode"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()], F.lit(at).cast("bigint").alias("finished_ts"))
-        row.coalesce(1).write.parquet(f"{self.folder}/jobs/{name}")
-        tables["jobs"] = [*tables.get("jobs", []), name]
+        if mode is not None:
+            self._note(job_id, batch_id, mode, counts, at, name)
+            tables["jobs"] = [*tables.get("jobs", []), name]
         old = now["jobs"][job_id]
         job = old | {"batch": old["batch"] if batch_id is None else batch_id, "counts": counts, "indexed": old["indexed"] + n - failed, "errors": old["errors"] + failed, "skipped": old["skipped"] + looked - n, "scanned": old["scanned"] + looked, "queued": old["queued"] + n, "pending": 0, "current_file": seen.get["last"] or old["current_file"], "updated_ts": at}
         schema = StructType.fromJson(json.loads(now["schema"])) if now["schema"] else full
@@ -193,6 +205,10 @@ class Store:
             self.compact()
         return counts
 
+    def _note(self, job_id: str, batch_id: int | None, mode: str, counts: dict, at: int, name: str) -> None:
+        row = self.spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit(batch_id).cast("bigint").alias("batch_id"), F.lit(mode).alias("mode"), *[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()], F.lit(at).cast("bigint").alias("finished_ts"))
+        row.coalesce(1).write.parquet(f"{self.folder}/jobs/{name}")
+
     def compact(self) -> None:
         """Writes the buckets that the log touches anew, with the log's rows; tables of error and job rows become one each."""
         version, now = self.versions.current()

@@ -38,10 +38,10 @@ def test_repaired_groups_equal_greedy_ones(spark, tmp_path):
     base = [r.getrandbits(64) for _ in range(4)]
     draw = lambda: flipped(r, r.choice(base), 8)
     now = {i: draw() for i in range(10, 60)}
-    index = near_index.NearIndex(spark, f"file://{tmp_path}/n", buckets=16).build(frame(spark, now))
+    index = near_index.NearIndex(spark, f"file://{tmp_path}/n", buckets=16, parts=4).build(frame(spark, now))
     got = lambda df: {tuple(x) for x in df.collect()}
     assert got(index.groups()) == greedy(now) == got(dedup.near_groups(frame(spark, now)))
-    for step in range(3):
+    for step in range(2):
         changed = {i: draw() for i in r.sample(range(75), 8)}  # some come before all others, some share a hash
         changed |= {i: now[r.choice(sorted(now))] for i in r.sample(range(75), 2)}
         gone = r.sample(sorted(now), 6)
