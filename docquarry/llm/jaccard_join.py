@@ -534,3 +534,20 @@ def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as materialized (
+    select doc_id, unnest(list_distinct(case when len(words) between 1 and 4 then [array_to_string(words, ' ')] else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) end)) as shingle from w
+), n as materialized (
+    select doc_id, count(*) as n from s group by 1
+), links as materialized (
+    select a.doc_id as a, b.doc_id as b from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), reach as (
+    select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on l.a = r.b
+)
+select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id from documents d left join n on n.doc_id = d.doc_id join reach r on r.a = d.doc_id group by d.doc_id
+"""

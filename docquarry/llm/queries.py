@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe
 from .decontamination import op6_decontamination
 from .elkan_codes import OP13_SQL, op13_elkan_codes
-from .jaccard_join import op8_jaccard_join
+from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .language_id import op2_language_id
 from .line_dedup import op9_line_dedup
 from .maxscore import OP5_SQL, op5_maxscore
@@ -18,7 +18,7 @@ from .secrets import op4_secrets
 from .token_counts import op3_token_counts
 from .training_order import op7_training_order
 from .turn_repair import op11_turn_repair
-from .warc import op1_warc
+from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,4 +40,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_maxscore": OP5_SQL, "op13_elkan_codes": OP13_SQL}
+    return {"op1_warc": OP1_SQL, "op5_maxscore": OP5_SQL, "op8_jaccard_join": OP8_SQL, "op13_elkan_codes": OP13_SQL}

@@ -13,7 +13,7 @@ _BASE = 0x100000001B3 * 0x9E3779B97F4A7C15 % 2**64 | 1
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, np.uint64)
+_powers = np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -274,3 +274,14 @@ def archive_round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> Data
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP1_SQL = """
+with h as (
+    select page_id, url, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex, min(page_id) over (partition by coalesce(html, '')) as first from pages
+), b as (
+    select *, list_transform(range(0, 32), lambda i: ('0x' || substr(hex || '00', 1 + 2 * (5 * i // 8), 4))::integer >> (11 - 5 * i % 8) & 31) as digits from h
+)
+select page_id, payload_bytes, array_to_string(list_transform(digits, lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', k::integer + 1, 1)), '') as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to, url from b
+"""

@@ -152,3 +152,12 @@ def test_edges(spark):
     assert [tuple(r) for r in jj.similar_groups(documents(spark, [(3, None)])).collect()] == [(3, 0, 3)]
     rows = [(1, "a b c d e f"), (2, "A B C D E F"), (3, "other words entirely here now then"), (None, "x")]
     assert sorted(str(r.doc_id) for r in jj.one_of_each(documents(spark, rows)).collect()) == ["1", "3", "None"]
+
+
+def test_a_words_hash_does_not_depend_on_what_came_before():
+    """The first texts of a worker may have words of one letter only."""
+    import subprocess
+    import sys
+
+    code = "from docquarry.llm import shingles as s; a = s.shingle_sets(['a b'])[0]; s.shingle_sets(['longer words']); assert (a == s.shingle_sets(['a b'])[0]).all() and (a == s.shingle_sets(['longer words', 'A b'])[1]).all()"
+    subprocess.run([sys.executable, "-c", code], check=True)
