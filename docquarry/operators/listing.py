@@ -49,6 +49,8 @@ def image_time() -> Column:
 
 def list_images(items: DataFrame, metadata: DataFrame, q: str = "", filters: Filters | None = None, has_gps: int | None = None, order_by: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Images with their metadata (item_id, taken_ts, title, camera_model, meta_json): by keyword, filters, and coordinates."""
+    if not 0 < limit <= 300 or offset < 0:
+        raise ValueError("limit must be 1 to 300, offset 0 or more")
     x = items.where("file_type_group = 'image'").join(metadata, "item_id", "left").where((filters or Filters()).column(image_time()))
     if q:
         hit = F.lit(False)

@@ -21,6 +21,13 @@ def resumable_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("status").isin(*ACTIVE)).orderBy("job_id")
 
 
+def prepare_resume(jobs: DataFrame, job_id: int, now: int) -> DataFrame:
+    """Jobs after one that was cut off starts again: what was queued restarts at what is indexed, and nothing is pending or scanned to its end."""
+    here = F.col("job_id") == job_id
+    new = {"status": F.lit("running"), "finished_ts": F.lit(None), "pending_count": F.lit(0), "scan_complete": F.lit(0), "queued_count": F.col("indexed_count"), "current_file": F.lit(""), "updated_ts": F.lit(now)}
+    return jobs.select(*[F.when(here, new[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in new else f.name for f in jobs.schema])
+
+
 def add_root(roots: DataFrame, path: str, label: str, now: int) -> DataFrame:
     """Roots (root_id, root_path, label, is_enabled, created_ts) with one more; one that is there stays as it is."""
     new = roots.sparkSession.createDataFrame([(path, label, 1, now)], "root_path string, label string, is_enabled int, created_ts bigint")

@@ -849,6 +849,13 @@ def resumable_jobs(spark, d):
     return dashboard.resumable_jobs(_jobs(spark, d)).select("job_id", "status")
 
 
+@query("select event_id as job_id, case when event_id = 40 then 'running' when event_type = 'click' then 'running' else 'done' end as status, case when event_id = 40 then event_id % 50 else event_id % 70 end as queued_count, event_id % 50 as indexed_count, case when event_id = 40 then 0 else event_id % 3 end as pending_count, case when event_id <> 40 then cast(floor(epoch(ts)) as bigint) end as finished_ts from events")
+def job_resumed(spark, d):
+    e = F.col("event_id")
+    jobs = table(spark, d, "events").select(e.alias("job_id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), (e % 70).alias("queued_count"), (e % 50).alias("indexed_count"), (e % 3).alias("pending_count"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("finished_ts"))
+    return dashboard.prepare_resume(jobs, 40, 1)
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def event_windows(spark, d):
     return ingest.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))

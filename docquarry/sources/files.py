@@ -222,7 +222,10 @@ def extracted(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     return both.select(*[c for c in files.columns if c != "content"], t.alias("text"), preview(t).alias("content_preview"), F.char_length(t).alias("content_length"), F.col("x.metadata").alias("metadata"), F.col("x.warnings").alias("warnings"), F.sha2("content", 256).alias("sha256"), "phash")
 
 
-def thumbnail_key(item_id: Column, token: Column, size: int) -> Column:
+def thumbnail_key(item_id: Column, token: Column, size: int = 240) -> Column:
+    """The name under which an item's thumbnail of ``size`` pixels, 64 to 1024, is kept; another token gives another."""
+    if not 64 <= size <= 1024:
+        raise ValueError("size must be 64 to 1024")
     return F.sha1(F.concat_ws(":", item_id.cast("string"), token, F.lit(str(size))).cast("binary"))
 
 

@@ -1,3 +1,4 @@
+import pytest
 from docquarry.plans import client, dashboard, settings
 from pyspark.sql import functions as F
 
@@ -41,3 +42,26 @@ def test_dashboard(spark):
     more = dashboard.add_root(dashboard.add_root(roots, "new", "x", 9), "new", "y", 10)
     assert more.count() == 3 and more.where("root_path = 'new'").first().label == "x"
     assert dashboard.set_enabled(roots, 1, False).where(F.col("is_enabled") == 0).count() == 1
+
+
+def test_arguments_out_of_range(spark):
+    from docquarry.operators import listing, timeline
+    from docquarry.sources import files as src
+
+    items = spark.createDataFrame([(1, "image", 0, 5, 5)], "item_id int, file_type_group string, is_deleted int, best_time_ts bigint, modified_ts bigint")
+    meta = spark.createDataFrame([], "item_id int, taken_ts bigint, title string, camera_model string, meta_json string")
+    for call in (lambda: timeline.bucket(F.lit(1), "week"), lambda: src.thumbnail_key(F.lit(1), F.lit("t"), 63), lambda: src.thumbnail_key(F.lit(1), F.lit("t"), 1025), lambda: src.text_page(F.lit("x"), 499), lambda: listing.list_images(items, meta, limit=301)):
+        with pytest.raises(ValueError):
+            call()
+    assert listing.list_images(items, meta, limit=300).count() == 1
+
+
+def test_policies_of_content_and_metadata(spark, tmp_path):
+    """A text's language stays once it is known; all of the metadata is that of the last reading."""
+    from docquarry.streaming.store import Store
+
+    schema = "full_path string, text string, content_language string, title string, width int"
+    store = Store(spark, f"file://{tmp_path}/s")
+    for row in (("/a", "one", None, "t", 5), ("/a", "two", "en", None, 6), ("/a", "three", "de", "u", None)):
+        store.put(spark.createDataFrame([row], schema))
+    assert tuple(store.current().first()) == ("/a", "three", "en", "u", None)
