@@ -394,26 +394,22 @@ def _changed(docs: DataFrame) -> DataFrame:
     return docs.where((i % 5 != 0) | (i % 11 == 3)).withColumn("text", text)
 
 
-def _updated(x, docs: DataFrame):
-    """An index of ``docs`` brought to what ``_changed`` gives by three updates."""
-    x.update(docs.where("doc_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" in the"))))
-    x.update(docs.where("doc_id % 7 = 1").withColumn("text", F.concat(F.lit("in the "), "lang")), docs.where("doc_id % 5 = 0 and doc_id % 7 <> 1"))
-    # documents that are changed and gone in one update stay; those go with the next
-    return x.update(docs.where("doc_id % 11 = 3").withColumn("text", F.lit("in the in the")), docs.where("doc_id % 5 = 0 and doc_id % 7 = 1 and doc_id % 11 <> 3"))
+def _updated(x: index.TextIndex, docs: DataFrame) -> index.TextIndex:
+    """An index of ``docs`` (item_id, text, lang) brought to what ``_changed`` gives by three updates."""
+    x.update(docs.where("item_id % 7 = 0").withColumn("text", F.concat("text", F.lit(" in the"))))
+    x.update(docs.where("item_id % 7 = 1").withColumn("text", F.concat(F.lit("in the "), "lang")), docs.where("item_id % 5 = 0 and item_id % 7 <> 1"))
+    # items that are changed and gone in one update stay; those go with the next
+    return x.update(docs.where("item_id % 11 = 3").withColumn("text", F.lit("in the in the")), docs.where("item_id % 5 = 0 and item_id % 7 = 1 and item_id % 11 <> 3"))
 
 
 @query("with " + _CHANGED + ", " + _bm25_sql(["in", "the"]).replace("with t as", "t as", 1).replace("from documents)", "from changed)", 1) + ", i as (" + ITEMS_SQL.replace("from documents", "from changed") + ") select r.doc_id as item_id, round(r.score, 9) as score from r join i on i.item_id = r.doc_id where i.is_deleted = 0 and i.file_type_group = 'text' order by r.score, r.doc_id limit 50")
 def search_indexed(spark, d):
     """As ``search_ranked``, through an index that has seen three updates and a merge."""
     docs = table(spark, d, "documents")
-    x = _updated(_index(spark, d, docs), docs).merge()
-    x.key = "doc_id"
+    mine = docs.withColumnRenamed("doc_id", "item_id")
+    x = _updated(index.TextIndex(spark, index.scratch(spark), ["text"]).build(mine), mine).merge()
     after = spark.sql(ITEMS_SQL.replace("from documents", "from {changed}"), changed=_changed(docs))
-
-    class ByItem:
-        bm25 = staticmethod(lambda q: x.bm25(q).withColumnRenamed("doc_id", "item_id"))
-
-    found = search.search(after, search.SearchRequest(q="In THE", filters=Filters(file_type="text")), index=ByItem)
+    found = search.search(after, search.SearchRequest(q="In THE", filters=Filters(file_type="text")), index=x)
     return found.select("item_id", F.round("score", 9).alias("score"))
 
 
@@ -460,10 +456,13 @@ def snippet(spark, d):
 
 
 @query(f"""with w as (select doc_id, string_split(regexp_replace(trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '[\\s\\x0B]+', ' ', 'g'), ' ') as words from documents where text is not null),
-    k as (select doc_id, flatten(list_transform(words, lambda w, i: list_transform(regexp_extract_all(translate(lower(w), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+'), lambda t: {{'t': t, 'i': i - 1}}))) as toks from w),
-    p as (select doc_id, unnest(list_transform(list_filter(range(1, len(toks)), lambda i: toks[i].t = 'in' and toks[i + 1].t = 'the'), lambda i: {{'o': toks[i].i, 'c': toks[i + 1].i}})) as x from k),
-    s as (select distinct doc_id, greatest(0, x.c - 19) as start from p),
-    n as (select s.doc_id, start, count(*) filter (p.x.o >= start and p.x.c <= start + 19) as matches from s join p on p.doc_id = s.doc_id group by 1, 2),
+    u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) - 1 as i from w),
+    k as (select doc_id, i, regexp_extract_all(translate(lower(word), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+') as toks from u),
+    t as (select doc_id, i, unnest(toks) as tok, generate_subscripts(toks, 1) as j from k),
+    x as (select doc_id, tok, i as o, lead(tok) over z as next, lead(i) over z as c from t window z as (partition by doc_id order by i, j)),
+    p as (select doc_id, o, c from x where tok = 'in' and next = 'the'),
+    s as (select distinct doc_id, greatest(0, c - 19) as start from p),
+    n as (select s.doc_id, start, count(*) as matches from s join p on p.doc_id = s.doc_id and p.o >= start and p.c <= start + 19 group by 1, 2),
     b as (select *, row_number() over (partition by doc_id order by matches desc, start) as rank from n)
     select d.doc_id, cast(coalesce(b.start, 0) as integer) as start, coalesce(b.matches, 0) as matches from documents d left join b on b.doc_id = d.doc_id and b.rank = 1""")
 def best_window(spark, d):
