@@ -521,7 +521,7 @@ def simhash_documents(spark, d):
 @query(_SIMHASH + "select a.doc_id as a, b.doc_id as b, 1 - bit_count(xor(a.v, b.v)) / 64.0::double as similarity from sim a join sim b on a.doc_id < b.doc_id where bit_count(xor(a.v, b.v)) <= 6")
 def near_dup_pairs(spark, d):
     h = _simhash(spark, d).where("simhash64 is not null").select(F.col("doc_id").alias("id"), hash_bits(F.col("simhash64")).alias("h"))
-    return dedup.all_near_pairs(h)
+    return dedup.all_near_pairs(kept(h, "hashes"))
 
 
 @query("with recursive " + _SIMHASH.removeprefix("with ") + """, n as (select doc_id, v, row_number() over (order by doc_id) as k from sim where v is not null),
@@ -567,7 +567,7 @@ def _images(spark, d):
  select a, b, similarity from near""")
 def near_images(spark, d):
     x = _images(spark, d).where("is_deleted = 0").select(F.col("item_id").alias("id"), hash_bits(F.col("phash")).alias("h"))
-    return dedup.all_near_pairs(x)
+    return dedup.all_near_pairs(kept(x, "hashes"))
 
 
 @query("""with recursive """ + _PHASH.removeprefix("with ") + """, n0 as (select vec_id as item_id, ('0x' || phash)::ubigint as v from hashed union all select vec_id + 1000000, xor(('0x' || phash)::ubigint, 1::ubigint) from hashed),
