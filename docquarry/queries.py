@@ -597,8 +597,8 @@ def near_dup_updated(spark, d):
     h = _simhash(spark, d).where("simhash64 is not null").select(F.col("doc_id").alias("item_id"), hash_bits(F.col("simhash64")).alias("h"))
     h = kept(h, "hashes")
     x = near_index.new_index(spark, h.where("item_id % 4 <> 1"))
-    x.update(h.where("item_id % 4 = 1"), h.where("item_id % 9 = 0 and item_id % 4 <> 1"))
-    x.update(h.where("item_id % 13 = 2 and item_id % 9 <> 0").withColumn("h", F.col("h").bitwiseXOR(1)), h.where("item_id % 9 = 0"))
+    other = h.withColumn("h", F.when(F.col("item_id") % 13 == 2, F.col("h").bitwiseXOR(1)).otherwise(F.col("h")))
+    x.update(other.where("item_id % 9 <> 0 and (item_id % 4 = 1 or item_id % 13 = 2)"), h.where("item_id % 9 = 0"))
     return x.groups()
 
 
