@@ -6,10 +6,13 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Manifests that stay for readers that have begun with one.
 KEPT = 8
+#: Rows of a kept table up to which it may be broadcast.
+BROADCAST = 250_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -23,10 +26,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows from a table in the shared folder: lineage is cut, and what is read again isn't worked out again."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """The rows from a table in the shared folder: lineage is cut, and what is read again isn't worked out again.
+
+    Encoded files say little about how large rows are in the driver's memory, so joins right above a table of many rows are told not to broadcast.
+    """
+    path, wrote = scratch(df.sparkSession, name), Observation()
+    df.observe(wrote, F.count("*").alias("n")).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = out if wrote.get["n"] <= BROADCAST else out.hint("merge")
     out._folder = path
     return out
 

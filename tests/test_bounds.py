@@ -16,3 +16,13 @@ def hashes(spark, n=3000):
 
 def test_bands_are_not_broadcast(spark):
     assert "Broadcast" not in plan(dedup.near_pairs(versions.kept(hashes(spark), "hashes")))
+
+
+def test_kept_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    x = hashes(spark)
+    assert "BroadcastHashJoin" in plan(x.join(versions.kept(x, "few"), "id"))
+    monkeypatch.setattr(versions, "BROADCAST", 2999)
+    many = versions.kept(x, "many")
+    assert "Broadcast" not in plan(x.join(many, "id")) and "Broadcast" not in plan(x.join(many.select("id").distinct(), "id", "left_anti"))
+    assert many.count() == 3000 and versions.kept(x.where("false"), "none").isEmpty()
+    versions.dropped(many)
