@@ -100,7 +100,7 @@ class NearIndex:
         # a hash that comes back after it was lost is beside those that it was beside
         beside_old = kept(pairs.join(lost, "h", "left_semi").select(F.col("g").alias("h")), "near-beside")
         live = before.select("h").unionByName(fresh).join(lost, "h", "left_anti").select(F.col("h").alias("g"))
-        close = mine.join(theirs.select(F.col("h").alias("g"), "i", "v").distinct(), ["i", "v"]).where((F.col("g") != F.col("h")) & (F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= dedup.DISTANCE))
+        close = mine.hint("merge").join(theirs.select(F.col("h").alias("g"), "i", "v").distinct().hint("merge"), ["i", "v"]).where((F.col("g") != F.col("h")) & (F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= dedup.DISTANCE))
         close = close.where(dedup.first_meeting(F.col("g"), F.col("h"), F.col("before"), now["blocks"])).select("g", "h", hamming_similarity(F.col("g"), F.col("h")).alias("similarity")).join(live, "g", "left_semi")
         t["pairs"].put(self._both(close).dropDuplicates(["pair"]), gone=ended, mode=None)
         told = self._repair(t, moved, beside_old)
