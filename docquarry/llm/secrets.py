@@ -37,6 +37,8 @@ KINDS = ("assign", "access", "hex")
 MIN_BASE64 = 16
 #: Characters of inflated text that are scanned together if white space lets them end there, bytes inflated at a time, and compressed bytes given to zstandard at a time.
 CHUNK, PIECE, ZSTD_INPUT = 1 << 22, 1 << 20, 256
+#: The longest window that a frame of zstandard can have; the library's own default takes those beyond 2^27 for errors.
+ZSTD_WINDOW = 1 << 31
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -178,7 +180,7 @@ def _pieces(raw: bytes, plain: bool = False, members: int | None = None) -> Iter
         elif raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            d, at = zstandard.ZstdDecompressor().decompressobj(), 0
+            d, at = zstandard.ZstdDecompressor(max_window_size=ZSTD_WINDOW).decompressobj(), 0
             while not d.eof and at < len(raw):
                 try:
                     piece = d.decompress(raw[at : at + ZSTD_INPUT])
@@ -195,13 +197,16 @@ def _pieces(raw: bytes, plain: bool = False, members: int | None = None) -> Iter
 
 
 def _members(raw: bytes, plain: bool = False) -> tuple[int, int]:
-    """How many members compressed bytes have, and where the last ends; those from the first that can't be inflated on don't count."""
+    """How many members compressed bytes have, and where the last ends; those from the first that can't be inflated on don't count.
+
+    Only what the decoders say of bytes is caught: without the library for a member the job fails, rather than passing over the member.
+    """
     count, end = 0, 0
     try:
         for member, _, left in _pieces(raw, plain):
             if left >= 0:
                 count, end = member + 1, len(raw) - left
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, ImportError):
+    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
         pass
     return count, end
 

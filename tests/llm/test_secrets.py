@@ -5,6 +5,7 @@ import hashlib
 import lzma
 import random
 import re
+import sys
 import zlib
 from urllib.parse import quote
 
@@ -175,3 +176,19 @@ def test_a_broken_member_after_a_good_one(packed, broken):
     """What the good member holds is found, whatever comes after it."""
     for raw in (packed(SECRET.encode()) + broken, packed(SECRET.encode()) * 2 + broken):
         assert any(k == "assign" for *_, k in sec.find("see " + b64(raw))[1])
+
+
+def test_a_member_without_its_library_fails_the_job(monkeypatch):
+    run = base64.b64encode(zstandard.ZstdCompressor().compress(SECRET.encode())).decode()
+    assert sec.find(run)[1]
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.raises(ImportError):
+        sec.find(run)
+
+
+def test_frames_with_long_windows_are_inflated():
+    long = zstandard.ZstdCompressionParameters(window_log=30, hash_log=6, chain_log=6, strategy=zstandard.STRATEGY_FAST, write_content_size=False)
+    pack = zstandard.ZstdCompressor(compression_params=long).compressobj()
+    text = f"{' '.join(random.Random(5).choices(('one', 'two', 'three', 'four'), k=300))} {SECRET}"
+    run = base64.b64encode(pack.compress(text.encode()) + pack.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK) + pack.flush()).decode()
+    assert (0, len(run), "assign") in sec.find(run)[1]
