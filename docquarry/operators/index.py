@@ -25,6 +25,8 @@ FANOUT = 4
 #: Keys up to which a table of hidden ones is broadcast.
 BROADCAST = 1_000_000
 GRAM = 3
+#: About as many postings of one token go to one file.
+BLOCK = 1_000_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -32,11 +34,20 @@ def scratch(spark: SparkSession) -> str:
 
 
 def postings(items: DataFrame, columns: list[str], key: str = "item_id") -> DataFrame:
-    """(token, key, col, positions, dl) of all tokens of the columns, one row for each token of an item's column; ``dl`` is the item's number of tokens."""
+    """(token, key, col, positions, dl) of all tokens of the columns, one row for each token of an item's column; ``dl`` is the item's number of tokens.
+
+    Tokens are brought together within their row, by a sort, so that none is shuffled one by one. Keys are unique.
+    """
     x = once(spread(items.select(key, *columns)), [F.col(key)], cols=F.array(*[F.struct(F.lit(i).alias("col"), search_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for i, c in enumerate(columns)]))
     dl = F.aggregate("cols", F.lit(0), lambda a, c: a + F.size(c["tokens"]))
-    x = x.select(key, dl.alias("dl"), F.explode("cols").alias("c")).select(key, "dl", F.col("c.col").alias("col"), F.posexplode("c.tokens").alias("pos", "token"))
-    return x.groupBy("token", key, "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.max("dl").alias("dl"))  # at most one text's positions
+    x = x.select(key, dl.alias("dl"), F.explode("cols").alias("c")).where(F.size("c.tokens") > 0)
+    keep = [F.col(key), F.col("dl"), F.col("col")]
+    x = once(x.select(key, "dl", F.col("c.col").alias("col"), F.col("c.tokens").alias("tokens")), keep, placed=F.sort_array(F.transform("tokens", lambda t, i: F.struct(t.alias("token"), i.alias("pos")))))
+    token = lambda i: F.get("placed", i)["token"]
+    x = once(x, [*keep, F.col("placed")], begins=F.filter(F.sequence(F.lit(0), F.size("placed") - 1), lambda i: (i == 0) | (token(i) != token(i - 1))))
+    last = lambda k: F.coalesce(F.get("begins", k + 1), F.size("placed")) - 1
+    each = F.transform("begins", lambda i, k: F.struct(token(i).alias("token"), F.transform(F.sequence(i, last(k)), lambda j: F.get("placed", j)["pos"]).alias("positions")))
+    return x.select(*keep, F.inline(each)).select("token", key, "col", "positions", "dl")
 
 
 class Segments:
@@ -57,8 +68,9 @@ class Segments:
     def _write(self, found: DataFrame, lengths: DataFrame, seq: int, clean: int) -> dict:
         name, seen = f"{seq}-{uuid.uuid4().hex[:8]}", Observation()
         order = [c for c in ("token", self.key, "col") if c in found.columns]
-        found.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.folder}/segments/{name}/postings")
         lengths.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("size")).write.parquet(f"{self.folder}/segments/{name}/lengths")
+        block = F.pmod(F.xxhash64(self.key), F.lit(1 + seen.get["n"] // BLOCK))
+        found.repartition("token", block).sortWithinPartitions(*order).write.parquet(f"{self.folder}/segments/{name}/postings")  # by hash: ranges would take a sampling pass over the rows
         return {"name": name, "seq": seq, "clean": clean, "docs": seen.get["n"], "size": seen.get["size"]}
 
     def build(self, items: DataFrame) -> Segments:

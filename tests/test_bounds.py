@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docquarry.operators import dedup
+from docquarry.operators import dedup, index
 from docquarry.sources import versions
 
 
@@ -26,3 +26,10 @@ def test_kept_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     assert "Broadcast" not in plan(x.join(many, "id")) and "Broadcast" not in plan(x.join(many.select("id").distinct(), "id", "left_anti"))
     assert many.count() == 3000 and versions.kept(x.where("false"), "none").isEmpty()
     versions.dropped(many)
+
+
+def test_postings_are_made_within_rows(spark):
+    texts = spark.createDataFrame([(1, "b a b", "c"), (2, None, "a"), (3, "", " ")], "item_id bigint, text string, title string").repartition(8, "item_id")
+    found = index.postings(versions.kept(texts, "texts").repartition(8), ["text", "title"])
+    assert plan(found).count("Exchange") == 1  # that of the line above
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 0, [1], 4), ("a", 2, 1, [0], 1), ("b", 1, 0, [0, 2], 4), ("c", 1, 1, [0], 4)]
