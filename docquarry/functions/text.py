@@ -33,7 +33,21 @@ def word_runs(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(plain(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def ascii_only(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def plain(text: Column) -> Column:
+    """In lower case without accents; texts of ASCII have none to look for."""
+    return F.when(ascii_only(text), F.lower(text)).otherwise(F.translate(F.lower(text), ACCENTED, PLAIN))
+
+
+def spaced(text: Column) -> Column:
+    """``plain`` with spaces for what is beyond ASCII and neither letter nor digit: ``search_tokens`` are the runs of letters and digits of ASCII and of anything beyond it."""
+    return F.when(ascii_only(text), F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\x00-\x7F\p{L}\p{N}]+", " "))
 
 
 def once(df: DataFrame, keep: list[Column], **columns: Column) -> DataFrame:

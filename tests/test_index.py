@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from docquarry.functions.text import search_tokens
 from docquarry.operators import index as ix
 from docquarry.operators import search
 from docquarry.operators.filters import Filters
@@ -97,3 +98,29 @@ def test_search_by_index_equals_search_by_scan(spark, tmp_path):
         a, b = search.search(items, r), search.search(items, r, index=text, grams=grams)
         assert [tuple(x) for x in a.collect()] == [tuple(x) for x in b.collect()] and a.columns == b.columns, q
         assert "text" not in a.columns
+
+
+def test_tokens_of_blocks_are_those_of_search(spark):
+    """Letters beyond ASCII, signs among them, rows that end in a token and texts of any length."""
+    odd = ["", None, "ab", "cd e", "Ünï—cödé “x”", "ÅΣΑΣ ΟΔΟΣ", "é𝒳abc ½ ²x Ⅷ", "áb ́ c", "日本 語、x", "İı ǅ", "x" * 70000, " a b_c", "٣٤ १२a"]
+    x = spark.createDataFrame([(i, t, odd[-1 - i]) for i, t in enumerate(odd)], "item_id bigint, a string, b string").repartition(2)
+    got = sorted((r.item_id, r.token, r.col, r.positions, r.dl) for r in ix.postings(x, ["a", "b"]).collect())
+    want = []
+    for r in x.select("item_id", *[search_tokens(F.coalesce(c, F.lit(""))).alias(c) for c in ("a", "b")]).collect():
+        for col, tokens in enumerate((r.a, r.b)):
+            want += [(r.item_id, t, col, [i for i, u in enumerate(tokens) if u == t], len(r.a) + len(r.b)) for t in set(tokens)]
+    assert got == sorted(want)
+
+
+def test_segments_have_a_row_for_a_token_of_many_items(spark, tmp_path):
+    """Rows grow with the number of different tokens, not with that of postings, after a build and after a merge; they come by token."""
+    index = ix.TextIndex(spark, f"file://{tmp_path}/i", ["a", "b"]).build(frame(spark, texts(900, 5)))
+    grams = ix.GramIndex(spark, f"file://{tmp_path}/g", ["a", "b"]).build(frame(spark, texts(900, 5)))
+    for x in (index, grams):
+        for merged in (False, True):
+            if merged:
+                x.update(frame(spark, texts(40, 6, at=880))).merge()
+            rows = spark.read.parquet(f"file://{tmp_path}/{'i' if x is index else 'g'}/segments/{x.versions.current()[1]['segments'][0]['name']}/postings")
+            assert rows.count() < 0.2 * rows.agg(F.sum(F.size("postings"))).first()[0]
+            for part in rows.select("token", F.input_file_name().alias("f")).groupBy("f").agg(F.collect_list("token").alias("t")).collect():
+                assert part.t == sorted(part.t, key=str.encode)
