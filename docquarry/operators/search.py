@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import once, search_tokens, spread
+from ..functions.text import once, plain, search_tokens, spread
 from . import listing
 from .filters import Filters, glob, has_wildcard, like
 
@@ -111,13 +112,32 @@ def snippets(df: DataFrame, text: str, phrase: list[str], width: int = 20, name:
     return x.select(*keep, _shown_from(begin, width).alias(name))
 
 
+def _places(df: DataFrame, text: str, phrase: list[str], keep: list) -> DataFrame:
+    """``keep`` and ``_all``, the first and last word of each place of a phrase as in ``_placed``.
+
+    The text is cut before each place, and words are counted by the spaces between them: only what a place holds is looked at word by word.
+    """
+    if not phrase:
+        return df.select(*keep, F.array().cast("array<struct<o: int, c: int>>").alias("_all"))
+    n, gap, end = len(phrase), r"[^\p{L}\p{N}]+", r"(?![\p{L}\p{N}])"
+    place = gap.join(re.escape(w) for w in phrase) + end
+    x = once(df, keep, _text=F.when(plain(F.col(text)).rlike(place), F.col(text)))  # most texts have none
+    x = once(x, keep, _parts=F.split(plain(F.btrim(F.regexp_replace("_text", r"\s+", " "))), rf"(?={place})(?<![\p{{L}}\p{{N}}])"))
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" ")))
+    x = once(x, [*keep, F.col("_parts")], _ends=F.aggregate(F.transform("_parts", spaces), F.array(F.lit(0)), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + k))))
+    whole = lambda i: F.regexp_extract(F.array_join(F.slice("_parts", i + 1, n), ""), f"^{place}", 0)  # noqa: E731  # a place reaches over as many parts as it has tokens, if others begin within it
+    each = F.transform("_parts", lambda p, i: F.struct(F.get("_ends", i).alias("o"), F.when(p.rlike(f"^{re.escape(phrase[0])}"), whole(i)).alias("s")))
+    held = F.filter(each, lambda e: F.length(e["s"]) > 0)
+    return x.select(*keep, F.transform(held, lambda e: F.struct(e["o"].alias("o"), (e["o"] + spaces(e["s"])).alias("c"))).alias("_all")).withColumn("_all", F.coalesce("_all", F.array()))
+
+
 def best_windows(df: DataFrame, text: str, phrase: list[str], key: str = "item_id", width: int = 20) -> DataFrame:
     """(key, start, matches): the first window of ``width`` words with the most whole places of the phrase; 0 and 0 without any. Keys are unique.
 
     Places come in order, so those in the window that ends with one's last word are those that close up to there less those that open before the window:
     two running counts over words, as a window function over the words in which something opens or closes.
     """
-    x = _placed(df, text, phrase, [F.col(key)])
+    x = _places(spread(df.select(key, text)), text, phrase, [F.col(key)])
     w = Window.partitionBy(key).orderBy("w", F.desc("open"))
     place = x.select(key, F.explode("_all").alias("p")).where(F.col("p.c") - F.col("p.o") < width)
     start = F.greatest(F.lit(0), F.col("p.c") - (width - 1))

@@ -116,3 +116,16 @@ def test_no_nested_list_is_longer_than_a_page(spark):
     x = dedup.listing(dedup.exact_members(items).withColumn("similarity", F.lit(1.0)), items, limit=5, page=10, start=480).first()
     assert x.item_count == 500 and x.primary_id == 0 and [m.item_id for m in x.members] == list(range(480, 490))
     assert dedup.listing(dedup.exact_members(items).withColumn("similarity", F.lit(1.0)), items, start=900).first().members == []
+
+
+def test_places_are_those_of_tokens(spark):
+    """Overlapping places, signs and marks between tokens, words without tokens; and a file of one partition is dealt over all cores."""
+    r = random.Random(8)
+    odd = ["a", "A", "á", "a-a", "b", "—", "́", "a.b", "ba", "日", "áa", "a_a", "\t", "ab", "İ", "a’b"]
+    rows = [(i, r.choice([" ", "  ", "\n"]).join(r.choice(odd) for _ in range(r.randint(0, 30)))) for i in range(150)] + [(900, None), (901, " a  a "), (902, "a a a")]
+    x = spark.createDataFrame(rows, "item_id bigint, text string")
+    for phrase in (["a"], ["a", "a"], ["a", "b"], ["a", "a", "a"], ["日", "a"], []):
+        want = {i.item_id: i["_all"] for i in search._placed(x, "text", phrase, [F.col("item_id")]).collect()}
+        assert {i.item_id: i["_all"] for i in search._places(x, "text", phrase, [F.col("item_id")]).collect()} == want, phrase
+    plan = search.best_windows(x.coalesce(1), "text", ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
