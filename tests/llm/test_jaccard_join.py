@@ -161,3 +161,14 @@ def test_a_words_hash_does_not_depend_on_what_came_before():
 
     code = "from docquarry.llm import shingles as s; a = s.shingle_sets(['a b'])[0]; s.shingle_sets(['longer words']); assert (a == s.shingle_sets(['a b'])[0]).all() and (a == s.shingle_sets(['longer words', 'A b'])[1]).all()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_bitmaps_tell_shared_passages_from_similar_sets():
+    """Sets with 0.6 of their members in common don't leave the trees as pairs, those that are similar do."""
+    r = np.random.default_rng(5)
+    for n in (900, 1000, 3500):
+        for share, room in ((0.6, False), (0.87, True)):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: int(share * n)], r.integers(0, 1 << 63, n - int(share * n)).astype(np.uint64)])
+            s = jj.Signatures(np.array([n, n]), [jj.bitmap(np.sort(x)).tobytes() for x in (a, b)])
+            assert s.room(np.array([0]), np.array([1]), 75)[0] == room, (n, share)
