@@ -1,6 +1,7 @@
 """A corpus pipeline of the operators in docquarry.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of ``documents``; the last returns token counts and digests.
+Each begins with a collection of the executors' garbage, so that the heap that one has grown doesn't stand beside the next one's Python workers.
 ``run`` writes each stage's rows as a table in the shared folder and hands the next stage that table.
 
 Every stage takes nulls in any column, texts of any length as a whole, and an empty table, which gives an empty one; columns that ``documents`` doesn't
@@ -10,11 +11,14 @@ takes rows with the same doc_id and text as one document.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
-from docquarry.llm.common import bounded_batches, free, table, written
+from docquarry.llm.common import bounded_batches, collected, free, table, written
 
 #: Least mean probability of a document's language; below it the model says little more than that the text is none of its languages.
 MIN_LANGUAGE = 0.4
@@ -54,12 +58,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs)
 
 
+def _after_collection(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
 STAGES = [
-    ("language ID", identify_language),
-    ("line dedup", dedup_lines),
-    ("n-gram Jaccard join", one_of_near_copies),
-    ("benchmark decontamination", decontaminate),
-    ("BPE encoding and decoding", encode),
+    ("language ID", _after_collection(identify_language)),
+    ("line dedup", _after_collection(dedup_lines)),
+    ("n-gram Jaccard join", _after_collection(one_of_near_copies)),
+    ("benchmark decontamination", _after_collection(decontaminate)),
+    ("BPE encoding and decoding", _after_collection(encode)),
 ]
 
 ORACLE_SQL = None

@@ -102,6 +102,13 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the executors collect their garbage and give the heap back to the system, as ``_give_back`` does for workers. A JVM that goes on to a next job
+    otherwise keeps the largest heap that it ever had, however little of it is in use, beside that job's Python workers. A task a core, so that idle executors get one each."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def free(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column is called so."""
     while name.lower() in {x.lower() for x in taken}:

@@ -316,19 +316,36 @@ class Tree:
 
 
 class Signatures:
-    """Sizes and bitmaps of a part's classes, for bounds on pairs at the width of the larger one."""
+    """Sizes and bitmaps of a part's classes, for bounds on pairs at the width of the narrower one.
 
-    def __init__(self, n: np.ndarray, bits: list[bytes]):
+    Bitmaps stay in one buffer, whatever their widths, and those of some pairs at a time are folded; only the shortest width is kept for all.
+    ``order`` has the place in ``bits`` of each class's bitmap.
+    """
+
+    def __init__(self, n: np.ndarray, bits: list[bytes] | pa.Array, order: np.ndarray | None = None):
         self.n = n
-        rows = [np.frombuffer(x, np.uint64) for x in bits]
-        self.words = np.array([len(r) for r in rows], np.int64)
-        self.short = np.stack([folded(r, WORDS64) for r in rows]) if rows else np.zeros((0, WORDS64), np.uint64)
-        self.wide: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for w in set(self.words.tolist()) - {WORDS64}:  # those of this width or twice that
-            at = np.flatnonzero((self.words == w) | (self.words == 2 * w))
-            place = np.zeros(len(rows), np.int64)
-            place[at] = np.arange(len(at))
-            self.wide[w] = (place, np.stack([folded(rows[i], w) for i in at]))
+        bits = (pa.array(bits, pa.binary()) if isinstance(bits, list) else bits).cast(pa.large_binary())
+        ends = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1] if len(bits) else np.zeros(1, np.int64)
+        self.flat = np.frombuffer(bits.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64) if len(bits) else np.zeros(0, np.uint64)
+        order = np.arange(len(bits)) if order is None else order
+        self.start, self.words = (ends[:-1] - ends[0])[order] // 8, np.diff(ends)[order] // 8
+        self.short = np.empty((len(order), WORDS64), np.uint64)
+        for i in range(0, len(order), CHUNK):
+            self.short[i : i + CHUNK] = self.rows(np.arange(i, min(i + CHUNK, len(order))), WORDS64)
+
+    def rows(self, at: np.ndarray, words: int) -> np.ndarray:
+        """The bitmaps of the classes ``at``, folded to so many words, a row each."""
+        out = np.empty((len(at), words), np.uint64)
+        width = self.words[at]
+        for w in np.unique(width).tolist():
+            where = np.flatnonzero(width == w)
+            for i in range(0, len(where), max(1, CHUNK // w)):
+                some = where[i : i + max(1, CHUNK // w)]
+                bits = self.flat[self.start[at[some], None] + np.arange(w)]
+                while bits.shape[1] > words:
+                    bits = bits[:, : bits.shape[1] // 2] | bits[:, bits.shape[1] // 2 :]
+                out[some] = bits
+        return out
 
     def room(self, x: np.ndarray, y: np.ndarray, similarity: int) -> np.ndarray:
         """Whether classes ``x`` and ``y`` can be similar."""
@@ -336,11 +353,10 @@ class Signatures:
         width = np.minimum(self.words[x], self.words[y])
         for w in np.unique(width[ok]).tolist():
             every = np.flatnonzero(ok & (width == w))
-            place, rows = self.wide.get(w, (None, self.short))
             step = max(1, CHUNK * WORDS64 // w)
             for i in range(0, len(every), step):
                 at = every[i : i + step]
-                a, b = (rows[z[at]] if place is None else rows[place[z[at]]] for z in (x, y))
+                a, b = (self.short[z[at]] if w == WORDS64 else self.rows(z[at], w) for z in (x, y))
                 ok[at] = overlap(self.n[x[at]], self.n[y[at]], np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64), similarity)
         return ok
 
@@ -352,7 +368,7 @@ def _roomy(similarity: int):
         for b in slices(batches, 4096):
             k = b.num_rows
             n = np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m")])
-            both = Signatures(n, b.column("bits").to_pylist() + b.column("bits_y").to_pylist())
+            both = Signatures(n, pa.concat_arrays([b.column("bits"), b.column("bits_y")]))
             ok = both.room(np.arange(k), np.arange(k, 2 * k), similarity)
             yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y")], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
@@ -365,9 +381,9 @@ _PAIRS = "xa bigint, xb bigint, ya bigint, yb bigint, n bigint, m bigint, shared
 def _trees(similarity: int):
     def run(seats: pa.Table, t: pa.Table) -> pa.Table:
         """The pairs of one part of the open meetings that no bound rules out, and how many meetings of the part they share. ``t`` has the classes."""
-        t = t.sort_by([("a", "ascending")])
-        a, b, n, group = (t.column(c).to_numpy() for c in ("a", "b", "n", "g"))
-        known = Signatures(n, t.column("bits").to_pylist())
+        by_a = np.argsort(t.column("a").to_numpy(), kind="stable")
+        a, b, n, group = (t.column(c).to_numpy()[by_a] for c in ("a", "b", "n", "g"))
+        known = Signatures(n, t.column("bits").combine_chunks(), by_a)
         token, slice_, side, who = (seats.column(c).to_numpy() for c in ("token", "slice", "side", "a"))
         first, last = np.searchsorted(a, who, "left"), np.searchsorted(a, who, "right")  # more than one where sets share the filed half of their hash
         row = np.repeat(np.arange(len(who)), last - first)

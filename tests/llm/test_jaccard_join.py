@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from docquarry.llm import jaccard_join as jj
 from docquarry.llm.shingles import common, shingle_sets
@@ -172,3 +174,21 @@ def test_bitmaps_tell_shared_passages_from_similar_sets():
             b = np.concatenate([a[: int(share * n)], r.integers(0, 1 << 63, n - int(share * n)).astype(np.uint64)])
             s = jj.Signatures(np.array([n, n]), [jj.bitmap(np.sort(x)).tobytes() for x in (a, b)])
             assert s.room(np.array([0]), np.array([1]), 75)[0] == room, (n, share)
+
+
+def test_memory_of_a_parts_bitmaps():
+    """Beside the column itself: the shortest width of each class, and little else, whatever the widths."""
+    r = np.random.default_rng(3)
+    words = np.repeat([16, 32, 64], 20_000)
+    column = pa.array([x.tobytes() for x in np.split(r.integers(0, 1 << 63, words.sum(), np.uint64), np.cumsum(words)[:-1])], pa.binary())
+    order = r.permutation(len(words))
+    x = r.integers(0, len(words), 20_000)
+    tracemalloc.start()
+    known = jj.Signatures(words[order] * 16, column, order)
+    known.room(x, (x + 1) % len(words), 75)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < known.short.nbytes + 12_000_000
+    for i in (0, 5, 59_999):
+        bits = np.frombuffer(column[int(order[i])].as_py(), np.uint64)
+        assert (known.short[i] == jj.folded(bits, 16)).all() and (known.rows(np.array([i]), len(bits))[0] == bits).all()

@@ -77,3 +77,13 @@ def test_columns_with_the_operators_own_names_and_nulls_in_any(spark, folder, tm
         assert rows and all(r[c] == "mine" for r in rows for c in mine), name
     assert not any(ITEM[:40] in (r.text or "") for r in rows)
     assert cp.encode(spark, docs, folder).count() == len(rows)
+
+
+def test_each_stage_begins_with_a_small_heap(spark, folder):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
+    for name, stage in cp.STAGES:
+        before = full()
+        stage(spark, docs, folder)
+        assert full() > before, name
