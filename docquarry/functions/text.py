@@ -22,8 +22,8 @@ def _folding() -> tuple[str, str]:
 ACCENTED, PLAIN = _folding()
 
 
-#: Bits of a count of shingles; three of them fit in a number.
-LANE = 21
+#: Bits of a count of shingles, 15 at most; four of them, 16 bits apart, fit in a number.
+LANE = 15
 
 
 def word_runs(text: Column) -> Column:
@@ -74,15 +74,19 @@ def shingles(tokens: Column, n: int = 3) -> Column:
 def simhash(df: DataFrame, key: str, text: str, least: int = 20) -> DataFrame:
     """(key, simhash64): 64 votes of the shingles' md5 as 16 hex digits; null for texts that are null or shorter than ``least``.
 
-    Votes are sums in one partial aggregation, three bits' counts in one number, so what is shuffled is a row for each 2^20 shingles of a document.
+    Votes are sums in one partial aggregation, four bits' counts in one number, so what is shuffled is a row for each 2^14 shingles of a document. Shingles are
+    places in the array of words until they are hashed: no array of them is made.
     """
     x = once(spread(df.select(key, F.when(F.length(text) >= least, F.col(text)).alias("t"))), [F.col(key)], w=word_runs(F.col("t")))
-    x = x.select(key, F.col("w").isNotNull().alias("ok"), F.posexplode_outer(shingles(F.col("w"))).alias("pos", "s"))
+    n = F.size("w")
+    places = F.when(n > 0, F.sequence(F.lit(0), F.when(n < 3, n - 1).otherwise(n - 3)))
+    x = x.select(key, "w", F.explode_outer(places).alias("pos"))
+    shingle = F.when(F.size("w") < 3, F.get("w", F.col("pos"))).otherwise(F.concat_ws(" ", *[F.get("w", F.col("pos") + k) for k in range(3)]))
+    x = x.select(key, F.col("w").isNotNull().alias("ok"), "pos", F.when(F.col("pos").isNotNull(), shingle).alias("s"))
     x = x.select(key, "ok", F.shiftright("pos", LANE - 1).alias("part"), F.conv(F.substring(F.md5("s"), 17, 16), 16, -10).cast("bigint").alias("h"))  # the low half, as a signed number
-    three = [F.shiftrightunsigned("h", b).bitwiseAND(7) for b in range(0, 64, 3)]
-    apart = [v.bitwiseAND(1) + F.shiftleft(v.bitwiseAND(2), LANE - 1) + F.shiftleft(v.bitwiseAND(4), 2 * LANE - 2) for v in three]
-    parts = x.groupBy(key, "part").agg(F.max("ok").alias("ok"), F.count("h").alias("n"), *[F.sum(v).alias(f"v{i}") for i, v in enumerate(apart)])
-    ones = [F.sum(F.shiftright(f"v{b // 3}", LANE * (b % 3)).bitwiseAND((1 << LANE) - 1)).alias(f"b{b}") for b in range(64)]
+    lanes = [F.shiftrightunsigned("h", k).bitwiseAND(F.lit(0x0001000100010001)) for k in range(16)]
+    parts = x.groupBy(key, "part").agg(F.max("ok").alias("ok"), F.count("h").alias("n"), *[F.sum(v).alias(f"v{k}") for k, v in enumerate(lanes)])
+    ones = [F.sum(F.shiftright(f"v{b % 16}", b // 16 * 16).bitwiseAND(0xFFFF)).alias(f"b{b}") for b in range(64)]
     total = parts.groupBy(key).agg(F.max("ok").alias("ok"), F.sum("n").alias("n"), *ones)
     out = F.lit(0).cast("bigint")
     for b in range(64):

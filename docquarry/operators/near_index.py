@@ -33,12 +33,13 @@ class NearIndex:
         return {k: Store(self.spark, f"{self.folder}/{name}/{k}", key, (), self.parts, 0.5) for k, key in (("items", "item_id"), ("vertices", "h"), ("pairs", "pair"))}
 
     def _write_bands(self, hashes: DataFrame, name: str, blocks: int) -> None:
-        """In order of buckets, so that a reader of some passes over the row groups of the others."""
-        x = hashes.select("h", F.inline(F.array(*dedup.bands("h", blocks)))).withColumn("bucket", F.pmod(F.xxhash64("i", "v"), F.lit(self.buckets)).cast("int"))
-        x.repartitionByRange("bucket").sortWithinPartitions("bucket").write.parquet(f"{self.folder}/bands/{name}")
+        """In order of buckets, so that a reader of some passes over the files of the others. Buckets are even, so ranges of them need no sample."""
+        files = min(self.buckets, 2 * self.spark.sparkContext.defaultParallelism)
+        x = dedup.banded(hashes.select("h"), blocks).withColumn("bucket", F.pmod(F.xxhash64("i", "v"), F.lit(self.buckets)).cast("int"))
+        x.repartitionById(files, F.expr(f"bucket * {files} div {self.buckets}").cast("int")).sortWithinPartitions("bucket").write.parquet(f"{self.folder}/bands/{name}")
 
     def _bands(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema("h bigint, i int, v bigint, before int, bucket int").parquet(*[f"{self.folder}/bands/{name}" for name in names])
+        return self.spark.read.schema("h bigint, i int, v bigint, bucket int").parquet(*[f"{self.folder}/bands/{name}" for name in names])
 
     def build(self, hashes: DataFrame) -> NearIndex:
         """An index of these items (item_id, h) alone, grouped in full."""
@@ -100,8 +101,9 @@ class NearIndex:
         # a hash that comes back after it was lost is beside those that it was beside
         beside_old = kept(pairs.join(lost, "h", "left_semi").select(F.col("g").alias("h")), "near-beside")
         live = before.select("h").unionByName(fresh).join(lost, "h", "left_anti").select(F.col("h").alias("g"))
-        close = mine.hint("merge").join(theirs.select(F.col("h").alias("g"), "i", "v").distinct().hint("merge"), ["i", "v"]).where((F.col("g") != F.col("h")) & (F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= dedup.DISTANCE))
-        close = close.where(dedup.first_meeting(F.col("g"), F.col("h"), F.col("before"), now["blocks"])).select("g", "h", hamming_similarity(F.col("g"), F.col("h")).alias("similarity")).join(live, "g", "left_semi")
+        # a hash that has come back has its bands more than once: its pairs are told apart below, which is less than all bands
+        close = mine.hint("merge").join(theirs.select(F.col("h").alias("g"), "i", "v").hint("merge"), ["i", "v"]).where((F.col("g") != F.col("h")) & (F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= dedup.DISTANCE))
+        close = close.where(dedup.first_meeting(F.col("g"), F.col("h"), F.col("i"), now["blocks"])).select("g", "h", hamming_similarity(F.col("g"), F.col("h")).alias("similarity")).join(live, "g", "left_semi")
         t["pairs"].put(self._both(close).dropDuplicates(["pair"]), gone=ended, mode=None)
         told = self._repair(t, moved, beside_old)
         t["vertices"].put(told, gone=lost, mode=None)
@@ -110,7 +112,10 @@ class NearIndex:
         return self
 
     def _repair(self, t: dict[str, Store], moved: DataFrame, beside_old: DataFrame) -> DataFrame:
-        """(h, id, seed) of the hashes that may differ: a hash is told once no smaller one beside it is still to be told. A written table."""
+        """(h, id, seed) of the hashes that may differ: a hash is told once no smaller one beside it is still to be told, or one that isn't is a seed. A written table.
+
+        So rounds are not as many as a group's members. Should that seed cease to be one later, those that it took are told again.
+        """
         pairs = t["pairs"].current()
         changed = moved.where("new_id is not null").select("h", F.col("new_id").alias("id"), F.lit(None).cast("boolean").alias("seed"))
         stored = t["vertices"].current().join(moved.select("h"), "h", "left_anti").unionByName(changed)
@@ -121,13 +126,16 @@ class NearIndex:
             vertices = stored.join(told.select("h"), "h", "left_anti").unionByName(told)
             open_ = todo.select(F.col("h").alias("g"), F.lit(True).alias("g_open"))
             beside = pairs.join(todo, "h").join(vertices.toDF("g", "g_id", "g_seed"), "g").where("g_id < id").join(open_, "g", "left")
-            waits, taken = F.bool_or(F.coalesce("g_open", F.lit(False))), F.bool_or(F.coalesce("g_seed", F.lit(False)))
-            state = todo.join(beside.groupBy("h").agg(waits.alias("waits"), taken.alias("taken")), "h", "left").where("not coalesce(waits, false)")
+            wait, seed = F.coalesce("g_open", F.lit(False)), F.coalesce("g_seed", F.lit(False))
+            waits, taken = F.bool_or(wait), F.bool_or(seed & ~wait)
+            state = todo.join(beside.groupBy("h").agg(waits.alias("waits"), taken.alias("taken")), "h", "left").where("taken or not coalesce(waits, false)")
             now = kept(state.select("h", "id", (~F.coalesce("taken", F.lit(False))).alias("seed")), "near-now")
-            differ = now.alias("n").join(vertices.alias("v"), "h").where("not n.seed <=> v.seed").select(F.col("h").alias("g"), F.col("n.id").alias("g_id"))
-            up = pairs.join(differ, "g").join(vertices.select("h", "id"), "h").where("id > g_id").select("h", "id")
-            left = kept(todo.join(now.select("h"), "h", "left_anti").unionByName(up).distinct(), "near-todo")
+            differ = now.alias("n").join(vertices.alias("v"), "h").where("not n.seed <=> v.seed").select(F.col("h").alias("g"), F.col("n.id").alias("g_id"), F.col("n.seed").alias("g_seed"), F.coalesce("v.seed", F.lit(False)).alias("g_was"))
             new = kept(told.join(now.select("h"), "h", "left_anti").unionByName(now), "near-told")
+            # a new seed matters to seeds above it, one that was a seed to what it may have taken; others stay told, so that none waits for them
+            after = stored.join(new.select("h"), "h", "left_anti").unionByName(new)
+            up = pairs.join(differ, "g").join(after, "h").where("id > g_id and (g_seed and seed or g_was and not g_seed and not seed)").select("h", "id")
+            left = kept(todo.join(now.select("h"), "h", "left_anti").unionByName(up).distinct(), "near-todo")
             dropped(todo, told, now)
             todo, told = left, new
         dropped(todo)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docquarry.operators import dedup, index
+from docquarry.operators import dedup, index, near_index
 from docquarry.sources import versions
 
 
@@ -18,6 +18,20 @@ def test_bands_are_not_broadcast(spark):
     assert "Broadcast" not in plan(dedup.near_pairs(versions.kept(hashes(spark), "hashes")))
 
 
+def test_bands_are_dealt_over_cores_and_once(spark, tmp_path):
+    """However few files the hashes are in; both sides of the join read the same exchange, and stored bands need no sample of them."""
+    few = versions.kept(hashes(spark).coalesce(1), "hashes")
+    cores = spark.sparkContext.defaultParallelism
+    assert dedup.banded(few, 8).select(F.spark_partition_id()).distinct().count() >= cores
+    pairs = dedup.near_pairs(few)
+    pairs.collect()
+    assert "ReusedExchange" in plan(pairs)
+    index = near_index.NearIndex(spark, f"file://{tmp_path}/n", buckets=16).build(few.toDF("item_id", "h"))
+    name = index.versions.current()[1]["bands"][0]
+    files = spark.read.parquet(f"{tmp_path}/n/bands/{name}").groupBy(F.input_file_name().alias("f")).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"), F.count("*").alias("n")).collect()
+    assert len(files) >= cores and sum(x.n for x in files) == 3000 * len(dedup.choices(8)) and sum(x.b - x.a + 1 for x in files) == 16  # each of a range of its own
+
+
 def test_kept_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     x = hashes(spark)
     assert "BroadcastHashJoin" in plan(x.join(versions.kept(x, "few"), "id"))

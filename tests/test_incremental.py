@@ -4,6 +4,7 @@ import random
 
 from docquarry.operators import dedup, folders, near_index, search
 from docquarry.sources import files as src
+from docquarry.sources.versions import kept
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,28 @@ def test_repaired_groups_equal_greedy_ones(spark, tmp_path):
         assert got(index.groups()) == greedy(now), step
 
 
+def test_repair_takes_few_rounds_in_large_groups(spark, tmp_path, monkeypatch):
+    """Members of a group wait for its seed, not for each other."""
+    now = {i: 1 << i for i in range(1, 31)}
+    index = near_index.NearIndex(spark, f"file://{tmp_path}/n", buckets=16, parts=4).build(frame(spark, {0: (1 << 64) - 1}))
+    names = []
+    monkeypatch.setattr(near_index, "kept", lambda df, name: (names.append(name), kept(df, name))[1])
+    index.update(frame(spark, now))
+    assert {tuple(x) for x in index.groups().collect()} == greedy({0: (1 << 64) - 1} | now)
+    assert names.count("near-now") <= 3
+
+
+def test_returned_hashes_pair_once(spark, tmp_path):
+    """Their bands are stored twice."""
+    now = {1: 5, 2: 7, 3: 1 << 60, 4: 1 << 61}
+    index = near_index.NearIndex(spark, f"file://{tmp_path}/n", buckets=16, parts=4).build(frame(spark, now))
+    index.update(frame(spark, {9: 1 << 50}), spark.createDataFrame([(2,)], "item_id bigint"))
+    index.update(frame(spark, {2: 7, 8: 6}))
+    assert {tuple(x) for x in index.groups().collect()} == greedy(now | {9: 1 << 50, 8: 6})
+    pairs = [x.pair for x in index._tables(index.versions.current()[1]["tables"])["pairs"].current().collect()]
+    assert len(pairs) == len(set(pairs))
+
+
 def test_pairs_come_once(spark):
     r = random.Random(6)
     hashes = {i: flipped(r, (1 << 63) | 12345, 5) for i in range(40)}
